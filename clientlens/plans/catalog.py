@@ -68,3 +68,72 @@ def q_top_clients(spark, sf_dir):
 @query("revenue_by_plan")
 def q_revenue_by_plan(spark, sf_dir):
     return report.revenue_by_plan(build_report(_t(spark, sf_dir)))
+
+
+# ------------------------------------------------------------------ churn
+from clientlens.operators import churn  # noqa: E402
+
+
+def build_churn_ready(t: Tables) -> DataFrame:
+    return churn.churn_ready(build_report(t), t.subscriptions())
+
+
+@query("pre_t_features")
+def q_pre_t_features(spark, sf_dir):
+    return churn.pre_t_features(_t(spark, sf_dir).subscriptions())
+
+
+@query("churn_label")
+def q_churn_label(spark, sf_dir):
+    return churn.churn_label(_t(spark, sf_dir).subscriptions())
+
+
+@query("label_population_diff")
+def q_label_population_diff(spark, sf_dir):
+    return churn.label_population_diff(_t(spark, sf_dir).subscriptions())
+
+
+@query("coverage_guard")
+def q_coverage_guard(spark, sf_dir):
+    return churn.coverage_guard(_t(spark, sf_dir).subscriptions())
+
+
+@query("churn_ready")
+def q_churn_ready(spark, sf_dir):
+    return build_churn_ready(_t(spark, sf_dir))
+
+
+@query("reference_date")
+def q_reference_date(spark, sf_dir):
+    return churn.reference_date(build_report(_t(spark, sf_dir)))
+
+
+@query("serving_features")
+def q_serving_features(spark, sf_dir):
+    return churn.serving_features(build_report(_t(spark, sf_dir)))
+
+
+@query("temporal_split")
+def q_temporal_split(spark, sf_dir):
+    return churn.temporal_split(build_churn_ready(_t(spark, sf_dir))).withColumnRenamed("_pos", "position")
+
+
+@query("ml_ready")
+def q_ml_ready(spark, sf_dir):
+    return report.ml_ready(build_report(_t(spark, sf_dir)))
+
+
+@query("churn_rule_summary")
+def q_churn_rule_summary(spark, sf_dir):
+    return report.churn_rule_summary(build_report(_t(spark, sf_dir)))
+
+
+@query("churn_rule_list")
+def q_churn_rule_list(spark, sf_dir):
+    return report.churn_rule_list(build_report(_t(spark, sf_dir)))
+
+
+@query("churn_distribution")
+def q_churn_distribution(spark, sf_dir):
+    from pyspark.sql import functions as F
+    return build_churn_ready(_t(spark, sf_dir)).groupBy("churn_7_30j").agg(F.count(F.lit(1)).alias("n_clients"))

@@ -85,7 +85,10 @@ def with_views(body: str, *views: str) -> str:
         add(v)
     need.sort(key=_VIEW_ORDER.index)
     ctes = ",\n".join([ADAPTERS.strip()] + [VIEWS[v].strip() for v in need])
-    return f"WITH {ctes}\n{body.strip()}"
+    body = body.strip()
+    if body.upper().startswith("WITH "):  # the body brings its own CTEs: chain them
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
 
 
 SQL: dict[str, str] = {}
@@ -123,3 +126,107 @@ register(
        FROM report WHERE plan IS NOT NULL GROUP BY plan""",
     "report",
 )
+
+# --------------------------------------------------------------- churn
+VIEWS["churn"] = """
+churn AS (
+  SELECT f.client_id, f.paid_count_before_T, f.paid_sum_before_T, f.last_paid_before_T,
+         f.days_since_last_paid,
+         CASE WHEN f.client_id IN (SELECT client_id FROM subscriptions WHERE statut = 'paid'
+              AND date_paiement BETWEEN DATE '2001-01-08' AND DATE '2001-01-31') THEN 0 ELSE 1 END AS churn_7_30j,
+         r.plan, r.ville
+  FROM (SELECT client_id, CAST(COUNT(date_paiement) AS BIGINT) AS paid_count_before_T,
+               CAST(COALESCE(SUM(montant), 0) AS DOUBLE) AS paid_sum_before_T,
+               MAX(date_paiement) AS last_paid_before_T,
+               CAST(DATE '2001-01-01' - MAX(date_paiement) AS INT) AS days_since_last_paid
+        FROM subscriptions WHERE date_paiement < DATE '2001-01-01' GROUP BY client_id) f
+  LEFT JOIN report r USING (client_id)
+  WHERE r.plan IS NOT NULL AND r.ville IS NOT NULL)"""
+_VIEW_ORDER.append("churn")
+_VIEW_DEPS["churn"] = ["report"]
+
+register(
+    "pre_t_features",
+    """SELECT client_id, CAST(COUNT(date_paiement) AS BIGINT) AS paid_count_before_T,
+       CAST(COALESCE(SUM(montant), 0) AS DOUBLE) AS paid_sum_before_T, MAX(date_paiement) AS last_paid_before_T,
+       CAST(DATE '2001-01-01' - MAX(date_paiement) AS INT) AS days_since_last_paid
+       FROM subscriptions WHERE date_paiement < DATE '2001-01-01' GROUP BY client_id""",
+)
+register(
+    "churn_label",
+    """SELECT p.client_id, CASE WHEN EXISTS (SELECT 1 FROM subscriptions s WHERE s.client_id = p.client_id
+         AND s.statut = 'paid' AND s.date_paiement BETWEEN DATE '2001-01-08' AND DATE '2001-01-31') THEN 0 ELSE 1 END
+         AS churn_7_30j
+       FROM (SELECT DISTINCT client_id FROM subscriptions WHERE date_paiement < DATE '2001-01-01') p""",
+)
+register(
+    "label_population_diff",
+    """SELECT client_id FROM subscriptions WHERE date_paiement < DATE '2001-01-01'
+       EXCEPT SELECT client_id FROM subscriptions WHERE statut = 'paid'
+         AND date_paiement BETWEEN DATE '2001-01-08' AND DATE '2001-01-31'""",
+)
+register(
+    "coverage_guard",
+    """SELECT MAX(date_paiement) AS max_payment, DATE '2001-01-31' AS required,
+       COALESCE(MAX(date_paiement) >= DATE '2001-01-31', false) AS ok FROM subscriptions""",
+)
+register("churn_ready", "SELECT * FROM churn", "churn")
+register(
+    "reference_date",
+    "SELECT COALESCE(MAX(last_activity_date), MAX(last_payment_date)) AS reference_date FROM report",
+    "report",
+)
+register(
+    "serving_features",
+    """SELECT client_id, nb_paiements AS paid_count_before_T, ca_total AS paid_sum_before_T,
+       COALESCE(GREATEST(CAST((SELECT COALESCE(MAX(last_activity_date), MAX(last_payment_date)) FROM report)
+                 - last_payment_date AS INT), 0), 999) AS days_since_last_paid, plan, ville FROM report""",
+    "report",
+)
+register(
+    "temporal_split",
+    """WITH o AS (
+         SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY days_since_last_paid, client_id) - 1 AS BIGINT) AS position,
+                COUNT(*) OVER () AS n FROM churn),
+       s AS (SELECT *, position >= n - GREATEST(1, CAST(round_even(n * 0.3, 0) AS BIGINT)) AS is_test FROM o),
+       g AS (SELECT bool_or(NOT is_test AND churn_7_30j = 0) tr0, bool_or(NOT is_test AND churn_7_30j = 1) tr1,
+                    bool_or(churn_7_30j = 0) a0, bool_or(churn_7_30j = 1) a1,
+                    MIN(CASE WHEN is_test AND churn_7_30j = 1 THEN position END) AS first1 FROM s)
+       SELECT s.client_id, s.paid_count_before_T, s.paid_sum_before_T, s.last_paid_before_T, s.days_since_last_paid,
+              s.churn_7_30j, s.plan, s.ville, s.position,
+              CASE WHEN s.is_test AND NOT (g.a0 AND g.a1 AND NOT (g.tr0 AND g.tr1) AND s.position = g.first1)
+                   THEN 'test' ELSE 'train' END AS split
+       FROM s CROSS JOIN g""",
+    "churn",
+)
+register(
+    "ml_ready",
+    """SELECT client_id, nb_paiements, actions_total, sessions_total, plan, ville,
+       CAST((SELECT MAX(last_activity_date) FROM report) - last_activity_date AS INT) AS anciennete_jours, ca_total
+       FROM report WHERE plan IS NOT NULL AND ville IS NOT NULL AND last_activity_date IS NOT NULL""",
+    "report",
+)
+register(
+    "churn_rule_summary",
+    """SELECT MAX(last_activity_date) AS date_ref,
+       CAST(COUNT(*) FILTER (WHERE nb_paiements = 0
+            AND (SELECT MAX(last_activity_date) FROM report) - last_activity_date > 30) AS BIGINT) AS nb_churn,
+       CAST(COUNT(*) AS BIGINT) AS nb_clients,
+       ROUND(COALESCE(CAST(COUNT(*) FILTER (WHERE nb_paiements = 0
+            AND (SELECT MAX(last_activity_date) FROM report) - last_activity_date > 30) AS DOUBLE) / NULLIF(COUNT(*), 0), 0), 6)
+         AS taux_churn FROM report""",
+    "report",
+)
+register(
+    "churn_rule_list",
+    """SELECT client_id, plan, ville, nb_paiements,
+       CAST((SELECT MAX(last_activity_date) FROM report) - last_activity_date AS INT) AS anciennete_jours,
+       last_activity_date FROM report
+       WHERE nb_paiements = 0 AND (SELECT MAX(last_activity_date) FROM report) - last_activity_date > 30""",
+    "report",
+)
+register(
+    "churn_distribution",
+    "SELECT churn_7_30j, CAST(COUNT(*) AS BIGINT) AS n_clients FROM churn GROUP BY churn_7_30j",
+    "churn",
+)
