@@ -137,3 +137,43 @@ def q_churn_rule_list(spark, sf_dir):
 def q_churn_distribution(spark, sf_dir):
     from pyspark.sql import functions as F
     return build_churn_ready(_t(spark, sf_dir)).groupBy("churn_7_30j").agg(F.count(F.lit(1)).alias("n_clients"))
+
+
+# ------------------------------------------------------------------ views
+from clientlens.operators import views  # noqa: E402
+
+
+def _cr(spark, sf_dir):
+    return build_churn_ready(_t(spark, sf_dir))
+
+
+for _name, _fn in {
+    "watchlist": views.watchlist,
+    "at_risk_inactive": views.at_risk_inactive,
+    "at_risk_low_history": views.at_risk_low_history,
+    "at_risk_union": views.at_risk_union,
+    "health_overview": views.health_overview,
+    "plan_distribution": views.plan_distribution,
+    "segment_facts": views.segment_facts,
+    "plan_medians": views.plan_medians,
+    "percentile_in_plan": views.percentile_in_plan,
+    "client_comparison": views.client_comparison,
+    "client_signals": views.client_signals,
+    "client_fact_sheet": views.client_fact_sheet,
+    "guided_reading": views.guided_reading,
+}.items():
+    QUERIES[_name] = (lambda f: (lambda spark, sf_dir: f(_cr(spark, sf_dir))))(_fn)
+
+
+@query("ca_quantile")
+def q_ca_quantile(spark, sf_dir):
+    return views.ca_quantile(build_report(_t(spark, sf_dir)))
+
+
+@query("dedup_first")
+def q_dedup_first(spark, sf_dir):
+    """First payment per client (earliest date, payment id breaks ties)."""
+    s = _t(spark, sf_dir).subscriptions()
+    return views.dedup_first(
+        s.withColumn("montant", s["montant"].cast("double")), "client_id", ["date_paiement", "payment_id"]
+    )

@@ -230,3 +230,109 @@ register(
     "SELECT churn_7_30j, CAST(COUNT(*) AS BIGINT) AS n_clients FROM churn GROUP BY churn_7_30j",
     "churn",
 )
+
+# --------------------------------------------------------------- views
+register(
+    "watchlist",
+    """SELECT client_id, plan, ville, days_since_last_paid, paid_count_before_T,
+       ROUND(paid_sum_before_T, 2) AS paid_sum_before_T, last_paid_before_T FROM churn
+       ORDER BY days_since_last_paid DESC NULLS LAST, paid_count_before_T ASC NULLS LAST,
+                paid_sum_before_T ASC NULLS LAST, client_id LIMIT 30""",
+    "churn",
+)
+VIEWS["inactive"] = """
+inactive AS (SELECT client_id, plan, ville, days_since_last_paid, last_paid_before_T FROM churn
+  WHERE days_since_last_paid IS NOT NULL ORDER BY days_since_last_paid DESC, client_id LIMIT 20)"""
+VIEWS["lowhist"] = """
+lowhist AS (SELECT client_id, plan, ville, paid_count_before_T, paid_sum_before_T FROM churn
+  WHERE paid_count_before_T IS NOT NULL AND paid_sum_before_T IS NOT NULL
+  ORDER BY paid_count_before_T, paid_sum_before_T, client_id LIMIT 20)"""
+_VIEW_ORDER += ["inactive", "lowhist"]
+_VIEW_DEPS["inactive"] = ["churn"]
+_VIEW_DEPS["lowhist"] = ["churn"]
+register("at_risk_inactive", "SELECT * FROM inactive", "inactive")
+register("at_risk_low_history", "SELECT * FROM lowhist", "lowhist")
+register("at_risk_union", "SELECT client_id FROM inactive UNION SELECT client_id FROM lowhist", "inactive", "lowhist")
+register(
+    "health_overview",
+    """SELECT CAST(COUNT(*) AS BIGINT) AS n_clients, ROUND(AVG(days_since_last_paid), 6) AS avg_days,
+       ROUND(AVG(paid_count_before_T), 6) AS avg_paid_count, ROUND(AVG(paid_sum_before_T), 6) AS avg_paid_sum,
+       ROUND(quantile_cont(days_since_last_paid, 0.5), 6) AS med_days FROM churn""",
+    "churn",
+)
+register(
+    "plan_distribution",
+    "SELECT plan, CAST(COUNT(*) AS BIGINT) AS clients FROM churn WHERE plan IS NOT NULL GROUP BY plan",
+    "churn",
+)
+register(
+    "segment_facts",
+    """SELECT plan, CAST(COUNT(*) AS BIGINT) AS n_clients, CAST(COUNT(DISTINCT ville) AS BIGINT) AS n_villes
+       FROM churn WHERE plan IS NOT NULL GROUP BY plan""",
+    "churn",
+)
+VIEWS["meds"] = """
+meds AS (
+  SELECT plan AS scope, quantile_cont(days_since_last_paid, 0.5) AS md, quantile_cont(paid_count_before_T, 0.5) AS mc,
+         quantile_cont(paid_sum_before_T, 0.5) AS ms FROM churn WHERE plan IS NOT NULL GROUP BY plan
+  UNION ALL
+  SELECT '(global)', quantile_cont(days_since_last_paid, 0.5), quantile_cont(paid_count_before_T, 0.5),
+         quantile_cont(paid_sum_before_T, 0.5) FROM churn)"""
+VIEWS["pct"] = """
+pct AS (
+  SELECT client_id, plan, indicator, value,
+         round_even(100.0 * CUME_DIST() OVER (PARTITION BY plan, indicator ORDER BY value), 1) AS percentile_in_plan
+  FROM (SELECT client_id, plan, 'days_since_last_paid' AS indicator, CAST(days_since_last_paid AS DOUBLE) AS value FROM churn
+        UNION ALL SELECT client_id, plan, 'paid_count_before_T', CAST(paid_count_before_T AS DOUBLE) FROM churn
+        UNION ALL SELECT client_id, plan, 'paid_sum_before_T', paid_sum_before_T FROM churn) l
+  WHERE plan IS NOT NULL)"""
+_VIEW_ORDER += ["meds", "pct"]
+_VIEW_DEPS["meds"] = ["churn"]
+_VIEW_DEPS["pct"] = ["churn"]
+register(
+    "plan_medians",
+    """SELECT scope, ROUND(md, 6) AS median_days_since_last_paid, ROUND(mc, 6) AS median_paid_count_before_T,
+       ROUND(ms, 6) AS median_paid_sum_before_T FROM meds""",
+    "meds",
+)
+register("percentile_in_plan", "SELECT * FROM pct", "pct")
+register(
+    "client_comparison",
+    """SELECT p.client_id, p.plan, p.indicator, round_even(p.value, 2) AS client_value,
+       round_even(CASE p.indicator WHEN 'days_since_last_paid' THEN ROUND(m.md, 6)
+            WHEN 'paid_count_before_T' THEN ROUND(m.mc, 6) ELSE ROUND(m.ms, 6) END, 2) AS plan_median,
+       round_even(CASE p.indicator WHEN 'days_since_last_paid' THEN ROUND(g.md, 6)
+            WHEN 'paid_count_before_T' THEN ROUND(g.mc, 6) ELSE ROUND(g.ms, 6) END, 2) AS global_median,
+       p.percentile_in_plan
+       FROM pct p LEFT JOIN meds m ON m.scope = p.plan LEFT JOIN meds g ON g.scope = '(global)'""",
+    "meds", "pct",
+)
+register(
+    "client_signals",
+    """SELECT c.client_id, c.plan, c.ville,
+       COALESCE(c.days_since_last_paid > ROUND(m.md, 6), false) AS inactivity_high,
+       COALESCE(c.paid_count_before_T < ROUND(m.mc, 6), false) OR COALESCE(c.paid_sum_before_T < ROUND(m.ms, 6), false)
+         AS history_low
+       FROM churn c LEFT JOIN meds m ON m.scope = c.plan""",
+    "meds",
+)
+register(
+    "client_fact_sheet",
+    """SELECT client_id, plan, ville, CAST(days_since_last_paid AS BIGINT) AS days_since_last_paid,
+       CAST(paid_count_before_T AS BIGINT) AS paid_count_before_T, ROUND(paid_sum_before_T, 2) AS paid_sum_before_T,
+       strftime(last_paid_before_T, '%Y-%m-%d') AS last_paid_before_T FROM churn""",
+    "churn",
+)
+register(
+    "ca_quantile",
+    """SELECT CASE WHEN q IS NULL OR q <= 0 THEN 300.0 ELSE ROUND(q, 6) END AS ca_threshold
+       FROM (SELECT quantile_cont(ca_total, 0.8) AS q FROM report)""",
+    "report",
+)
+register(
+    "dedup_first",
+    """SELECT client_id, montant, date_paiement, statut, payment_id FROM (
+         SELECT client_id, CAST(montant AS DOUBLE) AS montant, date_paiement, statut, payment_id,
+                ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY date_paiement, payment_id) AS rn
+         FROM subscriptions) WHERE rn = 1""",
+)
