@@ -177,3 +177,77 @@ def q_dedup_first(spark, sf_dir):
     return views.dedup_first(
         s.withColumn("montant", s["montant"].cast("double")), "client_id", ["date_paiement", "payment_id"]
     )
+
+
+# ------------------------------------------------- revenue, policy, decisions
+from pyspark.sql import functions as F  # noqa: E402
+
+from clientlens.operators import policy as pol  # noqa: E402
+from clientlens.operators import revenue  # noqa: E402
+
+
+def fixed_scores(report_df: DataFrame) -> DataFrame:
+    """Deterministic stand-in for model output (one score per report client) so the
+    decision logic gets an exact oracle; the model-driven run is ``agent_batch``."""
+    cid = F.col("client_id")
+    p = F.when(cid % 17 == 0, F.lit(None).cast("double")).otherwise(((cid * 37) % 100).cast("double") / 100)
+    return report_df.select("client_id", p.alias("churn_probability")).withColumn(
+        "churn", F.col("churn_probability") > 0.5
+    )
+
+
+def build_rule_features(t: Tables, scores: DataFrame | None = None) -> DataFrame:
+    rep = build_report(t)
+    ev = t.revenue_events()
+    ref = ev.agg(F.max("event_date").alias("ref_date"))
+    thr = views.ca_quantile(rep)
+    sc = fixed_scores(rep) if scores is None else scores
+    return pol.rule_features(rep, sc, revenue.revenue_summary(ev), thr, ref, pol.load_policy())
+
+
+def build_decisions(t: Tables, scores: DataFrame | None = None) -> DataFrame:
+    feats = build_rule_features(t, scores)
+    return pol.decide_action(pol.apply_policy(feats, pol.load_policy()))
+
+
+@query("revenue_summary")
+def q_revenue_summary(spark, sf_dir):
+    s = revenue.revenue_summary(_t(spark, sf_dir).revenue_events())
+    return s.select("client_id", "total_amount", "events_count", revenue.types_text().alias("types"),
+                    "most_recent_date")
+
+
+@query("revenue_type_counts")
+def q_revenue_type_counts(spark, sf_dir):
+    return revenue.revenue_type_counts(_t(spark, sf_dir).revenue_events())
+
+
+@query("risk_bucket")
+def q_risk_bucket(spark, sf_dir):
+    s = fixed_scores(build_report(_t(spark, sf_dir)))
+    return s.select("client_id", "churn_probability", "churn",
+                    pol.risk_bucket(F.col("churn_probability"), F.col("churn"), pol.load_policy()).alias("churn_risk"))
+
+
+@query("rule_features")
+def q_rule_features(spark, sf_dir):
+    return build_rule_features(_t(spark, sf_dir)).select(
+        "client_id", "churn_risk", "usage_level", "ca_total_high", "recent_one_shot")
+
+
+@query("apply_policy")
+def q_apply_policy(spark, sf_dir):
+    f = pol.apply_policy(build_rule_features(_t(spark, sf_dir)), pol.load_policy())
+    return f.select("client_id", F.col("rule.name").alias("rule_name"), F.col("rule.priority").alias("rule_priority"))
+
+
+@query("decide_action")
+def q_decide_action(spark, sf_dir):
+    d = build_decisions(_t(spark, sf_dir))
+    return d.select("client_id", "action", "priority", F.array_join("rationale", " | ").alias("rationale"),
+                    "confidence", F.array_join("missing_data", " | ").alias("missing_data"))
+
+
+@query("action_mix")
+def q_action_mix(spark, sf_dir):
+    return pol.action_mix(build_decisions(_t(spark, sf_dir)))

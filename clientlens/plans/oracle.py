@@ -336,3 +336,77 @@ register(
                 ROW_NUMBER() OVER (PARTITION BY client_id ORDER BY date_paiement, payment_id) AS rn
          FROM subscriptions) WHERE rn = 1""",
 )
+
+# ------------------------------------------- revenue, policy, decisions
+register(
+    "revenue_summary",
+    """SELECT client_id, CAST(SUM(COALESCE(amount, 0)) AS DOUBLE) AS total_amount, CAST(COUNT(*) AS BIGINT) AS events_count,
+       (SELECT string_agg(event_type || ':' || n, ',' ORDER BY event_type) FROM
+          (SELECT event_type, COUNT(*) AS n FROM revenue_events r2 WHERE r2.client_id = r.client_id GROUP BY event_type)) AS types,
+       MAX(event_date) AS most_recent_date
+       FROM revenue_events r GROUP BY client_id""",
+)
+register(
+    "revenue_type_counts",
+    "SELECT client_id, event_type, CAST(COUNT(*) AS BIGINT) AS n_events FROM revenue_events GROUP BY client_id, event_type",
+)
+VIEWS["feats"] = """
+sc AS (SELECT client_id, CASE WHEN client_id % 17 = 0 THEN NULL
+                         ELSE CAST((client_id * 37) % 100 AS DOUBLE) / 100 END AS p FROM report),
+feats AS (
+  SELECT r.client_id, r.plan,
+    CASE WHEN sc.p > 0.5 THEN 'high' WHEN sc.p IS NULL THEN 'medium' WHEN sc.p < 0.2 THEN 'low'
+         WHEN sc.p < 0.5 THEN 'medium' ELSE 'high' END AS churn_risk,
+    CASE WHEN r.sessions_total >= 30 THEN 'high' WHEN r.sessions_total <= 8 THEN 'low' ELSE 'medium' END AS usage_level,
+    r.ca_total >= (SELECT CASE WHEN q IS NULL OR q <= 0 THEN 300.0 ELSE ROUND(q, 6) END
+                   FROM (SELECT quantile_cont(ca_total, 0.8) AS q FROM report)) AS ca_total_high,
+    COALESCE((SELECT MAX(event_date) FROM revenue_events) - rv.mr BETWEEN 0 AND 30, false) AS recent_one_shot
+  FROM report r LEFT JOIN sc USING (client_id)
+  LEFT JOIN (SELECT client_id, MAX(event_date) AS mr FROM revenue_events GROUP BY client_id) rv USING (client_id)),
+ruled AS (
+  SELECT *, CASE
+      WHEN churn_risk = 'high' AND ca_total_high THEN 1
+      WHEN recent_one_shot AND churn_risk IN ('medium', 'high') THEN 2
+      WHEN usage_level = 'high' AND churn_risk = 'low' THEN 3
+      WHEN usage_level = 'low' AND churn_risk = 'medium' THEN 4 END AS rule_priority
+  FROM feats),
+decided AS (
+  SELECT client_id, plan, rule_priority,
+    CASE rule_priority WHEN 1 THEN 'appel_urgent_48h' WHEN 2 THEN 'appel_reassurance_et_plan'
+         WHEN 3 THEN 'proposer_upsell' WHEN 4 THEN 'onboarding_cible' ELSE 'no_action' END AS action,
+    COALESCE(CAST(rule_priority AS VARCHAR), 'low') AS priority,
+    CASE rule_priority WHEN 1 THEN 'Risque de perte + impact financier important'
+         WHEN 2 THEN 'Achat récent ≠ fidélité ; sécuriser la relation'
+         WHEN 3 THEN 'Client engagé => opportunité d’augmenter le panier'
+         WHEN 4 THEN 'Réactiver avant que l’inertie devienne churn'
+         ELSE 'Aucune règle métier déclenchée' END AS rationale,
+    CASE WHEN rule_priority IS NULL THEN 'low' ELSE 'medium' END AS confidence,
+    CASE WHEN rule_priority IS NULL THEN 'signal client insuffisant' ELSE '' END AS missing_data
+  FROM ruled)"""
+_VIEW_ORDER.append("feats")
+_VIEW_DEPS["feats"] = ["report"]
+register(
+    "risk_bucket",
+    """SELECT client_id, p AS churn_probability, p > 0.5 AS churn,
+       CASE WHEN p > 0.5 THEN 'high' WHEN p IS NULL THEN 'medium' WHEN p < 0.2 THEN 'low'
+            WHEN p < 0.5 THEN 'medium' ELSE 'high' END AS churn_risk FROM sc""",
+    "feats",
+)
+register("rule_features", "SELECT client_id, churn_risk, usage_level, ca_total_high, recent_one_shot FROM feats", "feats")
+register(
+    "apply_policy",
+    """SELECT client_id, CASE rule_priority WHEN 1 THEN 'Churn élevé + client à fort CA'
+         WHEN 2 THEN 'One-shot récent + churn moyen/élevé' WHEN 3 THEN 'Usage fort + churn faible => upsell'
+         WHEN 4 THEN 'Usage faible + churn moyen' END AS rule_name, CAST(rule_priority AS INTEGER) AS rule_priority FROM ruled""",
+    "feats",
+)
+register(
+    "decide_action",
+    "SELECT client_id, action, priority, rationale, confidence, missing_data FROM decided",
+    "feats",
+)
+register(
+    "action_mix",
+    "SELECT action, plan, CAST(COUNT(*) AS BIGINT) AS n_clients FROM decided GROUP BY action, plan",
+    "feats",
+)
