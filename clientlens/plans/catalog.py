@@ -251,3 +251,61 @@ def q_decide_action(spark, sf_dir):
 @query("action_mix")
 def q_action_mix(spark, sf_dir):
     return pol.action_mix(build_decisions(_t(spark, sf_dir)))
+
+
+# ------------------------------------------------------------- retrieval
+from clientlens.operators import retrieval as rt  # noqa: E402
+
+
+def build_para_chunks(t: Tables) -> DataFrame:
+    return rt.chunk_paragraphs(t.documents.select("doc_id", "text"), "doc_id")
+
+
+@query("chunk_fixed")
+def q_chunk_fixed(spark, sf_dir):
+    return rt.chunk_fixed(_t(spark, sf_dir).documents.select("doc_id", "text"), "doc_id")
+
+
+@query("chunk_paragraphs")
+def q_chunk_paragraphs(spark, sf_dir):
+    return build_para_chunks(_t(spark, sf_dir))
+
+
+@query("tokenize_docs")
+def q_tokenize_docs(spark, sf_dir):
+    return rt.token_frequencies(_t(spark, sf_dir).documents.select("doc_id", "text"), ["doc_id"])
+
+
+def build_keyword_hits(t: Tables, k: int = 5) -> DataFrame:
+    return rt.keyword_retrieve(t.benchmark.select("item_id", "text"), "item_id",
+                               build_para_chunks(t).withColumnRenamed("source", "doc_id"), ["doc_id", "chunk"], k=k)
+
+
+@query("keyword_retrieve")
+def q_keyword_retrieve(spark, sf_dir):
+    return build_keyword_hits(_t(spark, sf_dir))
+
+
+@query("vector_topk")
+def q_vector_topk(spark, sf_dir):
+    emb = _t(spark, sf_dir).embeddings
+    qs = rt.label_centroids(emb).withColumnRenamed("label", "query_label")
+    top = rt.vector_topk(qs, "query_label", emb, "vec_id", k=4)
+    return top.select("query_label", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
+@query("signal_queries")
+def q_signal_queries(spark, sf_dir):
+    sig = views.client_signals(_cr(spark, sf_dir))
+    return sig.select("client_id", rt.signal_query_text(F.lit("client"), F.col("plan"), F.col("ville"),
+                                                        F.col("inactivity_high"), F.col("history_low")).alias("query"))
+
+
+@query("rag_context_block")
+def q_rag_context_block(spark, sf_dir):
+    """Context block over the top-4 keyword hits of every benchmark question."""
+    t = _t(spark, sf_dir)
+    hits = build_keyword_hits(t, 4).join(build_para_chunks(t).withColumnRenamed("source", "doc_id"), ["doc_id", "chunk"])
+    hits = hits.select("item_id", "rank", F.col("doc_id").cast("string").alias("source"), "chunk",
+                       F.lit(None).cast("double").alias("distance"), "text")
+    return rt.context_block(hits, "item_id")

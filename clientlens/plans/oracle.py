@@ -86,9 +86,10 @@ def with_views(body: str, *views: str) -> str:
     need.sort(key=_VIEW_ORDER.index)
     ctes = ",\n".join([ADAPTERS.strip()] + [VIEWS[v].strip() for v in need])
     body = body.strip()
+    kw = "WITH RECURSIVE" if any(v in globals().get("RECURSIVE_VIEWS", ()) for v in need) else "WITH"
     if body.upper().startswith("WITH "):  # the body brings its own CTEs: chain them
-        return f"WITH {ctes},\n{body[5:]}"
-    return f"WITH {ctes}\n{body}"
+        return f"{kw} {ctes},\n{body[5:]}"
+    return f"{kw} {ctes}\n{body}"
 
 
 SQL: dict[str, str] = {}
@@ -410,3 +411,107 @@ register(
     "SELECT action, plan, CAST(COUNT(*) AS BIGINT) AS n_clients FROM decided GROUP BY action, plan",
     "feats",
 )
+
+# ------------------------------------------------------------ retrieval
+# Python/Java Unicode whitespace spelled out for RE2
+WS = r"[\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+TOKCLASS = r"[^a-z0-9àâçéèêëîïôûùüÿñæœ_\-\t\n\x{0b}\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def _tokens(x: str) -> str:
+    # raw split; callers unnest and keep tokens of length >= 3
+    return f"regexp_split_to_array(regexp_replace(lower({x}), '{TOKCLASS}', ' ', 'g'), '{WS}+')"
+
+
+VIEWS["paras"] = f"""
+parts AS (
+  SELECT doc_id, i, {_strip('p0')} AS p
+  FROM (SELECT doc_id, unnest(ps) AS p0, generate_subscripts(ps, 1) AS i
+        FROM (SELECT doc_id, regexp_split_to_array(COALESCE(text, ''), '\\n{WS}*\\n') AS ps FROM documents))),
+paras AS (SELECT doc_id, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY i) AS idx, p FROM parts WHERE length(p) > 0),
+pack AS (
+  SELECT doc_id, idx, 0 AS chunk_no, p AS buf FROM paras WHERE idx = 1
+  UNION ALL
+  SELECT k.doc_id, q.idx,
+    CASE WHEN length(k.buf) + length(q.p) + 2 <= 900 THEN k.chunk_no ELSE k.chunk_no + 1 END,
+    CASE WHEN length(k.buf) + length(q.p) + 2 <= 900 THEN k.buf || chr(10) || chr(10) || q.p ELSE q.p END
+  FROM pack k JOIN paras q ON q.doc_id = k.doc_id AND q.idx = k.idx + 1),
+pchunks AS (SELECT doc_id, CAST(chunk_no AS INTEGER) AS chunk, arg_max(buf, idx) AS text FROM pack GROUP BY doc_id, chunk_no)"""
+_VIEW_ORDER.append("paras")
+RECURSIVE_VIEWS = {"paras"}
+
+register(
+    "chunk_fixed",
+    f"""SELECT CAST(doc_id AS VARCHAR) || '::chunk_' || CAST(k AS VARCHAR) AS id, doc_id AS source,
+       CAST(k AS INTEGER) AS chunk, substring(t, CAST(s AS BIGINT) + 1, 900) AS text
+       FROM (SELECT doc_id, t, unnest(generate_series(0, length(t) - 1, 750)) AS s,
+                    generate_subscripts(generate_series(0, length(t) - 1, 750), 1) - 1 AS k
+             FROM (SELECT doc_id, {_strip("COALESCE(text, '')")} AS t FROM documents) WHERE length(t) > 0)""",
+)
+register("chunk_paragraphs", "SELECT doc_id AS source, chunk, text FROM pchunks", "paras")
+register(
+    "tokenize_docs",
+    f"""SELECT doc_id, token, CAST(COUNT(*) AS BIGINT) AS tf
+       FROM (SELECT doc_id, unnest({_tokens('text')}) AS token FROM documents) WHERE length(token) >= 3
+       GROUP BY doc_id, token""",
+)
+VIEWS["kw"] = f"""
+qtok AS (SELECT DISTINCT item_id, token FROM (SELECT item_id, unnest({_tokens('text')}) AS token FROM benchmark)
+         WHERE length(token) >= 3),
+ctok AS (SELECT doc_id, chunk, token, COUNT(*) AS tf
+         FROM (SELECT doc_id, chunk, unnest({_tokens('text')}) AS token FROM pchunks) WHERE length(token) >= 3
+         GROUP BY doc_id, chunk, token),
+kwall AS (
+  SELECT q.item_id, c.doc_id, c.chunk, COUNT(*) AS n, SUM(LEAST(c.tf, 3)) AS b,
+         ROW_NUMBER() OVER (PARTITION BY q.item_id ORDER BY COUNT(*) * 20 + SUM(LEAST(c.tf, 3)) DESC, c.doc_id, c.chunk) AS rank
+  FROM qtok q JOIN ctok c USING (token) GROUP BY q.item_id, c.doc_id, c.chunk)"""
+_VIEW_ORDER.append("kw")
+_VIEW_DEPS["kw"] = ["paras"]
+register(
+    "keyword_retrieve",
+    """SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk, ROUND(n + b * 0.05, 6) AS score
+       FROM kwall WHERE rank <= 5""",
+    "kw",
+)
+register(
+    "vector_topk",
+    """WITH e AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i
+                FROM embeddings),
+       c AS (SELECT label, i, AVG(v) AS m FROM e GROUP BY label, i),
+       nrm AS (SELECT label, SQRT(SUM(m * m)) AS nr FROM c GROUP BY label),
+       q AS (SELECT c.label, c.i, c.m / nrm.nr AS qv FROM c JOIN nrm USING (label)),
+       d AS (SELECT q.label AS query_label, e.vec_id, SUM((e.v - q.qv) * (e.v - q.qv)) AS distance
+             FROM e JOIN q ON e.i = q.i GROUP BY q.label, e.vec_id),
+       r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_label ORDER BY distance, vec_id) AS rank FROM d)
+       SELECT query_label, CAST(rank AS INTEGER) AS rank, vec_id, ROUND(distance, 6) AS distance FROM r WHERE rank <= 4""",
+)
+register(
+    "signal_queries",
+    """SELECT c.client_id, concat_ws(' ', 'contexte', 'métriques', 'rétention', 'pmE saas', 'client',
+         NULLIF(c.plan, ''), NULLIF(c.ville, ''),
+         CASE WHEN COALESCE(c.days_since_last_paid > ROUND(m.md, 6), false)
+              THEN 'inactivité dernier paiement retard days_since_last_paid' END,
+         CASE WHEN COALESCE(c.paid_count_before_T < ROUND(m.mc, 6), false) OR COALESCE(c.paid_sum_before_T < ROUND(m.ms, 6), false)
+              THEN 'historique paiement faible paid_count_before_T paid_sum_before_T' END,
+         CASE WHEN c.plan = 'free' THEN 'acquisition conversion free' ELSE 'rétention payant basic pro' END) AS query
+       FROM churn c LEFT JOIN meds m ON m.scope = c.plan""",
+    "meds",
+)
+register(
+    "rag_context_block",
+    f"""WITH h AS (
+         SELECT k.item_id, k.rank, CAST(k.doc_id AS VARCHAR) AS source, k.chunk,
+                {_strip(_strip("regexp_replace(p.text, '" + WS + "+', ' ', 'g')"))} AS t
+         FROM kwall k JOIN pchunks p USING (doc_id, chunk) WHERE k.rank <= 4),
+       ne AS (SELECT *, LEAST(900, COALESCE(SUM(length(t)) OVER (PARTITION BY item_id ORDER BY rank
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS used FROM h WHERE length(t) > 0)
+       SELECT item_id, 'Contexte interne (extraits du corpus):' || chr(10) ||
+              string_agg('- (' || rank || ') ' || source || ' | chunk=' || chunk || ': ' || substring(t, 1, CAST(900 - used AS BIGINT)),
+                         chr(10) ORDER BY rank) AS context
+       FROM ne WHERE 900 - used > 0 GROUP BY item_id""",
+    "kw",
+)
