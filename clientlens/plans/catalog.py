@@ -309,3 +309,156 @@ def q_rag_context_block(spark, sf_dir):
     hits = hits.select("item_id", "rank", F.col("doc_id").cast("string").alias("source"), "chunk",
                        F.lit(None).cast("double").alias("distance"), "text")
     return rt.context_block(hits, "item_id")
+
+
+# --------------------------------------------------------------- cleaning
+@query("clean_clients")
+def q_clean_clients(spark, sf_dir):
+    return clean.clean_clients(_t(spark, sf_dir).raw_clients())
+
+
+@query("clean_subscriptions")
+def q_clean_subscriptions(spark, sf_dir):
+    c = clean.clean_subscriptions(_t(spark, sf_dir).raw_subscriptions())
+    return c.withColumn("montant", F.col("montant").cast("double"))
+
+
+@query("clean_usage")
+def q_clean_usage(spark, sf_dir):
+    return clean.clean_usage(_t(spark, sf_dir).raw_usage())
+
+
+@query("clean_clients_dedup")
+def q_clean_clients_dedup(spark, sf_dir):
+    return clean.clean_clients_dedup(_t(spark, sf_dir).raw_clients())
+
+
+@query("clean_rejects")
+def q_clean_rejects(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return clean.clean_rejects(t.raw_clients(), t.raw_subscriptions(), t.raw_usage())
+
+
+# ------------------------------------------------------------------ models
+from clientlens.operators import models as ml  # noqa: E402
+from clientlens.session import work_dir  # noqa: E402
+
+_MODEL_CACHE: dict = {}
+
+
+def _trained(spark, sf_dir, kind):
+    """Train once per (session, tables, kind); persist the model to the work folder."""
+    key = (id(spark), sf_dir, kind)
+    if key not in _MODEL_CACHE:
+        t = _t(spark, sf_dir)
+        if kind == "churn":
+            res = ml.train_churn(build_churn_ready(t))
+            ml.save_model(res[0], work_dir(spark), "churn_model_v1")
+        else:
+            res = ml.train_revenue(report.ml_ready(build_report(t)), kind)
+            ml.save_model(res[0], work_dir(spark), f"revenue_{kind}_v1", current=(kind == "rf"))
+        _MODEL_CACHE[key] = res
+    return _MODEL_CACHE[key]
+
+
+def fixed_revenue_predictions(t: Tables) -> DataFrame:
+    m = report.ml_ready(build_report(t))
+    return m.select("client_id", F.col("ca_total").alias("actual"),
+                    (F.col("ca_total") + ((F.col("client_id") * 13) % 101).cast("double") - 50).alias("prediction"))
+
+
+def fixed_churn_predictions(t: Tables) -> DataFrame:
+    cr = build_churn_ready(t)
+    sc = fixed_scores(cr).where(F.col("churn_probability").isNotNull())
+    return cr.select("client_id", F.col("churn_7_30j").alias("actual")).join(sc, "client_id").select(
+        "client_id", "actual", F.col("churn").cast("int").alias("prediction"))
+
+
+@query("regression_metrics")
+def q_regression_metrics(spark, sf_dir):
+    return ml.regression_metrics(fixed_revenue_predictions(_t(spark, sf_dir)))
+
+
+@query("residuals")
+def q_residuals(spark, sf_dir):
+    return ml.residuals(fixed_revenue_predictions(_t(spark, sf_dir)))
+
+
+@query("churn_metrics")
+def q_churn_metrics(spark, sf_dir):
+    return ml.churn_metrics(fixed_churn_predictions(_t(spark, sf_dir)))
+
+
+@query("classification_report")
+def q_classification_report(spark, sf_dir):
+    return ml.classification_report(fixed_churn_predictions(_t(spark, sf_dir)))
+
+
+@query("train_revenue_linear")
+def q_train_revenue_linear(spark, sf_dir):
+    return _trained(spark, sf_dir, "linear")[2]
+
+
+@query("train_revenue_rf")
+def q_train_revenue_rf(spark, sf_dir):
+    return _trained(spark, sf_dir, "rf")[2]
+
+
+@query("train_churn")
+def q_train_churn(spark, sf_dir):
+    """Churn metrics snapshot of the trained model on its temporal test split."""
+    model, test_pred, split = _trained(spark, sf_dir, "churn")
+    m = ml.churn_metrics(test_pred)
+    counts = split.agg(F.count(F.lit(1)).alias("n_rows"),
+                       F.sum((F.col("split") == "train").cast("long")).alias("n_train"),
+                       F.sum((F.col("split") == "test").cast("long")).alias("n_test"))
+    return counts.crossJoin(m).select(
+        "n_rows", "n_train", "n_test", F.lit(ml.CHURN_TARGET).alias("target"),
+        F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"), "precision", "recall")
+
+
+@query("score_revenue")
+def q_score_revenue(spark, sf_dir):
+    model = _trained(spark, sf_dir, "rf")[0]
+    return ml.score_revenue(model, report.ml_ready(build_report(_t(spark, sf_dir))))
+
+
+@query("score_churn")
+def q_score_churn(spark, sf_dir):
+    model = _trained(spark, sf_dir, "churn")[0]
+    return ml.score_churn(model, build_churn_ready(_t(spark, sf_dir)))
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    model = _trained(spark, sf_dir, "rf")[0]
+    return ml.feature_importance(model, report.ml_ready(build_report(_t(spark, sf_dir))))
+
+
+@query("churn_coefficients")
+def q_churn_coefficients(spark, sf_dir):
+    model = _trained(spark, sf_dir, "churn")[0]
+    return ml.churn_coefficients(model, build_churn_ready(_t(spark, sf_dir)))
+
+
+@query("feature_weights")
+def q_feature_weights(spark, sf_dir):
+    return ml.feature_weights(q_churn_coefficients(spark, sf_dir))
+
+
+def append_metrics(spark, sf_dir) -> str:
+    """Append this run's regression metrics rows to the history table."""
+    path = f"{work_dir(spark)}/tables/metrics_history"
+    rows = _trained(spark, sf_dir, "linear")[2].unionByName(_trained(spark, sf_dir, "rf")[2])
+    rows.write.mode("append").parquet(path)
+    return path
+
+
+@query("metrics_history")
+def q_metrics_history(spark, sf_dir):
+    return spark.read.parquet(append_metrics(spark, sf_dir))
+
+
+@query("latest_run")
+def q_latest_run(spark, sf_dir):
+    return ml.latest_run(spark.read.parquet(append_metrics(spark, sf_dir)))

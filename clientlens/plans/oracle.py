@@ -515,3 +515,85 @@ register(
        FROM ne WHERE 900 - used > 0 GROUP BY item_id""",
     "kw",
 )
+
+# -------------------------------------------------------------- cleaning
+register(
+    "clean_clients",
+    """SELECT CAST(c.c_custkey AS VARCHAR) AS client_id, n.n_name AS ville,
+       CASE WHEN c.c_mktsegment IN ('AUTOMOBILE','BUILDING') THEN 'pro'
+            WHEN c.c_mktsegment IN ('FURNITURE','HOUSEHOLD') THEN 'basic' ELSE 'free' END AS plan,
+       DATE '1994-01-01' + CAST(c.c_custkey % 365 AS INT) AS date_inscription
+       FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE c.c_custkey % 53 <> 0""",
+)
+register(
+    "clean_clients_dedup",
+    """SELECT CAST(client_id AS VARCHAR) AS client_id, ville, plan, date_inscription FROM clients""",
+)
+register(
+    "clean_subscriptions",
+    """SELECT CAST(client_id AS VARCHAR) AS client_id, CAST(montant AS DOUBLE) AS montant, date_paiement, statut
+       FROM subscriptions""",
+)
+register(
+    "clean_usage",
+    """SELECT CAST(client_id AS VARCHAR) AS client_id, actions, sessions, activity_date FROM usage_""",
+)
+register(
+    "clean_rejects",
+    """SELECT 'clients' AS source, CAST(c_custkey AS VARCHAR) AS client_id, 'ville_missing' AS reason
+       FROM customer WHERE c_custkey % 53 = 0""",
+)
+
+# ------------------------------------------------------- model metrics
+VIEWS["rpred"] = """
+rpred AS (
+  SELECT client_id, ca_total AS actual, ca_total + CAST((client_id * 13) % 101 AS DOUBLE) - 50 AS prediction
+  FROM report WHERE plan IS NOT NULL AND ville IS NOT NULL AND last_activity_date IS NOT NULL)"""
+VIEWS["cpred"] = """
+cpred AS (
+  SELECT client_id, churn_7_30j AS actual, CAST(CAST((client_id * 37) % 100 AS DOUBLE) / 100 > 0.5 AS INT) AS prediction
+  FROM churn WHERE client_id % 17 <> 0),
+cm AS (
+  SELECT CAST(COUNT(*) FILTER (WHERE actual = 0 AND prediction = 0) AS BIGINT) AS tn,
+         CAST(COUNT(*) FILTER (WHERE actual = 0 AND prediction = 1) AS BIGINT) AS fp,
+         CAST(COUNT(*) FILTER (WHERE actual = 1 AND prediction = 0) AS BIGINT) AS fn,
+         CAST(COUNT(*) FILTER (WHERE actual = 1 AND prediction = 1) AS BIGINT) AS tp FROM cpred)"""
+_VIEW_ORDER += ["rpred", "cpred"]
+_VIEW_DEPS["rpred"] = ["report"]
+_VIEW_DEPS["cpred"] = ["churn"]
+register(
+    "regression_metrics",
+    """SELECT ROUND(AVG(ABS(prediction - actual)), 6) AS MAE, ROUND(SQRT(AVG((prediction - actual) * (prediction - actual))), 6) AS RMSE,
+       CAST(COUNT(*) AS BIGINT) AS n_eval FROM rpred""",
+    "rpred",
+)
+register(
+    "residuals",
+    "SELECT client_id, actual, prediction, ROUND(actual - prediction, 6) AS residual FROM rpred",
+    "rpred",
+)
+register(
+    "churn_metrics",
+    """SELECT tn, fp, fn, tp, ROUND(COALESCE(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0), 6) AS precision,
+       ROUND(COALESCE(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0), 6) AS recall FROM cm""",
+    "cpred",
+)
+register(
+    "classification_report",
+    """WITH pc AS (
+         SELECT '0' AS label, COALESCE(tn / NULLIF(CAST(tn + fn AS DOUBLE), 0), 0) AS p,
+                COALESCE(tn / NULLIF(CAST(tn + fp AS DOUBLE), 0), 0) AS r, tn + fp AS support FROM cm
+         UNION ALL
+         SELECT '1', COALESCE(tp / NULLIF(CAST(tp + fp AS DOUBLE), 0), 0),
+                COALESCE(tp / NULLIF(CAST(tp + fn AS DOUBLE), 0), 0), fn + tp FROM cm),
+       pf AS (SELECT label, p, r, COALESCE(2 * p * r / NULLIF(p + r, 0), 0) AS f, support FROM pc)
+       SELECT label, ROUND(p, 6) AS precision, ROUND(r, 6) AS recall, ROUND(f, 6) AS f1_score,
+              CAST(support AS BIGINT) AS support FROM pf
+       UNION ALL SELECT 'accuracy', NULL, NULL, ROUND(COALESCE((tn + tp) / NULLIF(CAST(tn + fp + fn + tp AS DOUBLE), 0), 0), 6),
+              CAST(tn + fp + fn + tp AS BIGINT) FROM cm
+       UNION ALL SELECT 'macro avg', ROUND(AVG(p), 6), ROUND(AVG(r), 6), ROUND(AVG(f), 6), CAST(SUM(support) AS BIGINT) FROM pf
+       UNION ALL SELECT 'weighted avg', ROUND(COALESCE(SUM(p * support) / NULLIF(SUM(support), 0), 0), 6),
+              ROUND(COALESCE(SUM(r * support) / NULLIF(SUM(support), 0), 0), 6),
+              ROUND(COALESCE(SUM(f * support) / NULLIF(SUM(support), 0), 0), 6), CAST(SUM(support) AS BIGINT) FROM pf""",
+    "cpred",
+)
