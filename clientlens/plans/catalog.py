@@ -462,3 +462,149 @@ def q_metrics_history(spark, sf_dir):
 @query("latest_run")
 def q_latest_run(spark, sf_dir):
     return ml.latest_run(spark.read.parquet(append_metrics(spark, sf_dir)))
+
+
+# ----------------------------------------------- agent, actions, journal
+from clientlens.operators import actions as act  # noqa: E402
+from clientlens.operators import journal as jr  # noqa: E402
+from clientlens.schemas import PLANS  # noqa: E402
+
+
+@query("agent_features")
+def q_agent_features(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rep = build_report(t)
+    return act.agent_features(rep, revenue.revenue_summary(t.revenue_events()),
+                              fixed_scores(rep).where(F.col("churn_probability").isNotNull()))
+
+
+def _decided(spark, sf_dir):
+    return build_decisions(_t(spark, sf_dir))
+
+
+@query("prepare_email")
+def q_prepare_email(spark, sf_dir):
+    return _decided(spark, sf_dir).select("client_id", act.email_text().alias("email"))
+
+
+@query("prepare_checklist")
+def q_prepare_checklist(spark, sf_dir):
+    return _decided(spark, sf_dir).select("client_id", F.array_join(act.checklist(), "\n").alias("checklist"))
+
+
+@query("prepared_actions")
+def q_prepared_actions(spark, sf_dir):
+    kind, payload = act.prepared_action()
+    return _decided(spark, sf_dir).select("client_id", "action", kind.alias("type"), payload.alias("payload"))
+
+
+@query("answer_batch")
+def q_answer_batch(spark, sf_dir):
+    """Answer per benchmark question from its best keyword hit (no client: confidence 'moyen')."""
+    t = _t(spark, sf_dir)
+    top = build_keyword_hits(t, 1).join(build_para_chunks(t).withColumnRenamed("source", "doc_id"), ["doc_id", "chunk"])
+    q = t.benchmark.select("item_id").join(top, "item_id", "left")
+    return q.select("item_id", act.answer_markdown(F.col("text"), F.col("doc_id").cast("string"),
+                                                  F.lit("moyen")).alias("answer_md"))
+
+
+@query("client_lookup")
+def q_client_lookup(spark, sf_dir):
+    """Batch stats lookup: every customer key against the report; unmatched -> found=false."""
+    t = _t(spark, sf_dir)
+    ids = t.customer.select(F.trim(F.col("c_custkey").cast("string")).cast("long").alias("client_id"))
+    rep = build_report(t).withColumn("_found", F.lit(True))
+    j = ids.join(rep, "client_id", "left")
+    return j.select(
+        "client_id", F.coalesce("_found", F.lit(False)).alias("found"),
+        F.nullif(F.trim("plan"), F.lit("")).alias("plan"), F.nullif(F.trim("ville"), F.lit("")).alias("ville"),
+        F.coalesce("ca_total", F.lit(0.0)).alias("ca_total"),
+        F.coalesce("nb_paiements", F.lit(0).cast("long")).alias("nb_paiements"),
+        F.coalesce("actions_total", F.lit(0).cast("long")).alias("actions_total"),
+        F.coalesce("sessions_total", F.lit(0).cast("long")).alias("sessions_total"),
+        "last_activity_date", "last_payment_date",
+    )
+
+
+def validate_requests(req: DataFrame) -> DataFrame:
+    """Request checks (counts, sums, days >= 0; plan enum; ville non-empty)."""
+    reason = (
+        F.when(F.col("paid_count_before_T").isNull() | (F.col("paid_count_before_T") < 0), F.lit("paid_count_before_T"))
+        .when(F.col("paid_sum_before_T").isNull() | (F.col("paid_sum_before_T") < 0), F.lit("paid_sum_before_T"))
+        .when(F.col("days_since_last_paid").isNull() | (F.col("days_since_last_paid") < 0), F.lit("days_since_last_paid"))
+        .when(~F.coalesce(F.col("plan").isin(*PLANS), F.lit(False)), F.lit("plan"))
+        .when(F.coalesce(F.length("ville"), F.lit(0)) < 1, F.lit("ville"))
+    )
+    return req.withColumn("reason", reason)
+
+
+@query("score_requests_valid")
+def q_score_requests_valid(spark, sf_dir):
+    v = validate_requests(churn.serving_features(build_report(_t(spark, sf_dir))))
+    return v.select("client_id", F.col("reason").isNull().alias("valid"), "reason")
+
+
+@query("journal_validate")
+def q_journal_validate(spark, sf_dir):
+    return jr.journal_validate(_t(spark, sf_dir).decision_feed())
+
+
+@query("journal_view")
+def q_journal_view(spark, sf_dir):
+    v = jr.journal_validate(_t(spark, sf_dir).decision_feed()).where(F.col("reason").isNull()).drop("reason")
+    return jr.journal_view(v, scope_type="client")
+
+
+@query("journal_append")
+def q_journal_append(spark, sf_dir):
+    path = f"{work_dir(spark)}/tables/decision_log"
+    jr.journal_append(_t(spark, sf_dir).decision_feed(), path)
+    return jr.journal_view(jr.read_journal(spark, path))
+
+
+@query("agent_batch")
+def q_agent_batch(spark, sf_dir, question: str = "Comment sécuriser la relation client ?"):
+    """End-to-end next best action for every client from the trained churn model."""
+    t = _t(spark, sf_dir)
+    rep = build_report(t)
+    model = _trained(spark, sf_dir, "churn")[0]
+    scores = ml.score_churn(model, churn.serving_features(rep).join(
+        validate_requests(churn.serving_features(rep)).where("reason IS NULL").select("client_id"), "client_id"))
+    dec = build_decisions(t, scores)
+    kind, payload = act.prepared_action()
+    ctx = build_rag_context(t, question)
+    return dec.select("client_id", "plan", "churn_risk", "usage_level", "action", "priority", "confidence",
+                      kind.alias("type"), payload.alias("payload")).crossJoin(F.broadcast(ctx))
+
+
+def build_rag_hits(t: Tables, questions: DataFrame, k: int = 4) -> DataFrame:
+    """Vector retrieval of (question_id, text) over fixed chunks of the documents."""
+    chunks = rt.hashed_embedding(rt.chunk_fixed(t.documents.select("doc_id", "text"), "doc_id"))
+    qv = rt.hashed_embedding(questions, out_col="qvec")
+    top = rt.vector_topk(qv, "question_id", chunks, "id", k=k)
+    return rt.rag_hits(top.join(chunks.select("id", "source", "chunk", "text"), "id").select(
+        "question_id", "rank", F.col("source").cast("string").alias("source"), "chunk", "distance", "text"))
+
+
+def build_rag_context(t: Tables, question: str) -> DataFrame:
+    q = t.spark.createDataFrame([(0, f"[docs_corpus] {question}")], "question_id int, text string")
+    return rt.context_block(build_rag_hits(t, q), "question_id").select(F.col("context").alias("internal_context"))
+
+
+@query("embed_chunks")
+def q_embed_chunks(spark, sf_dir):
+    return rt.hashed_embedding(rt.chunk_fixed(_t(spark, sf_dir).documents.select("doc_id", "text"), "doc_id"))
+
+
+@query("chunk_index")
+def q_chunk_index(spark, sf_dir):
+    """Rebuild the chunk index (overwrite) and read it back."""
+    path = f"{work_dir(spark)}/tables/chunk_index"
+    q_embed_chunks(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("rag_hits")
+def q_rag_hits(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return build_rag_hits(t, t.benchmark.select(F.col("item_id").alias("question_id"), "text"))

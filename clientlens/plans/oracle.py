@@ -355,7 +355,7 @@ VIEWS["feats"] = """
 sc AS (SELECT client_id, CASE WHEN client_id % 17 = 0 THEN NULL
                          ELSE CAST((client_id * 37) % 100 AS DOUBLE) / 100 END AS p FROM report),
 feats AS (
-  SELECT r.client_id, r.plan,
+  SELECT r.client_id, r.plan, r.ville,
     CASE WHEN sc.p > 0.5 THEN 'high' WHEN sc.p IS NULL THEN 'medium' WHEN sc.p < 0.2 THEN 'low'
          WHEN sc.p < 0.5 THEN 'medium' ELSE 'high' END AS churn_risk,
     CASE WHEN r.sessions_total >= 30 THEN 'high' WHEN r.sessions_total <= 8 THEN 'low' ELSE 'medium' END AS usage_level,
@@ -372,7 +372,7 @@ ruled AS (
       WHEN usage_level = 'low' AND churn_risk = 'medium' THEN 4 END AS rule_priority
   FROM feats),
 decided AS (
-  SELECT client_id, plan, rule_priority,
+  SELECT client_id, plan, ville, churn_risk, usage_level, rule_priority,
     CASE rule_priority WHEN 1 THEN 'appel_urgent_48h' WHEN 2 THEN 'appel_reassurance_et_plan'
          WHEN 3 THEN 'proposer_upsell' WHEN 4 THEN 'onboarding_cible' ELSE 'no_action' END AS action,
     COALESCE(CAST(rule_priority AS VARCHAR), 'low') AS priority,
@@ -597,3 +597,119 @@ register(
               ROUND(COALESCE(SUM(f * support) / NULLIF(SUM(support), 0), 0), 6), CAST(SUM(support) AS BIGINT) FROM pf""",
     "cpred",
 )
+
+# -------------------------------------------- agent, actions, journal
+from clientlens.operators import actions as _act  # noqa: E402
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def fill(template: str, *exprs: str) -> str:
+    parts = template.split("%s")
+    assert len(parts) == len(exprs) + 1
+    out = lit(parts[0])
+    for e, p in zip(exprs, parts[1:]):
+        out += f" || ({e}) || {lit(p)}"
+    return out
+
+
+_RISK = "COALESCE(NULLIF(churn_risk, ''), 'medium')"
+_USAGE = "COALESCE(NULLIF(usage_level, ''), 'medium')"
+_SUBJECT = (f"CASE WHEN {_RISK} = 'high' THEN {lit(_act.SUBJECT_HIGH)} "
+            f"WHEN {_RISK} = 'low' AND {_USAGE} = 'high' THEN {lit(_act.SUBJECT_OPTIMISE)} ELSE {lit(_act.SUBJECT_DEFAULT)} END")
+_EMAIL = fill(_act.EMAIL_TEMPLATE, _SUBJECT, "trim(CAST(client_id AS VARCHAR))", "trim(COALESCE(plan, ''))",
+              "trim(COALESCE(ville, ''))", _USAGE, _RISK)
+_BASE = "[" + ", ".join(lit(x) for x in _act.BASE_STEPS) + "]"
+_L0 = f"list_concat(CASE WHEN {_RISK} = 'high' THEN [{lit(_act.URGENT_STEP)}] ELSE [] END, {_BASE})"
+_CHECK = (f"CASE WHEN {_USAGE} = 'low' THEN list_concat(({_L0})[1:3], [{lit(_act.ACTIVATION_STEP)}], ({_L0})[4:]) "
+          f"ELSE {_L0} END")
+_UPSELL = "[" + ", ".join(lit(x) for x in _act.UPSELL_STEPS) + "]"
+
+register(
+    "agent_features",
+    """SELECT r.client_id, r.plan, r.ville, r.ca_total, r.nb_paiements, r.sessions_total,
+       COALESCE(v.total_amount, 0.0) AS revenue_total, COALESCE(v.events_count, 0) AS revenue_events,
+       v.most_recent_date, s.p AS churn_probability, s.p > 0.5 AS churn,
+       v.client_id IS NOT NULL AS has_revenue, s.client_id IS NOT NULL AS has_prediction
+       FROM report r
+       LEFT JOIN (SELECT client_id, CAST(SUM(amount) AS DOUBLE) AS total_amount, CAST(COUNT(*) AS BIGINT) AS events_count,
+                         MAX(event_date) AS most_recent_date FROM revenue_events GROUP BY client_id) v USING (client_id)
+       LEFT JOIN (SELECT * FROM sc WHERE p IS NOT NULL) s USING (client_id)""",
+    "feats",
+)
+register("prepare_email", f"SELECT client_id, {_EMAIL} AS email FROM decided", "feats")
+register("prepare_checklist", f"SELECT client_id, array_to_string({_CHECK}, chr(10)) AS checklist FROM decided", "feats")
+register(
+    "prepared_actions",
+    f"""SELECT client_id, action,
+       CASE WHEN action = 'send_retention_email' THEN 'email'
+            WHEN action IN ('schedule_call', 'proposer_upsell') THEN 'call_plan' ELSE 'none' END AS type,
+       CASE WHEN action = 'send_retention_email' THEN {_EMAIL}
+            WHEN action = 'schedule_call' THEN array_to_string({_CHECK}, chr(10))
+            WHEN action = 'proposer_upsell' THEN array_to_string(list_concat({_UPSELL}, {_CHECK}), chr(10))
+            ELSE {lit(_act.NO_ACTION_MESSAGE)} END AS payload
+       FROM decided""",
+    "feats",
+)
+
+
+def _answer_sql(t: dict) -> str:
+    body = "\n".join(["## 1) Résumé", t["summary"], "", "## 2) Pourquoi", *[f"- {b}" for b in t["why"][:3]], "",
+                      "## 3) Action recommandée", t["action"], "", "## 4) Action préparée", t["prepared"], "",
+                      "## 5) Confiance", "moyen"])
+    return lit(body)
+
+
+register(
+    "answer_batch",
+    f"""SELECT b.item_id,
+       CASE WHEN COALESCE(contains(p.text, {lit(_act.ONE_SHOT_MARKER)}), false) THEN {_answer_sql(_act.ONE_SHOT)}
+            ELSE {_answer_sql(_act.GENERIC)} END
+       || CASE WHEN k.doc_id IS NOT NULL THEN chr(10) || chr(10) || '_Source: ' || CAST(k.doc_id AS VARCHAR) || '_' ELSE '' END
+         AS answer_md
+       FROM benchmark b LEFT JOIN (SELECT * FROM kwall WHERE rank = 1) k ON k.item_id = b.item_id
+       LEFT JOIN pchunks p ON p.doc_id = k.doc_id AND p.chunk = k.chunk""",
+    "kw",
+)
+register(
+    "client_lookup",
+    """SELECT c.c_custkey AS client_id, r.client_id IS NOT NULL AS found, NULLIF(trim(r.plan), '') AS plan,
+       NULLIF(trim(r.ville), '') AS ville, COALESCE(r.ca_total, 0.0) AS ca_total, COALESCE(r.nb_paiements, 0) AS nb_paiements,
+       COALESCE(r.actions_total, 0) AS actions_total, COALESCE(r.sessions_total, 0) AS sessions_total,
+       r.last_activity_date, r.last_payment_date
+       FROM customer c LEFT JOIN report r ON r.client_id = c.c_custkey""",
+    "report",
+)
+register(
+    "score_requests_valid",
+    """SELECT client_id, reason IS NULL AS valid, reason FROM (
+         SELECT client_id, CASE WHEN nb_paiements < 0 THEN 'paid_count_before_T' WHEN ca_total < 0 THEN 'paid_sum_before_T'
+           WHEN plan IS NULL OR plan NOT IN ('free', 'basic', 'pro') THEN 'plan'
+           WHEN COALESCE(length(ville), 0) < 1 THEN 'ville' END AS reason FROM report)""",
+    "report",
+)
+VIEWS["feed"] = f"""
+feed AS (
+  SELECT strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 3600 + turn * 60), '%Y-%m-%dT%H:%M:%SZ') AS timestamp_iso,
+    CASE role WHEN 'user' THEN 'client' WHEN 'assistant' THEN 'plan' ELSE role END AS scope_type,
+    CASE WHEN role = 'assistant' THEN (['free', 'basic', 'pro'])[CAST(conv_id % 3 + 1 AS INT)] ELSE CAST(conv_id AS VARCHAR) END
+      AS scope_value,
+    (['Surveiller', 'À analyser (E5)', 'Rien à faire', 'Hors périmètre'])[CAST(turn % 4 + 1 AS INT)] AS decision_type,
+    {_strip("COALESCE(text, '')")} AS rationale_short, role AS author
+  FROM conversations),
+vfeed AS (
+  SELECT *, CASE WHEN decision_type NOT IN ('Surveiller', 'À analyser (E5)', 'Rien à faire', 'Hors périmètre')
+                 THEN 'decision_type_invalid'
+            WHEN scope_type NOT IN ('client', 'plan') THEN 'scope_type_invalid'
+            WHEN length(rationale_short) = 0 THEN 'rationale_missing'
+            WHEN length(rationale_short) > 200 THEN 'rationale_too_long' END AS reason FROM feed)"""
+_VIEW_ORDER.append("feed")
+register("journal_validate", "SELECT * FROM vfeed", "feed")
+register(
+    "journal_view",
+    """SELECT timestamp_iso, scope_type, scope_value, decision_type, rationale_short, author FROM vfeed
+       WHERE reason IS NULL AND scope_type = 'client'""",
+    "feed",
+)

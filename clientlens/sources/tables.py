@@ -129,3 +129,23 @@ class Tables:
             F.col("ts").cast("date").alias("event_date"),
             F.col("event_id"),
         )
+
+    # --------------------------------------------------------- decision feed
+    def decision_feed(self) -> DataFrame:
+        """Journal submissions derived from ``conversations``: a user turn records a
+        client decision, an assistant turn a plan decision, a system turn an
+        out-of-contract scope; the turn text is the rationale."""
+        c = self.table("conversations")
+        plans = F.array(F.lit("free"), F.lit("basic"), F.lit("pro"))
+        dtypes = F.array(*[F.lit(x) for x in ("Surveiller", "À analyser (E5)", "Rien à faire", "Hors périmètre")])
+        ts = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+        return c.select(
+            F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_iso"),
+            F.when(F.col("role") == "user", "client").when(F.col("role") == "assistant", "plan")
+            .otherwise(F.col("role")).alias("scope_type"),
+            F.when(F.col("role") == "assistant", F.element_at(plans, (F.col("conv_id") % 3 + 1).cast("int")))
+            .otherwise(F.col("conv_id").cast("string")).alias("scope_value"),
+            F.element_at(dtypes, (F.col("turn") % 4 + 1).cast("int")).alias("decision_type"),
+            F.col("text").alias("rationale_short"),
+            F.col("role").alias("author"),
+        )
