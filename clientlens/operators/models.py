@@ -149,7 +149,10 @@ def _metrics_row(spark, model_name: str, target: str, m: DataFrame, n_rows: int,
 def train_revenue(ml_ready: DataFrame, kind: str = "linear", seed: int = 42):
     """M2 / M3: fit on the hash-split 80 %, score the 20 %; returns (model, predictions, metrics row)."""
     require_columns(ml_ready, REV_NUM + REV_CAT + [REV_TARGET], "ml_ready")
-    data = hash_split(ml_ready.withColumn("label", F.col(REV_TARGET).cast("double")), seed=seed)
+    from clientlens.session import work_dir
+
+    work_dir(ml_ready.sparkSession)
+    data = hash_split(ml_ready.withColumn("label", F.col(REV_TARGET).cast("double")), seed=seed).checkpoint(eager=True)
     if kind == "linear":
         est, name = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal"), "LinearRegression"
     else:
@@ -178,7 +181,13 @@ def train_churn(churn_ready: DataFrame, test_size: float = 0.3):
     returns (model, test predictions, split frame).  regParam = 1/n_train with
     standardization off is the same objective as C=1 in the reference."""
     require_columns(churn_ready, CHURN_NUM + CHURN_CAT + [CHURN_TARGET], "churn_ready")
+    from clientlens.session import work_dir
+
+    work_dir(churn_ready.sparkSession)  # make sure the shared checkpoint folder is set
     split = temporal_split(churn_ready, test_size).withColumn("label", F.col(CHURN_TARGET).cast("double"))
+    # every estimator stage re-reads the training set: cut the lineage once
+    # (reliable checkpoint in the shared folder; survives executor loss)
+    split = split.checkpoint(eager=True)
     train = split.where("split = 'train'")
     n_train = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(n_train, 1),

@@ -608,3 +608,39 @@ def q_chunk_index(spark, sf_dir):
 def q_rag_hits(spark, sf_dir):
     t = _t(spark, sf_dir)
     return build_rag_hits(t, t.benchmark.select(F.col("item_id").alias("question_id"), "text"))
+
+
+# --------------------------------------------------------------- streams
+import uuid  # noqa: E402
+
+from clientlens.streaming import jobs as streams  # noqa: E402
+
+
+def _run_dir(spark, name):
+    return f"{work_dir(spark)}/streams/{name}-{uuid.uuid4().hex[:8]}"
+
+
+@query("stream_score")
+def q_stream_score(spark, sf_dir):
+    """Serving requests land as parquet files; the stream validates, scores and appends them."""
+    t = _t(spark, sf_dir)
+    base = _run_dir(spark, "score")
+    req = churn.serving_features(build_report(t)).select(
+        "client_id", "paid_count_before_T", "paid_sum_before_T",
+        F.col("days_since_last_paid").cast("int").alias("days_since_last_paid"), "plan", "ville")
+    req.write.mode("append").parquet(f"{base}/landing")
+    model = _trained(spark, sf_dir, "churn")[0]
+    q = streams.stream_score(spark, f"{base}/landing", f"{base}/out", f"{base}/chk", model, validate_requests,
+                             pol.load_policy())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out").drop("epoch")
+
+
+@query("stream_journal")
+def q_stream_journal(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    base = _run_dir(spark, "journal")
+    t.decision_feed().write.mode("append").parquet(f"{base}/landing")
+    q = streams.stream_journal(spark, f"{base}/landing", f"{base}/journal", f"{base}/rejects", f"{base}/chk")
+    q.awaitTermination()
+    return jr.journal_view(jr.read_journal(spark, f"{base}/journal"))
