@@ -13,9 +13,11 @@ TOKEN_CHARS = "a-z0-9àâçéèêëîïôûùüÿñæœ_\\-"
 
 
 def tokens(c: Column | str, min_len: int = 3) -> Column:
-    """lower -> non-token chars to space -> whitespace split -> keep len >= min_len."""
-    cleaned = F.regexp_replace(F.lower(col_(c)), f"(?U)[^{TOKEN_CHARS}\\s]", " ")
-    parts = F.split(cleaned, r"(?U)\s+")
+    """lower -> maximal runs of token chars -> keep len >= min_len.
+
+    Same tokens as replacing every non-token char by a space and splitting on
+    whitespace (whitespace is itself a non-token char), in one regex pass."""
+    parts = F.split(F.lower(col_(c)), f"[^{TOKEN_CHARS}]+")
     return F.filter(parts, lambda t: F.length(t) >= min_len)
 
 

@@ -97,7 +97,9 @@ def churn_metrics(pred: DataFrame, actual: str = "actual", prediction: str = "pr
 
 def classification_report(pred: DataFrame, actual: str = "actual", prediction: str = "prediction") -> DataFrame:
     """Per-class precision / recall / f1 / support, accuracy, macro and weighted averages."""
-    c = _confusion(pred, actual, prediction)
+    from clientlens.session import materialize
+
+    c = materialize(_confusion(pred, actual, prediction))  # one row, read by four branches
     tn, fp, fn, tp = (F.col(x) for x in ("tn", "fp", "fn", "tp"))
 
     def cls(label, tp_, fp_, fn_):

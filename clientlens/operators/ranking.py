@@ -55,14 +55,31 @@ def running_counts(hist: DataFrame, group_cols: list[str], value_col: str, weigh
     return out.withColumn("cum_before", F.col("cum_incl") - F.col(weight_col)).drop("_pid", "_run", "_off")
 
 
+# Per-group buffers (the built-in exact ``percentile`` map, a per-group window
+# over the histogram) are only used when every group has at most this many
+# distinct values, checked with one small job; beyond it the range-partitioned
+# path runs.  Both paths are exact.
+MAX_GROUP_DISTINCT = 200_000
+
+
+def _max_distinct(hist: DataFrame, group_cols: list[str]) -> int:
+    per = hist.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_d")) if group_cols else hist.agg(F.count(F.lit(1)).alias("_d"))
+    row = per.agg(F.max("_d").alias("m")).first()
+    return int(row["m"] or 0)
+
+
 def exact_quantile(df: DataFrame, group_cols: list[str], value_col: str, q: float,
-                   out_col: str = "quantile") -> DataFrame:
+                   out_col: str = "quantile", max_group_distinct: int = MAX_GROUP_DISTINCT) -> DataFrame:
     """Linear-interpolated quantile (numpy/pandas default, DuckDB ``quantile_cont``)
-    per group, nulls ignored.  Exact, and no group is ever gathered in one task:
-    values are histogrammed (map-side combined), ranked with ``running_counts``
-    and only the two bracketing histogram rows per group are kept."""
+    per group, nulls ignored.  Values are first histogrammed (map-side combined).
+    Small domains (checked) use the built-in exact ``percentile`` with frequencies;
+    otherwise the histogram is ranked with ``running_counts`` and only the two
+    bracketing rows per group are kept, so no group is gathered in one task."""
     v = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
     hist = v.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_w"))
+    if _max_distinct(hist, group_cols) <= max_group_distinct:
+        agg = F.percentile(F.col(value_col).cast("double"), F.lit(q), F.col("_w")).alias(out_col)
+        return hist.groupBy(*group_cols).agg(agg) if group_cols else hist.agg(agg)
     rc = running_counts(hist, group_cols, value_col, "_w")
     tot = hist.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
     pos = F.lit(q) * (F.col("_n") - 1)
@@ -83,14 +100,23 @@ def exact_quantile(df: DataFrame, group_cols: list[str], value_col: str, q: floa
     )
 
 
-def cume_dist_in_group(df: DataFrame, group_cols: list[str], value_col: str, out_col: str = "cume_dist") -> DataFrame:
+def cume_dist_in_group(df: DataFrame, group_cols: list[str], value_col: str, out_col: str = "cume_dist",
+                       max_group_distinct: int = MAX_GROUP_DISTINCT) -> DataFrame:
     """Share of non-null values <= own value inside the group (= ``cume_dist``),
-    null when the own value is null.  Histogram + ``running_counts``, joined back."""
+    null when the own value is null.  Histogram -> cumulative counts (a per-group
+    window over the histogram when its size is checked small, else
+    ``running_counts``) -> joined back on (group, value)."""
     v = df.where(F.col(value_col).isNotNull())
     hist = v.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_w"))
-    rc = running_counts(hist, group_cols, value_col, "_w")
-    tot = hist.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
-    frac = rc.join(tot, group_cols).select(
-        *group_cols, value_col, (F.col("cum_incl") / F.col("_n")).alias(out_col)
-    )
+    if _max_distinct(hist, group_cols) <= max_group_distinct:
+        w_run = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
+        w_all = Window.partitionBy(*group_cols)
+        frac = hist.select(*group_cols, value_col,
+                           (F.sum("_w").over(w_run) / F.sum("_w").over(w_all)).alias(out_col))
+    else:
+        rc = running_counts(hist, group_cols, value_col, "_w")
+        tot = hist.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
+        frac = rc.join(tot, group_cols).select(
+            *group_cols, value_col, (F.col("cum_incl") / F.col("_n")).alias(out_col)
+        )
     return df.join(frac, group_cols + [value_col], "left")

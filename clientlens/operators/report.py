@@ -58,14 +58,23 @@ def usage_kpis(usage: DataFrame) -> DataFrame:
 
 def client_report(clients: DataFrame, subscriptions: DataFrame, usage: DataFrame,
                   order_col: str | None = None, sort: bool = True) -> DataFrame:
-    """J1 + T1: full outer report, orphans included, duplicate client rows: last wins."""
+    """J1 + T1: full outer report, orphans included, duplicate client rows: last wins.
+
+    Facts (client ids, paid payments, usage) are merged by one ``unionByName``
+    into a single ``groupBy(client_id)`` whose buffers are all fixed-width, so
+    it runs as a partial+final HashAggregate (no sort of the fact rows).  The
+    client attributes (last row per id) are aggregated on the clients dimension
+    alone; both sides come out hash-partitioned on client_id, so the final left
+    join adds no exchange."""
     require_columns(clients, ["client_id", "plan", "ville"], "clients")
     order_col = order_col or ("_ord" if "_ord" in clients.columns else None)
-    c = clients.select(
-        "client_id",
-        F.struct("plan", "ville").alias("attrs"),
-        (F.col(order_col) if order_col else F.col("client_id")).alias("_o"),
+    ord_c = F.col(order_col) if order_col else F.col("client_id")
+    attrs = (
+        clients.where(F.col("client_id").isNotNull())
+        .groupBy("client_id")
+        .agg(F.max_by(F.struct("plan", "ville"), ord_c).alias("attrs"))
     )
+    c = clients.select("client_id")
     s = subscriptions.where(F.col("statut") == "paid").select("client_id", "montant", "date_paiement")
     u = usage.select("client_id", "actions", "sessions", "activity_date")
     tagged = (
@@ -73,8 +82,7 @@ def client_report(clients: DataFrame, subscriptions: DataFrame, usage: DataFrame
         .unionByName(u, allowMissingColumns=True)
         .where(F.col("client_id").isNotNull())
     )
-    rep = tagged.groupBy("client_id").agg(
-        F.max_by("attrs", "_o").alias("attrs"),
+    facts = tagged.groupBy("client_id").agg(
         F.sum("montant").alias("ca"),
         F.count("montant").alias("nb_paiements"),
         F.sum("actions").alias("actions_total"),
@@ -82,6 +90,7 @@ def client_report(clients: DataFrame, subscriptions: DataFrame, usage: DataFrame
         F.max("date_paiement").alias("last_payment_date"),
         F.max("activity_date").alias("last_activity_date"),
     )
+    rep = facts.join(attrs, "client_id", "left")
     out = rep.select(
         "client_id",
         F.col("attrs.plan").alias("plan"),

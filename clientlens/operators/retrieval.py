@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientlens.functions.parsing import collapse_ws, strip
+from clientlens.functions.parsing import collapse_ws, ensure_parallelism, strip
 from clientlens.functions.text import fixed_windows, pack_paragraphs, paragraphs, tokens
 
 CHUNK_SIZE, CHUNK_OVERLAP, PARAGRAPH_MAX = 900, 150, 900
@@ -20,6 +20,7 @@ def chunk_fixed(docs: DataFrame, source_col: str, text_col: str = "text",
                 size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(id, source, chunk, text) windows; id = '<source>::chunk_<k>'."""
     # strip once into a column; the window lambda then only slices it
+    docs = ensure_parallelism(docs, source_col)
     d = docs.select(F.col(source_col).alias("source"), strip(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     d = d.select("source", fixed_windows(F.col("_t"), size, overlap).alias("_w"))
     # outer generator: Spark infers no size(...) > 0 pre-filter for it, which
@@ -34,12 +35,14 @@ def chunk_fixed(docs: DataFrame, source_col: str, text_col: str = "text",
 def chunk_paragraphs(docs: DataFrame, source_col: str, text_col: str = "text",
                      max_len: int = PARAGRAPH_MAX) -> DataFrame:
     """R2: blank-line paragraphs greedily packed up to ``max_len`` chars."""
+    docs = ensure_parallelism(docs, source_col)
     d = docs.select(F.col(source_col).alias("source"), pack_paragraphs(paragraphs(F.col(text_col)), max_len).alias("_c"))
     return d.select("source", F.posexplode_outer("_c").alias("chunk", "text")).where(F.col("chunk").isNotNull())
 
 
 def token_frequencies(chunks: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
     """(key..., token, tf) — map-side combined count per chunk and token."""
+    chunks = ensure_parallelism(chunks, key_cols[0])
     t = chunks.select(*key_cols, F.explode(tokens(F.col(text_col))).alias("token"))
     return t.groupBy(*key_cols, "token").agg(F.count(F.lit(1)).alias("tf"))
 

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from clientlens.operators import clean, report
+from clientlens.session import materialize
 from clientlens.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -115,7 +116,7 @@ def q_serving_features(spark, sf_dir):
 
 @query("temporal_split")
 def q_temporal_split(spark, sf_dir):
-    return churn.temporal_split(build_churn_ready(_t(spark, sf_dir))).withColumnRenamed("_pos", "position")
+    return churn.temporal_split(materialize(build_churn_ready(_t(spark, sf_dir)))).withColumnRenamed("_pos", "position")
 
 
 @query("ml_ready")
@@ -144,7 +145,8 @@ from clientlens.operators import views  # noqa: E402
 
 
 def _cr(spark, sf_dir):
-    return build_churn_ready(_t(spark, sf_dir))
+    # the views read the churn table several times (medians, ranks, joins back)
+    return materialize(build_churn_ready(_t(spark, sf_dir)))
 
 
 for _name, _fn in {
@@ -197,7 +199,7 @@ def fixed_scores(report_df: DataFrame) -> DataFrame:
 
 
 def build_rule_features(t: Tables, scores: DataFrame | None = None) -> DataFrame:
-    rep = build_report(t)
+    rep = materialize(build_report(t))  # read for stats, scores and the CA quantile
     ev = t.revenue_events()
     ref = ev.agg(F.max("event_date").alias("ref_date"))
     thr = views.ca_quantile(rep)

@@ -36,14 +36,21 @@ def local_session(cpus: int | str = "*", app: str = "clientlens", **conf: str) -
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, models and written tables.
 
-    Uses ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local runs) a fresh temporary folder is created and registered."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext._jsc.sc().getCheckpointDir()
-        d = d.get() if d.isDefined() else None
+    Uses ``spark.checkpoint.dir`` (a static setting read from the session) or a
+    checkpoint folder already registered on the context; only when neither is
+    set (local runs) a fresh temporary folder is created and registered."""
+    sc = spark.sparkContext
+    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="clientlens-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
+
+
+def materialize(df):
+    """Write a multi-consumer intermediate once to the shared checkpoint folder
+    and cut its lineage, so the branches reading it do not each recompute it
+    from the source tables (and a lost executor does not replay it)."""
+    work_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
