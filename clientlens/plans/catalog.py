@@ -646,3 +646,15 @@ def q_stream_journal(spark, sf_dir):
     q = streams.stream_journal(spark, f"{base}/landing", f"{base}/journal", f"{base}/rejects", f"{base}/chk")
     q.awaitTermination()
     return jr.journal_view(jr.read_journal(spark, f"{base}/journal"))
+
+
+@query("signal_retrieve")
+def q_signal_retrieve(spark, sf_dir):
+    """Guided-exploration context for every client: retrieval runs once per distinct
+    signal query text (few: plans x villes x signals), then joins back to clients."""
+    t = _t(spark, sf_dir)
+    sq = q_signal_queries(spark, sf_dir)
+    distinct_q = sq.select("query").distinct().withColumn("qid", F.xxhash64("query"))
+    hits = rt.keyword_retrieve(distinct_q, "qid", build_para_chunks(t).withColumnRenamed("source", "doc_id"),
+                               ["doc_id", "chunk"], k=5, query_text="query")
+    return sq.join(distinct_q, "query").join(hits, "qid").select("client_id", "rank", "doc_id", "chunk", "score")

@@ -713,3 +713,26 @@ register(
        WHERE reason IS NULL AND scope_type = 'client'""",
     "feed",
 )
+register(
+    "signal_retrieve",
+    f"""WITH sq AS (
+         SELECT c.client_id, concat_ws(' ', 'contexte', 'métriques', 'rétention', 'pmE saas', 'client',
+           NULLIF(c.plan, ''), NULLIF(c.ville, ''),
+           CASE WHEN COALESCE(c.days_since_last_paid > ROUND(m.md, 6), false)
+                THEN 'inactivité dernier paiement retard days_since_last_paid' END,
+           CASE WHEN COALESCE(c.paid_count_before_T < ROUND(m.mc, 6), false) OR COALESCE(c.paid_sum_before_T < ROUND(m.ms, 6), false)
+                THEN 'historique paiement faible paid_count_before_T paid_sum_before_T' END,
+           CASE WHEN c.plan = 'free' THEN 'acquisition conversion free' ELSE 'rétention payant basic pro' END) AS query
+         FROM churn c LEFT JOIN meds m ON m.scope = c.plan),
+       qt AS (SELECT DISTINCT query, token FROM (SELECT query, unnest({_tokens('query')}) AS token FROM (SELECT DISTINCT query FROM sq))
+              WHERE length(token) >= 3),
+       ct AS (SELECT doc_id, chunk, token, COUNT(*) AS tf
+              FROM (SELECT doc_id, chunk, unnest({_tokens('text')}) AS token FROM pchunks) WHERE length(token) >= 3
+              GROUP BY doc_id, chunk, token),
+       sc AS (SELECT q.query, c.doc_id, c.chunk, COUNT(*) AS n, SUM(LEAST(c.tf, 3)) AS b,
+                     ROW_NUMBER() OVER (PARTITION BY q.query ORDER BY COUNT(*) * 20 + SUM(LEAST(c.tf, 3)) DESC, c.doc_id, c.chunk) AS rank
+              FROM qt q JOIN ct c USING (token) GROUP BY q.query, c.doc_id, c.chunk)
+       SELECT sq.client_id, CAST(sc.rank AS INTEGER) AS rank, sc.doc_id, sc.chunk, ROUND(sc.n + sc.b * 0.05, 6) AS score
+       FROM sq JOIN sc USING (query) WHERE sc.rank <= 5""",
+    "meds", "paras",
+)

@@ -33,13 +33,14 @@ def read_raw(spark: SparkSession, base: str, name: str) -> DataFrame:
 def corpus_files(spark: SparkSession, corpus_dir: str, suffixes=("md", "yaml", "yml")) -> DataFrame:
     """Recursive corpus scan, one row per file (source, text), suffix filter
     case-insensitive, files ordered by path; an empty corpus is an error."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(corpus_dir)
-          .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+    # binaryFile: exactly one row per file, whatever its line structure
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(corpus_dir)
+          .select(F.col("path"), F.decode(F.col("content"), "UTF-8").alias("text")))
     pat = r"\.(" + "|".join(suffixes) + r")$"
     df = df.where(F.lower(F.col("path")).rlike(pat))
     if df.isEmpty():
         raise ValueError("No corpus files found (.md/.yml/.yaml).")
-    return df.withColumn("source", F.regexp_extract("path", r"([^/]+)$", 1))
+    return df.withColumn("source", F.regexp_extract("path", r"([^/]+)$", 1)).orderBy("path")
 
 
 def ordered_files(corpus: DataFrame, names: list[str]) -> DataFrame:
