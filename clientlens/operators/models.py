@@ -57,6 +57,21 @@ def hash_split(df: DataFrame, key: str = "client_id", test_pct: int = 20, seed:
                          .otherwise("train"))
 
 
+class EmptyDatasetError(ValueError):
+    pass
+
+
+def check_training_set(df: DataFrame, label: str, where: str) -> None:
+    """An empty training table is an error; a single class only warns."""
+    import warnings
+
+    stats = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("k")).first()
+    if stats["n"] == 0:
+        raise EmptyDatasetError(f"empty dataset: {where}")
+    if stats["k"] < 2:
+        warnings.warn(f"{where}: a single class/value of {label}; model and metrics are not reliable", stacklevel=2)
+
+
 def regression_metrics(pred: DataFrame, actual: str = "actual", prediction: str = "prediction") -> DataFrame:
     """MAE and RMSE (one row)."""
     e = F.col(prediction).cast("double") - F.col(actual).cast("double")
@@ -151,6 +166,7 @@ def _metrics_row(spark, model_name: str, target: str, m: DataFrame, n_rows: int,
 def train_revenue(ml_ready: DataFrame, kind: str = "linear", seed: int = 42):
     """M2 / M3: fit on the hash-split 80 %, score the 20 %; returns (model, predictions, metrics row)."""
     require_columns(ml_ready, REV_NUM + REV_CAT + [REV_TARGET], "ml_ready")
+    check_training_set(ml_ready, REV_TARGET, "ml_ready")
     from clientlens.session import work_dir
 
     work_dir(ml_ready.sparkSession)
@@ -183,6 +199,7 @@ def train_churn(churn_ready: DataFrame, test_size: float = 0.3):
     returns (model, test predictions, split frame).  regParam = 1/n_train with
     standardization off is the same objective as C=1 in the reference."""
     require_columns(churn_ready, CHURN_NUM + CHURN_CAT + [CHURN_TARGET], "churn_ready")
+    check_training_set(churn_ready, CHURN_TARGET, "churn_ready")
     from clientlens.session import work_dir
 
     work_dir(churn_ready.sparkSession)  # make sure the shared checkpoint folder is set
@@ -229,6 +246,11 @@ def feature_weights(weights: DataFrame, col: str = "weight", n: int = 15) -> Dat
     return top.unionByName(bottom)
 
 
+def write_metrics_json(metrics: DataFrame, path: str) -> None:
+    """Overwrite the metrics snapshot as JSON (non-ASCII kept as is)."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)  # one row
+
+
 def save_model(model: PipelineModel, base: str, name: str, current: bool = False) -> str:
     """Write the model (and a 'current' copy when asked)."""
     path = f"{base}/models/{name}"

@@ -167,6 +167,12 @@ for _name, _fn in {
     QUERIES[_name] = (lambda f: (lambda spark, sf_dir: f(_cr(spark, sf_dir))))(_fn)
 
 
+@query("plan_choices")
+def q_plan_choices(spark, sf_dir):
+    """The plan filter's choices (distinct non-null plans)."""
+    return views.plan_choices(_cr(spark, sf_dir))
+
+
 @query("ca_quantile")
 def q_ca_quantile(spark, sf_dir):
     return views.ca_quantile(build_report(_t(spark, sf_dir)))
@@ -414,9 +420,11 @@ def q_train_churn(spark, sf_dir):
     counts = split.agg(F.count(F.lit(1)).alias("n_rows"),
                        F.sum((F.col("split") == "train").cast("long")).alias("n_train"),
                        F.sum((F.col("split") == "test").cast("long")).alias("n_test"))
-    return counts.crossJoin(m).select(
+    snap = counts.crossJoin(m).select(
         "n_rows", "n_train", "n_test", F.lit(ml.CHURN_TARGET).alias("target"),
         F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"), "precision", "recall")
+    ml.write_metrics_json(snap, f"{work_dir(spark)}/metrics/churn_metrics_v1")
+    return snap
 
 
 @query("score_revenue")
@@ -589,6 +597,8 @@ def build_rag_hits(t: Tables, questions: DataFrame, k: int = 4) -> DataFrame:
 
 
 def build_rag_context(t: Tables, question: str) -> DataFrame:
+    if not (question or "").strip():
+        raise ValueError("question is empty")
     q = t.spark.createDataFrame([(0, f"[docs_corpus] {question}")], "question_id int, text string")
     return rt.context_block(build_rag_hits(t, q), "question_id").select(F.col("context").alias("internal_context"))
 

@@ -736,3 +736,4 @@ register(
        FROM sq JOIN sc USING (query) WHERE sc.rank <= 5""",
     "meds", "paras",
 )
+register("plan_choices", "SELECT DISTINCT plan FROM churn WHERE plan IS NOT NULL", "churn")

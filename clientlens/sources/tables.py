@@ -27,6 +27,18 @@ def _plan_of(segment: Column) -> Column:
     )
 
 
+_READERS: dict = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """Lazy parquet reader, resolved once per session and path: the schema
+    lookup job runs once, not once per query (no data is cached)."""
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    if key not in _READERS:
+        _READERS[key] = spark.read.parquet(path)
+    return _READERS[key]
+
+
 @dataclass
 class Tables:
     spark: SparkSession
@@ -35,7 +47,7 @@ class Tables:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
-            self._cache[name] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+            self._cache[name] = read_table(self.spark, f"{self.sf_dir.rstrip('/')}/{name}.parquet")
         return self._cache[name]
 
     def __getattr__(self, name: str) -> DataFrame:

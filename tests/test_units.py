@@ -203,3 +203,13 @@ def test_global_positions(spark):
     pos = ranking.global_positions(df, [F.col("k"), F.col("id")], n=5).collect()
     exp = sorted((r.k, r.id) for r in pos)
     assert sorted(((r.k, r.id), r._pos) for r in pos) == [(kv, i) for i, kv in enumerate(exp)]
+
+
+def test_training_guards(spark):
+    from clientlens.operators import models as ml
+    empty = spark.createDataFrame([], "client_id long, churn_7_30j int")
+    with pytest.raises(ml.EmptyDatasetError):
+        ml.check_training_set(empty, "churn_7_30j", "x")
+    one = spark.createDataFrame([(1, 1), (2, 1)], "client_id long, churn_7_30j int")
+    with pytest.warns(UserWarning):
+        ml.check_training_set(one, "churn_7_30j", "x")
