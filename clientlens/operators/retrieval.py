@@ -47,12 +47,25 @@ def token_frequencies(chunks: DataFrame, key_cols: list[str], text_col: str = "t
     return t.groupBy(*key_cols, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
+MAX_BROADCAST_VOCAB = 500_000
+
+
 def keyword_retrieve(queries: DataFrame, query_key: str, chunks: DataFrame, chunk_keys: list[str],
-                     k: int = 5, query_text: str = "text", chunk_text: str = "text") -> DataFrame:
+                     k: int = 5, query_text: str = "text", chunk_text: str = "text",
+                     max_broadcast_vocab: int = MAX_BROADCAST_VOCAB) -> DataFrame:
     """score = sum over distinct query tokens found in the chunk of (1 + 0.05 * min(tf, 3));
     score > 0; top k per query, ties by chunk order (``chunk_keys``)."""
     qt = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("token")).distinct()
-    ct = token_frequencies(chunks, chunk_keys, chunk_text)
+    # Only tokens some query contains can score.  When the query vocabulary is
+    # checked small it is broadcast and filters the exploded chunk tokens map-side,
+    # before term frequencies are counted; otherwise chunk frequencies are
+    # aggregated (map-side combined) and joined on token by shuffle.
+    vocab = qt.select("token").distinct()
+    chunks = ensure_parallelism(chunks, chunk_keys[0])
+    toks = chunks.select(*chunk_keys, F.explode(tokens(F.col(chunk_text))).alias("token"))
+    if vocab.count() <= max_broadcast_vocab:
+        toks = toks.join(F.broadcast(vocab), "token", "left_semi")
+    ct = toks.groupBy(*chunk_keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     m = qt.join(ct, "token").groupBy(query_key, *chunk_keys).agg(
         F.count(F.lit(1)).alias("n_match"), F.sum(F.least(F.col("tf"), F.lit(3))).alias("bonus_units")
     )
