@@ -668,3 +668,17 @@ def q_signal_retrieve(spark, sf_dir):
     hits = rt.keyword_retrieve(distinct_q, "qid", build_para_chunks(t).withColumnRenamed("source", "doc_id"),
                                ["doc_id", "chunk"], k=5, query_text="query")
     return sq.join(distinct_q, "query").join(hits, "qid").select("client_id", "rank", "doc_id", "chunk", "score")
+
+
+@query("revenue_source")
+def q_revenue_source(spark, sf_dir):
+    """Revenue events exported as a header CSV feed (derived from ``events``) and
+    read back through the optional-source reader (missing file -> empty, missing columns -> error)."""
+    from clientlens.sources.files import read_revenue_events
+
+    path = f"{_run_dir(spark, 'revenue_events')}/revenue_events.csv"
+    ev = _t(spark, sf_dir).revenue_events().select(
+        F.col("client_id").cast("string").alias("client_id"), "event_type",
+        F.col("amount").cast("string").alias("amount"), F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
+    ev.write.mode("overwrite").option("header", True).csv(path)
+    return read_revenue_events(spark, path)

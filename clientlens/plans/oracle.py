@@ -737,3 +737,8 @@ register(
     "meds", "paras",
 )
 register("plan_choices", "SELECT DISTINCT plan FROM churn WHERE plan IS NOT NULL", "churn")
+register(
+    "revenue_source",
+    """SELECT CAST(client_id AS VARCHAR) AS client_id, event_type, CAST(amount AS DOUBLE) AS amount, event_date
+       FROM revenue_events""",
+)
