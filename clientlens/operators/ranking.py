@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from clientlens.session import materialize
+
 
 def _parts(df: DataFrame, n: int | None) -> int:
     return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -23,9 +25,12 @@ def global_positions(df: DataFrame, order_cols: list[Column], n: int | None = No
     result is deterministic and survives task retries.  Cost: one range
     shuffle; offsets are a ``n``-row table (size-bounded broadcast)."""
     ranged = df.repartitionByRange(_parts(df, n), *order_cols).sortWithinPartitions(*order_cols)
-    local = ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
+    # Range boundaries come from a sample seeded per execution: positions and the
+    # per-slice counts must come from ONE execution, so the slices are written
+    # once (reliable checkpoint) and both are derived from that copy.
+    local = materialize(ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
         "_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    )
+    ))
     counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
@@ -44,7 +49,9 @@ def running_counts(hist: DataFrame, group_cols: list[str], value_col: str, weigh
     Range partitioning on (group, value) spreads even a single huge group over
     all tasks; the per-(slice, group) totals are tiny and give the offsets."""
     keys = [F.col(g) for g in group_cols] + [F.col(value_col)]
-    ranged = hist.repartitionByRange(_parts(hist, n), *keys).withColumn("_pid", F.spark_partition_id())
+    # one execution of the range shuffle feeds both the local sums and the slice
+    # totals (boundaries are sampled per execution), hence the checkpoint
+    ranged = materialize(hist.repartitionByRange(_parts(hist, n), *keys).withColumn("_pid", F.spark_partition_id()))
     gp = ["_pid"] + group_cols
     w_local = Window.partitionBy(*gp).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("_run", F.sum(weight_col).over(w_local))

@@ -213,3 +213,20 @@ def test_training_guards(spark):
     one = spark.createDataFrame([(1, 1), (2, 1)], "client_id long, churn_7_30j int")
     with pytest.warns(UserWarning):
         ml.check_training_set(one, "churn_7_30j", "x")
+
+
+def test_global_positions_many_partitions(spark):
+    """Positions stay a permutation when the range shuffle is sampled (large input)."""
+    df = spark.range(0, 200_000).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id"))
+    pos = ranking.global_positions(df, [F.col("k"), F.col("id")], n=16)
+    st = pos.agg(F.min("_pos"), F.max("_pos"), F.countDistinct("_pos")).first()
+    assert tuple(st) == (0, 199_999, 200_000)
+    first = pos.orderBy("_pos").limit(3).collect()
+    assert [(r.k, r.id) for r in first] == [(0, 0), (0, 1000), (0, 2000)]
+
+
+def test_running_counts_large_input(spark):
+    df = spark.range(0, 100_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5000).alias("v"))
+    q = {r.g: r.quantile for r in ranking.exact_quantile(df, ["g"], "v", 0.5, max_group_distinct=0).collect()}
+    q2 = {r.g: r.quantile for r in ranking.exact_quantile(df, ["g"], "v", 0.5).collect()}
+    assert q == q2
