@@ -77,16 +77,61 @@ def keyword_retrieve(queries: DataFrame, query_key: str, chunks: DataFrame, chun
 
 
 # ---------------------------------------------------------------- vectors
-def hashed_embedding(df: DataFrame, text_col: str = "text", dim: int = 256, out_col: str = "embedding") -> DataFrame:
-    """R6 offline default: hashed term frequencies, L2-normalised, as array<float>.
-    Runs in the JVM (MLlib HashingTF + Normalizer); swap in ``embed_with`` for a model."""
-    from pyspark.ml.feature import HashingTF, Normalizer
-    from pyspark.ml.functions import vector_to_array
-
-    tok = df.withColumn("_tok", tokens(F.col(text_col), 1))
-    tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dim).transform(tok)
-    nv = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0).transform(tf)
-    return nv.withColumn(out_col, vector_to_array("_nv", "float32")).drop("_tok", "_tf", "_nv")
+def hashed_features(df: DataFrame, key: str, text_col: str = "text", dim: int = 256) -> DataFrame:
+    """Sparse hashed term frequencies, L2-normalised: (key, bucket, w) with
+    bucket = pmod(hash(token), dim).  Two map-side-combined aggregations; no row
+    ever holds more than ``dim`` entries of one text."""
+    t = ensure_parallelism(df, key).select(key, F.explode(tokens(F.col(text_col), 1)).alias("_tok"))
+    tf = t.groupBy(key, F.pmod(F.hash("_tok"), F.lit(dim)).alias("bucket")).agg(F.count(F.lit(1)).alias("_tf"))
+    norm = F.sqrt(F.sum(F.col("_tf") * F.col("_tf")).over(Window.partitionBy(key)))
+    return tf.select(key, "bucket", (F.col("_tf") / norm).alias("w"))
+
+
+def hashed_embedding(df: DataFrame, text_col: str = "text", dim: int = 256, out_col: str = "embedding",
+                     key: str = "id") -> DataFrame:
+    """R6 offline default: the dense array<float> form of ``hashed_features``
+    (all-zero for a text without tokens), computed in the JVM.  Swap in
+    ``embed_with`` for a model."""
+    feats = hashed_features(df.select(key, text_col), key, text_col, dim)
+    m = feats.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "w"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
+                        lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)).cast("float"))
+    vec = m.select(key, dense.alias(out_col))
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return df.join(vec, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), zero))
+
+
+def sparse_topk(queries: DataFrame, query_key: str, q_feats: DataFrame, corpus: DataFrame, corpus_key: str,
+                c_feats: DataFrame, k: int = 4) -> DataFrame:
+    """R7 for sparse unit vectors, exact: k nearest by squared L2 (ties: corpus key).
+
+    Dot products come from an inverted-index equi-join on bucket (only pairs
+    sharing a bucket are produced).  Every other chunk is at distance
+    |q|^2 + |c|^2 (|c|^2 is 0 or 1), so the global first 2k chunks in
+    (|c|^2, key) order — a bounded, broadcast list — complete any query that
+    has fewer than k overlapping chunks; no all-pairs product is formed."""
+    if k <= 0:
+        raise ValueError("top_k must be > 0")
+    # unit vectors: |v|^2 is exactly 1, or 0 for a text without tokens
+    qn = queries.select(query_key).join(
+        q_feats.select(query_key).distinct().withColumn("qn2", F.lit(1.0)), query_key, "left"
+    ).select(query_key, F.coalesce("qn2", F.lit(0.0)).alias("qn2"))
+    cn = corpus.select(corpus_key).join(
+        c_feats.select(corpus_key).distinct().withColumn("cn2", F.lit(1.0)), corpus_key, "left"
+    ).select(corpus_key, F.coalesce("cn2", F.lit(0.0)).alias("cn2"))
+    dots = (
+        q_feats.select(query_key, "bucket", F.col("w").alias("qw"))
+        .join(c_feats.select(corpus_key, "bucket", F.col("w").alias("cw")), "bucket")
+        .groupBy(query_key, corpus_key).agg(F.sum(F.col("qw") * F.col("cw")).alias("dot"))
+    )
+    cand = dots.join(qn, query_key).join(cn, corpus_key).select(
+        query_key, corpus_key, F.round(F.col("qn2") + F.col("cn2") - 2 * F.col("dot"), 12).alias("distance"))
+    fillers = cn.orderBy(F.col("cn2").asc(), F.col(corpus_key).asc()).limit(2 * k)  # bounded: 2k rows
+    fill = qn.crossJoin(F.broadcast(fillers)).select(
+        query_key, corpus_key, (F.col("qn2") + F.col("cn2")).alias("distance"))
+    fill = fill.join(cand.select(query_key, corpus_key), [query_key, corpus_key], "left_anti")
+    w = Window.partitionBy(query_key).orderBy(F.col("distance").asc(), F.col(corpus_key).asc())
+    return cand.unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def embed_with(df: DataFrame, embed_batch, text_col: str = "text", out_col: str = "embedding") -> DataFrame:

@@ -588,10 +588,11 @@ def q_agent_batch(spark, sf_dir, question: str = "Comment sécuriser la relation
 
 
 def build_rag_hits(t: Tables, questions: DataFrame, k: int = 4) -> DataFrame:
-    """Vector retrieval of (question_id, text) over fixed chunks of the documents."""
-    chunks = rt.hashed_embedding(rt.chunk_fixed(t.documents.select("doc_id", "text"), "doc_id"))
-    qv = rt.hashed_embedding(questions, out_col="qvec")
-    top = rt.vector_topk(qv, "question_id", chunks, "id", k=k)
+    """Vector retrieval of (question_id, text) over fixed chunks of the documents:
+    exact nearest hashed embeddings through the sparse inverted index."""
+    chunks = rt.chunk_fixed(t.documents.select("doc_id", "text"), "doc_id")
+    top = rt.sparse_topk(questions, "question_id", rt.hashed_features(questions, "question_id"),
+                         chunks, "id", rt.hashed_features(chunks.select("id", "text"), "id"), k=k)
     return rt.rag_hits(top.join(chunks.select("id", "source", "chunk", "text"), "id").select(
         "question_id", "rank", F.col("source").cast("string").alias("source"), "chunk", "distance", "text"))
 
