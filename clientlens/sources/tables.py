@@ -150,9 +150,13 @@ class Tables:
         c = self.table("conversations")
         plans = F.array(F.lit("free"), F.lit("basic"), F.lit("pro"))
         dtypes = F.array(*[F.lit(x) for x in ("Surveiller", "À analyser (E5)", "Rien à faire", "Hors périmètre")])
-        ts = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+        # UTC text built from date + integer arithmetic: independent of the session time zone
+        minutes = F.col("conv_id") * 60 + F.col("turn")
+        day = F.date_add(F.lit("2024-01-01").cast("date"), (minutes / 1440).cast("int"))
+        iso = F.format_string("%sT%02d:%02d:00Z", F.date_format(day, "yyyy-MM-dd"),
+                              ((minutes % 1440) / 60).cast("int"), (minutes % 60).cast("int"))
         return c.select(
-            F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp_iso"),
+            iso.alias("timestamp_iso"),
             F.when(F.col("role") == "user", "client").when(F.col("role") == "assistant", "plan")
             .otherwise(F.col("role")).alias("scope_type"),
             F.when(F.col("role") == "assistant", F.element_at(plans, (F.col("conv_id") % 3 + 1).cast("int")))
