@@ -5,13 +5,22 @@ whole of them."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from clientlens.operators import clean, report
-from clientlens.session import materialize
+from pyspark.sql import functions as F
+
+from clientlens.operators import actions as act
+from clientlens.operators import churn, clean, report, revenue, views
+from clientlens.operators import journal as jr
+from clientlens.operators import models as ml
+from clientlens.operators import policy as pol
+from clientlens.operators import retrieval as rt
+from clientlens.schemas import PLANS
+from clientlens.session import materialize, work_dir
 from clientlens.sources.tables import Tables
+from clientlens.streaming import jobs as streams
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -72,7 +81,6 @@ def q_revenue_by_plan(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ churn
-from clientlens.operators import churn  # noqa: E402
 
 
 def build_churn_ready(t: Tables) -> DataFrame:
@@ -141,7 +149,6 @@ def q_churn_distribution(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ views
-from clientlens.operators import views  # noqa: E402
 
 
 def _cr(spark, sf_dir):
@@ -188,10 +195,6 @@ def q_dedup_first(spark, sf_dir):
 
 
 # ------------------------------------------------- revenue, policy, decisions
-from pyspark.sql import functions as F  # noqa: E402
-
-from clientlens.operators import policy as pol  # noqa: E402
-from clientlens.operators import revenue  # noqa: E402
 
 
 def fixed_scores(report_df: DataFrame) -> DataFrame:
@@ -262,7 +265,6 @@ def q_action_mix(spark, sf_dir):
 
 
 # ------------------------------------------------------------- retrieval
-from clientlens.operators import retrieval as rt  # noqa: E402
 
 
 def build_para_chunks(t: Tables) -> DataFrame:
@@ -348,8 +350,6 @@ def q_clean_rejects(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ models
-from clientlens.operators import models as ml  # noqa: E402
-from clientlens.session import work_dir  # noqa: E402
 
 _MODEL_CACHE: dict = {}
 
@@ -475,9 +475,6 @@ def q_latest_run(spark, sf_dir):
 
 
 # ----------------------------------------------- agent, actions, journal
-from clientlens.operators import actions as act  # noqa: E402
-from clientlens.operators import journal as jr  # noqa: E402
-from clientlens.schemas import PLANS  # noqa: E402
 
 
 @query("agent_features")
@@ -624,9 +621,6 @@ def q_rag_hits(spark, sf_dir):
 
 
 # --------------------------------------------------------------- streams
-import uuid  # noqa: E402
-
-from clientlens.streaming import jobs as streams  # noqa: E402
 
 
 def _run_dir(spark, name):

@@ -4,6 +4,8 @@ the same adapter views the Spark jobs use."""
 
 from __future__ import annotations
 
+from clientlens.operators import actions as _act
+
 ADAPTERS = """
 clients AS (
   SELECT c.c_custkey AS client_id, n.n_name AS ville,
@@ -599,7 +601,6 @@ register(
 )
 
 # -------------------------------------------- agent, actions, journal
-from clientlens.operators import actions as _act  # noqa: E402
 
 
 def lit(s: str) -> str:
