@@ -571,17 +571,20 @@ def q_journal_append(spark, sf_dir):
 
 @query("agent_batch")
 def q_agent_batch(spark, sf_dir, question: str = "Comment sécuriser la relation client ?"):
-    """End-to-end next best action for every client from the trained churn model."""
+    """End-to-end next best action for every client from the trained churn model,
+    with the internal retrieval context of its prepared action."""
     t = _t(spark, sf_dir)
     rep = build_report(t)
     model = _trained(spark, sf_dir, "churn")[0]
-    scores = ml.score_churn(model, churn.serving_features(rep).join(
-        validate_requests(churn.serving_features(rep)).where("reason IS NULL").select("client_id"), "client_id"))
-    dec = build_decisions(t, scores)
+    valid = validate_requests(churn.serving_features(rep)).where("reason IS NULL").drop("reason")
+    dec = build_decisions(t, ml.score_churn(model, valid))
     kind, payload = act.prepared_action()
-    ctx = build_rag_context(t, question)
-    return dec.select("client_id", "plan", "churn_risk", "usage_level", "action", "priority", "confidence",
-                      kind.alias("type"), payload.alias("payload")).crossJoin(F.broadcast(ctx))
+    out = dec.select("client_id", "plan", "churn_risk", "usage_level", "action", "priority", "confidence",
+                     kind.alias("type"), payload.alias("payload"))
+    tag = F.when(F.col("type") == "email", F.lit(CONTEXT_EMAIL)).when(F.col("type") == "call_plan", F.lit(CONTEXT_CALL))
+    ctx = build_rag_contexts(t, question)  # one row per context tag: broadcast is size-bounded
+    return out.withColumn("context_docs", tag).join(F.broadcast(ctx), "context_docs", "left").select(
+        *out.columns, F.coalesce("internal_context", F.lit("")).alias("internal_context"))
 
 
 def build_rag_hits(t: Tables, questions: DataFrame, k: int = 4) -> DataFrame:
@@ -594,11 +597,21 @@ def build_rag_hits(t: Tables, questions: DataFrame, k: int = 4) -> DataFrame:
         "question_id", "rank", F.col("source").cast("string").alias("source"), "chunk", "distance", "text"))
 
 
-def build_rag_context(t: Tables, question: str) -> DataFrame:
+# fixed values: the context tags prefixed to the retrieval question per prepared action
+CONTEXT_EMAIL = "docs_corpus/retention"
+CONTEXT_CALL = "docs_corpus/sales"
+
+
+def build_rag_contexts(t: Tables, question: str) -> DataFrame:
+    """(context_docs, internal_context) for the question under each context tag."""
     if not (question or "").strip():
         raise ValueError("question is empty")
-    q = t.spark.createDataFrame([(0, f"[docs_corpus] {question}")], "question_id int, text string")
-    return rt.context_block(build_rag_hits(t, q), "question_id").select(F.col("context").alias("internal_context"))
+    q = t.spark.createDataFrame(
+        [(0, CONTEXT_EMAIL, f"[{CONTEXT_EMAIL}] {question}"), (1, CONTEXT_CALL, f"[{CONTEXT_CALL}] {question}")],
+        "question_id int, context_docs string, text string")
+    ctx = rt.context_block(build_rag_hits(t, q.select("question_id", "text")), "question_id")
+    return q.join(ctx, "question_id", "left").select(
+        "context_docs", F.coalesce("context", F.lit("")).alias("internal_context"))
 
 
 @query("embed_chunks")

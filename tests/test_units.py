@@ -251,3 +251,26 @@ def test_sparse_topk_equals_dense_brute_force(spark):
         b |= {(q, i + 1, cid, dist) for i, (dist, cid) in enumerate(d[:5])}
     a = {(r.question_id, r.rank, r.id, round(r.distance, 5)) for r in sp.collect()}
     assert a == b and len(a) == 20
+
+
+def test_prepared_action_branches(spark):
+    from clientlens.operators import actions
+    rows = [("C1", "send_retention_email", "high", "low", "pro", "Paris"),
+            ("C2", "schedule_call", "high", "low", "basic", "Lyon"),
+            ("C3", "proposer_upsell", "low", "high", None, None),
+            ("C4", "no_action", "medium", "medium", "free", "Nice")]
+    df = spark.createDataFrame(rows, "client_id string, action string, churn_risk string, usage_level string, "
+                                     "plan string, ville string")
+    kind, payload = actions.prepared_action()
+    out = {r.client_id: (r.t, r.p) for r in df.select("client_id", kind.alias("t"), payload.alias("p")).collect()}
+    assert out["C1"][0] == "email" and out["C1"][1].startswith("Objet : On peut vous aider à relancer l’usage\n\nBonjour,")
+    assert "- Compte : C1\n- Plan : pro\n- Ville : Paris\n- Niveau d’usage : low\n- Risque churn : high\n" in out["C1"][1]
+    steps = out["C2"][1].split("\n")
+    assert out["C2"][0] == "call_plan" and steps[0] == actions.URGENT_STEP and steps[3] == actions.ACTIVATION_STEP
+    assert len(steps) == 7
+    up = out["C3"][1].split("\n")
+    assert out["C3"][0] == "call_plan" and up[:5] == actions.UPSELL_STEPS and up[5:] == actions.BASE_STEPS
+    assert out["C4"] == ("none", actions.NO_ACTION_MESSAGE)
+    # the subject for a low-risk, high-usage client
+    subj = df.where("client_id = 'C3'").select(actions.email_subject()).first()[0]
+    assert subj == actions.SUBJECT_OPTIMISE
