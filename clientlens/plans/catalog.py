@@ -590,7 +590,7 @@ def q_agent_batch(spark, sf_dir, question: str = "Comment sécuriser la relation
 def build_rag_hits(t: Tables, questions: DataFrame, k: int = 4) -> DataFrame:
     """Vector retrieval of (question_id, text) over fixed chunks of the documents:
     exact nearest hashed embeddings through the sparse inverted index."""
-    chunks = rt.chunk_fixed(t.documents.select("doc_id", "text"), "doc_id")
+    chunks = materialize(rt.chunk_fixed(t.documents.select("doc_id", "text"), "doc_id"))  # read 3 times
     top = rt.sparse_topk(questions, "question_id", rt.hashed_features(questions, "question_id"),
                          chunks, "id", rt.hashed_features(chunks.select("id", "text"), "id"), k=k)
     return rt.rag_hits(top.join(chunks.select("id", "source", "chunk", "text"), "id").select(
@@ -616,7 +616,8 @@ def build_rag_contexts(t: Tables, question: str) -> DataFrame:
 
 @query("embed_chunks")
 def q_embed_chunks(spark, sf_dir):
-    return rt.hashed_embedding(rt.chunk_fixed(_t(spark, sf_dir).documents.select("doc_id", "text"), "doc_id"))
+    chunks = materialize(rt.chunk_fixed(_t(spark, sf_dir).documents.select("doc_id", "text"), "doc_id"))
+    return rt.hashed_embedding(chunks)
 
 
 @query("chunk_index")
