@@ -743,3 +743,42 @@ register(
     """SELECT CAST(client_id AS VARCHAR) AS client_id, event_type, CAST(amount AS DOUBLE) AS amount, event_date
        FROM revenue_events""",
 )
+
+
+def _f0(x: str) -> str:
+    return f"printf('%.0f', round_even(CAST({x} AS DOUBLE), 0))"
+
+
+def _f2(x: str) -> str:
+    return f"printf('%.2f', round_even(CAST({x} AS DOUBLE), 2))"
+
+
+register(
+    "guided_reading",
+    f"""WITH m AS (SELECT scope, ROUND(md, 6) AS md, ROUND(mc, 6) AS mc, ROUND(ms, 6) AS ms FROM meds),
+       g AS (SELECT md AS gd, mc AS gc, ms AS gs FROM m WHERE scope = '(global)')
+       SELECT 'client' AS scope_type, CAST(c.client_id AS VARCHAR) AS scope_value,
+         concat_ws(chr(10),
+           '- Périmètre : **client_id=' || CAST(c.client_id AS VARCHAR) || '** (plan=' || c.plan || ', ville=' || c.ville || ').',
+           CASE WHEN c.days_since_last_paid IS NOT NULL AND p.md IS NOT NULL THEN
+             '- `days_since_last_paid` = **' || CAST(c.days_since_last_paid AS VARCHAR) || '** vs médiane plan **' || {_f0('p.md')}
+             || '** (médiane globale **' || {_f0('g.gd')} || '**).' END,
+           CASE WHEN c.paid_count_before_T IS NOT NULL AND p.mc IS NOT NULL THEN
+             '- `paid_count_before_T` = **' || {_f0('c.paid_count_before_T')} || '** vs médiane plan **' || {_f0('p.mc')}
+             || '** (médiane globale **' || {_f0('g.gc')} || '**).' END,
+           CASE WHEN c.paid_sum_before_T IS NOT NULL AND p.ms IS NOT NULL THEN
+             '- `paid_sum_before_T` = **' || {_f2('c.paid_sum_before_T')} || '** vs médiane plan **' || {_f2('p.ms')}
+             || '** (médiane globale **' || {_f2('g.gs')} || '**).' END,
+           '- Ces comparaisons sont **descriptives** (pas de score, pas de décision automatique).') AS text
+       FROM churn c LEFT JOIN m p ON p.scope = c.plan CROSS JOIN g
+       UNION ALL
+       SELECT 'plan', p.scope,
+         concat_ws(chr(10),
+           '- Périmètre : **plan=' || p.scope || '**.',
+           '- Médiane `days_since_last_paid` (plan) = **' || {_f0('p.md')} || '** vs globale **' || {_f0('g.gd')} || '**.',
+           '- Médiane `paid_count_before_T` (plan) = **' || {_f0('p.mc')} || '** vs globale **' || {_f0('g.gc')} || '**.',
+           '- Médiane `paid_sum_before_T` (plan) = **' || {_f2('p.ms')} || '** vs globale **' || {_f2('g.gs')} || '**.',
+           '- Cette lecture est **synthétique** et **descriptive** (pas de décision automatique).')
+       FROM m p CROSS JOIN g WHERE p.scope <> '(global)'""",
+    "meds",
+)
