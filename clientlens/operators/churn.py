@@ -100,7 +100,8 @@ def churn_ready(report: DataFrame, subscriptions: DataFrame, t: dt.date = T_REF,
     pre = F.col("date_paiement") < F.lit(t)
     in_win = (F.col("statut") == "paid") & F.col("date_paiement").between(F.lit(start), F.lit(end))
     agg = (
-        subscriptions.where(F.col("client_id").isNotNull() & (pre | in_win))
+        # the redundant upper bound (both branches imply it) reaches the parquet scan
+        subscriptions.where(F.col("client_id").isNotNull() & (F.col("date_paiement") <= F.lit(end)) & (pre | in_win))
         .groupBy("client_id")
         .agg(
             F.count(F.when(pre, F.col("date_paiement"))).alias("paid_count_before_T"),
