@@ -207,8 +207,8 @@ def fixed_scores(report_df: DataFrame) -> DataFrame:
     )
 
 
-def build_rule_features(t: Tables, scores: DataFrame | None = None) -> DataFrame:
-    rep = materialize(build_report(t))  # read for stats, scores and the CA quantile
+def build_rule_features(t: Tables, scores: DataFrame | None = None, rep: DataFrame | None = None) -> DataFrame:
+    rep = rep if rep is not None else materialize(build_report(t))  # read for stats, scores and the CA quantile
     ev = t.revenue_events()
     ref = ev.agg(F.max("event_date").alias("ref_date"))
     thr = views.ca_quantile(rep)
@@ -216,8 +216,8 @@ def build_rule_features(t: Tables, scores: DataFrame | None = None) -> DataFrame
     return pol.rule_features(rep, sc, revenue.revenue_summary(ev), thr, ref, pol.load_policy())
 
 
-def build_decisions(t: Tables, scores: DataFrame | None = None) -> DataFrame:
-    feats = build_rule_features(t, scores)
+def build_decisions(t: Tables, scores: DataFrame | None = None, rep: DataFrame | None = None) -> DataFrame:
+    feats = build_rule_features(t, scores, rep)
     return pol.decide_action(pol.apply_policy(feats, pol.load_policy()))
 
 
@@ -376,7 +376,7 @@ def fixed_revenue_predictions(t: Tables) -> DataFrame:
 
 
 def fixed_churn_predictions(t: Tables) -> DataFrame:
-    cr = build_churn_ready(t)
+    cr = materialize(build_churn_ready(t))  # read for labels and scores
     sc = fixed_scores(cr).where(F.col("churn_probability").isNotNull())
     return cr.select("client_id", F.col("churn_7_30j").alias("actual")).join(sc, "client_id").select(
         "client_id", "actual", F.col("churn").cast("int").alias("prediction"))
@@ -574,10 +574,10 @@ def q_agent_batch(spark, sf_dir, question: str = "Comment sécuriser la relation
     """End-to-end next best action for every client from the trained churn model,
     with the internal retrieval context of its prepared action."""
     t = _t(spark, sf_dir)
-    rep = build_report(t)
+    rep = materialize(build_report(t))  # serving features, stats, CA quantile
     model = _trained(spark, sf_dir, "churn")[0]
     valid = validate_requests(churn.serving_features(rep)).where("reason IS NULL").drop("reason")
-    dec = build_decisions(t, ml.score_churn(model, valid))
+    dec = build_decisions(t, ml.score_churn(model, valid), rep)
     kind, payload = act.prepared_action()
     out = dec.select("client_id", "plan", "churn_risk", "usage_level", "action", "priority", "confidence",
                      kind.alias("type"), payload.alias("payload"))
@@ -672,7 +672,7 @@ def q_signal_retrieve(spark, sf_dir):
     """Guided-exploration context for every client: retrieval runs once per distinct
     signal query text (few: plans x villes x signals), then joins back to clients."""
     t = _t(spark, sf_dir)
-    sq = q_signal_queries(spark, sf_dir)
+    sq = materialize(q_signal_queries(spark, sf_dir))  # read for the distinct texts and the join back
     distinct_q = sq.select("query").distinct().withColumn("qid", F.xxhash64("query"))
     hits = rt.keyword_retrieve(distinct_q, "qid", build_para_chunks(t).withColumnRenamed("source", "doc_id"),
                                ["doc_id", "chunk"], k=5, query_text="query")
