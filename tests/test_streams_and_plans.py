@@ -59,3 +59,16 @@ def test_report_single_shuffle_on_client(spark):
     assert "HashAggregate(keys=[client_id" in p
     assert p.count("SortAggregate") <= 2  # only the clients-dimension dedup (partial + final)
     assert "SortMergeJoin" in p or "BroadcastHashJoin" in p
+
+
+@pytest.mark.parametrize("name", ["percentile_in_plan", "plan_medians", "client_comparison", "client_signals",
+                                  "temporal_split", "keyword_retrieve", "vector_topk", "rag_context_block"])
+def test_no_unpartitioned_window_over_data(spark, name):
+    """A window without partition spec puts its whole input in one task: the only one allowed
+    is the offset window over the per-partition count table (ordered by _pid)."""
+    import re
+    p = Q[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    for spec in re.findall(r"windowspecdefinition\((.*?), specifiedwindowframe", p):
+        first = spec.split(", ")[0]
+        if " ASC " in first + " " or " DESC " in first + " ":  # starts with an ordering: unpartitioned
+            assert first.startswith("_pid"), spec
