@@ -7,6 +7,7 @@ shuffle), so no query's candidates are ever gathered whole."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,8 +146,6 @@ def sparse_topk(queries: DataFrame, query_key: str, q_feats: DataFrame, corpus:
 def embed_with(df: DataFrame, embed_batch, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
     """R6 plug point: ``embed_batch(list[str]) -> list[list[float]]`` applied per Arrow
     batch in a pandas UDF (the model is created once per Python worker by the callable)."""
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
     def _embed(texts: pd.Series) -> pd.Series:
         vecs = embed_batch(texts.fillna("").tolist())

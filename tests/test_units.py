@@ -5,6 +5,8 @@ import random
 import statistics
 
 import pytest
+
+SF = "/root/testdata/sf0.001"
 from pyspark.sql import functions as F
 
 from clientlens.functions.parsing import parse_date, parse_float, parse_int, strip
@@ -274,3 +276,35 @@ def test_prepared_action_branches(spark):
     # the subject for a low-risk, high-usage client
     subj = df.where("client_id = 'C3'").select(actions.email_subject()).first()[0]
     assert subj == actions.SUBJECT_OPTIMISE
+
+
+def test_vector_topk_batched_equals_single_broadcast(spark):
+    emb = spark.read.parquet(f"{SF}/embeddings.parquet")
+    qs = emb.where("vec_id % 7 = 0").select("vec_id", F.col("embedding").alias("qvec")).withColumnRenamed("vec_id", "q")
+    one = retrieval.vector_topk(qs, "q", emb, "vec_id", k=3)
+    many = retrieval.vector_topk(qs, "q", emb, "vec_id", k=3, max_broadcast=5)  # forces several batches
+    a = {(r.q, r.rank, r.vec_id) for r in one.collect()}
+    assert a == {(r.q, r.rank, r.vec_id) for r in many.collect()} and len(a) == 3 * qs.count()
+
+
+def test_embed_with_plug_point(spark):
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "héllo")], "id int, text string")
+    out = retrieval.embed_with(df, lambda texts: [[float(len(t)), 1.0] for t in texts])
+    assert {r.id: list(r.embedding) for r in out.collect()} == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [5.0, 1.0]}
+    bad = retrieval.embed_with(df, lambda texts: [])
+    with pytest.raises(Exception, match="mismatch"):
+        bad.collect()
+
+
+def test_revenue_training_deterministic(spark):
+    from clientlens.operators import models as ml
+    from clientlens.plans import catalog as C
+    t = C._t(spark, SF)
+    mr = C.report.ml_ready(C.build_report(t))
+    s1 = {r.client_id for r in ml.hash_split(mr).where("split = 'test'").collect()}
+    s2 = {r.client_id for r in ml.hash_split(mr).where("split = 'test'").collect()}
+    assert s1 == s2 and 0 < len(s1) < mr.count()
+    model, pred, metrics = ml.train_revenue(mr, "linear")
+    m = metrics.first()
+    assert m.model == "LinearRegression" and m.n_features == 6 and m.n_rows == mr.count() and m.MAE >= 0
+    assert {r.client_id for r in pred.collect()} == s1
