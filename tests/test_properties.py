@@ -61,3 +61,27 @@ def test_rejects_plus_clean_is_input(spark):
     n_in = t.raw_clients().count()
     assert Q["clean_clients"](spark, SF_SMALL).count() + Q["clean_rejects"](spark, SF_SMALL).where(
         "source = 'clients'").count() == n_in
+
+
+def test_parallelism_guard_only_when_needed(spark):
+    from clientlens.functions.parsing import ensure_parallelism
+    want = spark.sparkContext.defaultParallelism
+    wide = spark.range(0, 1000, numPartitions=want + 2)
+    assert ensure_parallelism(wide, "id") is wide  # enough scan tasks: untouched, no shuffle
+    narrow = spark.range(0, 1000, numPartitions=1)
+    assert ensure_parallelism(narrow, "id").rdd.getNumPartitions() == want
+
+
+def test_hot_client_report(spark):
+    """A third of all payments moved to one client: totals stay exact."""
+    from clientlens.operators import report
+    t = C._t(spark, SF_SMALL)
+    subs = t.subscriptions().withColumn(
+        "client_id", F.when(F.col("payment_id") % 3 == 0, F.lit(0).cast("long")).otherwise(F.col("client_id")))
+    rep = report.client_report(t.clients(), subs, t.usage(), sort=False)
+    hot = rep.where("client_id = 0").first()
+    paid = subs.where("statut = 'paid' AND client_id = 0")
+    assert hot.nb_paiements == paid.count()
+    assert abs(hot.ca_total - float(paid.agg(F.sum("montant")).first()[0])) < 1e-6
+    total = rep.agg(F.sum(F.col("ca_total").cast("decimal(28,2)"))).first()[0]
+    assert total == subs.where("statut = 'paid'").agg(F.sum("montant")).first()[0]
