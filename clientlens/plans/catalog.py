@@ -376,10 +376,12 @@ def fixed_revenue_predictions(t: Tables) -> DataFrame:
 
 
 def fixed_churn_predictions(t: Tables) -> DataFrame:
+    """Every client of the churn table with its label and the fixed score's hard class
+    (a missing score predicts no churn)."""
     cr = materialize(build_churn_ready(t))  # read for labels and scores
-    sc = fixed_scores(cr).where(F.col("churn_probability").isNotNull())
+    sc = fixed_scores(cr)
     return cr.select("client_id", F.col("churn_7_30j").alias("actual")).join(sc, "client_id").select(
-        "client_id", "actual", F.col("churn").cast("int").alias("prediction"))
+        "client_id", "actual", F.coalesce(F.col("churn"), F.lit(False)).cast("int").alias("prediction"))
 
 
 @query("regression_metrics")

@@ -553,8 +553,10 @@ rpred AS (
   FROM report WHERE plan IS NOT NULL AND ville IS NOT NULL AND last_activity_date IS NOT NULL)"""
 VIEWS["cpred"] = """
 cpred AS (
-  SELECT client_id, churn_7_30j AS actual, CAST(CAST((client_id * 37) % 100 AS DOUBLE) / 100 > 0.5 AS INT) AS prediction
-  FROM churn WHERE client_id % 17 <> 0),
+  SELECT client_id, churn_7_30j AS actual,
+         CASE WHEN client_id % 17 = 0 THEN 0 ELSE CAST(CAST((client_id * 37) % 100 AS DOUBLE) / 100 > 0.5 AS INT) END
+           AS prediction
+  FROM churn),
 cm AS (
   SELECT CAST(COUNT(*) FILTER (WHERE actual = 0 AND prediction = 0) AS BIGINT) AS tn,
          CAST(COUNT(*) FILTER (WHERE actual = 0 AND prediction = 1) AS BIGINT) AS fp,
