@@ -475,7 +475,7 @@ _VIEW_ORDER.append("kw")
 _VIEW_DEPS["kw"] = ["paras"]
 register(
     "keyword_retrieve",
-    """SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk, ROUND(n + b * 0.05, 6) AS score
+    """SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, chunk, ROUND(CAST(n + b * 0.05 AS DOUBLE), 6) AS score
        FROM kwall WHERE rank <= 5""",
     "kw",
 )
@@ -735,7 +735,7 @@ register(
        sc AS (SELECT q.query, c.doc_id, c.chunk, COUNT(*) AS n, SUM(LEAST(c.tf, 3)) AS b,
                      ROW_NUMBER() OVER (PARTITION BY q.query ORDER BY COUNT(*) * 20 + SUM(LEAST(c.tf, 3)) DESC, c.doc_id, c.chunk) AS rank
               FROM qt q JOIN ct c USING (token) GROUP BY q.query, c.doc_id, c.chunk)
-       SELECT sq.client_id, CAST(sc.rank AS INTEGER) AS rank, sc.doc_id, sc.chunk, ROUND(sc.n + sc.b * 0.05, 6) AS score
+       SELECT sq.client_id, CAST(sc.rank AS INTEGER) AS rank, sc.doc_id, sc.chunk, ROUND(CAST(sc.n + sc.b * 0.05 AS DOUBLE), 6) AS score
        FROM sq JOIN sc USING (query) WHERE sc.rank <= 5""",
     "meds", "paras",
 )
