@@ -3,15 +3,17 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-from clientlens.llm import exact_dedup, quality_rules
+from clientlens.llm import exact_dedup, partenum, quality_rules
 from clientlens.llm.common import documents
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
     "op4_quality_rules": lambda spark, sf_dir: quality_rules.op4(documents(spark, sf_dir)),
+    "op10_partenum_join": partenum.op10,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op10_partenum_join": partenum.SQL,
 }
