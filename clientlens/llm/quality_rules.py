@@ -125,7 +125,9 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy
     """The rows that the policy keeps, with the columns they came with."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if docs.columns else F.struct()
     led = ledger(docs.select(row.alias("doc_id"), F.col(text_col).alias("text")))
-    return led.where(verdict(F.col("fail_bits"), policy)).select("doc_id.*")
+    # pushed into the measurements, the filter would evaluate them once per use: it can't pass this column
+    led = led.withColumn("__fixed", F.monotonically_increasing_id())
+    return led.where(verdict(F.col("fail_bits"), policy) & (F.col("__fixed") >= 0)).select("doc_id.*")
 
 
 SQL = r"""

@@ -3,17 +3,22 @@ production parameters, to its whole table."""
 
 from __future__ import annotations
 
-from clientlens.llm import exact_dedup, partenum, quality_rules
+import corpus_pipeline
+from clientlens.llm import bpe, exact_dedup, mixing, partenum, quality_rules
 from clientlens.llm.common import documents
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1,
+    "op3_byte_bpe": bpe.op3,
     "op4_quality_rules": lambda spark, sf_dir: quality_rules.op4(documents(spark, sf_dir)),
+    "op5_source_mix": mixing.op5,
     "op10_partenum_join": partenum.op10,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
+    "op5_source_mix": mixing.SQL,
     "op10_partenum_join": partenum.SQL,
 }
