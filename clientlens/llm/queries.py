@@ -4,7 +4,7 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 import corpus_pipeline
-from clientlens.llm import bpe, exact_dedup, mixing, partenum, quality_rules
+from clientlens.llm import bpe, classifier, exact_dedup, mixing, partenum, quality_rules, secrets, warc
 from clientlens.llm.common import documents
 
 QUERIES = {
@@ -12,6 +12,9 @@ QUERIES = {
     "op3_byte_bpe": bpe.op3,
     "op4_quality_rules": lambda spark, sf_dir: quality_rules.op4(documents(spark, sf_dir)),
     "op5_source_mix": mixing.op5,
+    "op7_secret_ownership": secrets.op7,
+    "op8_quality_qda": classifier.op8,
+    "op9_warc_revisit": warc.op9,
     "op10_partenum_join": partenum.op10,
     "pipeline": corpus_pipeline.run,
 }
@@ -20,5 +23,6 @@ SQL = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op5_source_mix": mixing.SQL,
+    "op9_warc_revisit": warc.SQL,
     "op10_partenum_join": partenum.SQL,
 }
