@@ -73,30 +73,38 @@ def key_bitmap(keys: DataFrame, key: Column, bits: int = BITMAP_BITS) -> DataFra
     )
 
 
+def free(columns: list[str], name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in (c.lower() for c in columns):
+        name += "_"
+    return name
+
+
 def flag_by_bitmap(df: DataFrame, key: Column, bitmap: DataFrame, flag: str, bits: int = BITMAP_BITS) -> DataFrame:
     """``df`` with boolean ``flag``: false only if the key is not among the bitmap's keys."""
     cols = [F.col(f"`{c}`") for c in df.columns]
+    where, bit, found = (free(df.columns, x) for x in ("__slice", "__bit", "__bitmap"))
     h = F.pmod(F.xxhash64(key), F.lit(bits)) + 1
-    probe = df.select(*cols, F.bitmap_bucket_number(h).alias("__slice"), F.bitmap_bit_position(h).alias("__bit"))
-    hit = probe.join(F.broadcast(bitmap), "__slice", "left")
-    byte = F.substr(F.col("__bitmap"), (F.col("__bit") / 8).cast("int") + 1, F.lit(1))
+    probe = df.select(*cols, F.bitmap_bucket_number(h).alias(where), F.bitmap_bit_position(h).alias(bit))
+    hit = probe.join(F.broadcast(bitmap.toDF(where, found)), where, "left")
+    byte = F.substr(F.col(found), (F.col(bit) / 8).cast("int") + 1, F.lit(1))
     byte = F.conv(F.hex(byte), 16, 10).cast("int")
-    return hit.select(*cols, F.coalesce(F.getbit(byte, F.pmod(F.col("__bit"), F.lit(8)).cast("int")) == 1, F.lit(False)).alias(flag))
+    return hit.select(*cols, F.coalesce(F.getbit(byte, F.pmod(F.col(bit), F.lit(8)).cast("int")) == 1, F.lit(False)).alias(flag))
 
 
-def semi_by_key(df: DataFrame, keys: DataFrame, key: str, bitmap: DataFrame | None = None) -> DataFrame:
+def semi_by_key(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``keys`` (one column ``key``).  Wide rows are
     dropped by the bitmap before the shuffle; the join then decides exactly."""
-    bm = key_bitmap(keys, F.col(key)) if bitmap is None else bitmap
-    hit = flag_by_bitmap(df, F.col(key), bm, "__hit").where("__hit").drop("__hit")
+    flag = free(df.columns, "__hit")
+    hit = flag_by_bitmap(df, F.col(key), key_bitmap(keys, F.col(key)), flag).where(F.col(flag)).drop(flag)
     return hit.join(keys.select(key).distinct(), key, "left_semi")
 
 
 def anti_by_key(df: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``df`` whose ``key`` columns are not in ``keys``: rows that the bitmap rules out
     pass without a shuffle, the others are anti-joined."""
-    bm = key_bitmap(keys, F.struct(*key))
-    hit = flag_by_bitmap(df, F.struct(*key), bm, "__hit")
-    clear = hit.where(~F.col("__hit")).drop("__hit")
-    rest = hit.where("__hit").drop("__hit").join(keys.select(*key), key, "left_anti")
+    flag = free(df.columns, "__hit")
+    hit = flag_by_bitmap(df, F.struct(*key), key_bitmap(keys, F.struct(*key)), flag)
+    clear = hit.where(~F.col(flag)).drop(flag)
+    rest = hit.where(F.col(flag)).drop(flag).join(keys.select(*key), key, "left_anti")
     return clear.unionByName(rest)

@@ -10,8 +10,8 @@
    called again with the same ``state`` folder: new ledger files go on from the state.
 3. Hits (digests with more than one row) are checked on their full bytes: the stayer's
    content is fetched by its locator and compared with each copy.  A fixed-size bitmap of
-   the hit digests is broadcast, so only texts that have a copy are shuffled; the join
-   is one that adaptive execution splits for hot digests.
+   the hit digests is broadcast, so only texts that have a copy are shuffled; digests that
+   hold over a thousandth of all rows are salted.
 4. Rows whose digest matches but whose bytes differ (a collision) are regrouped on the
    text itself, so results do not rest on the digest.
 
@@ -41,6 +41,8 @@ _STATE_CONF = {
 }
 #: Ledger bytes that one micro-batch takes at most.
 BATCH_BYTES = 32 << 30
+#: Tasks over which the rows of a hot digest are dealt.
+SALTS = 64
 
 
 def normalised(text: Column) -> Column:
@@ -91,15 +93,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     state = keyed_state(spark, ledger_dir, ledger.schema, f"{state_dir}/state")
     hits = state.where("n > 1")
 
+    # a digest with over a thousandth of all rows is dealt over SALTS tasks (there are under 1000)
+    hot = hits.where(F.col("n") * 1000 > ledger.count()).select("digest", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("__path", "__row"), F.lit(SALTS))).otherwise(F.lit(0))
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    one = lambda rows: rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", salt.cast("int")).drop("hot")
+    every = lambda rows: rows.join(F.broadcast(hot), "digest", "left").withColumn("salt", F.explode(salts)).drop("hot")
+
     # full bytes of every hit against the stayer's, found by its locator
     candidates = flag_by_bitmap(texts, F.col("digest"), key_bitmap(hits, F.col("digest")), "__hit").where("__hit").drop("__hit")
     stayer = candidates.join(
         hits.select(F.col("digest"), F.col("first.path").alias("__path"), F.col("first.row").alias("__row")),
         ["digest", "__path", "__row"]).select("digest", F.col("text").alias("kept_text"))
-    clash = candidates.join(stayer, "digest").where(F.col("text") != F.col("kept_text")).select("digest").distinct()
+    clash = one(candidates).join(every(stayer), ["digest", "salt"]).where(F.col("text") != F.col("kept_text")).select("digest").distinct()
     clash = shared_table(clash, "dedup-clash")
 
-    rows = ledger.join(state, "digest").withColumn("group", F.struct("first", "n"))
+    rows = one(ledger).join(every(state), ["digest", "salt"]).withColumn("group", F.struct("first", "n"))
     if not clash.isEmpty():
         again = texts.join(clash, "digest")
         by_text = again.groupBy("digest", "text").agg(F.struct(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n")).alias("group"))
