@@ -21,7 +21,10 @@ a signature that a third of all rows share sends a row per batch, not per docume
 deficient sets, are joined by prefix filter: of the shingles ordered by frequency, linked
 sets share one among their first n - ceil(0.8 n) + 1.  Pairs inside one component are
 skipped, all others are compared, so no link between components is lost.
-*Check.* Every candidate pair is decided on the whole shingle sets.
+*Check.* Every candidate pair is decided on the whole shingle sets.  Before sets move, a pair
+falls if parity sketches prove it apart: each set has one bit per bucket of a hash, the
+parity of its shingles there; where two bits differ the sets differ, so more differing bits
+than differences allowed rule a link out, and nothing else does.
 
 Shingles are 64-bit hashes (a false match within two documents needs about 2^32 shingles).
 
@@ -32,23 +35,26 @@ in nothing and have a null component; empty tables give empty results."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clientlens.llm.common import anti_by_key, documents, is_scan, semi_by_key, shared_table
 from clientlens.llm.components import components
-from clientlens.llm.shingles import mix, shingle_set
+from clientlens.llm.shingles import mix, shingle_sets
 
 NUM, DEN = 80, 100  # the similarity of a link
 CAP = 32            # rows of a bucket that yields all its pairs
 SHORT = 64          # sets under this size enumerate subsets of partitions
-#: Documents signed at once (a bound on memory; results do not depend on it).
-CHUNK = 4096
+#: Characters of the texts signed at once, or one longer text (a bound on memory; results do
+#: not depend on it), and rows sent on at once.
+CHUNK, SEND = 4 << 20, 1 << 18
 
 #: Kinds of rows (kind, x, a): signature rows carry the signature in x (LEAD: of a bucket
 #: already large in its chunk), pairs the other document, DEFICIENT nothing.
@@ -127,11 +133,20 @@ def signatures(size: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(who), np.concatenate(sigs), lacking
 
 
+def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (id, text) of about CHUNK characters."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHUNK, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _sets(batch: pa.RecordBatch) -> tuple[np.ndarray, list[np.ndarray]]:
     """Ids of a batch with an id, and their sets."""
-    ids, texts = batch.column(0), batch.column(1)
-    keep = [i for i in range(len(ids)) if ids[i].is_valid]
-    return np.array([ids[i].as_py() for i in keep], np.int64), [shingle_set(texts[i].as_py()) for i in keep]
+    batch = batch.filter(batch.column(0).is_valid())
+    return batch.column(0).to_numpy(), shingle_sets(batch.column(1).to_pylist())
 
 
 def _batch(schema: pa.Schema, **cols) -> pa.RecordBatch:
@@ -146,8 +161,8 @@ def _rows(kind, x: np.ndarray, a: np.ndarray) -> pa.RecordBatch:
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> signature rows; buckets that are large within a chunk are reduced here."""
     for whole in batches:
-        for at in range(0, len(whole), CHUNK):
-            ids, sets = _sets(whole.slice(at, CHUNK))
+        for part in _chunks(whole):
+            ids, sets = _sets(part)
             full = np.array([len(s) > 0 for s in sets], bool)
             if not full.any():
                 continue
@@ -164,7 +179,9 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lead[start] = True
             large = np.repeat(count > CAP, count)
             go = ~large | lead
-            yield _rows(np.where(large[go], LEAD, ROW).astype(np.int32), sig[go], doc[go])
+            kind, x, a = np.where(large[go], LEAD, ROW).astype(np.int32), sig[go], doc[go]
+            for i in range(0, len(a), SEND):
+                yield _rows(kind[i : i + SEND], x[i : i + SEND], a[i : i + SEND])
             if not go.all():
                 hub = np.repeat(doc[start], count)[~go]
                 yield _rows(HOT, sig[~go], doc[~go])
@@ -231,21 +248,42 @@ def _pairs(groups: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield _rows(np.tile(kind, len(g)), g[:, j].ravel(), g[:, i].ravel())
 
 
-_SIZED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary())])
+_SIZED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary())])
+_SIZED_DDL = "doc_id long, n_shingles long, digest binary, sketch binary"
+SKETCH = 1024  # bits
 
 
-def _sized(batches):
+def sketches(sets: list[np.ndarray]) -> list[bytes]:
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = (mix(np.concatenate(sets) if sets else np.empty(0, np.uint64)) % np.uint64(SKETCH)).astype(np.int64)
+    odd = np.bincount(owner * SKETCH + place, minlength=len(sets) * SKETCH) & 1
+    return [x.tobytes() for x in np.packbits(odd.astype(bool).reshape(len(sets), SKETCH), axis=1)]
+
+
+def _apart(batches):
+    """(a, n_a, sketch_a, b, n_b, sketch_b) -> the pairs that may be linked."""
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).to_pylist()]
+        if not len(batch):
+            continue
+        n = batch.column(1).to_numpy() + batch.column(4).to_numpy()
+        left, right = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(n), -1) for i in (2, 5))
+        differ = np.bitwise_count(left ^ right).sum(1, dtype=np.int64)
+        near = pa.array(differ <= n * (DEN - NUM) // (DEN + NUM))
+        yield pa.RecordBatch.from_arrays([batch.column(0).filter(near), batch.column(3).filter(near)], schema=_PAIR)
+
+
+def _sized(batches):
+    for batch in (part for whole in batches for part in _chunks(whole)):
+        sets = shingle_sets(batch.column(1).to_pylist())
         digest = [blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-        yield _batch(_SIZED, doc_id=batch.column(0), n_shingles=[len(s) for s in sets], digest=digest)
+        yield _batch(_SIZED, doc_id=batch.column(0), n_shingles=[len(s) for s in sets], digest=digest, sketch=sketches(sets))
 
 
 _SET = pa.schema([("node", pa.int64()), ("items", pa.binary())])
 
 
 def _with_sets(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in _chunks(whole)):
         ids, sets = _sets(batch)
         yield _batch(_SET, node=ids, items=[s.tobytes() for s in sets])
 
@@ -285,8 +323,9 @@ def _names(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
 class _Join:
     """The steps of one join, over the texts (doc_id, text) of one table."""
 
-    def __init__(self, texts: DataFrame, repeated: bool):
+    def __init__(self, texts: DataFrame, sized: DataFrame, repeated: bool):
         self.texts, self.repeated = texts, repeated
+        self.sized = sized.where("digest IS NOT NULL").select("doc_id", "n_shingles", "sketch")
         self.links: DataFrame | None = None
         self.comp: DataFrame | None = None
 
@@ -302,7 +341,11 @@ class _Join:
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of ``pairs`` (a, b), decided on whole sets."""
-        pairs = shared_table(pairs, "jaccard-pairs")
+        for end in ("a", "b"):
+            own = _names(self.sized, ("doc_id", end), ("n_shingles", f"n_{end}"), ("sketch", f"sketch_{end}"))
+            pairs = pairs.join(own, end)
+        pairs = pairs.select("a", "n_a", "sketch_a", "b", "n_b", "sketch_b").mapInArrow(_apart, "a long, b long")
+        pairs = shared_table(pairs.distinct() if self.repeated else pairs, "jaccard-pairs")
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         sets = shared_table(self.sets(shared_table(nodes, "jaccard-nodes")), "jaccard-sets")
         left = pairs.join(_names(sets, ("node", "a"), ("items", "items_a")), "a")
@@ -354,9 +397,25 @@ _FITS = f"{DEN} * {{0}} >= {NUM} * {{1}} AND {DEN} * {{1}} >= {NUM} * {{0}}"
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    with _rows_per_batch(docs.sparkSession):
+        return _join(docs, id_col, text_col)
+
+
+@contextmanager
+def _rows_per_batch(spark: SparkSession, rows: int = 2000, key: str = "spark.sql.execution.arrow.maxRecordsPerBatch"):
+    """Arrow batches of texts and sets stay small, whatever the session's setting."""
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+
+
+def _join(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     docs = docs if is_scan(docs) else shared_table(docs, "jaccard-input")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sized = shared_table(texts.mapInArrow(_sized, "doc_id long, n_shingles long, digest binary"), "jaccard-sized")
+    sized = shared_table(texts.mapInArrow(_sized, _SIZED_DDL), "jaccard-sized")
 
     # equal sets are linked by digest; only the first document of each goes on
     some = sized.where("digest IS NOT NULL AND doc_id IS NOT NULL")
@@ -376,7 +435,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = pairs.groupBy(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).agg(F.min("kind").alias("kind"))
     pairs = shared_table(pairs, "jaccard-candidates")
 
-    step = _Join(texts, repeated)
+    step = _Join(texts, sized, repeated)
     step.add(copies.unionByName(step.verify(pairs.where(F.col("kind") == STAR).select("a", "b"))))
     step.add(step.verify(step.across(pairs.where(F.col("kind") == PAIR).select("a", "b"))))
     hot = step.labelled(_names(found.where(F.col("kind") == HOT), ("x", "x"), ("a", "node")), "node", "component")
@@ -405,7 +464,8 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^ 	-]+') AS w FROM documents),
+    '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS x FROM w),
 n AS (SELECT doc_id, CAST(len(x) AS BIGINT) AS n_shingles FROM s),

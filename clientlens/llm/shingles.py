@@ -12,23 +12,46 @@ _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB),
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64): every input bit reaches every output bit."""
     x = x + _STEP
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
 
 
-def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
-    """Distinct n-word shingles of a text with A-Z lower-cased, as sorted hashes; with fewer
+def shingle_sets(texts: list[str | None], n: int = WORDS) -> list[np.ndarray]:
+    """Per text its distinct n-word shingles with A-Z lower-cased, as sorted hashes; with fewer
     words the whole sequence is one shingle; without words the set is empty.  bytes.lower
     and bytes.split touch ASCII only: exactly A-Z, and exactly [\\x20\\x09-\\x0D]."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, np.uint64)
-    h = mix(np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)))
-    k = min(n, len(h))
-    acc = h[: len(h) - k + 1].copy()
-    for i in range(1, k):
-        acc = mix(acc) + h[i : len(h) - k + 1 + i]
-    if k < n:  # a short sequence is no shingle of a longer text
-        acc ^= np.uint64(k)
-    return np.unique(mix(acc))
+    size, parts = np.empty(len(texts), np.int64), []
+    for i, t in enumerate(texts):
+        tokens = (t or "").encode("utf-8", "surrogatepass").lower().split()
+        size[i] = len(tokens)
+        parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens)))
+    words = mix(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
+    full = np.empty(0, np.uint64)
+    if len(words) >= n:  # windows over all texts end to end; those across two texts are left out below
+        full = words[: len(words) - n + 1].copy()
+        for i in range(1, n):
+            full = mix(full) + words[i : len(words) - n + 1 + i]
+        full = mix(full)
+    out, at = [], 0
+    for k in size.tolist():
+        if k >= n:
+            x = np.sort(full[at : at + k - n + 1])
+            x = x[np.append(True, x[1:] != x[:-1])]
+        elif k:  # a short sequence is no shingle of a longer text
+            x = words[at : at + 1].copy()
+            for i in range(1, k):
+                x = mix(x) + words[at + i]
+            x = mix(x ^ np.uint64(k))
+        else:
+            x = np.empty(0, np.uint64)
+        out.append(x)
+        at += k
+    return out
+
+
+def shingle_set(text: str | None, n: int = WORDS) -> np.ndarray:
+    return shingle_sets([text], n)[0]
