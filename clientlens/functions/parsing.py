@@ -51,15 +51,3 @@ def days_between(later: Column | str, earlier: Column | str) -> Column:
 
 def collapse_ws(c: Column | str) -> Column:
     return F.regexp_replace(col_(c), r"(?U)\s+", " ")
-
-
-def ensure_parallelism(df, key: str | None = None):
-    """Spread CPU-heavy per-row work when the scan yields fewer tasks than the
-    cluster has cores (e.g. one large single-row-group file).  On large inputs
-    the scan already has many splits and this adds nothing; otherwise the rows
-    are hash-partitioned on ``key`` (deterministic under task retries)."""
-    spark = df.sparkSession
-    want = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want, key) if key else df.repartition(want)

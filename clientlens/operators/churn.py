@@ -5,10 +5,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientlens.operators.ranking import global_positions
+from clientlens.operators.ranking import running_counts
 from clientlens.schemas import require_columns
 
 # fixed values: the frozen churn reference date on the driver tables and the label window
@@ -45,6 +45,17 @@ def check_coverage(subscriptions: DataFrame, t: dt.date = T_REF, horizon_days: i
         raise CoverageError(f"insufficient coverage: max(date_paiement)={row['max_payment']} < T+{horizon_days}d={row['required']}")
 
 
+def require_coverage(df: DataFrame, subscriptions: DataFrame, t: dt.date = T_REF,
+                     horizon_days: int = HORIZON_DAYS) -> DataFrame:
+    """``df``, which fails when it runs if payments end before the label window does: labels
+    would otherwise say churn for want of data.  No job runs while planning."""
+    guard = coverage_guard(subscriptions, t, horizon_days)  # one row
+    text = F.concat(F.lit("insufficient coverage: max(date_paiement)="), F.coalesce(F.col("max_payment").cast("string"), F.lit("none")),
+                    F.lit(f" < T+{horizon_days}d="), F.col("required").cast("string"))
+    out = df.crossJoin(F.broadcast(guard.select("ok", text.alias("_why"))))
+    return out.where(F.when(F.col("ok"), F.lit(True)).otherwise(F.raise_error(F.col("_why")).cast("boolean"))).drop("ok", "_why")
+
+
 def pre_t_features(subscriptions: DataFrame, t: dt.date = T_REF) -> DataFrame:
     """A3: rows dated before T, every status: count, sum, last date, days since."""
     pre = subscriptions.where(F.col("client_id").isNotNull() & (F.col("date_paiement") < F.lit(t)))
@@ -150,8 +161,14 @@ def temporal_split(df: DataFrame, test_size: float = 0.3, label_col: str = "chur
                    order_col: str = "days_since_last_paid", key_col: str = "client_id") -> DataFrame:
     """Order by ``order_col`` (ties: ``key_col``); the last max(1, round_half_even(n*test_size))
     rows are test.  If train lacks a class present overall, the first label-1 test row moves
-    to train.  Adds ``_pos`` and ``split``; positions come from ``global_positions``."""
-    pos = global_positions(df, [F.col(order_col).asc_nulls_first(), F.col(key_col).asc()])
+    to train.  Adds ``_pos`` (0-based) and ``split``: a row's position is the number of rows of
+    earlier days (one row per day) and of smaller keys of its day (banded running counts)."""
+    day = df.withColumn("_day", F.coalesce(F.col(order_col).cast("long"), F.lit(-(1 << 62)))).withColumn("_one", F.lit(1))
+    per = day.groupBy("_day").agg(F.sum("_one").alias("_d"))
+    earlier = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select(F.col("_day"), F.coalesce(F.sum("_d").over(earlier), F.lit(0)).alias("_before"))
+    pos = running_counts(day, ["_day"], key_col, "_one").join(F.broadcast(per), "_day")  # a row per day
+    pos = pos.withColumn("_pos", (F.col("_before") + F.col("cum_before")).cast("long")).select(*df.columns, "_pos")
     n = df.agg(F.count(F.lit(1)).alias("n")).select(
         "n", F.greatest(F.lit(1), F.bround(F.col("n") * F.lit(test_size), 0).cast("long")).alias("n_test")
     )

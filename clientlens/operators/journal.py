@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clientlens.functions.parsing import strip
 from clientlens.schemas import DECISION_LOG, DECISION_TYPES, SCOPE_TYPES, require_columns
+from clientlens.session import materialize, stored
 
 MAX_RATIONALE = 200
 
@@ -28,19 +29,25 @@ def journal_validate(rows: DataFrame) -> DataFrame:
     )
 
 
+def _decision_id() -> Column:
+    """A decision is all it says."""
+    return F.sha2(F.to_json(F.struct(*[f.name for f in DECISION_LOG.fields])), 256)
+
+
 def journal_append(rows: DataFrame, path: str) -> DataFrame:
-    """Append the valid rows to the journal table; return the valid rows."""
+    """Append the valid rows that the journal doesn't have yet; return the valid rows.
+    Appending the same rows again leaves the journal as it is."""
+    spark = rows.sparkSession
     v = journal_validate(rows).where(F.col("reason").isNull()).drop("reason")
-    v.write.mode("append").parquet(path)
+    known = read_journal(spark, path).select(_decision_id().alias("_id"))
+    fresh = v.withColumn("_id", _decision_id()).dropDuplicates(["_id"]).join(known, "_id", "left_anti").drop("_id")
+    materialize(fresh).write.mode("append").parquet(path)
     return v
 
 
 def read_journal(spark, path: str) -> DataFrame:
     """Journal with its declared schema; empty when it does not exist yet."""
-    try:
-        return spark.read.schema(DECISION_LOG).parquet(path)
-    except Exception:  # noqa: BLE001 - absent journal reads as empty
-        return spark.createDataFrame([], DECISION_LOG)
+    return stored(spark, path, DECISION_LOG)
 
 
 def journal_view(journal: DataFrame, scope_type: str | None = None, scope_value: str | None = None) -> DataFrame:

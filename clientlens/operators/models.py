@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from clientlens.operators.churn import temporal_split
 from clientlens.schemas import require_columns
+from clientlens.session import materialize, stored
 
 REV_NUM = ["nb_paiements", "actions_total", "sessions_total", "anciennete_jours"]
 REV_CAT = ["plan", "ville"]
@@ -112,9 +113,7 @@ def churn_metrics(pred: DataFrame, actual: str = "actual", prediction: str = "pr
 
 def classification_report(pred: DataFrame, actual: str = "actual", prediction: str = "prediction") -> DataFrame:
     """Per-class precision / recall / f1 / support, accuracy, macro and weighted averages."""
-    from clientlens.session import materialize
-
-    c = materialize(_confusion(pred, actual, prediction))  # one row, read by four branches
+    c = _confusion(pred, actual, prediction)  # one row
     tn, fp, fn, tp = (F.col(x) for x in ("tn", "fp", "fn", "tp"))
 
     def cls(label, tp_, fp_, fn_):
@@ -163,24 +162,25 @@ def _metrics_row(spark, model_name: str, target: str, m: DataFrame, n_rows: int,
                     F.lit(dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)).alias("run_ts"))
 
 
-def train_revenue(ml_ready: DataFrame, kind: str = "linear", seed: int = 42):
-    """M2 / M3: fit on the hash-split 80 %, score the 20 %; returns (model, predictions, metrics row)."""
-    require_columns(ml_ready, REV_NUM + REV_CAT + [REV_TARGET], "ml_ready")
-    check_training_set(ml_ready, REV_TARGET, "ml_ready")
-    from clientlens.session import work_dir
+MAX_DEPTH = 30  # MLlib's own limit: trees grow until their leaves are pure
 
-    work_dir(ml_ready.sparkSession)
-    data = hash_split(ml_ready.withColumn("label", F.col(REV_TARGET).cast("double")), seed=seed).checkpoint(eager=True)
+
+def train_revenue(ml_ready: DataFrame, kind: str = "linear", seed: int = 42, max_depth: int = MAX_DEPTH):
+    """M2 / M3: fit on the hash-split 80 %, score the 20 %; returns (model, predictions, metrics row).
+    The input is computed once, into a checkpoint that every step reads."""
+    require_columns(ml_ready, REV_NUM + REV_CAT + [REV_TARGET], "ml_ready")
+    data = materialize(hash_split(ml_ready.withColumn("label", F.col(REV_TARGET).cast("double")), seed=seed))
+    check_training_set(data, REV_TARGET, "ml_ready")
     if kind == "linear":
-        est, name = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="normal"), "LinearRegression"
+        est, name = LinearRegression(featuresCol="features", labelCol="label", regParam=0.0, solver="auto"), "LinearRegression"
     else:
         est = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=100, featureSubsetStrategy="all",
-                                    maxDepth=15, seed=seed)
+                                    maxDepth=max_depth, seed=seed)
         name = "RandomForestRegressor"
     model = Pipeline(stages=preprocess_stages(REV_NUM, REV_CAT, scale=True) + [est]).fit(data.where("split = 'train'"))
     pred = model.transform(data.where("split = 'test'")).select(
         "client_id", F.col("label").alias("actual"), F.col("prediction"))
-    n = ml_ready.count()
+    n = data.count()
     return model, pred, _metrics_row(ml_ready.sparkSession, name, REV_TARGET, regression_metrics(pred), n,
                                      len(REV_NUM + REV_CAT))
 
@@ -199,29 +199,25 @@ def train_churn(churn_ready: DataFrame, test_size: float = 0.3):
     returns (model, test predictions, split frame).  regParam = 1/n_train with
     standardization off is the same objective as C=1 in the reference."""
     require_columns(churn_ready, CHURN_NUM + CHURN_CAT + [CHURN_TARGET], "churn_ready")
+    # the split reads its input several times, as do the estimator's stages: each is
+    # written once (reliable checkpoint in the shared folder; survives executor loss)
+    churn_ready = materialize(churn_ready)
     check_training_set(churn_ready, CHURN_TARGET, "churn_ready")
-    from clientlens.session import work_dir
-
-    work_dir(churn_ready.sparkSession)  # make sure the shared checkpoint folder is set
-    split = temporal_split(churn_ready, test_size).withColumn("label", F.col(CHURN_TARGET).cast("double"))
-    # every estimator stage re-reads the training set: cut the lineage once
-    # (reliable checkpoint in the shared folder; survives executor loss)
-    split = split.checkpoint(eager=True)
+    split = materialize(temporal_split(churn_ready, test_size).withColumn("label", F.col(CHURN_TARGET).cast("double")))
     train = split.where("split = 'train'")
     n_train = train.count()
     lr = LogisticRegression(featuresCol="features", labelCol="label", regParam=1.0 / max(n_train, 1),
                             elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-6)
     model = Pipeline(stages=preprocess_stages(CHURN_NUM, CHURN_CAT, scale=False) + [lr]).fit(train)
-    test_pred = score_churn(model, split.where("split = 'test'")).join(
-        split.select("client_id", F.col(CHURN_TARGET).alias("actual")), "client_id")
-    return model, test_pred, split
+    test = split.where("split = 'test'").withColumn("actual", F.col(CHURN_TARGET))
+    return model, score_churn(model, test, "actual"), split
 
 
-def score_churn(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """M6: probability of class 1 and hard class (p > 0.5)."""
+def score_churn(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
+    """M6: probability of class 1 and hard class (p > 0.5); ``keep`` columns go along."""
     out = model.transform(df)
     p = vector_to_array("probability")[1]
-    return out.select("client_id", p.alias("churn_probability"), (p > 0.5).alias("churn"),
+    return out.select("client_id", *keep, p.alias("churn_probability"), (p > 0.5).alias("churn"),
                       F.col("prediction").cast("int").alias("prediction"))
 
 
@@ -265,6 +261,15 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def append_runs(spark, runs: DataFrame, path: str) -> DataFrame:
+    """Add the runs (keyed by ``run_id``) that the history at ``path`` doesn't have yet; the
+    history.  Running again with the same runs leaves it as it is."""
+    known = stored(spark, path, runs.schema)
+    fresh = materialize(runs.join(known.select("run_id"), "run_id", "left_anti").select(*runs.columns))
+    fresh.write.mode("append").parquet(path)
+    return spark.read.schema(runs.schema).parquet(path)
+
+
 def latest_run(history: DataFrame) -> DataFrame:
     """The last metrics run."""
     return history.agg(F.max_by(F.struct(*history.columns), "run_ts").alias("r")).select("r.*")

@@ -1,92 +1,49 @@
-"""Order statistics without single-task windows.
+"""Order statistics without single-task windows and without jobs while planning.
 
-Plans here never put a whole group (a plan, or the whole table) into one
-task.  Rows are range-partitioned on the ordering key, so every task holds a
-balanced slice; per-slice totals (at most partitions x groups rows) give the
-offsets that turn local positions into global ones.
-"""
+Values are cut into bands by a function that never falls as the value rises, so a group (a
+plan, or the whole table) of any size is spread over its bands.  A band's offset is the
+running total of the bands before it; there are at most some hundred thousand bands,
+whatever the number of rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from clientlens.session import materialize
+# tasks over which the rows of one very frequent value are dealt
+SALTS = 32
 
 
-def _parts(df: DataFrame, n: int | None) -> int:
-    return n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def band(df: DataFrame, col: str) -> Column:
+    """Numbers: 256 bands per factor e, by sign; text: its first characters."""
+    if isinstance(df.schema[col].dataType, T.StringType):
+        return F.substring(col, 1, 4)
+    v = F.col(col).cast("double")
+    size = F.floor(F.log1p(F.least(F.abs(v), F.lit(1e300))) * 256.0).cast("double")
+    return F.when(F.isnan(v), F.lit(1e9)).otherwise(F.signum(v) * size + 0.0)
 
 
-def global_positions(df: DataFrame, order_cols: list[Column], n: int | None = None, pos_col: str = "_pos") -> DataFrame:
-    """0-based position of each row in the total order ``order_cols``.
-
-    ``order_cols`` must be a total order (end with a unique key) so the
-    result is deterministic and survives task retries.  Cost: one range
-    shuffle; offsets are a ``n``-row table (size-bounded broadcast)."""
-    ranged = df.repartitionByRange(_parts(df, n), *order_cols).sortWithinPartitions(*order_cols)
-    # Range boundaries come from a sample seeded per execution: positions and the
-    # per-slice counts must come from ONE execution, so the slices are written
-    # once (reliable checkpoint) and both are derived from that copy.
-    local = materialize(ranged.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_local", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
-    ))
-    counts = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    return (
-        local.join(F.broadcast(offsets), "_pid")
-        .withColumn(pos_col, F.col("_off") + F.col("_local"))
-        .drop("_pid", "_local", "_off")
-    )
-
-
-def running_counts(hist: DataFrame, group_cols: list[str], value_col: str, weight_col: str,
-                   n: int | None = None) -> DataFrame:
-    """For a histogram (group..., value, weight) add ``cum_before`` / ``cum_incl``:
-    the total weight of values strictly below / at-or-below ``value`` in its group.
-
-    Range partitioning on (group, value) spreads even a single huge group over
-    all tasks; the per-(slice, group) totals are tiny and give the offsets."""
-    keys = [F.col(g) for g in group_cols] + [F.col(value_col)]
-    # one execution of the range shuffle feeds both the local sums and the slice
-    # totals (boundaries are sampled per execution), hence the checkpoint
-    ranged = materialize(hist.repartitionByRange(_parts(hist, n), *keys).withColumn("_pid", F.spark_partition_id()))
-    gp = ["_pid"] + group_cols
+def running_counts(hist: DataFrame, group_cols: list[str], value_col: str, weight_col: str) -> DataFrame:
+    """For rows (group..., value, weight) with distinct values in a group add ``cum_before`` /
+    ``cum_incl``: the total weight of values strictly below / at-or-below ``value``."""
+    h = hist.withColumn("_band", band(hist, value_col))
+    gp = [*group_cols, "_band"]
     w_local = Window.partitionBy(*gp).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_run", F.sum(weight_col).over(w_local))
-    totals = ranged.groupBy(*gp).agg(F.sum(weight_col).alias("_t"))
-    w_off = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    w_off = Window.partitionBy(*group_cols).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    totals = h.groupBy(*gp).agg(F.sum(weight_col).alias("_t"))
     offsets = totals.select(*gp, F.coalesce(F.sum("_t").over(w_off), F.lit(0)).alias("_off"))
-    out = local.join(offsets, gp).withColumn("cum_incl", F.col("_off") + F.col("_run"))
-    return out.withColumn("cum_before", F.col("cum_incl") - F.col(weight_col)).drop("_pid", "_run", "_off")
-
+    out = h.withColumn("_run", F.sum(weight_col).over(w_local)).join(offsets, gp)
+    out = out.withColumn("cum_incl", F.col("_off") + F.col("_run"))
+    return out.withColumn("cum_before", F.col("cum_incl") - F.col(weight_col)).drop("_band", "_run", "_off")
 
-# Per-group buffers (the built-in exact ``percentile`` map, a per-group window
-# over the histogram) are only used when every group has at most this many
-# distinct values, checked with one small job; beyond it the range-partitioned
-# path runs.  Both paths are exact.
-MAX_GROUP_DISTINCT = 200_000
 
-
-def _max_distinct(hist: DataFrame, group_cols: list[str]) -> int:
-    per = hist.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_d")) if group_cols else hist.agg(F.count(F.lit(1)).alias("_d"))
-    row = per.agg(F.max("_d").alias("m")).first()
-    return int(row["m"] or 0)
-
-
-def exact_quantile(df: DataFrame, group_cols: list[str], value_col: str, q: float,
-                   out_col: str = "quantile", max_group_distinct: int = MAX_GROUP_DISTINCT) -> DataFrame:
+def exact_quantile(df: DataFrame, group_cols: list[str], value_col: str, q: float, out_col: str = "quantile") -> DataFrame:
     """Linear-interpolated quantile (numpy/pandas default, DuckDB ``quantile_cont``)
-    per group, nulls ignored.  Values are first histogrammed (map-side combined).
-    Small domains (checked) use the built-in exact ``percentile`` with frequencies;
-    otherwise the histogram is ranked with ``running_counts`` and only the two
-    bracketing rows per group are kept, so no group is gathered in one task."""
+    per group, nulls ignored.  Values are first histogrammed (map-side combined), ranked with
+    ``running_counts``, and only the two bracketing rows per group are kept."""
     v = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
     hist = v.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_w"))
-    if _max_distinct(hist, group_cols) <= max_group_distinct:
-        agg = F.percentile(F.col(value_col).cast("double"), F.lit(q), F.col("_w")).alias(out_col)
-        return hist.groupBy(*group_cols).agg(agg) if group_cols else hist.agg(agg)
     rc = running_counts(hist, group_cols, value_col, "_w")
     tot = hist.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
     pos = F.lit(q) * (F.col("_n") - 1)
@@ -100,30 +57,29 @@ def exact_quantile(df: DataFrame, group_cols: list[str], value_col: str, q: floa
     agg = sel.groupBy(*group_cols).agg(
         F.max(F.when(hit_lo, F.col(value_col).cast("double"))).alias("_vlo"),
         F.max(F.when(hit_hi, F.col(value_col).cast("double"))).alias("_vhi"),
-        F.first("_frac").alias("_frac"),
+        F.max("_frac").alias("_frac"),
     )
     return agg.select(
         *group_cols, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * F.col("_frac")).alias(out_col)
-    )
+    ).where(F.col(out_col).isNotNull())
 
 
-def cume_dist_in_group(df: DataFrame, group_cols: list[str], value_col: str, out_col: str = "cume_dist",
-                       max_group_distinct: int = MAX_GROUP_DISTINCT) -> DataFrame:
-    """Share of non-null values <= own value inside the group (= ``cume_dist``),
-    null when the own value is null.  Histogram -> cumulative counts (a per-group
-    window over the histogram when its size is checked small, else
-    ``running_counts``) -> joined back on (group, value)."""
+def cume_dist_in_group(df: DataFrame, group_cols: list[str], value_col: str, out_col: str = "cume_dist") -> DataFrame:
+    """Share of non-null values <= own value inside the group (= ``cume_dist``), null when the own
+    value is null.  Histogram -> running counts -> joined back on (group, value).  Values
+    that hold over a thousandth of all rows (there are under 1000) are salted."""
+    keys = [*group_cols, value_col]
     v = df.where(F.col(value_col).isNotNull())
-    hist = v.groupBy(*group_cols, value_col).agg(F.count(F.lit(1)).alias("_w"))
-    if _max_distinct(hist, group_cols) <= max_group_distinct:
-        w_run = Window.partitionBy(*group_cols).orderBy(value_col).rowsBetween(Window.unboundedPreceding, 0)
-        w_all = Window.partitionBy(*group_cols)
-        frac = hist.select(*group_cols, value_col,
-                           (F.sum("_w").over(w_run) / F.sum("_w").over(w_all)).alias(out_col))
-    else:
-        rc = running_counts(hist, group_cols, value_col, "_w")
-        tot = hist.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
-        frac = rc.join(tot, group_cols).select(
-            *group_cols, value_col, (F.col("cum_incl") / F.col("_n")).alias(out_col)
-        )
-    return df.join(frac, group_cols + [value_col], "left")
+    hist = v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
+    tot = hist.groupBy(*group_cols).agg(F.sum("_w").alias("_n"))
+    frac = running_counts(hist, group_cols, value_col, "_w").join(tot, group_cols).select(
+        *keys, (F.col("cum_incl") / F.col("_n")).alias(out_col), "_w")
+    one = hist.agg(F.sum("_w").alias("_all"))  # one row
+    frac = frac.crossJoin(F.broadcast(one)).withColumn("_hot", F.col("_w") * 1000 > F.col("_all"))
+    hot = hist.crossJoin(F.broadcast(one)).where(F.col("_w") * 1000 > F.col("_all")).select(*keys, F.lit(True).alias("_hot"))
+    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int")
+    rows = df.join(F.broadcast(hot), keys, "left")
+    rows = rows.withColumn("_salt", F.when(F.col("_hot") | F.col(value_col).isNull(), spread).otherwise(F.lit(0))).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    frac = frac.select(*keys, out_col, F.explode(salts).alias("_salt"))
+    return rows.join(frac, [*keys, "_salt"], "left").drop("_salt")

@@ -8,10 +8,12 @@ shuffle), so no query's candidates are ever gathered whole."""
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clientlens.functions.parsing import collapse_ws, ensure_parallelism, strip
+from clientlens.functions.parsing import collapse_ws, strip
 from clientlens.functions.text import fixed_windows, pack_paragraphs, paragraphs, tokens
 
 CHUNK_SIZE, CHUNK_OVERLAP, PARAGRAPH_MAX = 900, 150, 900
@@ -21,7 +23,6 @@ def chunk_fixed(docs: DataFrame, source_col: str, text_col: str = "text",
                 size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """(id, source, chunk, text) windows; id = '<source>::chunk_<k>'."""
     # strip once into a column; the window lambda then only slices it
-    docs = ensure_parallelism(docs, source_col)
     d = docs.select(F.col(source_col).alias("source"), strip(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     d = d.select("source", fixed_windows(F.col("_t"), size, overlap).alias("_w"))
     # outer generator: Spark infers no size(...) > 0 pre-filter for it, which
@@ -36,36 +37,27 @@ def chunk_fixed(docs: DataFrame, source_col: str, text_col: str = "text",
 def chunk_paragraphs(docs: DataFrame, source_col: str, text_col: str = "text",
                      max_len: int = PARAGRAPH_MAX) -> DataFrame:
     """R2: blank-line paragraphs greedily packed up to ``max_len`` chars."""
-    docs = ensure_parallelism(docs, source_col)
     d = docs.select(F.col(source_col).alias("source"), pack_paragraphs(paragraphs(F.col(text_col)), max_len).alias("_c"))
     return d.select("source", F.posexplode_outer("_c").alias("chunk", "text")).where(F.col("chunk").isNotNull())
 
 
 def token_frequencies(chunks: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
     """(key..., token, tf) — map-side combined count per chunk and token."""
-    chunks = ensure_parallelism(chunks, key_cols[0])
     t = chunks.select(*key_cols, F.explode(tokens(F.col(text_col))).alias("token"))
     return t.groupBy(*key_cols, "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-MAX_BROADCAST_VOCAB = 500_000
-
-
 def keyword_retrieve(queries: DataFrame, query_key: str, chunks: DataFrame, chunk_keys: list[str],
-                     k: int = 5, query_text: str = "text", chunk_text: str = "text",
-                     max_broadcast_vocab: int = MAX_BROADCAST_VOCAB) -> DataFrame:
+                     k: int = 5, query_text: str = "text", chunk_text: str = "text") -> DataFrame:
     """score = sum over distinct query tokens found in the chunk of (1 + 0.05 * min(tf, 3));
     score > 0; top k per query, ties by chunk order (``chunk_keys``)."""
     qt = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("token")).distinct()
-    # Only tokens some query contains can score.  When the query vocabulary is
-    # checked small it is broadcast and filters the exploded chunk tokens map-side,
-    # before term frequencies are counted; otherwise chunk frequencies are
-    # aggregated (map-side combined) and joined on token by shuffle.
+    # Only tokens some query contains can score: the query vocabulary filters the exploded
+    # chunk tokens before term frequencies are counted (map-side where Spark finds it
+    # small enough to broadcast; it decides by bytes).
     vocab = qt.select("token").distinct()
-    chunks = ensure_parallelism(chunks, chunk_keys[0])
     toks = chunks.select(*chunk_keys, F.explode(tokens(F.col(chunk_text))).alias("token"))
-    if vocab.count() <= max_broadcast_vocab:
-        toks = toks.join(F.broadcast(vocab), "token", "left_semi")
+    toks = toks.join(vocab, "token", "left_semi")
     ct = toks.groupBy(*chunk_keys, "token").agg(F.count(F.lit(1)).alias("tf"))
     m = qt.join(ct, "token").groupBy(query_key, *chunk_keys).agg(
         F.count(F.lit(1)).alias("n_match"), F.sum(F.least(F.col("tf"), F.lit(3))).alias("bonus_units")
@@ -82,7 +74,7 @@ def hashed_features(df: DataFrame, key: str, text_col: str = "text", dim: int =
     """Sparse hashed term frequencies, L2-normalised: (key, bucket, w) with
     bucket = pmod(hash(token), dim).  Two map-side-combined aggregations; no row
     ever holds more than ``dim`` entries of one text."""
-    t = ensure_parallelism(df, key).select(key, F.explode(tokens(F.col(text_col), 1)).alias("_tok"))
+    t = df.select(key, F.explode(tokens(F.col(text_col), 1)).alias("_tok"))
     tf = t.groupBy(key, F.pmod(F.hash("_tok"), F.lit(dim)).alias("bucket")).agg(F.count(F.lit(1)).alias("_tf"))
     norm = F.sqrt(F.sum(F.col("_tf") * F.col("_tf")).over(Window.partitionBy(key)))
     return tf.select(key, "bucket", (F.col("_tf") / norm).alias("w"))
@@ -114,11 +106,11 @@ def sparse_topk(queries: DataFrame, query_key: str, q_feats: DataFrame, corpus:
                 c_feats: DataFrame, k: int = 4) -> DataFrame:
     """R7 for sparse unit vectors, exact: k nearest by squared L2 (ties: corpus key).
 
-    Dot products come from an inverted-index equi-join on bucket (only pairs
-    sharing a bucket are produced).  Every other chunk is at distance
+    Dot products come from an inverted-index equi-join on bucket: pairs that share a
+    bucket, which with 256 buckets are most pairs.  Every other chunk is at distance
     |q|^2 + |c|^2 (|c|^2 is 0 or 1), so the global first 2k chunks in
     (|c|^2, key) order — a bounded, broadcast list — complete any query that
-    has fewer than k overlapping chunks; no all-pairs product is formed."""
+    has fewer than k overlapping chunks."""
     if k <= 0:
         raise ValueError("top_k must be > 0")
     # unit vectors: |v|^2 is exactly 1, or 0 for a text without tokens
@@ -162,43 +154,25 @@ def sq_l2(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
-MAX_BROADCAST_QUERIES = 20_000
-
-
 def vector_topk(queries: DataFrame, query_key: str, corpus: DataFrame, corpus_key: str, k: int = 4,
-                q_vec: str = "qvec", c_vec: str = "embedding", max_broadcast: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+                q_vec: str = "qvec", c_vec: str = "embedding") -> DataFrame:
     """Exact k nearest corpus vectors per query by squared L2 (ties: corpus key).
 
-    The query side is broadcast only after its row count is checked against
-    ``max_broadcast``; larger query sets are processed in broadcast batches of
-    that size (each a linear scan of the corpus), so results stay exact and the
-    broadcast stays bounded.  Top-k per query uses WindowGroupLimit."""
+    Every query of the stated set is compared with every corpus vector; Spark broadcasts the
+    queries where their bytes allow it and pairs blocks of both sides where not.
+    Top-k per query uses WindowGroupLimit, so only k rows per task and query are shuffled."""
     if k <= 0:
         raise ValueError("top_k must be > 0")
-    n_q = queries.count()
-    qs = queries.select(query_key, q_vec)
-    cs = corpus.select(corpus_key, c_vec)
-    batches = [qs] if n_q <= max_broadcast else [
-        qs.where(F.pmod(F.xxhash64(query_key), F.lit((n_q + max_broadcast - 1) // max_broadcast)) == b)
-        for b in range((n_q + max_broadcast - 1) // max_broadcast)
-    ]
-    out = None
-    for qb in batches:
-        pairs = cs.crossJoin(F.broadcast(qb)).select(query_key, corpus_key, sq_l2(F.col(q_vec), F.col(c_vec)).alias("distance"))
-        w = Window.partitionBy(query_key).orderBy(F.col("distance").asc(), F.col(corpus_key).asc())
-        top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = top if out is None else out.unionByName(top)
-    return out
+    pairs = corpus.select(corpus_key, c_vec).crossJoin(queries.select(query_key, q_vec))
+    pairs = pairs.select(query_key, corpus_key, sq_l2(F.col(q_vec), F.col(c_vec)).alias("distance"))
+    w = Window.partitionBy(query_key).orderBy(F.col("distance").asc(), F.col(corpus_key).asc())
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def label_centroids(emb: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
-    """Unit-norm mean vector per label (one query per label)."""
-    dim_avg = (
-        emb.select(label_col, F.posexplode(vec_col).alias("i", "v"))
-        .groupBy(label_col, "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
-    )
-    c = dim_avg.groupBy(label_col).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("_s"))
-    c = c.select(label_col, F.transform("_s", lambda s: s["m"]).alias("_m"))
+    """Unit-norm mean vector per label (one query per label), in one aggregation of vectors."""
+    mean = Summarizer.mean(array_to_vector(F.col(vec_col).cast("array<double>")))
+    c = emb.groupBy(label_col).agg(mean.alias("_v")).select(label_col, vector_to_array("_v").alias("_m"))
     norm = F.sqrt(F.aggregate("_m", F.lit(0.0), lambda a, x: a + x * x))
     return c.select(label_col, F.transform("_m", lambda x: x / norm).alias("qvec"))
 

@@ -5,6 +5,7 @@ whole of them."""
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -84,7 +85,7 @@ def q_revenue_by_plan(spark, sf_dir):
 
 
 def build_churn_ready(t: Tables) -> DataFrame:
-    return churn.churn_ready(build_report(t), t.subscriptions())
+    return churn.require_coverage(churn.churn_ready(build_report(t), t.subscriptions()), t.subscriptions())
 
 
 @query("pre_t_features")
@@ -124,7 +125,7 @@ def q_serving_features(spark, sf_dir):
 
 @query("temporal_split")
 def q_temporal_split(spark, sf_dir):
-    return churn.temporal_split(materialize(build_churn_ready(_t(spark, sf_dir)))).withColumnRenamed("_pos", "position")
+    return churn.temporal_split(build_churn_ready(_t(spark, sf_dir))).withColumnRenamed("_pos", "position")
 
 
 @query("ml_ready")
@@ -152,8 +153,7 @@ def q_churn_distribution(spark, sf_dir):
 
 
 def _cr(spark, sf_dir):
-    # the views read the churn table several times (medians, ranks, joins back)
-    return materialize(build_churn_ready(_t(spark, sf_dir)))
+    return build_churn_ready(_t(spark, sf_dir))
 
 
 for _name, _fn in {
@@ -197,18 +197,18 @@ def q_dedup_first(spark, sf_dir):
 # ------------------------------------------------- revenue, policy, decisions
 
 
-def fixed_scores(report_df: DataFrame) -> DataFrame:
+def fixed_scores(report_df: DataFrame, *keep) -> DataFrame:
     """Deterministic stand-in for model output (one score per report client) so the
     decision logic gets an exact oracle; the model-driven run is ``agent_batch``."""
     cid = F.col("client_id")
     p = F.when(cid % 17 == 0, F.lit(None).cast("double")).otherwise(((cid * 37) % 100).cast("double") / 100)
-    return report_df.select("client_id", p.alias("churn_probability")).withColumn(
+    return report_df.select("client_id", *keep, p.alias("churn_probability")).withColumn(
         "churn", F.col("churn_probability") > 0.5
     )
 
 
 def build_rule_features(t: Tables, scores: DataFrame | None = None, rep: DataFrame | None = None) -> DataFrame:
-    rep = rep if rep is not None else materialize(build_report(t))  # read for stats, scores and the CA quantile
+    rep = rep if rep is not None else build_report(t)
     ev = t.revenue_events()
     ref = ev.agg(F.max("event_date").alias("ref_date"))
     thr = views.ca_quantile(rep)
@@ -351,22 +351,28 @@ def q_clean_rejects(spark, sf_dir):
 
 # ------------------------------------------------------------------ models
 
-_MODEL_CACHE: dict = {}
+def _model_path(spark, sf_dir, kind) -> str:
+    """Where the model of these tables is saved."""
+    tag = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return f"{work_dir(spark)}/models-{tag}/{kind}"
+
 
+def _train(spark, sf_dir, kind):
+    """The training job: fits on the tables as they are and saves the model."""
+    t = _t(spark, sf_dir)
+    if kind == "churn":
+        res = ml.train_churn(build_churn_ready(t))
+    else:
+        res = ml.train_revenue(report.ml_ready(build_report(t)), kind)
+    res[0].write().overwrite().save(_model_path(spark, sf_dir, kind))
+    return res
 
-def _trained(spark, sf_dir, kind):
-    """Train once per (session, tables, kind); persist the model to the work folder."""
-    key = (id(spark), sf_dir, kind)
-    if key not in _MODEL_CACHE:
-        t = _t(spark, sf_dir)
-        if kind == "churn":
-            res = ml.train_churn(build_churn_ready(t))
-            ml.save_model(res[0], work_dir(spark), "churn_model_v1")
-        else:
-            res = ml.train_revenue(report.ml_ready(build_report(t)), kind)
-            ml.save_model(res[0], work_dir(spark), f"revenue_{kind}_v1", current=(kind == "rf"))
-        _MODEL_CACHE[key] = res
-    return _MODEL_CACHE[key]
+
+def _saved(spark, sf_dir, kind):
+    """Scoring jobs read the saved model (a missing one is an error); the queries here train
+    first, so that none depends on which ran before it."""
+    _train(spark, sf_dir, kind)
+    return ml.load_model(_model_path(spark, sf_dir, kind))
 
 
 def fixed_revenue_predictions(t: Tables) -> DataFrame:
@@ -378,10 +384,8 @@ def fixed_revenue_predictions(t: Tables) -> DataFrame:
 def fixed_churn_predictions(t: Tables) -> DataFrame:
     """Every client of the churn table with its label and the fixed score's hard class
     (a missing score predicts no churn)."""
-    cr = materialize(build_churn_ready(t))  # read for labels and scores
-    sc = fixed_scores(cr)
-    return cr.select("client_id", F.col("churn_7_30j").alias("actual")).join(sc, "client_id").select(
-        "client_id", "actual", F.coalesce(F.col("churn"), F.lit(False)).cast("int").alias("prediction"))
+    sc = fixed_scores(build_churn_ready(t), F.col("churn_7_30j").alias("actual"))
+    return sc.select("client_id", "actual", F.coalesce(F.col("churn"), F.lit(False)).cast("int").alias("prediction"))
 
 
 @query("regression_metrics")
@@ -406,50 +410,53 @@ def q_classification_report(spark, sf_dir):
 
 @query("train_revenue_linear")
 def q_train_revenue_linear(spark, sf_dir):
-    return _trained(spark, sf_dir, "linear")[2]
+    return _train(spark, sf_dir, "linear")[2]
 
 
 @query("train_revenue_rf")
 def q_train_revenue_rf(spark, sf_dir):
-    return _trained(spark, sf_dir, "rf")[2]
+    return _train(spark, sf_dir, "rf")[2]
 
 
 @query("train_churn")
 def q_train_churn(spark, sf_dir):
     """Churn metrics snapshot of the trained model on its temporal test split."""
-    model, test_pred, split = _trained(spark, sf_dir, "churn")
+    model, test_pred, split = _train(spark, sf_dir, "churn")
     m = ml.churn_metrics(test_pred)
     counts = split.agg(F.count(F.lit(1)).alias("n_rows"),
                        F.sum((F.col("split") == "train").cast("long")).alias("n_train"),
                        F.sum((F.col("split") == "test").cast("long")).alias("n_test"))
-    snap = counts.crossJoin(m).select(
+    rep = ml.classification_report(test_pred)
+    rep = rep.agg(F.array_sort(F.collect_list(F.struct(*rep.columns))).alias("classification_report"))  # five rows
+    snap = materialize(counts.crossJoin(m).crossJoin(rep).select(
         "n_rows", "n_train", "n_test", F.lit(ml.CHURN_TARGET).alias("target"),
-        F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"), "precision", "recall")
+        F.array(F.array("tn", "fp"), F.array("fn", "tp")).alias("confusion_matrix"), "precision", "recall",
+        "classification_report"))
     ml.write_metrics_json(snap, f"{work_dir(spark)}/metrics/churn_metrics_v1")
     return snap
 
 
 @query("score_revenue")
 def q_score_revenue(spark, sf_dir):
-    model = _trained(spark, sf_dir, "rf")[0]
+    model = _saved(spark, sf_dir, "rf")
     return ml.score_revenue(model, report.ml_ready(build_report(_t(spark, sf_dir))))
 
 
 @query("score_churn")
 def q_score_churn(spark, sf_dir):
-    model = _trained(spark, sf_dir, "churn")[0]
+    model = _saved(spark, sf_dir, "churn")
     return ml.score_churn(model, build_churn_ready(_t(spark, sf_dir)))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    model = _trained(spark, sf_dir, "rf")[0]
+    model = _saved(spark, sf_dir, "rf")
     return ml.feature_importance(model, report.ml_ready(build_report(_t(spark, sf_dir))))
 
 
 @query("churn_coefficients")
 def q_churn_coefficients(spark, sf_dir):
-    model = _trained(spark, sf_dir, "churn")[0]
+    model = _saved(spark, sf_dir, "churn")
     return ml.churn_coefficients(model, build_churn_ready(_t(spark, sf_dir)))
 
 
@@ -458,22 +465,23 @@ def q_feature_weights(spark, sf_dir):
     return ml.feature_weights(q_churn_coefficients(spark, sf_dir))
 
 
-def append_metrics(spark, sf_dir) -> str:
-    """Append this run's regression metrics rows to the history table."""
-    path = f"{work_dir(spark)}/tables/metrics_history"
-    rows = _trained(spark, sf_dir, "linear")[2].unionByName(_trained(spark, sf_dir, "rf")[2])
-    rows.write.mode("append").parquet(path)
-    return path
+def metrics_runs(spark, sf_dir) -> DataFrame:
+    """The history of this table set's regression metrics, this run's rows added once (a
+    run is its tables, model and results)."""
+    rows = _train(spark, sf_dir, "linear")[2].unionByName(_train(spark, sf_dir, "rf")[2])
+    key = F.sha2(F.to_json(F.struct(F.lit(sf_dir), *[c for c in rows.columns if c != "run_ts"])), 256)
+    tag = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return ml.append_runs(spark, rows.withColumn("run_id", key), f"{work_dir(spark)}/tables/metrics_history-{tag}")
 
 
 @query("metrics_history")
 def q_metrics_history(spark, sf_dir):
-    return spark.read.parquet(append_metrics(spark, sf_dir))
+    return metrics_runs(spark, sf_dir)
 
 
 @query("latest_run")
 def q_latest_run(spark, sf_dir):
-    return ml.latest_run(spark.read.parquet(append_metrics(spark, sf_dir)))
+    return ml.latest_run(metrics_runs(spark, sf_dir))
 
 
 # ----------------------------------------------- agent, actions, journal
@@ -566,7 +574,8 @@ def q_journal_view(spark, sf_dir):
 
 @query("journal_append")
 def q_journal_append(spark, sf_dir):
-    path = f"{work_dir(spark)}/tables/decision_log"
+    tag = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    path = f"{work_dir(spark)}/tables/decision_log-{tag}"
     jr.journal_append(_t(spark, sf_dir).decision_feed(), path)
     return jr.journal_view(jr.read_journal(spark, path))
 
@@ -576,8 +585,8 @@ def q_agent_batch(spark, sf_dir, question: str = "Comment sécuriser la relation
     """End-to-end next best action for every client from the trained churn model,
     with the internal retrieval context of its prepared action."""
     t = _t(spark, sf_dir)
-    rep = materialize(build_report(t))  # serving features, stats, CA quantile
-    model = _trained(spark, sf_dir, "churn")[0]
+    rep = build_report(t)
+    model = _saved(spark, sf_dir, "churn")
     valid = validate_requests(churn.serving_features(rep)).where("reason IS NULL").drop("reason")
     dec = build_decisions(t, ml.score_churn(model, valid), rep)
     kind, payload = act.prepared_action()
@@ -652,11 +661,11 @@ def q_stream_score(spark, sf_dir):
         "client_id", "paid_count_before_T", "paid_sum_before_T",
         F.col("days_since_last_paid").cast("int").alias("days_since_last_paid"), "plan", "ville")
     req.write.mode("append").parquet(f"{base}/landing")
-    model = _trained(spark, sf_dir, "churn")[0]
+    model = _saved(spark, sf_dir, "churn")
     q = streams.stream_score(spark, f"{base}/landing", f"{base}/out", f"{base}/chk", model, validate_requests,
                              pol.load_policy())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("epoch")
+    return spark.read.parquet(f"{base}/out")
 
 
 @query("stream_journal")
@@ -674,7 +683,7 @@ def q_signal_retrieve(spark, sf_dir):
     """Guided-exploration context for every client: retrieval runs once per distinct
     signal query text (few: plans x villes x signals), then joins back to clients."""
     t = _t(spark, sf_dir)
-    sq = materialize(q_signal_queries(spark, sf_dir))  # read for the distinct texts and the join back
+    sq = q_signal_queries(spark, sf_dir)
     distinct_q = sq.select("query").distinct().withColumn("qid", F.xxhash64("query"))
     hits = rt.keyword_retrieve(distinct_q, "qid", build_para_chunks(t).withColumnRenamed("source", "doc_id"),
                                ["doc_id", "chunk"], k=5, query_text="query")

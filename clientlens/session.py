@@ -6,9 +6,11 @@ folder is only created when that setting is absent (tests, laptops)."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -40,10 +42,13 @@ def work_dir(spark: SparkSession) -> str:
 
     Uses ``spark.checkpoint.dir`` (a static setting read from the session) or a
     checkpoint folder already registered on the context; only when neither is
-    set (local runs) a fresh temporary folder is created and registered."""
+    set and the session is local (one machine) a fresh temporary folder is created and
+    registered; on a cluster a missing setting is an error."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="clientlens-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
@@ -56,3 +61,14 @@ def materialize(df):
     from the source tables (and a lost executor does not replay it)."""
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The Parquet table at ``path`` with its declared schema; empty when there is none yet.
+    Any other failure (permissions, storage) is an error."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

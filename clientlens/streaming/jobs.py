@@ -1,9 +1,9 @@
 """Structured Streaming jobs.
 
-Both are stateless: a file source feeds micro-batches, a checkpoint plus
-file sinks give exactly-once output, and ``trigger(availableNow=True)``
-drains what has arrived (a scheduler can run the same job continuously with
-a processing-time trigger instead)."""
+Both are stateless.  Each output has a query of its own that writes with Spark's Parquet
+sink: its log names the files of every committed batch, so a batch that is replayed
+after a failure does not land twice for readers of the table.  ``availableNow`` drains what
+has arrived (a scheduler can run the same job with a processing-time trigger)."""
 
 from __future__ import annotations
 
@@ -17,38 +17,37 @@ from clientlens.operators.policy import Policy, risk_bucket
 from clientlens.schemas import DECISION_LOG, SCORE_REQUEST
 
 
-def stream_score(spark: SparkSession, landing: str, out: str, checkpoint: str, model: PipelineModel,
-                 validate, policy: Policy | None = None, available_now: bool = True):
-    """ST1: validate arriving score requests (P15), score valid ones with the churn
-    model (stream-static transform), bucket the risk (FE6), append to ``out``;
-    rejected requests go to ``out``/_rejects with their reason."""
-    req = spark.readStream.schema(SCORE_REQUEST).parquet(landing)
+class Queries(list):
+    """The running queries of a job."""
+
+    def awaitTermination(self) -> None:
+        for q in self:
+            q.awaitTermination()
+
 
-    def each(batch: DataFrame, epoch: int) -> None:
-        v = validate(batch)
-        ok = v.where(F.col("reason").isNull()).drop("reason")
-        scored = score_churn(model, ok).select(
-            "client_id", "churn_probability", "churn",
-            risk_bucket(F.col("churn_probability"), F.col("churn"), policy).alias("churn_risk"),
-        ).withColumn("epoch", F.lit(epoch))
-        scored.write.mode("append").parquet(out)
-        v.where(F.col("reason").isNotNull()).withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{out}_rejects")
+def _sink(rows: DataFrame, path: str, checkpoint: str, available_now: bool):
+    w = rows.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")).start()
 
-    w = req.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+
+def stream_score(spark: SparkSession, landing: str, out: str, checkpoint: str, model: PipelineModel,
+                 validate, policy: Policy | None = None, available_now: bool = True) -> Queries:
+    """ST1: validate arriving score requests (P15), score valid ones with the churn
+    model (stream-static transform), bucket the risk (FE6) into ``out``; rejected requests go
+    to ``out``_rejects with their reason."""
+    v = validate(spark.readStream.schema(SCORE_REQUEST).parquet(landing))
+    scored = score_churn(model, v.where(F.col("reason").isNull()).drop("reason")).select(
+        "client_id", "churn_probability", "churn",
+        risk_bucket(F.col("churn_probability"), F.col("churn"), policy).alias("churn_risk"),
+    )
+    rejects = v.where(F.col("reason").isNotNull())
+    return Queries([_sink(scored, out, f"{checkpoint}/scores", available_now),
+                    _sink(rejects, f"{out}_rejects", f"{checkpoint}/rejects", available_now)])
 
 
 def stream_journal(spark: SparkSession, landing: str, journal_path: str, rejects_path: str, checkpoint: str,
-                   available_now: bool = True):
-    """ST2: validated append of arriving decisions; rejects (with reason) to their own sink."""
-    rows = spark.readStream.schema(DECISION_LOG).parquet(landing)
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        v = jr.journal_validate(batch)
-        v.where(F.col("reason").isNull()).drop("reason").write.mode("append").parquet(journal_path)
-        v.where(F.col("reason").isNotNull()).write.mode("append").parquet(rejects_path)
-
-    w = rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
-    return w.start()
+                   available_now: bool = True) -> Queries:
+    """ST2: the valid ones of arriving decisions; rejects (with reason) to their own sink."""
+    v = jr.journal_validate(spark.readStream.schema(DECISION_LOG).parquet(landing))
+    return Queries([_sink(v.where(F.col("reason").isNull()).drop("reason"), journal_path, f"{checkpoint}/journal", available_now),
+                    _sink(v.where(F.col("reason").isNotNull()), rejects_path, f"{checkpoint}/rejects", available_now)])

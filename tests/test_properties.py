@@ -63,15 +63,6 @@ def test_rejects_plus_clean_is_input(spark):
         "source = 'clients'").count() == n_in
 
 
-def test_parallelism_guard_only_when_needed(spark):
-    from clientlens.functions.parsing import ensure_parallelism
-    want = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 1000, numPartitions=want + 2)
-    assert ensure_parallelism(wide, "id") is wide  # enough scan tasks: untouched, no shuffle
-    narrow = spark.range(0, 1000, numPartitions=1)
-    assert ensure_parallelism(narrow, "id").rdd.getNumPartitions() == want
-
-
 def test_hot_client_report(spark):
     """A third of all payments moved to one client: totals stay exact."""
     from clientlens.operators import report

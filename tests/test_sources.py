@@ -70,7 +70,7 @@ def test_rules_table_and_invalid_rule(spark, tmp_path):
     assert [r.priority for r in rt] == [1, 2, 3, 4]
     p = tmp_path / "p.yaml"
     p.write_text("policy:\n  prioritization:\n    - name: a\n      priority: x\n      action: y\n      if: 'true'\n")
-    with pytest.raises(ValueError, match="index 0"):
+    with pytest.raises(ValueError, match="rule 0"):
         policy.load_policy(str(p))
 
 

@@ -177,36 +177,28 @@ def test_keyword_retrieve_scoring(spark):
     assert got == [(0, 2.2), (1, 1.05)]
 
 
-@pytest.mark.parametrize("limit", [0, 10**9])
-def test_quantile_and_cume_dist_both_paths(spark, limit):
+def test_quantile_and_cume_dist(spark):
     rnd = random.Random(7)
     rows = [(g, float(rnd.randint(0, 40))) for g in ("a", "b", "c") for _ in range(rnd.randint(5, 60))]
     rows += [("a", None)]
     df = spark.createDataFrame(rows, "g string, v double")
     for q in (0.5, 0.8):
-        got = {r.g: r.quantile for r in ranking.exact_quantile(df, ["g"], "v", q, max_group_distinct=limit).collect()}
+        got = {r.g: r.quantile for r in ranking.exact_quantile(df, ["g"], "v", q).collect()}
         for g in "abc":
             vals = sorted(v for gg, v in rows if gg == g and v is not None)
             pos = q * (len(vals) - 1)
             lo, hi = int(pos), min(int(pos) + 1, len(vals) - 1)
             exp = vals[lo] + (vals[hi] - vals[lo]) * (pos - lo)
             assert abs(got[g] - exp) < 1e-9
-    glob = ranking.exact_quantile(df, [], "v", 0.5, max_group_distinct=limit).first()[0]
+    glob = ranking.exact_quantile(df, [], "v", 0.5).first()[0]
     assert glob == statistics.median([v for _, v in rows if v is not None])
-    cd = ranking.cume_dist_in_group(df, ["g"], "v", max_group_distinct=limit).collect()
+    cd = ranking.cume_dist_in_group(df, ["g"], "v").collect()
     for r in cd:
         vals = [v for gg, v in rows if gg == r.g and v is not None]
         exp = None if r.v is None else sum(x <= r.v for x in vals) / len(vals)
         assert r.cume_dist == exp
 
 
-def test_global_positions(spark):
-    df = spark.range(0, 1000).select((F.col("id") % 7).alias("k"), F.col("id"))
-    pos = ranking.global_positions(df, [F.col("k"), F.col("id")], n=5).collect()
-    exp = sorted((r.k, r.id) for r in pos)
-    assert sorted(((r.k, r.id), r._pos) for r in pos) == [(kv, i) for i, kv in enumerate(exp)]
-
-
 def test_training_guards(spark):
     from clientlens.operators import models as ml
     empty = spark.createDataFrame([], "client_id long, churn_7_30j int")
@@ -217,21 +209,23 @@ def test_training_guards(spark):
         ml.check_training_set(one, "churn_7_30j", "x")
 
 
-def test_global_positions_many_partitions(spark):
-    """Positions stay a permutation when the range shuffle is sampled (large input)."""
-    df = spark.range(0, 200_000).select((F.col("id") * 7919 % 1000).alias("k"), F.col("id"))
-    pos = ranking.global_positions(df, [F.col("k"), F.col("id")], n=16)
-    st = pos.agg(F.min("_pos"), F.max("_pos"), F.countDistinct("_pos")).first()
-    assert tuple(st) == (0, 199_999, 200_000)
-    first = pos.orderBy("_pos").limit(3).collect()
-    assert [(r.k, r.id) for r in first] == [(0, 0), (0, 1000), (0, 2000)]
+def test_running_counts_over_signs_sizes_and_text(spark):
+    rnd = random.Random(1)
+    values = sorted({rnd.choice([-1, 1]) * rnd.random() * 10 ** rnd.randint(-6, 12) for _ in range(400)} | {0.0, 1.0, float("inf"), float("-inf")})
+    for rows, kind in ((values, "double"), (sorted({f"C{rnd.randrange(3000):04d}é"[: rnd.randint(0, 6)] for _ in range(300)}), "string")):
+        df = spark.createDataFrame([(v, 2) for v in rows], f"v {kind}, w int")
+        got = {r.v: r.cum_before for r in ranking.running_counts(df, [], "v", "w").collect()}
+        assert got == {v: 2 * i for i, v in enumerate(rows)}
 
 
-def test_running_counts_large_input(spark):
-    df = spark.range(0, 100_000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 5000).alias("v"))
-    q = {r.g: r.quantile for r in ranking.exact_quantile(df, ["g"], "v", 0.5, max_group_distinct=0).collect()}
-    q2 = {r.g: r.quantile for r in ranking.exact_quantile(df, ["g"], "v", 0.5).collect()}
-    assert q == q2
+def test_temporal_positions(spark):
+    from clientlens.operators import churn
+    df = spark.range(0, 20_000).select(F.col("id").alias("client_id"), (F.col("id") * 7919 % 13).cast("int").alias("days_since_last_paid"),
+                                       (F.col("id") % 2).cast("int").alias("churn_7_30j"))
+    rows = churn.temporal_split(df).collect()
+    want = sorted((r.days_since_last_paid, r.client_id) for r in rows)
+    assert sorted((r._pos, r.client_id) for r in rows) == [(i, c) for i, (_, c) in enumerate(want)]
+    assert sum(r.split == "test" for r in rows) == 6000
 
 
 def test_sparse_topk_equals_dense_brute_force(spark):
@@ -278,13 +272,19 @@ def test_prepared_action_branches(spark):
     assert subj == actions.SUBJECT_OPTIMISE
 
 
-def test_vector_topk_batched_equals_single_broadcast(spark):
+def test_vector_topk_without_broadcast_is_the_same(spark):
     emb = spark.read.parquet(f"{SF}/embeddings.parquet")
     qs = emb.where("vec_id % 7 = 0").select("vec_id", F.col("embedding").alias("qvec")).withColumnRenamed("vec_id", "q")
     one = retrieval.vector_topk(qs, "q", emb, "vec_id", k=3)
-    many = retrieval.vector_topk(qs, "q", emb, "vec_id", k=3, max_broadcast=5)  # forces several batches
     a = {(r.q, r.rank, r.vec_id) for r in one.collect()}
-    assert a == {(r.q, r.rank, r.vec_id) for r in many.collect()} and len(a) == 3 * qs.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        many = retrieval.vector_topk(qs, "q", emb, "vec_id", k=3)
+        assert "CartesianProduct" in many._jdf.queryExecution().executedPlan().toString()
+        assert a == {(r.q, r.rank, r.vec_id) for r in many.collect()} and len(a) == 3 * qs.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_embed_with_plug_point(spark):
