@@ -23,7 +23,7 @@ import base64
 import heapq
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -196,8 +196,8 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Ranks with a bounded cache of merged slices."""
 
-    LIMIT = 1 << 19   # cached slices; the cache starts anew beyond it
-    CHUNK = 1 << 21   # code points encoded at once, or one longer text
+    LIMIT = 3 << 17   # cached slices; the cache starts anew beyond it
+    CHUNK = 1 << 19   # code points encoded at once, or one longer text
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -213,7 +213,7 @@ class Encoder:
         self.known[piece] = at = len(self.first) - 2
         return at
 
-    def texts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def texts(self, texts: Iterable[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Texts -> chunks of (ids of all their texts end to end, number of ids of each)."""
         part, size = [], 0
         for t in texts:
@@ -286,9 +286,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
     def run(batches):
         encoder = _kept("encoder", shared, Encoder)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
             at = 0
-            for ids, count in encoder.texts(texts):
+            for ids, count in encoder.texts(t.as_py() or "" for t in batch.column(1)):
                 raw, ends = ids.tobytes(), (np.cumsum(count) * 4).tolist()
                 rows = [raw[a:b] for a, b in zip([0, *ends], ends)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(rows, pa.binary())], schema=_IDS)
