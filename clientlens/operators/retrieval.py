@@ -71,11 +71,11 @@ def keyword_retrieve(queries: DataFrame, query_key: str, chunks: DataFrame, chun
 
 # ---------------------------------------------------------------- vectors
 def hashed_features(df: DataFrame, key: str, text_col: str = "text", dim: int = 256) -> DataFrame:
-    """Sparse hashed term frequencies, L2-normalised: (key, bucket, w) with
-    bucket = pmod(hash(token), dim).  Two map-side-combined aggregations; no row
+    """Sparse hashed term frequencies, L2-normalised: (key, bucket, w) with bucket = the first
+    32 bits of the token's MD5 modulo dim (the same in any engine).  Two map-side-combined aggregations; no row
     ever holds more than ``dim`` entries of one text."""
     t = df.select(key, F.explode(tokens(F.col(text_col), 1)).alias("_tok"))
-    tf = t.groupBy(key, F.pmod(F.hash("_tok"), F.lit(dim)).alias("bucket")).agg(F.count(F.lit(1)).alias("_tf"))
+    tf = t.groupBy(key, F.pmod(F.conv(F.substring(F.md5("_tok"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("_tf"))
     norm = F.sqrt(F.sum(F.col("_tf") * F.col("_tf")).over(Window.partitionBy(key)))
     return tf.select(key, "bucket", (F.col("_tf") / norm).alias("w"))
 

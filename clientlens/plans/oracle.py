@@ -454,6 +454,36 @@ register(
                     generate_subscripts(generate_series(0, length(t) - 1, 750), 1) - 1 AS k
              FROM (SELECT doc_id, {_strip("COALESCE(text, '')")} AS t FROM documents) WHERE length(t) > 0)""",
 )
+VIEWS["fx"] = f"""
+fx AS (SELECT CAST(doc_id AS VARCHAR) || '::chunk_' || CAST(k AS VARCHAR) AS id, doc_id AS source,
+       CAST(k AS INTEGER) AS chunk, substring(t, CAST(s AS BIGINT) + 1, 900) AS text
+       FROM (SELECT doc_id, t, unnest(generate_series(0, length(t) - 1, 750)) AS s,
+                    generate_subscripts(generate_series(0, length(t) - 1, 750), 1) - 1 AS k
+             FROM (SELECT doc_id, {_strip("COALESCE(text, '')")} AS t FROM documents) WHERE length(t) > 0)),
+ftok AS (SELECT id AS key, unnest({_tokens('text')}) AS token FROM fx
+         UNION ALL SELECT 'q' || item_id, unnest({_tokens('text')}) FROM benchmark),
+ftf AS (SELECT key, CAST(('0x' || substr(md5(token), 1, 8)) AS BIGINT) % 256 AS b, COUNT(*) AS tf
+        FROM ftok WHERE length(token) >= 1 GROUP BY 1, 2),
+feat AS (SELECT key, b, tf / sqrt(CAST(sum(tf * tf) OVER (PARTITION BY key) AS DOUBLE)) AS w FROM ftf)"""
+_VIEW_ORDER.append("fx")
+_EMBED = """SELECT fx.*, v.embedding FROM fx JOIN (
+         SELECT id, list(CAST(coalesce(w, 0) AS FLOAT) ORDER BY i) AS embedding
+         FROM (SELECT id, unnest(range(0, 256)) AS i FROM fx) s LEFT JOIN feat ON feat.key = s.id AND feat.b = s.i GROUP BY id) v USING (id)"""
+register("embed_chunks", _EMBED, "fx")
+register("chunk_index", _EMBED, "fx")
+register(
+    "rag_hits",
+    """SELECT question_id, rank, CAST(source AS VARCHAR) AS source, chunk, distance, text FROM (
+         SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY distance, id) AS INT) AS rank FROM (
+           SELECT q.item_id AS question_id, fx.*, round(
+             (CASE WHEN qk.key IS NULL THEN 0 ELSE 1 END) + (CASE WHEN ck.key IS NULL THEN 0 ELSE 1 END) - 2 * coalesce(d.dot, 0.0), 12) AS distance
+           FROM benchmark q CROSS JOIN fx
+           LEFT JOIN (SELECT a.key AS qk, c.key AS ck, sum(a.w * c.w) AS dot FROM feat a JOIN feat c ON a.b = c.b
+                      WHERE a.key LIKE 'q%' AND c.key NOT LIKE 'q%' GROUP BY 1, 2) d ON d.qk = 'q' || q.item_id AND d.ck = fx.id
+           LEFT JOIN (SELECT DISTINCT key FROM feat) qk ON qk.key = 'q' || q.item_id
+           LEFT JOIN (SELECT DISTINCT key FROM feat) ck ON ck.key = fx.id)) WHERE rank <= 4""",
+    "fx",
+)
 register("chunk_paragraphs", "SELECT doc_id AS source, chunk, text FROM pchunks", "paras")
 register(
     "tokenize_docs",
@@ -716,6 +746,9 @@ register(
        WHERE reason IS NULL AND scope_type = 'client'""",
     "feed",
 )
+for _name in ("journal_append", "stream_journal"):  # the feed has no repeated decision
+    register(_name, """SELECT timestamp_iso, scope_type, scope_value, decision_type, rationale_short, author FROM vfeed
+       WHERE reason IS NULL""", "feed")
 register(
     "signal_retrieve",
     f"""WITH sq AS (
