@@ -38,11 +38,11 @@ def _parsed_clients(raw: DataFrame) -> DataFrame:
     )
 
 
-def _parsed_subscriptions(raw: DataFrame) -> DataFrame:
+def _parsed_subscriptions(raw: DataFrame, strict: bool = True) -> DataFrame:
     require_columns(raw, ["client_id", "montant", "date_paiement", "statut"], "subscriptions feed")
     p = raw.select(
         blank_to_null("client_id").alias("client_id"),
-        parse_float("montant").alias("_montant"),
+        (parse_float if strict else parse_number)("montant").alias("_montant"),
         parse_date("date_paiement").alias("date_paiement"),
         blank_to_null("statut").alias("statut"),
         F.col("client_id").alias("raw_client_id"),
@@ -55,7 +55,7 @@ def _parsed_subscriptions(raw: DataFrame) -> DataFrame:
             (F.col("_montant").isNull() | (F.col("_montant") < 0), "montant_invalid"),
             (F.col("date_paiement").isNull(), "date_invalid"),
         ),
-    ).withColumn("montant", F.col("_montant").cast("decimal(18,2)")).drop("_montant")
+    ).withColumn("montant", F.col("_montant").cast("decimal(18,2)" if strict else "double")).drop("_montant")
 
 
 def _parsed_usage(raw: DataFrame, strict: bool = True) -> DataFrame:
@@ -85,12 +85,14 @@ def clean_clients(raw: DataFrame) -> DataFrame:
     return p.where(F.col("reason").isNull()).select(*keep)
 
 
-def clean_subscriptions(raw: DataFrame) -> DataFrame:
-    p = _parsed_subscriptions(raw)
+def clean_subscriptions(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """P5; ``strict=False`` is P8: amounts coerced to numbers and kept as they are."""
+    p = _parsed_subscriptions(raw, strict)
     return p.where(F.col("reason").isNull()).select("client_id", "montant", "date_paiement", "statut")
 
 
 def clean_usage(raw: DataFrame, strict: bool = True) -> DataFrame:
+    """P6; ``strict=False`` is P8: counts coerced to numbers, fractions kept."""
     p = _parsed_usage(raw, strict)
     return p.where(F.col("reason").isNull()).select("client_id", "actions", "sessions", "activity_date")
 

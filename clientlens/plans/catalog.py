@@ -20,6 +20,7 @@ from clientlens.operators import policy as pol
 from clientlens.operators import retrieval as rt
 from clientlens.schemas import PLANS
 from clientlens.session import materialize, work_dir
+from clientlens.sources.files import write_report, write_table
 from clientlens.sources.tables import Tables
 from clientlens.streaming import jobs as streams
 
@@ -702,3 +703,65 @@ def q_revenue_source(spark, sf_dir):
         F.col("amount").cast("string").alias("amount"), F.date_format("event_date", "yyyy-MM-dd").alias("event_date"))
     ev.write.mode("overwrite").option("header", True).csv(path)
     return read_revenue_events(spark, path)
+
+
+# --------------------------------------------------------------- exports
+
+
+def _export_path(spark, sf_dir, name) -> str:
+    tag = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return f"{work_dir(spark)}/exports-{tag}/{name}"
+
+
+@query("export_report")
+def q_export_report(spark, sf_dir):
+    """S3: the report written and read back, dates as text."""
+    path = _export_path(spark, sf_dir, "client_report")
+    write_report(build_report(_t(spark, sf_dir)), path, fmt="parquet")
+    return spark.read.parquet(path)
+
+
+for _name, _build in {
+    "export_kpi": build_kpi,
+    "export_ml_ready_v1": lambda t: report.ml_ready_v1(build_kpi(t)),
+    "export_ml_ready": lambda t: report.ml_ready(build_report(t)),
+    "export_churn_ready": build_churn_ready,
+}.items():
+    QUERIES[_name] = (lambda n, b: lambda spark, sf_dir: write_table(b(_t(spark, sf_dir)), _export_path(spark, sf_dir, n), n))(_name, _build)
+
+
+# -------------------------------------------------------- further variants
+
+
+@query("clean_subscriptions_lenient")
+def q_clean_subscriptions_lenient(spark, sf_dir):
+    return clean.clean_subscriptions(_t(spark, sf_dir).raw_subscriptions(), strict=False)
+
+
+@query("clean_usage_lenient")
+def q_clean_usage_lenient(spark, sf_dir):
+    return clean.clean_usage(_t(spark, sf_dir).raw_usage(), strict=False)
+
+
+@query("segment_queries")
+def q_segment_queries(spark, sf_dir):
+    """R5 in segment mode: the retrieval query of every (plan, signals) segment and its clients."""
+    sig = views.client_signals(_cr(spark, sf_dir)).groupBy("plan", "inactivity_high", "history_low").agg(
+        F.count(F.lit(1)).alias("n_clients"))
+    return sig.select("plan", "inactivity_high", "history_low", "n_clients", rt.signal_query_text(
+        F.lit("segment"), F.col("plan"), F.lit(None).cast("string"), F.col("inactivity_high"), F.col("history_low")).alias("query"))
+
+
+@query("answer_clients")
+def q_answer_clients(spark, sf_dir):
+    """D8 with a client: each client of the report asks one benchmark question (its id modulo
+    their number); the answer rests on the best vector hit and is 'fort' when the client
+    has a churn score.  Answers differ by question only, so they are made once a question."""
+    t = _t(spark, sf_dir)
+    best = build_rag_hits(t, t.benchmark.select(F.col("item_id").alias("question_id"), "text"), 1)
+    n = t.benchmark.agg(F.count(F.lit(1)).alias("n"))  # one row
+    asked = fixed_scores(build_report(t)).crossJoin(F.broadcast(n)).select(
+        "client_id", F.expr("client_id % n").alias("question_id"), F.col("churn_probability").isNotNull().alias("scored"))
+    return asked.join(best, "question_id", "left").select(
+        "client_id", "question_id",
+        act.answer_markdown(F.col("text"), F.col("source"), F.when(F.col("scored"), "fort").otherwise("moyen")).alias("answer_md"))

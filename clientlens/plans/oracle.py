@@ -471,9 +471,7 @@ _EMBED = """SELECT fx.*, v.embedding FROM fx JOIN (
          FROM (SELECT id, unnest(range(0, 256)) AS i FROM fx) s LEFT JOIN feat ON feat.key = s.id AND feat.b = s.i GROUP BY id) v USING (id)"""
 register("embed_chunks", _EMBED, "fx")
 register("chunk_index", _EMBED, "fx")
-register(
-    "rag_hits",
-    """SELECT question_id, rank, CAST(source AS VARCHAR) AS source, chunk, distance, text FROM (
+_RAG = """SELECT question_id, rank, CAST(source AS VARCHAR) AS source, chunk, distance, text FROM (
          SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY question_id ORDER BY distance, id) AS INT) AS rank FROM (
            SELECT q.item_id AS question_id, fx.*, round(
              (CASE WHEN qk.key IS NULL THEN 0 ELSE 1 END) + (CASE WHEN ck.key IS NULL THEN 0 ELSE 1 END) - 2 * coalesce(d.dot, 0.0), 12) AS distance
@@ -481,9 +479,8 @@ register(
            LEFT JOIN (SELECT a.key AS qk, c.key AS ck, sum(a.w * c.w) AS dot FROM feat a JOIN feat c ON a.b = c.b
                       WHERE a.key LIKE 'q%' AND c.key NOT LIKE 'q%' GROUP BY 1, 2) d ON d.qk = 'q' || q.item_id AND d.ck = fx.id
            LEFT JOIN (SELECT DISTINCT key FROM feat) qk ON qk.key = 'q' || q.item_id
-           LEFT JOIN (SELECT DISTINCT key FROM feat) ck ON ck.key = fx.id)) WHERE rank <= 4""",
-    "fx",
-)
+           LEFT JOIN (SELECT DISTINCT key FROM feat) ck ON ck.key = fx.id)) WHERE rank <= 4"""
+register("rag_hits", _RAG, "fx")
 register("chunk_paragraphs", "SELECT doc_id AS source, chunk, text FROM pchunks", "paras")
 register(
     "tokenize_docs",
@@ -817,3 +814,50 @@ register(
        FROM m p CROSS JOIN g WHERE p.scope <> '(global)'""",
     "meds",
 )
+
+
+# ------------------------------------------------- exports and variants
+for _export, _host in {"export_kpi": "kpi_by_client", "export_ml_ready_v1": "ml_ready_v1", "export_ml_ready": "ml_ready",
+                       "export_churn_ready": "churn_ready", "clean_subscriptions_lenient": "clean_subscriptions"}.items():
+    SQL[_export] = SQL[_host]
+register(
+    "export_report",
+    """SELECT * REPLACE (strftime(last_payment_date, '%Y-%m-%d') AS last_payment_date,
+       strftime(last_activity_date, '%Y-%m-%d') AS last_activity_date) FROM report""",
+    "report",
+)
+register(
+    "clean_usage_lenient",
+    """SELECT CAST(client_id AS VARCHAR) AS client_id, CAST(actions AS DOUBLE) AS actions,
+       CAST(sessions AS DOUBLE) AS sessions, activity_date FROM usage_""",
+)
+register(
+    "segment_queries",
+    """WITH g AS (
+         SELECT c.plan, COALESCE(c.days_since_last_paid > ROUND(m.md, 6), false) AS inactivity_high,
+           COALESCE(c.paid_count_before_T < ROUND(m.mc, 6), false) OR COALESCE(c.paid_sum_before_T < ROUND(m.ms, 6), false) AS history_low
+         FROM churn c LEFT JOIN meds m ON m.scope = c.plan)
+       SELECT plan, inactivity_high, history_low, CAST(COUNT(*) AS BIGINT) AS n_clients,
+         concat_ws(' ', 'contexte', 'métriques', 'rétention', 'pmE saas', 'segment', 'plan', NULLIF(plan, ''),
+           CASE WHEN inactivity_high THEN 'inactivité dernier paiement retard days_since_last_paid' END,
+           CASE WHEN history_low THEN 'historique paiement faible paid_count_before_T paid_sum_before_T' END,
+           CASE WHEN plan = 'free' THEN 'acquisition conversion free' ELSE 'rétention payant basic pro' END) AS query
+       FROM g GROUP BY plan, inactivity_high, history_low""",
+    "meds",
+)
+
+
+def _confident(t: dict) -> str:
+    return f"replace({_answer_sql(t)}, chr(10) || 'moyen', chr(10) || CASE WHEN sc.p IS NULL THEN 'moyen' ELSE 'fort' END)"
+
+
+register(
+    "answer_clients",
+    f"""WITH best AS ({_RAG})
+       SELECT sc.client_id, sc.client_id % (SELECT COUNT(*) FROM benchmark) AS question_id,
+         CASE WHEN COALESCE(contains(b.text, {lit(_act.ONE_SHOT_MARKER)}), false) THEN {_confident(_act.ONE_SHOT)}
+              ELSE {_confident(_act.GENERIC)} END
+         || CASE WHEN b.source IS NOT NULL THEN chr(10) || chr(10) || '_Source: ' || b.source || '_' ELSE '' END AS answer_md
+       FROM sc LEFT JOIN (SELECT * FROM best WHERE rank = 1) b ON b.question_id = sc.client_id % (SELECT COUNT(*) FROM benchmark)""",
+    "feats", "fx",
+)

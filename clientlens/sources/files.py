@@ -3,6 +3,7 @@ report export."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +35,10 @@ def corpus_files(spark: SparkSession, corpus_dir: str, suffixes=("md", "yaml", "
     """Recursive corpus scan, one row per file (source, text), suffix filter
     case-insensitive, files ordered by path; an empty corpus is an error."""
     # binaryFile: exactly one row per file, whatever its line structure
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(corpus_dir)
+    anycase = ["".join(f"[{c.lower()}{c.upper()}]" for c in x) for x in suffixes]
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+          .option("pathGlobFilter", "*.{" + ",".join(anycase) + "}").load(corpus_dir)  # other files are not read
           .select(F.col("path"), F.decode(F.col("content"), "UTF-8").alias("text")))
-    pat = r"\.(" + "|".join(suffixes) + r")$"
-    df = df.where(F.lower(F.col("path")).rlike(pat))
     if df.isEmpty():
         raise ValueError("No corpus files found (.md/.yml/.yaml).")
     return df.withColumn("source", F.regexp_extract("path", r"([^/]+)$", 1)).orderBy("path")
@@ -56,10 +57,10 @@ def read_revenue_events(spark: SparkSession, path: str) -> DataFrame:
                           T.StructField("amount", T.DoubleType()), T.StructField("event_date", T.DateType())])
     try:
         raw = spark.read.option("header", True).csv(path)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
-            return spark.createDataFrame([], typed)
-        raise
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], typed)
     require_columns(raw, ["client_id", "event_type", "amount", "event_date"], "revenue_events.csv")
     from clientlens.functions.parsing import parse_date, parse_number, strip
 
@@ -67,6 +68,15 @@ def read_revenue_events(spark: SparkSession, path: str) -> DataFrame:
                       parse_number("amount").alias("amount"), parse_date("event_date").alias("event_date"))
 
 
+def write_table(table: DataFrame, path: str, name: str = "table") -> DataFrame:
+    """Overwrite an exported table (Parquet) and read it back; an empty one is an error."""
+    table.write.mode("overwrite").parquet(path)
+    out = table.sparkSession.read.schema(table.schema).parquet(path)
+    if out.isEmpty():
+        raise ValueError(f"empty {name}")
+    return out
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "csv") -> None:
     """S3: overwrite the report; dates as yyyy-MM-dd; an empty report is an error."""
     if report.isEmpty():

@@ -347,3 +347,42 @@ def test_context_block_matches_python(spark):
     for q, hs in cases.items():
         exp = _py_context([{"source": s, "chunk": c, "distance": d, "text": t} for s, c, d, t in hs])
         assert got.get(q, "") == exp, q
+
+
+def test_answer_templates_and_confidence(spark):
+    from clientlens.operators import actions
+    df = spark.createDataFrame([("x Quand proposer une offre", "doc", " FORT "), ("autre", None, "sûr"), (None, "", None)], "t string, s string, c string")
+    one, two, three = [r[0] for r in df.select(actions.answer_markdown(F.col("t"), F.col("s"), F.col("c"))).collect()]
+    assert actions.ONE_SHOT["summary"] in one and one.endswith("## 5) Confiance\nfort\n\n_Source: doc_")
+    assert actions.GENERIC["summary"] in two and two.endswith("\nmoyen") and three == two
+
+
+def test_corpus_suffixes_in_any_case(spark, tmp_path):
+    from clientlens.sources import files
+    for name in ("a.md", "b.YAML", "c.txt", "d.Yml"):
+        (tmp_path / name).write_text(name)
+    assert [r.source for r in files.corpus_files(spark, str(tmp_path)).collect()] == ["a.md", "b.YAML", "d.Yml"]
+
+
+def test_empty_export_is_an_error(spark, tmp_path):
+    from clientlens.sources import files
+    with pytest.raises(ValueError, match="empty kpi"):
+        files.write_table(spark.range(0), str(tmp_path / "t"), "kpi")
+
+
+def test_missing_model_is_an_error(spark, tmp_path):
+    from clientlens.operators import models as ml
+    with pytest.raises(Exception):
+        ml.load_model(str(tmp_path / "none"))
+
+
+def test_work_dir_must_be_shared_on_a_cluster(monkeypatch):
+    from clientlens import session
+
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda k, d=None: d)}))
+
+    with pytest.raises(RuntimeError):
+        session.work_dir(type("S", (), {"sparkContext": Context}))
