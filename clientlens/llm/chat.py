@@ -6,10 +6,11 @@ on) or are the result of a call.
 * *Linking*: calls and results are hash-joined on (conversation, identifier).  Of several calls
   or results with one identifier the first by turn counts, the others are ``repeated``;
   a call without result is ``unanswered``, a result without call an ``orphan``.
-* *Order*: calls are levelled topologically over all conversations at once: level r is given
-  to calls whose dependencies all have lower levels; one round a level, each a pair of
-  equi-joins on a table written to the shared folder.  Unknown dependencies are errors and
-  wait for nothing; calls on a cycle get no level.
+* *Order*: calls are levelled topologically over all conversations at once (a call's level is one
+  above its dependencies' highest): chains by pointer doubling, in rounds that grow with the
+  logarithm of their length, then calls with several dependencies in rounds over such calls
+  only.  Every round is equi-joins on a table written to the shared folder.  Unknown
+  dependencies are errors and wait for nothing; calls on a cycle get no level.
 * *Validation*: arguments are parsed as JSON and checked against the tool's schema.
 * *Serialisation*: canonical JSON: keys in order, no blanks, null members left out.
 
@@ -73,23 +74,49 @@ def _errors(schemas: dict) -> Column:
 
 def levels(calls: DataFrame) -> DataFrame:
     """Calls (scope, call_id, depends_on), one row per identifier -> (scope, call_id, level);
-    calls on or behind a cycle are left out."""
+    calls on or behind a cycle are left out.
+
+    Calls with one dependency are chains: pointers are doubled, so a chain of n calls takes
+    log n rounds.  A chain ends in a call without dependencies (a root) or with several (a
+    join); joins then wait only for the joins their dependencies' chains end in."""
     key = ["scope", "call_id"]
-    todo = shared_table(calls.select(*key), "chat-calls")
+    named = shared_table(calls.select(*key), "chat-calls")
     wants = calls.select(*key, F.explode(F.array_distinct("depends_on")).alias("needs"))
-    known = todo.withColumnRenamed("call_id", "needs")
-    wants = shared_table(wants.join(known, ["scope", "needs"], "left_semi"), "chat-edges")
-    done, level = None, 0
+    wants = shared_table(wants.join(named.withColumnRenamed("call_id", "needs"), ["scope", "needs"], "left_semi"), "chat-edges")
+    one = wants.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("needs"))
+    # next: where the pointer stands, null once it is at its end; base: the join there, if any
+    state = named.join(one, key, "left").select(
+        *key, F.when(F.col("n") == 1, F.col("needs")).alias("next"), F.when(F.col("n") > 1, F.col("call_id")).alias("base"),
+        F.when(F.col("n") == 1, 1).otherwise(0).cast("long").alias("steps"))
+    state, left = shared_table(state, "chat-chains"), None
+    while True:
+        now = state.where("next IS NOT NULL").count()
+        if now in (0, left):  # none, or only cycles: every round ends some chain that can end
+            break
+        left = now
+        ahead = state.select("scope", F.col("call_id").alias("next"), F.col("next").alias("far"), F.col("base").alias("far_base"), F.col("steps").alias("more"))
+        on = state.where("next IS NOT NULL").join(ahead, ["scope", "next"]).select(
+            *key, F.col("far").alias("next"), F.col("far_base").alias("base"), (F.col("steps") + F.col("more")).alias("steps"))
+        state = shared_table(state.where("next IS NULL").unionByName(on), "chat-chains")
+    ends = state.where("next IS NULL").drop("next")
+    known = ends.where("base IS NULL").select("scope", F.col("call_id"), F.col("steps").alias("level"))
+    joins = ends.where("call_id = base").select(*key)
+    if joins.isEmpty():
+        return known
+    # what each join waits for: (join, how far, steps from there); a dependency on a cycle has no end
+    waits = wants.join(joins, key, "left_semi").join(ends.withColumnRenamed("call_id", "needs"), ["scope", "needs"], "left")
+    waits = shared_table(waits.select(*key, F.col("steps").isNull().alias("never"), "base", "steps"), "chat-waits")
+    done, count = waits.limit(0).select("scope", F.col("call_id").alias("base"), F.lit(0).cast("long").alias("level")), 0
     while True:
-        ready = shared_table(todo.join(wants, key, "left_anti").withColumn("level", F.lit(level)), "chat-level")
-        if ready.isEmpty():
-            return done if done is not None else ready
-        done = ready if done is None else done.unionByName(ready)
-        if wants.isEmpty():
-            return done
-        todo = shared_table(todo.join(wants, key, "left_semi"), "chat-calls")
-        wants = shared_table(wants.join(ready.select("scope", F.col("call_id").alias("needs")), ["scope", "needs"], "left_anti"), "chat-edges")
-        level += 1
+        ready = waits.join(done, ["scope", "base"], "left").groupBy(*key).agg(
+            F.bool_and(~F.col("never") & (F.col("base").isNull() | F.col("level").isNotNull())).alias("ok"),
+            F.max(F.coalesce("level", F.lit(0)) + F.col("steps")).alias("high"))
+        done = shared_table(ready.where("ok").select("scope", F.col("call_id").alias("base"), (F.col("high") + 1).alias("level")), "chat-joins")
+        if (now := done.count()) == count:
+            break
+        count = now
+    rest = ends.join(done, ["scope", "base"]).select(*key, (F.col("level") + F.col("steps")).alias("level"))
+    return known.unionByName(rest)
 
 
 def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:

@@ -104,6 +104,22 @@ def test_links_levels_and_schemas(spark):
     assert all(r.valid == (not r.errors) for r in got.values() if r.kind == "call")
 
 
+def test_levels_of_long_chains_joins_and_cycles(spark):
+    import random
+
+    r, deps = random.Random(4), {}
+    deps.update({f"c{i}": [f"c{i - 1}"] if i else [] for i in range(100)})           # a chain
+    deps.update({f"d{i:02d}": r.sample([f"d{k:02d}" for k in range(i)], min(i, r.randrange(4))) for i in range(40)})
+    deps.update({"x": ["y"], "y": ["z"], "z": ["x"], "w": ["x"], "v": ["w", "c5"], "u": ["v"], "self": ["self"], "k": ["c99", "d39", "c3"], "l": ["k"]})
+    calls = spark.createDataFrame([("s", k, v) for k, v in deps.items()] + [("t", "c1", ["c0"])], "scope string, call_id string, depends_on array<string>")
+    want, todo = {}, dict(deps)
+    while ready := [k for k, v in todo.items() if all(x in want for x in v)]:
+        want.update({k: max((want[x] + 1 for x in todo[k]), default=0) for k in ready})
+        todo = {k: v for k, v in todo.items() if k not in ready}
+    got = {(x.scope, x.call_id): x.level for x in chat.levels(calls).collect()}
+    assert got == {**{("s", k): v for k, v in want.items()}, ("t", "c1"): 0}
+
+
 def test_turns_are_canonical_json(spark):
     turns = spark.createDataFrame([(1, 0, "user", 'é "x"\n😀'), (1, 1, "assistant", None), (1, 2, "user", ""), (None, 0, "system", "s"), (4, 1, "assistant", "a"), (4, 1, "assistant", "a")],
                                   "conv_id long, turn long, role string, text string")
