@@ -386,3 +386,15 @@ def test_work_dir_must_be_shared_on_a_cluster(monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.work_dir(type("S", (), {"sparkContext": Context}))
+
+
+def test_fixed_texts_are_pinned():
+    """The oracle takes its texts from the module under test; this digest notices any change."""
+    import hashlib
+    import json
+
+    from clientlens.operators import actions as a
+    texts = [a.SUBJECT_HIGH, a.SUBJECT_OPTIMISE, a.SUBJECT_DEFAULT, a.EMAIL_TEMPLATE, a.URGENT_STEP, a.BASE_STEPS, a.ACTIVATION_STEP,
+             a.UPSELL_STEPS, a.NO_ACTION_MESSAGE, a.ONE_SHOT_MARKER, a.ONE_SHOT, a.GENERIC]
+    got = hashlib.sha256(json.dumps(texts, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    assert got == "a3c58addcf6d67e054e96714effef3fc3721780777ce0a0f979384dd98c9f0f4"
