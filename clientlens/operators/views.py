@@ -213,6 +213,7 @@ def guided_reading(df: DataFrame) -> DataFrame:
     d, c, s = (F.col(i).cast("double") for i in INDICATORS)
     md, mc, ms = (F.col(f"median_{i}") for i in INDICATORS)
     gd, gc, gs = (F.col(f"g_{i}") for i in INDICATORS)
+    # fixed values: the sentences of the reading, client and segment mode
     lines = F.concat_ws(
         "\n",
         F.format_string("- Périmètre : **client_id=%s** (plan=%s, ville=%s).", F.col("client_id").cast("string"),
