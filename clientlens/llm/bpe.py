@@ -287,29 +287,57 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", tex
         encoder = _kept("encoder", shared, Encoder)
         for batch in batches:
             at = 0
-            for ids, count in encoder.texts(t.as_py() or "" for t in batch.column(1)):
-                raw, ends = ids.tobytes(), (np.cumsum(count) * 4).tolist()
-                rows = [raw[a:b] for a, b in zip([0, *ends], ends)]
+            for rows in _ids_rows(encoder, batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(rows, pa.binary())], schema=_IDS)
                 at += len(rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
 
 
+def _ids_rows(encoder: Encoder, texts) -> Iterator[list[bytes]]:
+    """A column of texts -> their stored ids, some texts at a time."""
+    for ids, count in encoder.texts(t.as_py() or "" for t in texts):
+        raw, ends = ids.tobytes(), (np.cumsum(count) * 4).tolist()
+        yield [raw[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _text_of(stored: bytes, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, np.frombuffer(stored, np.uint32).tolist()))
+
+
+_BOTH = pa.schema([*_IDS, ("bytes", pa.binary())])
+_BOTH_DDL = "doc_id long, ids binary, bytes binary"
+
+
 def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """(doc_id, ids) -> (doc_id, ids, bytes): the vocabulary's bytes, end to end."""
     shared = tokens.sparkSession.sparkContext.broadcast(ranks)
-    schema = pa.schema([*_IDS, ("bytes", pa.binary())])
 
     def run(batches):
         table = _kept("vocabulary", shared, vocabulary)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                rows = [b"".join(map(table.__getitem__, np.frombuffer(x.as_buffer(), np.uint32).tolist())) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], schema=schema)
+                rows = [_text_of(x.as_buffer(), table) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], schema=_BOTH)
+
+    return tokens.select("doc_id", "ids").mapInArrow(run, _BOTH_DDL)
+
+
+def round_trip(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one Python worker a task instead of two."""
+    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+
+    def run(batches):
+        encoder, table = _kept("encoder", shared, Encoder), _kept("vocabulary", shared, vocabulary)
+        for batch in batches:
+            at = 0
+            for rows in _ids_rows(encoder, batch.column(1)):
+                texts = [_text_of(x, table) for x in rows]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(rows, pa.binary()), pa.array(texts, pa.binary())], schema=_BOTH)
+                at += len(rows)
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, bytes binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _BOTH_DDL)
 
 
 def ids_array(ids: Column) -> Column:
@@ -322,7 +350,7 @@ def ids_array(ids: Column) -> Column:
 
 def digests(docs: DataFrame, ranks: dict[bytes, int], **cols) -> DataFrame:
     """Encoded and decoded: doc_id, n_tokens, and the SHA-256 of the ids and of the bytes."""
-    both = decode(encode(docs, ranks, **cols), ranks)
+    both = round_trip(docs, ranks, **cols)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 

@@ -19,8 +19,9 @@ Buckets already large within one input batch are reduced there to their first do
 a signature that a third of all rows share sends a row per batch, not per document.
 *The exact rest.* Large buckets whose documents are not all in one component by then, and
 deficient sets, are joined by prefix filter: of the shingles ordered by frequency, linked
-sets share one among their first n - ceil(0.8 n) + 1.  Pairs inside one component are
-skipped, all others are compared, so no link between components is lost.
+sets share one among their first n - ceil(0.8 n) + 1, and enough must be left behind the
+first one they share.  Pairs inside one component are skipped, all others are compared, so
+no link between components is lost.
 *Check.* Every candidate pair is decided on the whole shingle sets.  Before sets move, a pair
 falls if parity sketches prove it apart: each set has one bit per bucket of a hash, the
 parity of its shingles there; where two bits differ the sets differ, so more differing bits
@@ -54,7 +55,7 @@ CAP = 32            # rows of a bucket that yields all its pairs
 SHORT = 64          # sets under this size enumerate subsets of partitions
 #: Characters of the texts signed at once, or one longer text (a bound on memory; results do
 #: not depend on it), and rows sent on at once.
-CHUNK, SEND = 4 << 20, 1 << 18
+CHUNK, SEND = 1 << 20, 1 << 18
 
 #: Kinds of rows (kind, x, a): signature rows carry the signature in x (LEAD: of a bucket
 #: already large in its chunk), pairs the other document, DEFICIENT nothing.
@@ -375,24 +376,28 @@ class _Join:
         ranked = items.join(often, "item", "left").withColumn("df", F.coalesce("df", F.lit(1)))
         ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node", "n").orderBy("df", "item")))
         need = F.ceil(F.col("n") * NUM / DEN)
-        prefix = shared_table(ranked.where((F.col("at") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("node", "n", "item"), "jaccard-prefix")
+        prefix = shared_table(ranked.where((F.col("at") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("node", "n", "item", "at"), "jaccard-prefix")
         # first each bucket against its first document, then what still lies apart
         rows = shared_table(self.mixed(self.labelled(prefix, "node", "component"), "item"), "jaccard-mixed")
-        hub = rows.groupBy("item").agg(F.min("node").alias("a"), F.min_by("component", "node").alias("ca"), F.min_by("n", "node").alias("na"))
-        star = rows.join(hub, "item").where(f"component <> ca AND {_FITS.format('n', 'na')}")
+        hub = rows.groupBy("item").agg(F.min("node").alias("a"), F.min_by("component", "node").alias("ca"), F.min_by("n", "node").alias("na"), F.min_by("at", "node").alias("ata"))
+        star = rows.join(hub, "item").where(f"component <> ca AND {_fits('n', 'at', 'na', 'ata')}")
         self.add(self.verify(_names(star, ("a", "a"), ("node", "b")).distinct()))
-        rows = shared_table(self.mixed(self.labelled(rows.select("item", "node", "n"), "node", "component"), "item"), "jaccard-mixed")
+        rows = shared_table(self.mixed(self.labelled(rows.select("item", "node", "n", "at"), "node", "component"), "item"), "jaccard-mixed")
         # a bucket's largest component is no left side: its own pairs are not formed
         share = rows.groupBy("item", "component").agg(F.count(F.lit(1)).alias("c"))
         main = share.groupBy("item").agg(F.max_by("component", "c").alias("main"))
         left = rows.join(main, "item").where("component <> main")
-        left = _names(left, ("item", "item"), ("node", "l"), ("n", "nl"), ("component", "cl"))
-        pairs = left.join(rows, "item").where(f"cl <> component AND {_FITS.format('n', 'nl')}")
+        left = _names(left, ("item", "item"), ("node", "l"), ("n", "nl"), ("at", "atl"), ("component", "cl"))
+        pairs = left.join(rows, "item").where(f"cl <> component AND {_fits('n', 'at', 'nl', 'atl')}")
         pairs = pairs.select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
         self.add(self.verify(pairs))
 
 
-_FITS = f"{DEN} * {{0}} >= {NUM} * {{1}} AND {DEN} * {{1}} >= {NUM} * {{0}}"
+def _fits(n: str, at: str, m: str, bt: str) -> str:
+    """SQL: can sets of n and m shingles link whose first common shingle is their at-th and
+    bt-th?  Sizes must allow it, and so must the shingles that are left in both."""
+    return (f"{DEN} * {n} >= {NUM} * {m} AND {DEN} * {m} >= {NUM} * {n} AND "
+            f"{DEN + NUM} * (1 + least({n} - {at}, {m} - {bt})) >= {NUM} * ({n} + {m})")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -402,7 +407,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 @contextmanager
-def _rows_per_batch(spark: SparkSession, rows: int = 2000, key: str = "spark.sql.execution.arrow.maxRecordsPerBatch"):
+def _rows_per_batch(spark: SparkSession, rows: int = 1000, key: str = "spark.sql.execution.arrow.maxRecordsPerBatch"):
     """Arrow batches of texts and sets stay small, whatever the session's setting."""
     old = spark.conf.get(key, None)
     spark.conf.set(key, rows)
