@@ -17,8 +17,10 @@ few sets for which they don't (``deficient``) go to the exact rest below.
 of up to CAP rows yields all its pairs, a larger one the pairs with its first document.
 Buckets already large within one input batch are reduced there to their first document, so
 a signature that a third of all rows share sends a row per batch, not per document.
-*The exact rest.* Large buckets whose documents are not all in one component by then, and
-deficient sets, are joined by prefix filter: of the shingles ordered by frequency, linked
+*The exact rest.* A signature in a large bucket whose documents are not all in one component by
+then counts as lost.  A set that keeps more signatures than k differences can spoil still
+shares one that is not lost with every linked set; the few sets that don't, and deficient
+ones, are joined by prefix filter: of the shingles ordered by frequency, linked
 sets share one among their first n - ceil(0.8 n) + 1, and enough must be left behind the
 first one they share.  Pairs inside one component are skipped, all others are compared, so
 no link between components is lost.
@@ -58,8 +60,9 @@ SHORT = 64          # sets under this size enumerate subsets of partitions
 CHUNK, SEND = 1 << 20, 1 << 18
 
 #: Kinds of rows (kind, x, a): signature rows carry the signature in x (LEAD: of a bucket
-#: already large in its chunk), pairs the other document, DEFICIENT nothing.
-ROW, LEAD, HOT, STAR, PAIR, DEFICIENT = range(6)
+#: already large in its chunk), pairs the other document; SPARE has the document in x and in a
+#: the signatures it can lose, -1 if it is deficient.
+ROW, LEAD, HOT, STAR, PAIR, SPARE = range(6)
 _KINDS = pa.schema([("kind", pa.int32()), ("x", pa.int64()), ("a", pa.int64())])
 _KIND_DDL = "kind int, x long, a long"
 
@@ -87,16 +90,17 @@ def layout(space: int) -> tuple[int, int, int, int]:
     low, high = BANDS[space]
     k = differences(high, high * DEN // NUM)
     if low < SHORT:
-        return k, -(-(k + 1) // 3) if k else 1, 4 if k else 1, min(2, k)
-    return k, int((k + 1) * 1.15) + 1, 1, 0
+        return k, -(-(k + 1) // 3) + 1 if k else 1, 4 if k else 1, min(2, k)
+    return k, int((k + 1) * 1.25) + 1, 1, 0
 
 
 def signatures(size: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For sets laid end to end in ``elements``: (set index, signature) of every non-empty
-    projection, and which sets are deficient in a space they sign in."""
+    projection, and how many signatures a set can lose in any space it signs in and still
+    share one with every linked set (-1: it is deficient)."""
     owner = np.repeat(np.arange(len(size)), size)
     band = np.searchsorted(_LOW, size, "right") - 1
-    who, sigs, lacking = [], [], np.zeros(len(size), bool)
+    who, sigs, spare = [], [], np.full(len(size), 1 << 30)
     for space in np.unique(np.concatenate([band, band - 1])):
         if space < 0:
             continue
@@ -117,7 +121,8 @@ def signatures(size: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.n
         total, filled = total.reshape(-1, n1, n2), filled.reshape(-1, n1, n2)
         spoil = np.minimum(filled.sum(2), k2 + 1).sum(1)  # differences needed to spoil every group
         ids = np.flatnonzero(inside)
-        lacking[ids[spoil <= k]] = True
+        # a lost signature costs its group, which k2 + 1 differences would spoil
+        spare[ids] = np.minimum(spare[ids], np.where(spoil > k, (spoil - k - 1) // (k2 + 1), -1))
         group = np.arange(n1, dtype=np.uint64)
         for c, subset in enumerate(combinations(range(n2), n2 - k2)):
             s = np.zeros(total.shape[:2], np.uint64)
@@ -130,8 +135,8 @@ def signatures(size: np.ndarray, elements: np.ndarray) -> tuple[np.ndarray, np.n
             who.append(ids[i])
             sigs.append(s[i, g])
     if not who:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), lacking
-    return np.concatenate(who), np.concatenate(sigs), lacking
+        return np.empty(0, np.int64), np.empty(0, np.uint64), spare
+    return np.concatenate(who), np.concatenate(sigs), spare
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -168,9 +173,8 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not full.any():
                 continue
             ids, sets = ids[full], [s for s in sets if len(s)]
-            who, sig, lacking = signatures(np.array([len(s) for s in sets]), np.concatenate(sets))
-            if lacking.any():
-                yield _rows(DEFICIENT, ids[lacking], ids[lacking])
+            who, sig, spare = signatures(np.array([len(s) for s in sets]), np.concatenate(sets))
+            yield _rows(SPARE, ids, spare)
             doc, sig = ids[who], sig.view(np.int64)
             order = np.lexsort((doc, sig))
             doc, sig = doc[order], sig[order]
@@ -444,9 +448,10 @@ def _join(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     step.add(copies.unionByName(step.verify(pairs.where(F.col("kind") == STAR).select("a", "b"))))
     step.add(step.verify(step.across(pairs.where(F.col("kind") == PAIR).select("a", "b"))))
     hot = step.labelled(_names(found.where(F.col("kind") == HOT), ("x", "x"), ("a", "node")), "node", "component")
-    late = step.mixed(hot, "x").select(F.col("node").alias("doc_id"))
-    late = late.unionByName(found.where(F.col("kind") == DEFICIENT).select(F.col("a").alias("doc_id"))).distinct()
-    late = shared_table(late, "jaccard-late")
+    lost = step.mixed(hot, "x").groupBy("node").agg(F.count(F.lit(1)).alias("lost"))
+    spare = _names(found.where(F.col("kind") == SPARE), ("x", "node"), ("a", "spare"))
+    late = spare.join(lost, "node", "left").where(F.coalesce("lost", F.lit(0)) > F.col("spare"))
+    late = shared_table(late.select(F.col("node").alias("doc_id")).distinct(), "jaccard-late")
     if not late.isEmpty():
         step.rest(late)
     out = step.labelled(sized.select(F.col("doc_id").alias("node"), "n_shingles"), "node", "component_id")
