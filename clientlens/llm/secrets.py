@@ -5,9 +5,12 @@
 2. *Ownership*: candidate values are hashed; per hash the distinct repositories and owners
    that hold it are counted (distinct pairs first, combined per task, so a value copied into
    a third of all rows is a few rows).
-3. *Verdict*: values that many owners hold are widely copied examples; values of few
-   owners that look random are live-looking.  Base spans always stay; wider shapes become
-   spans only where they are live-looking.
+3. *Verdict*: values that many owners or many repositories hold, whoever owns them, are
+   widely copied examples; values of few of both that look random are live-looking.  Base
+   spans always stay; wider shapes become spans only where they are live-looking.
+
+``documents`` has neither owners nor repositories: by default ``source`` stands in for the
+owner and ``doc_id`` for the repository.
 
 Defined results: null text is empty (no spans); a null owner or repository counts as one
 owner or repository; rows that share an id are scanned one by one; offsets are code points,
@@ -31,8 +34,9 @@ BASE_KINDS = ("assign", "access", "hex")
 WIDE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{32,}"
 KINDS = (*BASE_KINDS, "wide")
 
-#: A value that more owners hold than this is an example.
+#: A value that more owners, or more repositories of any owners, hold than this is an example.
 MAX_OWNERS = 2
+MAX_REPOS = 10
 #: Distinct characters that a live-looking value has at least.
 MIN_ALPHABET = 8
 
@@ -77,6 +81,10 @@ def ownership(spans: DataFrame) -> DataFrame:
     return owners.groupBy("value_hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("r").alias("n_repos"))
 
 
+def is_example(n_owners: Column, n_repos: Column) -> Column:
+    return (n_owners > MAX_OWNERS) | (n_repos > MAX_REPOS)
+
+
 def scan(docs: DataFrame, **cols) -> tuple[DataFrame, DataFrame]:
     """(documents, values): per row doc_id and ``spans`` (start, kind, end, n_owners, n_repos,
     live); per value hash its owners, repositories and verdict."""
@@ -86,7 +94,7 @@ def scan(docs: DataFrame, **cols) -> tuple[DataFrame, DataFrame]:
     spans = spans.select("row", "owner", "repo", F.sha2("s.value", 256).alias("value_hash"), "s.*")
     freq = ownership(spans)
     random = F.size(F.array_distinct(F.split("value", ""))) >= MIN_ALPHABET
-    judged = spans.join(freq, "value_hash").withColumn("live", (F.col("n_owners") <= MAX_OWNERS) & random)
+    judged = spans.join(freq, "value_hash").withColumn("live", ~is_example(F.col("n_owners"), F.col("n_repos")) & random)
     values = judged.groupBy("value_hash").agg(F.first("n_owners").alias("n_owners"), F.first("n_repos").alias("n_repos"),
                                               F.max("live").alias("live"), F.count(F.lit(1)).alias("n_spans"))
     kept = judged.where(F.col("kind").isin(*BASE_KINDS) | F.col("live"))
@@ -106,5 +114,5 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", *[count(k) for k in BASE_KINDS], F.sha2(text(base), 256).alias("base_sha256"), text("s").alias("spans"),
         F.size(F.filter("s", lambda x: x["live"])).cast("long").alias("n_live"),
-        F.size(F.filter("s", lambda x: ~x["live"] & (x["n_owners"] > MAX_OWNERS))).cast("long").alias("n_example"),
+        F.size(F.filter("s", lambda x: is_example(x["n_owners"], x["n_repos"]))).cast("long").alias("n_example"),
     )

@@ -58,6 +58,21 @@ def test_ownership_separates_examples_from_live_ones(docs_of):
     assert (v.n_owners, v.n_repos, v.n_spans, v.live) == (4, 40, 40, False)
 
 
+def test_many_repositories_of_one_owner_make_an_example(docs_of, spark, tmp_path):
+    example, live = "q1W2e3R4" * 5, "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dF3"
+    rows = [(i, f"see {example} or token={live[:20]}", "one") for i in range(3000)]
+    rows += [(9000 + i, f"my {live}", "one") for i in range(5)]  # the same owner, few repositories
+    docs = docs_of(rows)
+    got, values = scan(docs)
+    assert all([(s.kind, s.live) for _, s in got[i]] == [("assign", False)] for i in range(3000))
+    assert all([(s.kind, s.live) for _, s in got[9000 + i]] == [("wide", True)] for i in range(5))
+    v = {v.value_hash: v for v in values}[hashlib.sha256(example.encode()).hexdigest()]
+    assert (v.n_owners, v.n_repos, v.n_spans, v.live) == (1, 3000, 3000, False)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {(r.n_live, r.n_example) for r in secrets.op7(spark, str(tmp_path)).collect() if r.doc_id < 9000}
+    assert out == {(0, 1)}
+
+
 def test_hard_and_no_rows(hard, empty):
     rows, _ = secrets.scan(hard)
     assert rows.count() == 12 and rows.where("spans IS NOT NULL").count() == 0
