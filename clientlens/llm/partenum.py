@@ -31,9 +31,11 @@ than differences allowed rule a link out, and nothing else does.
 
 Shingles are 64-bit hashes (a false match within two documents needs about 2^32 shingles).
 
-Defined results: null or blank text: n_shingles 0, linked with nothing, own component; rows
-that share a doc_id are one node, whose texts all count; rows with a null doc_id take part
-in nothing and have a null component; empty tables give empty results."""
+Defined results: null or blank text: n_shingles 0, linked with nothing, own component; empty
+tables give empty results.  In ``join`` rows that share a doc_id are one node, whose texts all
+count; rows with a null doc_id take part in nothing and have a null component.  In ``keep``
+every row is a node of its own, whatever its id: of a component the row with the smallest id
+stays, of repeated ids the first by locator, and of its rows with a null id the first."""
 
 from __future__ import annotations
 
@@ -45,10 +47,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clientlens.llm.common import anti_by_key, documents, is_scan, semi_by_key, shared_table
+from clientlens.llm.common import anti_by_key, documents, is_scan, semi_by_key, shared_table, with_locator
 from clientlens.llm.components import components
 from clientlens.llm.shingles import mix, shingle_sets
 
@@ -406,8 +408,9 @@ def _fits(n: str, at: str, m: str, bt: str) -> str:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id."""
+    docs = docs if is_scan(docs) else shared_table(docs, "jaccard-input")
     with _rows_per_batch(docs.sparkSession):
-        return _join(docs, id_col, text_col)
+        return _join(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
 
 
 @contextmanager
@@ -421,9 +424,8 @@ def _rows_per_batch(spark: SparkSession, rows: int = 1000, key: str = "spark.sql
         spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
 
 
-def _join(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    docs = docs if is_scan(docs) else shared_table(docs, "jaccard-input")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _join(texts: DataFrame) -> DataFrame:
+    """The join over (doc_id, text), which every read finds the same."""
     sized = shared_table(texts.mapInArrow(_sized, _SIZED_DDL), "jaccard-sized")
 
     # equal sets are linked by digest; only the first document of each goes on
@@ -462,14 +464,35 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(documents(spark, sf_dir))
 
 
+#: Bits of a row's number that say its place in its file; the others number the files.
+ROW_BITS = 40
+
+
+def _numbered(docs: DataFrame, cols: list[Column]) -> DataFrame:
+    """``cols`` plus ``__node``, a number that each row of a file scan has in every read; its
+    order is that of the locators.  Its files (which the driver lists anyway) are broadcast."""
+    files = with_locator(docs, []).select("__path").distinct().collect()
+    files = docs.sparkSession.createDataFrame(list(enumerate(sorted(x[0] for x in files))), "__file long, __path string")
+    placed = with_locator(docs, cols).join(F.broadcast(files), "__path")
+    return placed.withColumn("__node", F.shiftleft("__file", ROW_BITS) + F.col("__row")).drop("__path", "__row", "__file")
+
+
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component (its smallest id), with the columns it came with; rows
-    with a null id stay."""
+    """One row of each component of rows (its smallest id) and one of its rows with a null id,
+    with the columns they came with."""
     docs = docs if is_scan(docs) else shared_table(docs, "jaccard-input")
-    found = join(docs, id_col, text_col)
-    dropped = shared_table(found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct(), "jaccard-dropped")
-    dropped = dropped.select(F.col(id_col).cast(docs.schema[id_col].dataType))
-    return anti_by_key(docs, dropped, [id_col]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    with _rows_per_batch(docs.sparkSession):
+        found = _join(_numbered(docs, [F.col(text_col).alias("text")]).select(F.col("__node").alias("doc_id"), "text"))
+    copies = shared_table(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__node"), "component_id"), "jaccard-copies")
+    roots = copies.select(F.col("component_id").alias("__node"), "component_id").distinct()
+    # joins by the row's own number: a component that a third of all rows share is no hot key
+    ids = _numbered(docs, [F.col(id_col).alias("id")])
+    rows = shared_table(copies.unionByName(roots).join(ids, "__node"), "jaccard-members")
+    stay = rows.groupBy("component_id", F.col("id").isNull().alias("none")).agg(F.min(F.struct("id", "__node")).alias("first"))
+    dropped = rows.join(stay.select("first.__node"), "__node", "left_anti").select("__node")
+    dropped = shared_table(dropped, "jaccard-dropped")
+    placed = _numbered(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")])
+    return anti_by_key(placed, dropped, ["__node"]).select("row.*")
 
 
 SQL = r"""

@@ -122,3 +122,17 @@ def test_keep_has_one_document_of_each_group(docs_of, spark, tmp_path):
     docs = spark.read.parquet(str(tmp_path / "d"))
     kept = partenum.keep(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "None"]
+
+
+def test_keep_compares_rows_whatever_their_ids(docs_of, spark, tmp_path):
+    x, y, z, v = (" ".join(words(60, 20 + i)) for i in range(4))
+    rows = [(3, x), (5, x + " near"), (5, y), (7, z), (7, z + " near"), (8, None), (8, "")]
+    rows += [(None, v + (f" n{i}" if i else "")) for i in range(6)]
+    want = sorted([x, y, "", "None"])
+    for docs in (docs_of(rows), docs_of(rows).repartition(3)):
+        docs.write.mode("overwrite").parquet(str(tmp_path / "d"))
+        for table in (docs, spark.read.parquet(str(tmp_path / "d"))):
+            kept = partenum.keep(table).collect()
+            assert sorted(str(r.text) for r in kept if r.doc_id in (3, 5, 8)) == want  # the clean text of id 5 stays
+            assert sum(r.doc_id == 7 for r in kept) == 1  # near copies of one id
+            assert sum(r.doc_id is None for r in kept) == 1 and len(kept) == 6
