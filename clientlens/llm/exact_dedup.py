@@ -7,7 +7,10 @@
    expire).  Per digest the state retains the smallest identifier with its content
    locator and the number of rows.  Rows are combined per task before the shuffle, so a
    digest that holds a third of all rows sends one row per task.  The operator may be
-   called again with the same ``state`` folder: new ledger files go on from the state.
+   called again with the same ``state_dir``: new ledger files go on from the state.  Each
+   call then keeps its normalised texts in a folder of its own there, where later calls find
+   its stayers, and returns its own rows with groups over all calls so far; a later row of a
+   smaller id becomes the stayer, and rows returned before do not change.
 3. Hits (digests with more than one row) are checked on their full bytes: the stayer's
    content is fetched by its locator and compared with each copy.  A fixed-size bitmap of
    the hit digests is broadcast, so only texts that have a copy are shuffled; digests that
@@ -22,6 +25,8 @@ table gives an empty result."""
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -79,19 +84,39 @@ def keyed_state(spark: SparkSession, ledger_dir: str, schema, state_dir: str, ba
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          digest: Callable[[Column], Column] = sha256, state_dir: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest, __path, __row."""
+def _fetched(spark: SparkSession, texts_dir: str, places: DataFrame) -> DataFrame:
+    """digest, text of the rows at ``places`` (digest, __path, __row) in the folders of the calls."""
+    calls = places.select(F.regexp_extract("__path", r"/texts/([^/]+)/[^/]+$", 1)).distinct().collect()
+    if not calls:
+        return places.select("digest", F.lit("").alias("text"))
+    texts = with_locator(spark.read.parquet(*[f"{texts_dir}/{x[0]}" for x in calls]), [F.col("text")])
+    where = F.struct("__path", "__row")
+    found = flag_by_bitmap(texts, where, key_bitmap(places, where), "__hit").where("__hit")
+    return found.join(places, ["__path", "__row"]).select("digest", "text")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256,
+          state_dir: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, digest, __path, __row (with
+    ``state_dir``, the place in this call's folder of texts)."""
     spark = docs.sparkSession
+    call = state_dir and f"{time.time_ns():020d}-{uuid.uuid4().hex}"  # earlier calls come first
     state_dir = state_dir or shared_path(spark, "dedup-stream")
+    if call:
+        docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("text")).write.parquet(f"{state_dir}/texts/{call}")
+        docs, id_col, text_col = spark.read.parquet(f"{state_dir}/texts/{call}"), "doc_id", "text"
     texts = with_locator(docs, [F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")])
     texts = texts.select("doc_id", "__path", "__row", normalised(F.col("text")).alias("text"))
     texts = texts.withColumn("digest", digest(F.col("text")))
     ledger_dir = f"{state_dir}/ledger"
     texts.drop("text").write.mode("append").parquet(ledger_dir)
     ledger = spark.read.parquet(ledger_dir)
-    state = keyed_state(spark, ledger_dir, ledger.schema, f"{state_dir}/state")
+    state = keyed_state(spark, ledger_dir, ledger.schema, f"{state_dir}/state", batch_bytes)
+    own_call = F.col("__path").contains(f"/texts/{call}/") if call else F.lit(True)
+    mine = ledger.where(own_call)
     hits = state.where("n > 1")
+    if call:
+        hits = shared_table(hits.join(mine.select("digest").distinct(), "digest", "left_semi"), "dedup-hits")
 
     # a digest with over a thousandth of all rows is dealt over SALTS tasks (there are under 1000)
     hot = hits.where(F.col("n") * 1000 > ledger.count()).select("digest", F.lit(True).alias("hot"))
@@ -102,17 +127,27 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # full bytes of every hit against the stayer's, found by its locator
     candidates = flag_by_bitmap(texts, F.col("digest"), key_bitmap(hits, F.col("digest")), "__hit").where("__hit").drop("__hit")
-    stayer = candidates.join(
-        hits.select(F.col("digest"), F.col("first.path").alias("__path"), F.col("first.row").alias("__row")),
-        ["digest", "__path", "__row"]).select("digest", F.col("text").alias("kept_text"))
+    places = hits.select(F.col("digest"), F.col("first.path").alias("__path"), F.col("first.row").alias("__row"))
+    if call:
+        stayer = _fetched(spark, f"{state_dir}/texts", places)
+    else:
+        stayer = candidates.join(places, ["digest", "__path", "__row"])
+    stayer = stayer.select("digest", F.col("text").alias("kept_text"))
     clash = one(candidates).join(every(stayer), ["digest", "salt"]).where(F.col("text") != F.col("kept_text")).select("digest").distinct()
-    clash = shared_table(clash, "dedup-clash")
+    if call:  # what clashed in an earlier call does so in this one
+        clash.write.mode("append").parquet(f"{state_dir}/clash")
+        clash = spark.read.parquet(f"{state_dir}/clash").distinct()
+    else:
+        clash = shared_table(clash, "dedup-clash")
 
-    rows = one(ledger).join(every(state), ["digest", "salt"]).withColumn("group", F.struct("first", "n"))
+    rows = one(mine).join(every(state), ["digest", "salt"]).withColumn("group", F.struct("first", "n"))
     if not clash.isEmpty():
+        if call:
+            texts = with_locator(spark.read.parquet(f"{state_dir}/texts/*"), [F.col("doc_id"), F.col("text")])
+            texts = texts.withColumn("digest", digest(F.col("text")))
         again = texts.join(clash, "digest")
         by_text = again.groupBy("digest", "text").agg(F.struct(F.min(_first()).alias("first"), F.count(F.lit(1)).alias("n")).alias("group"))
-        fixed = again.join(by_text, ["digest", "text"]).select("doc_id", "__path", "__row", "digest", "group")
+        fixed = again.where(own_call).join(by_text, ["digest", "text"]).select("doc_id", "__path", "__row", "digest", "group")
         rows = rows.join(clash, "digest", "left_anti").select("doc_id", "__path", "__row", "digest", "group").unionByName(fixed)
     own = (F.col("__path") == F.col("group.first.path")) & (F.col("__row") == F.col("group.first.row"))
     return rows.select("doc_id", F.col("group.first.id").alias("keep_id"), F.col("group.n").cast("long").alias("group_size"),

@@ -125,6 +125,23 @@ def test_state_goes_on_over_calls(docs_of, spark):
     assert sorted((r["first"].id, r.n) for r in state.collect()) == [(5, 2), (6, 1), (8, 1)]
 
 
+def test_calls_share_a_state(docs_of, spark):
+    from clientlens.llm.common import shared_path
+
+    weak = lambda t: F.substring(exact_dedup.sha256(F.substring(t, 1, 1)), 1, 1)
+    calls = [[(5, "a one"), (6, "b"), (7, "a  one"), (8, "a two")], [(9, "a one"), (5, "b"), (6, "a two"), (10, "c"), (11, None)], [(6, "b"), (12, "a one"), (13, "")]]
+    for digest in (exact_dedup.sha256, weak):  # weak: all that begins with one letter collides
+        where, seen = shared_path(spark, "dedup-test"), []
+        for k, rows in enumerate(calls):
+            out = exact_dedup.dedup(docs_of(rows), digest=digest, state_dir=where, batch_bytes=1).collect()
+            seen += [(i, k, " ".join((t or "").split())) for i, t in rows]
+            want = []
+            for i, t in rows:
+                group = sorted(x for x in seen if x[2] == " ".join((t or "").split()))
+                want.append((i, group[0][0], len(group), group[0][:2] == (i, k)))
+            assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in out) == sorted(want)
+
+
 def test_keep_drops_copies_of_a_file_table(hard, spark, tmp_path):
     wide = hard.withColumn("digest", F.lit("x")).withColumn("__hit", F.lit(1)).withColumn("row", F.lit(2))
     wide.repartition(3).write.parquet(str(tmp_path / "d"))
