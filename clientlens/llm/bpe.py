@@ -10,7 +10,9 @@ No regular expression runs.
 *Merging.* The slices between boundaries go through a bounded cache to pair merging by rank
 (lowest rank first, leftmost on ties); long slices use a heap.
 *Decoding.* Ids are stored as little-endian unsigned 32-bit integers with, on request, the
-byte offset at which each token ends; decoding concatenates the vocabulary's bytes.
+byte offset at which each token ends (cumulated widths of the vocabulary's entries, as
+little-endian 64-bit integers); decoding concatenates the vocabulary's bytes, of all tokens
+or of a range of them, whose place in the text the offsets give.
 
 The vocabulary (a rank file, broadcast: its size is that of the file, about 1 MB) is a parameter.  Special tokens are ordinary text.
 
@@ -276,52 +278,85 @@ def vocabulary(ranks: dict[bytes, int]) -> list[bytes]:
     return table
 
 
+def widths(ranks: dict[bytes, int]) -> np.ndarray:
+    """Bytes of each id's vocabulary entry."""
+    return np.array([len(x) for x in vocabulary(ranks)], np.int64)
+
+
+def token_ends(ids: np.ndarray, count: np.ndarray, width: np.ndarray) -> Iterator[np.ndarray]:
+    """A chunk of ``Encoder.texts`` -> per text the byte offsets at which its tokens end."""
+    at = 0
+    for n in count.tolist():
+        yield np.cumsum(width[ids[at : at + n]])
+        at += n
+
+
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+_ENDS = pa.schema([*_IDS, ("ends", pa.binary())])
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, ids binary: little-endian unsigned 32-bit integers), one row per row."""
+def encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+    """(doc_id long, ids binary: little-endian unsigned 32-bit integers), one row per row; with
+    ``offsets`` also ``ends`` (binary: little-endian 64-bit integers), where tokens end."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches):
         encoder = _kept("encoder", shared, Encoder)
+        width = _kept("width", shared, widths) if offsets else None
         for batch in batches:
             at = 0
-            for rows in _ids_rows(encoder, batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(rows, pa.binary())], schema=_IDS)
+            for rows, ends in _ids_rows(encoder, batch.column(1), width):
+                cols = [batch.column(0).slice(at, len(rows)), pa.array(rows, pa.binary())]
+                if offsets:
+                    cols.append(pa.array(ends, pa.binary()))
+                yield pa.RecordBatch.from_arrays(cols, schema=_ENDS if offsets else _IDS)
                 at += len(rows)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids binary")
+    ddl = "doc_id long, ids binary" + ", ends binary" * offsets
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ddl)
 
 
-def _ids_rows(encoder: Encoder, texts) -> Iterator[list[bytes]]:
-    """A column of texts -> their stored ids, some texts at a time."""
+def _ids_rows(encoder: Encoder, texts, width: np.ndarray | None = None) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    """A column of texts -> their stored ids and, given widths, token ends, some texts at a time."""
     for ids, count in encoder.texts(t.as_py() or "" for t in texts):
-        raw, ends = ids.tobytes(), (np.cumsum(count) * 4).tolist()
-        yield [raw[a:b] for a, b in zip([0, *ends], ends)]
+        raw, cuts = ids.tobytes(), (np.cumsum(count) * 4).tolist()
+        ends = [] if width is None else [x.astype("<i8").tobytes() for x in token_ends(ids, count, width)]
+        yield [raw[a:b] for a, b in zip([0, *cuts], cuts)], ends
 
 
-def _text_of(stored: bytes, table: list[bytes]) -> bytes:
-    return b"".join(map(table.__getitem__, np.frombuffer(stored, np.uint32).tolist()))
+def _text_of(ids: np.ndarray, table: list[bytes]) -> bytes:
+    return b"".join(map(table.__getitem__, ids.tolist()))
 
 
 _BOTH = pa.schema([*_IDS, ("bytes", pa.binary())])
 _BOTH_DDL = "doc_id long, ids binary, bytes binary"
 
 
-def decode(tokens: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
-    """(doc_id, ids) -> (doc_id, ids, bytes): the vocabulary's bytes, end to end."""
+_PLACED = pa.schema([*_BOTH, ("start", pa.int64()), ("end", pa.int64())])
+
+
+def decode(tokens: DataFrame, ranks: dict[bytes, int], first: int = 0, stop: int | None = None) -> DataFrame:
+    """(doc_id, ids) -> (doc_id, ids, bytes): the vocabulary's bytes, end to end, of the tokens
+    ids[first:stop] (as Python slices).  If ``tokens`` has ``ends``, also ``start`` and ``end``: the
+    bytes of the text that these tokens cover."""
     shared = tokens.sparkSession.sparkContext.broadcast(ranks)
+    placed = "ends" in tokens.columns
 
     def run(batches):
         table = _kept("vocabulary", shared, vocabulary)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                rows = [_text_of(x.as_buffer(), table) for x in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(rows, pa.binary())], schema=_BOTH)
+                ids = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column(1)]
+                cols = [part.column(0), part.column(1), pa.array([_text_of(x[first:stop], table) for x in ids], pa.binary())]
+                if placed:
+                    ends = [np.r_[0, np.frombuffer(x.as_buffer(), "<i8")] for x in part.column(2)]
+                    spans = [slice(first, stop).indices(len(x))[:2] for x in ids]
+                    cols += [pa.array([int(e[a]) for e, (a, _) in zip(ends, spans)], pa.int64()),
+                             pa.array([int(e[max(a, b)]) for e, (a, b) in zip(ends, spans)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, schema=_PLACED if placed else _BOTH)
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, _BOTH_DDL)
+    return tokens.select("doc_id", "ids", *["ends"] * placed).mapInArrow(run, _BOTH_DDL + ", start long, end long" * placed)
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,8 +367,8 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id",
         encoder, table = _kept("encoder", shared, Encoder), _kept("vocabulary", shared, vocabulary)
         for batch in batches:
             at = 0
-            for rows in _ids_rows(encoder, batch.column(1)):
-                texts = [_text_of(x, table) for x in rows]
+            for rows, _ in _ids_rows(encoder, batch.column(1)):
+                texts = [_text_of(np.frombuffer(x, "<u4"), table) for x in rows]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(rows)), pa.array(rows, pa.binary()), pa.array(texts, pa.binary())], schema=_BOTH)
                 at += len(rows)
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm.bpe import Encoder, _kept, default_ranks, vocabulary
+from clientlens.llm.bpe import Encoder, _kept, default_ranks, token_ends, widths
 from clientlens.llm.common import documents
 
 RULE = "most"
@@ -95,17 +95,15 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id
 
     def run(batches):
         encoder = _kept("encoder", shared, Encoder)
-        width = _kept("width", shared, lambda r: np.array([len(x) for x in vocabulary(r)], np.int64))
+        width = _kept("width", shared, widths)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             given = batch.column(2).to_pylist() if sections_col else None
             row, out = 0, {f.name: [] for f in _OUT}
             for ids, count in encoder.texts(texts):
-                size, at = width[ids], 0
-                for n in count.tolist():
+                for ends in token_ends(ids, count, width):
                     text = texts[row]
                     names, start, stop = _disjoint(given[row], len(text)) if given else lines(text)
-                    ends = np.cumsum(size[at : at + n])
                     which, cross = attribute(ends, _bytes_at(text, start), _bytes_at(text, stop), rule)
                     total = np.bincount(which + 1, minlength=len(names) + 1)
                     across = np.bincount(which + 1, weights=cross, minlength=len(names) + 1).astype(np.int64)
@@ -115,7 +113,6 @@ def token_counts(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id
                     doc = batch.column(0)[row].as_py()
                     for k, v in zip(out, ([doc] * len(names), names, start.tolist(), stop.tolist(), total[1:].tolist(), across[1:].tolist())):
                         out[k] += v
-                    at += n
                     row += 1
                 if len(out["doc_id"]) > 8192:
                     yield pa.RecordBatch.from_pydict(out, schema=_OUT)

@@ -100,6 +100,22 @@ def test_ids_as_arrays_and_round_trip(hard, ranks, library):
         assert list(r.a) == library.encode_ordinary(text)
 
 
+def test_offsets_equal_the_library(docs_of, ranks, library):
+    texts = ["", None, "one line", "é\n😀 z\n 'll 中文字 ٣Ⅷ", "a" * 500 + " 😀😀😀", "w v " * 2000, "\U0001f9ff\u0dc5\u1d1c"]
+    tokens = bpe.encode(docs_of(list(enumerate(texts))), ranks, offsets=True).cache()
+    for r in tokens.collect():
+        raw, ends = (texts[r.doc_id] or "").encode(), np.frombuffer(r.ends, "<i8").tolist()
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        starts = [0, *ends][: len(ends)]
+        chars = [len(raw[:b].decode(errors="ignore")) if raw[b] & 0xC0 != 0x80 else sum(c & 0xC0 != 0x80 for c in raw[:b]) - 1 for b in starts]
+        assert chars == library.decode_with_offsets(ids)[1]
+        assert ends[-1:] == ([len(raw)] if raw else [])
+    for first, stop in ((0, None), (2, 5), (1, 1), (-3, None), (4, 2), (10**6, None)):
+        for r in bpe.decode(tokens, ranks, first, stop).collect():
+            ids = np.frombuffer(r.ids, "<u4").tolist()
+            assert bytes(r.bytes) == library.decode_bytes(ids[first:stop]) == (texts[r.doc_id] or "").encode()[r.start : r.end]
+
+
 def test_no_rows(empty, ranks):
     assert bpe.digests(empty, ranks).count() == 0 and token_counts.token_counts(empty, ranks).count() == 0
 
