@@ -4,7 +4,8 @@ production parameters, to its whole table."""
 from __future__ import annotations
 
 import corpus_pipeline
-from clientlens.llm import bpe, chat, classifier, exact_dedup, mixing, partenum, quality_rules, secrets, token_counts, warc
+from clientlens.llm import (bpe, chat, classifier, divergence, exact_dedup, language, mixing, partenum, phrases,
+                            quality_rules, secrets, token_counts, warc)
 from clientlens.llm.common import documents
 
 QUERIES = {
@@ -18,6 +19,9 @@ QUERIES = {
     "op8_quality_qda": classifier.op8,
     "op9_warc_revisit": warc.op9,
     "op10_partenum_join": partenum.op10,
+    "op11_source_divergence": divergence.op11,
+    "op12_phrase_mining": phrases.op12,
+    "op13_cross_parsing": language.op13,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -28,4 +32,6 @@ SQL = {
     "op6_tool_linking": chat.SQL,
     "op9_warc_revisit": warc.SQL,
     "op10_partenum_join": partenum.SQL,
+    "op11_source_divergence": divergence.SQL,
+    "op12_phrase_mining": phrases.SQL,
 }
