@@ -9,7 +9,8 @@ from clientlens.functions.parsing import col_, strip
 
 # fixed values: the token alphabet of the keyword retriever (lowercase letters,
 # digits, French accented letters, underscore and hyphen); everything else splits
-TOKEN_CHARS = "a-z0-9àâçéèêëîïôûùüÿñæœ_\\-"
+TOKEN_LETTERS, TOKEN_SIGNS = "àâçéèêëîïôûùüÿñæœ", "_-"
+TOKEN_CHARS = f"a-z0-9{TOKEN_LETTERS}_\\-"
 
 
 def tokens(c: Column | str, min_len: int = 3) -> Column:
@@ -29,26 +30,6 @@ def paragraphs(c: Column | str) -> Column:
     return F.filter(F.transform(parts, lambda p: strip(p)), lambda p: F.length(p) > 0)
 
 
-def pack_paragraphs(paras: Column, max_len: int = 900) -> Column:
-    """Greedy packing: append a paragraph to the buffer (blank-line joined) while
-    len(buf) + len(p) + 2 <= max_len, else flush; an oversize paragraph stays whole.
-    A sequential fold inside one row (higher-order ``aggregate``)."""
-    init = F.struct(F.array().cast("array<string>").alias("chunks"), F.lit("").alias("buf"))
-
-    def step(acc, p):
-        fits = F.length(acc["buf"]) + F.length(p) + 2 <= max_len
-        joined = F.when(F.length(acc["buf"]) == 0, p).otherwise(F.concat(acc["buf"], F.lit("\n\n"), p))
-        flushed = F.when(F.length(acc["buf"]) > 0, F.concat(acc["chunks"], F.array(acc["buf"]))).otherwise(acc["chunks"])
-        return F.when(fits, F.struct(acc["chunks"].alias("chunks"), joined.alias("buf"))).otherwise(
-            F.struct(flushed.alias("chunks"), p.alias("buf"))
-        )
-
-    def finish(acc):
-        return F.when(F.length(acc["buf"]) > 0, F.concat(acc["chunks"], F.array(acc["buf"]))).otherwise(acc["chunks"])
-
-    return F.aggregate(paras, init, step, finish)
-
-
 def fixed_windows(c: Column | str, size: int = 900, overlap: int = 150) -> Column:
     """Windows of ``size`` chars every ``size - overlap`` chars over an already
     stripped text column (the trailing window is kept even when contained in the previous one);

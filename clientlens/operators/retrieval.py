@@ -1,4 +1,5 @@
-"""Document chunking, token index, keyword retrieval, embeddings and vector top-k.
+"""Document chunking, token index, keyword retrieval and dense vector top-k (hashed text vectors
+and the pivot index are in ``operators/vectors``).
 
 Keyword retrieval is an inverted-index equi-join on token between distinct
 (query, token) and (chunk, token, tf) rows, then a grouped score and a
@@ -7,14 +8,19 @@ shuffle), so no query's candidates are ever gathered whole."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clientlens.functions.parsing import collapse_ws, strip
-from clientlens.functions.text import fixed_windows, pack_paragraphs, paragraphs, tokens
+from clientlens.functions.runs import numbered, text_slices, token_runs
+from clientlens.functions.text import fixed_windows, paragraphs, tokens
 
 CHUNK_SIZE, CHUNK_OVERLAP, PARAGRAPH_MAX = 900, 150, 900
 
@@ -34,17 +40,81 @@ def chunk_fixed(docs: DataFrame, source_col: str, text_col: str = "text",
     )
 
 
+def chunk_starts(size: np.ndarray, max_len: int) -> np.ndarray:
+    """First paragraphs of the chunks that greedy packing makes of one text's paragraphs (their
+    sizes): a chunk takes paragraphs while the next one and a blank line still fit, at least
+    one.  Every paragraph's jump to the first one that does not fit is found at once by a binary
+    search over prefix sums; the starts are what the jumps reach from the first paragraph."""
+    n = len(size)
+    # a paragraph and the blank line after it
+    upto = np.concatenate([[0], np.cumsum(size + 2)])
+    jump = np.searchsorted(upto, upto[:-1] + max_len + 2, "right") - 1  # the last has no blank line
+    jump = np.maximum(jump, np.arange(1, n + 1))
+    reached, step = np.zeros(n + 1, bool), np.append(jump, n)
+    reached[0] = True
+    # doubling: after round r, all starts within 2^r jumps are marked
+    while True:
+        new = step[np.flatnonzero(reached)]
+        if reached[new].all():
+            return np.flatnonzero(reached[:n])
+        reached[new] = True
+        step = step[step]
+
+
+def _packed(max_len: int):
+    """Arrow batches (source, paragraphs) -> (source, chunk, text)."""
+    def run(batches):
+        for batch in batches:
+            rows = batch.column(1)
+            paras, where = rows.flatten(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(rows), 0).to_numpy())])
+            size = pc.utf8_length(paras).to_numpy().astype(np.int64)
+            for i in range(batch.num_rows):
+                a, b = int(where[i]), int(where[i + 1])
+                if a == b:
+                    continue
+                starts = chunk_starts(size[a:b], max_len)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, b - a).astype(np.int32)), paras.slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.full(len(starts), i))), pa.array(np.arange(len(starts), dtype=np.int32)), pc.binary_join(lists, "\n\n")],
+                                                 names=["source", "chunk", "text"])
+    return run
+
+
 def chunk_paragraphs(docs: DataFrame, source_col: str, text_col: str = "text",
                      max_len: int = PARAGRAPH_MAX) -> DataFrame:
-    """R2: blank-line paragraphs greedily packed up to ``max_len`` chars."""
-    d = docs.select(F.col(source_col).alias("source"), pack_paragraphs(paragraphs(F.col(text_col)), max_len).alias("_c"))
-    return d.select("source", F.posexplode_outer("_c").alias("chunk", "text")).where(F.col("chunk").isNotNull())
+    """R2: blank-line paragraphs greedily packed up to ``max_len`` chars; an oversize paragraph
+    stays whole.  Linear in the text, whatever its number of paragraphs."""
+    d = docs.select(F.col(source_col).alias("source"), paragraphs(F.col(text_col)).alias("_p"))
+    schema = T.StructType([T.StructField("source", docs.schema[source_col].dataType), T.StructField("chunk", T.IntegerType()), T.StructField("text", T.StringType())])
+    return d.mapInArrow(_packed(max_len), schema)
+
+
+def _row_tokens(min_len: int):
+    """Arrow batches (keys..., lower-cased text) -> (keys..., token, tf), a row per row and token."""
+    def run(batches):
+        for batch in batches:
+            keys = batch.columns[:-1]
+            for a, _, data, starts in text_slices(batch.column(batch.num_columns - 1)):
+                first, end = token_runs(data, starts, min_len)
+                ids, words = numbered(data, first, end)
+                if not len(ids):
+                    continue
+                row = np.searchsorted(starts, first, "right") - 1
+                key, tf = np.unique(row * np.int64(len(words)) + ids, return_counts=True)
+                rows = pa.array(a + key // len(words))
+                yield pa.RecordBatch.from_arrays([*[k.take(rows) for k in keys], words.take(pa.array(key % len(words))), pa.array(tf.astype(np.int64))],
+                                                 names=[*batch.schema.names[:-1], "token", "tf"])
+    return run
+
+
+def row_tokens(rows: DataFrame, key_cols: list[str], text_col: str = "text", min_len: int = 3) -> DataFrame:
+    """(key..., token, tf): the distinct tokens of each row's text, counted in the row's own task."""
+    schema = T.StructType([*[rows.schema[k] for k in key_cols], T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
+    return rows.select(*key_cols, F.lower(F.col(text_col)).alias("__lower")).mapInArrow(_row_tokens(min_len), schema)
 
 
 def token_frequencies(chunks: DataFrame, key_cols: list[str], text_col: str = "text") -> DataFrame:
-    """(key..., token, tf) — map-side combined count per chunk and token."""
-    t = chunks.select(*key_cols, F.explode(tokens(F.col(text_col))).alias("token"))
-    return t.groupBy(*key_cols, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(key..., token, tf): counted in the row, then summed over rows of one key."""
+    return row_tokens(chunks, key_cols, text_col).groupBy(*key_cols, "token").agg(F.sum("tf").alias("tf"))
 
 
 def keyword_retrieve(queries: DataFrame, query_key: str, chunks: DataFrame, chunk_keys: list[str],
@@ -52,14 +122,10 @@ def keyword_retrieve(queries: DataFrame, query_key: str, chunks: DataFrame, chun
     """score = sum over distinct query tokens found in the chunk of (1 + 0.05 * min(tf, 3));
     score > 0; top k per query, ties by chunk order (``chunk_keys``)."""
     qt = queries.select(query_key, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("token")).distinct()
-    # Only tokens some query contains can score: the query vocabulary filters the exploded
-    # chunk tokens before term frequencies are counted (map-side where Spark finds it
-    # small enough to broadcast; it decides by bytes).
-    vocab = qt.select("token").distinct()
-    toks = chunks.select(*chunk_keys, F.explode(tokens(F.col(chunk_text))).alias("token"))
-    toks = toks.join(vocab, "token", "left_semi")
-    ct = toks.groupBy(*chunk_keys, "token").agg(F.count(F.lit(1)).alias("tf"))
-    m = qt.join(ct, "token").groupBy(query_key, *chunk_keys).agg(
+    # only tokens some query contains can score; a row's tokens are counted in its own task, and
+    # its matches lie next to each other, so the aggregation is done before rows move
+    ct = row_tokens(chunks, chunk_keys, chunk_text)
+    m = ct.join(qt, "token").groupBy(query_key, *chunk_keys).agg(
         F.count(F.lit(1)).alias("n_match"), F.sum(F.least(F.col("tf"), F.lit(3))).alias("bonus_units")
     )
     key = F.col("n_match") * 20 + F.col("bonus_units")  # 20 x score, exact integer
@@ -70,71 +136,6 @@ def keyword_retrieve(queries: DataFrame, query_key: str, chunks: DataFrame, chun
 
 
 # ---------------------------------------------------------------- vectors
-def hashed_features(df: DataFrame, key: str, text_col: str = "text", dim: int = 256) -> DataFrame:
-    """Sparse hashed term frequencies, L2-normalised: (key, bucket, w) with bucket = the first
-    32 bits of the token's MD5 modulo dim (the same in any engine).  Two map-side-combined aggregations; no row
-    ever holds more than ``dim`` entries of one text."""
-    t = df.select(key, F.explode(tokens(F.col(text_col), 1)).alias("_tok"))
-    tf = t.groupBy(key, F.pmod(F.conv(F.substring(F.md5("_tok"), 1, 8), 16, 10).cast("long"), F.lit(dim)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("_tf"))
-    norm = F.sqrt(F.sum(F.col("_tf") * F.col("_tf")).over(Window.partitionBy(key)))
-    return tf.select(key, "bucket", (F.col("_tf") / norm).alias("w"))
-
-
-def hashed_embedding(df: DataFrame, text_col: str = "text", dim: int = 256, out_col: str = "embedding",
-                     key: str = "id") -> DataFrame:
-    """R6 offline default: the dense array<float> form of ``hashed_features``
-    (all-zero for a text without tokens), computed in the JVM.  Swap in
-    ``embed_with`` for a model."""
-    feats = hashed_features(df.select(key, text_col), key, text_col, dim)
-    # bucket-sorted entries; each contributes the zero gap before it and its
-    # weight, so a row is densified in O(entries + dim) (no per-slot map lookup)
-    srt = feats.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("_s"))
-
-    def piece(e, j):
-        prev = F.when(j == 0, F.lit(-1)).otherwise(F.element_at(F.col("_s"), j)["bucket"])
-        return F.concat(F.array_repeat(F.lit(0.0).cast("float"), (e["bucket"] - prev - 1).cast("int")),
-                        F.array(e["w"].cast("float")))
-
-    filled = F.flatten(F.transform(F.col("_s"), piece))
-    dense = F.concat(filled, F.array_repeat(F.lit(0.0).cast("float"), (F.lit(dim) - F.size(filled)).cast("int")))
-    vec = srt.select(key, dense.alias(out_col))
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    return df.join(vec, key, "left").withColumn(out_col, F.coalesce(F.col(out_col), zero))
-
-
-def sparse_topk(queries: DataFrame, query_key: str, q_feats: DataFrame, corpus: DataFrame, corpus_key: str,
-                c_feats: DataFrame, k: int = 4) -> DataFrame:
-    """R7 for sparse unit vectors, exact: k nearest by squared L2 (ties: corpus key).
-
-    Dot products come from an inverted-index equi-join on bucket: pairs that share a
-    bucket, which with 256 buckets are most pairs.  Every other chunk is at distance
-    |q|^2 + |c|^2 (|c|^2 is 0 or 1), so the global first 2k chunks in
-    (|c|^2, key) order — a bounded, broadcast list — complete any query that
-    has fewer than k overlapping chunks."""
-    if k <= 0:
-        raise ValueError("top_k must be > 0")
-    # unit vectors: |v|^2 is exactly 1, or 0 for a text without tokens
-    qn = queries.select(query_key).join(
-        q_feats.select(query_key).distinct().withColumn("qn2", F.lit(1.0)), query_key, "left"
-    ).select(query_key, F.coalesce("qn2", F.lit(0.0)).alias("qn2"))
-    cn = corpus.select(corpus_key).join(
-        c_feats.select(corpus_key).distinct().withColumn("cn2", F.lit(1.0)), corpus_key, "left"
-    ).select(corpus_key, F.coalesce("cn2", F.lit(0.0)).alias("cn2"))
-    dots = (
-        q_feats.select(query_key, "bucket", F.col("w").alias("qw"))
-        .join(c_feats.select(corpus_key, "bucket", F.col("w").alias("cw")), "bucket")
-        .groupBy(query_key, corpus_key).agg(F.sum(F.col("qw") * F.col("cw")).alias("dot"))
-    )
-    cand = dots.join(qn, query_key).join(cn, corpus_key).select(
-        query_key, corpus_key, F.round(F.col("qn2") + F.col("cn2") - 2 * F.col("dot"), 12).alias("distance"))
-    fillers = cn.orderBy(F.col("cn2").asc(), F.col(corpus_key).asc()).limit(2 * k)  # bounded: 2k rows
-    fill = qn.crossJoin(F.broadcast(fillers)).select(
-        query_key, corpus_key, (F.col("qn2") + F.col("cn2")).alias("distance"))
-    fill = fill.join(cand.select(query_key, corpus_key), [query_key, corpus_key], "left_anti")
-    w = Window.partitionBy(query_key).orderBy(F.col("distance").asc(), F.col(corpus_key).asc())
-    return cand.unionByName(fill).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def embed_with(df: DataFrame, embed_batch, text_col: str = "text", out_col: str = "embedding") -> DataFrame:
     """R6 plug point: ``embed_batch(list[str]) -> list[list[float]]`` applied per Arrow
     batch in a pandas UDF (the model is created once per Python worker by the callable)."""

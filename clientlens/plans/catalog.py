@@ -18,6 +18,7 @@ from clientlens.operators import journal as jr
 from clientlens.operators import models as ml
 from clientlens.operators import policy as pol
 from clientlens.operators import retrieval as rt
+from clientlens.operators import vectors as vec
 from clientlens.schemas import PLANS
 from clientlens.session import materialize, work_dir
 from clientlens.sources.files import write_report, write_table
@@ -305,6 +306,15 @@ def q_vector_topk(spark, sf_dir):
     return top.select("query_label", "rank", "vec_id", F.round("distance", 6).alias("distance"))
 
 
+@query("vector_neighbors")
+def q_vector_neighbors(spark, sf_dir):
+    """R7 as a search: every row whose id is divisible by 50 against all rows, through the pivot index."""
+    emb = _t(spark, sf_dir).embeddings
+    qs = emb.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    top = vec.PivotIndex.build(emb, "vec_id").topk(qs, "query_id", k=4)
+    return top.select("query_id", "rank", "vec_id", F.round("distance", 6).alias("distance"))
+
+
 @query("signal_queries")
 def q_signal_queries(spark, sf_dir):
     sig = views.client_signals(_cr(spark, sf_dir))
@@ -601,12 +611,10 @@ def q_agent_batch(spark, sf_dir, question: str = "Comment sécuriser la relation
 
 def build_rag_hits(t: Tables, questions: DataFrame, k: int = 4) -> DataFrame:
     """Vector retrieval of (question_id, text) over fixed chunks of the documents:
-    exact nearest hashed embeddings through the sparse inverted index."""
-    chunks = materialize(rt.chunk_fixed(t.documents.select("doc_id", "text"), "doc_id"))  # read 3 times
-    top = rt.sparse_topk(questions, "question_id", rt.hashed_features(questions, "question_id"),
-                         chunks, "id", rt.hashed_features(chunks.select("id", "text"), "id"), k=k)
-    return rt.rag_hits(top.join(chunks.select("id", "source", "chunk", "text"), "id").select(
-        "question_id", "rank", F.col("source").cast("string").alias("source"), "chunk", "distance", "text"))
+    exact nearest hashed vectors, every chunk scored in its own task."""
+    chunks = rt.chunk_fixed(t.documents.select("doc_id", "text"), "doc_id")
+    top = vec.nearest_texts(questions, "question_id", chunks, "id", k=k)
+    return rt.rag_hits(top.select("question_id", "rank", F.col("source").cast("string").alias("source"), "chunk", "distance", "text"))
 
 
 # fixed values: the context tags prefixed to the retrieval question per prepared action
@@ -628,8 +636,7 @@ def build_rag_contexts(t: Tables, question: str) -> DataFrame:
 
 @query("embed_chunks")
 def q_embed_chunks(spark, sf_dir):
-    chunks = materialize(rt.chunk_fixed(_t(spark, sf_dir).documents.select("doc_id", "text"), "doc_id"))
-    return rt.hashed_embedding(chunks)
+    return vec.hashed_embedding(rt.chunk_fixed(_t(spark, sf_dir).documents.select("doc_id", "text"), "doc_id"))
 
 
 @query("chunk_index")

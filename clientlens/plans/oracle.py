@@ -518,6 +518,15 @@ register(
        r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_label ORDER BY distance, vec_id) AS rank FROM d)
        SELECT query_label, CAST(rank AS INTEGER) AS rank, vec_id, ROUND(distance, 6) AS distance FROM r WHERE rank <= 4""",
 )
+register(
+    "vector_neighbors",
+    """WITH q AS (SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 50 = 0),
+       d AS (SELECT q.query_id, e.vec_id, list_sum(list_transform(list_zip(q.qv, e.embedding),
+                    lambda x: (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)) * (CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE)))) AS distance
+             FROM q, embeddings e),
+       r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+       SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, ROUND(distance, 6) AS distance FROM r WHERE rank <= 4""",
+)
 register(
     "signal_queries",
     """SELECT c.client_id, concat_ws(' ', 'contexte', 'métriques', 'rétention', 'pmE saas', 'client',

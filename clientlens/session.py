@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,25 @@ def local_session(cpus: int | str = "*", app: str = "clientlens", **conf: str) -
     return spark
 
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once, unless they find it themselves (PYTHONPATH):
+    stages that run in Python workers import it there."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED and _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        base = os.path.join(tempfile.mkdtemp(prefix="clientlens-code-"), "clientlens")
+        with zipfile.ZipFile(f"{base}.zip", "w") as out:
+            for d, _, files in os.walk(os.path.join(_ROOT, "clientlens")):
+                for f in files:
+                    if f.endswith((".py", ".yaml")):
+                        out.write(os.path.join(d, f), os.path.relpath(os.path.join(d, f), _ROOT))
+        spark.sparkContext.addPyFile(f"{base}.zip")
+    _SHIPPED.add(app)
+
+
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints, models and written tables.
 

@@ -13,6 +13,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientlens.session import ship
+
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -38,6 +40,9 @@ class Tables:
     sf_dir: str
     _cache: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        ship(self.spark)
+
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
             self._cache[name] = read_table(self.spark, f"{self.sf_dir.rstrip('/')}/{name}.parquet")

@@ -228,27 +228,6 @@ def test_temporal_positions(spark):
     assert sum(r.split == "test" for r in rows) == 6000
 
 
-def test_sparse_topk_equals_dense_brute_force(spark):
-    rnd = random.Random(3)
-    words = ["churn", "plan", "usage", "client", "offre", "été", "rétention", "appel", "mail", "suivi", "!!!"]
-    docs = [(f"c{i:03d}", " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 12)))) for i in range(60)]
-    docs.append(("c999", "!!! ??"))  # no token: zero vector
-    corpus = spark.createDataFrame(docs, "id string, text string")
-    qs = spark.createDataFrame([(1, "churn client"), (2, "zzz unknown"), (3, "été offre appel suivi"), (4, "?")],
-                               "question_id int, text string")
-    sp = retrieval.sparse_topk(qs, "question_id", retrieval.hashed_features(qs, "question_id", dim=16),
-                               corpus, "id", retrieval.hashed_features(corpus, "id", dim=16), k=5)
-    # brute force over the dense form: every pair, distance rounded, ties by id
-    ce = {r.id: r.embedding for r in retrieval.hashed_embedding(corpus, dim=16).collect()}
-    qe = {r.question_id: r.qvec for r in retrieval.hashed_embedding(qs, dim=16, out_col="qvec", key="question_id").collect()}
-    b = set()
-    for q, qv in qe.items():
-        d = sorted((round(sum((x - y) ** 2 for x, y in zip(qv, cv)), 5), cid) for cid, cv in ce.items())
-        b |= {(q, i + 1, cid, dist) for i, (dist, cid) in enumerate(d[:5])}
-    a = {(r.question_id, r.rank, r.id, round(r.distance, 5)) for r in sp.collect()}
-    assert a == b and len(a) == 20
-
-
 def test_prepared_action_branches(spark):
     from clientlens.operators import actions
     rows = [("C1", "send_retention_email", "high", "low", "pro", "Paris"),
