@@ -126,7 +126,7 @@ class Scan:
             self.exact += len(near)
             exact = (own[near] * self.q[open_[who]]).sum(1)
             for i, j, d in zip(rows[near].tolist(), open_[who].tolist(), exact.tolist()):
-                distance = round(self.norm[j] + 1.0 - 2 * d, 12)
+                distance = round(self.norm[j] + 1.0 - 2 * d, 12) + 0.0  # no negative zero
                 if len(self.best[j]) < self.k or distance <= self.best[j][0][0].distance:
                     self._offer(j, distance, keys[i], payload(i))
 

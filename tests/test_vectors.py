@@ -28,7 +28,7 @@ def brute(qs, docs, dim, k):
     out = set()
     for q, t in qs:
         v = vec(t)
-        d = sorted((round(float((v * v).sum() + (x * x).sum() - 2 * (v * x).sum()), 12), i) for i, x in c.items())
+        d = sorted((round(float((v * v).sum() + (x * x).sum() - 2 * (v * x).sum()), 12) + 0.0, i) for i, x in c.items())
         out |= {(q, r + 1, i, f"{x:.6f}") for r, (x, i) in enumerate(d[:k])}
     return out
 
