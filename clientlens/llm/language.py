@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
-1. *Training text.*  Each language is learnt from a bounded sample: the ``SAMPLE_DOCS`` distinct texts
-   of smallest hash among its labelled training rows, end to end, to ``SAMPLE_BYTES`` bytes of UTF-8.  Both bounds are parameters; the ranking is limited per task before rows move,
+1. *Training text.*  Each language is learnt from a bounded sample: of its labelled training rows,
+   the text of smallest hash in each of ``SAMPLE_DOCS`` slots of hashes, end to end, to ``SAMPLE_BYTES`` bytes of UTF-8.  Both bounds are parameters; the minima are combined per task before rows move,
    and copies of a text count once.
 2. *Model.*  The suffix automaton of that text: every substring of it is a path from the root, so
    walking it reads the longest match with the training text, whatever its length.
@@ -32,11 +32,11 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.llm.common import documents
-from clientlens.llm.runs import text_slices
+from clientlens.functions.runs import text_slices
 
 #: Fixed values of the contract.
 FOLDS, HELD_OUT = 3, 1
@@ -60,10 +60,9 @@ def training_texts(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lan
     """Per language its training text: at most ``sample_bytes`` bytes."""
     rows = docs.where((fold(id_col) != HELD_OUT) & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    # choose by narrow rows first, so that copies and long texts do not travel
-    keys = rows.select("lang", "hash").distinct()
-    order = Window.partitionBy("lang").orderBy("hash")
-    keys = keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample_docs)
+    # of each of sample_docs slots of hashes the least hash: narrow rows, combined per task, so that
+    # neither copies nor long texts travel and no task sees a language's rows together
+    keys = rows.groupBy("lang", F.pmod("hash", F.lit(sample_docs)).alias("place")).agg(F.min("hash").alias("hash"))
     # sample_docs rows a language; the texts are cut to what the sample can take at most
     text = rows.join(F.broadcast(keys), ["lang", "hash"]).groupBy("lang", "place").agg(F.min(F.substring("text", 1, sample_bytes)).alias("text"))
     out: dict[str, bytes] = {}
