@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.session import materialize, work_dir
+from clientlens.session import materialize, ship, work_dir
 
 #: Fixed values of the contracts: the white space between words.
 WS = r"[\x20\x09-\x0D]+"
@@ -21,24 +18,6 @@ NOT_WS = r"[^\x20\x09-\x0D]"
 BITMAP_BITS = 1 << 26
 
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once, unless they find it themselves (PYTHONPATH)."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED and _ROOT not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        base = os.path.join(tempfile.mkdtemp(prefix="clientlens-code-"), "clientlens")
-        with zipfile.ZipFile(f"{base}.zip", "w") as out:
-            for d, _, files in os.walk(os.path.join(_ROOT, "clientlens")):
-                for f in files:
-                    if f.endswith((".py", ".yaml")):
-                        out.write(os.path.join(d, f), os.path.relpath(os.path.join(d, f), _ROOT))
-        spark.sparkContext.addPyFile(f"{base}.zip")
-    _SHIPPED.add(app)
-
-
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

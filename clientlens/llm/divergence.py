@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clientlens.llm.common import documents, shared_table
-from clientlens.llm.runs import LOWER, numbered, runs, text_slices
+from clientlens.functions.runs import LOWER, numbered, runs, text_slices
 
 #: Fixed values of the contract.
 IN_TERM = np.ones(256, bool)  # bytes of [^\x00-\x40\x5B-\x60\x7B-\x7F]

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clientlens.llm.common import documents, shared_path, shared_table
-from clientlens.llm.runs import LOWER, numbered, runs, text_slices
+from clientlens.functions.runs import LOWER, numbered, runs, text_slices
 from clientlens.llm.shingles import mix
 
 #: Fixed values of the contract.

@@ -6,7 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from clientlens.llm import divergence, runs
+from clientlens.functions import runs
+from clientlens.llm import divergence
 
 TERM = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 

@@ -60,7 +60,7 @@ def found(df):
 @pytest.mark.parametrize("shards, slots", [(1, 1 << 20), (2, 1 << 15), (4, 64)])
 def test_equals_brute_force(spark, shards, slots, monkeypatch):
     """Few slots: nearly every phrase shares one, which must cost work only."""
-    from clientlens.llm import runs
+    from clientlens.functions import runs
 
     monkeypatch.setattr(runs, "SLICE", 200)
     rows = texts(shards) + [(None, None), ("en", ""), ("de", " .,; "), ("fr", "one"), ("en", "long word " * 3_000)] + [("en", "copied words here again")] * 50
