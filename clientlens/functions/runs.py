@@ -22,8 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices of a string array (null counts as empty) of about SLICE bytes: first and last row,
+def text_slices(texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of a string array (null counts as empty) of about ``size`` (SLICE) bytes: first and last row,
     the bytes of all its texts end to end, and where each text starts in them (and the last ends)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     _, offsets, data = texts.buffers()
@@ -31,7 +31,7 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
     whole = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
     at = 0
     while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(where, where[at] + SLICE, "right")) - 1)
+        end = max(at + 1, int(np.searchsorted(where, where[at] + (size or SLICE), "right")) - 1)
         yield at, end, whole[where[at] : where[end]], where[at : end + 1] - where[at]
         at = end
 

@@ -80,8 +80,8 @@ class Scan:
     """The k nearest texts of each question among the slices seen so far, by squared distance
     (rounded to 12 digits), then key."""
 
-    def __init__(self, questions: np.ndarray, k: int):
-        self.q, self.q32, self.k = questions, questions.astype(np.float32), k
+    def __init__(self, questions: np.ndarray, k: int, block: int = BLOCK):
+        self.q, self.q32, self.k, self.block = questions, questions.astype(np.float32), k, block
         self.norm = (questions != 0).any(1).astype(float)
         self.best: list[list] = [[] for _ in questions]  # per question a heap, worst first
         # what a text must reach: 2 dot - |text|^2, as distance = |question|^2 minus that
@@ -110,8 +110,8 @@ class Scan:
                 apart = vectors[i] @ self.q.T == 0
                 for j in np.flatnonzero(apart & (self.bar <= -size + ERROR)).tolist():
                     self._offer(j, self.norm[j] + size, keys[i], payload(i))
-        for at in range(0, len(full), BLOCK):
-            rows = full[at : at + BLOCK]
+        for at in range(0, len(full), self.block):
+            rows = full[at : at + self.block]
             own = vectors[rows]
             open_ = np.flatnonzero(2 * (self.q @ own.max(0)) - 1 >= self.bar - 2 * ERROR)
             self.skipped += (len(self.q) - len(open_)) * len(rows)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clientlens.functions import runs, text
+from clientlens.functions import text
 from clientlens.operators import retrieval, vectors
 from clientlens.plans import catalog as C
 
@@ -34,9 +34,7 @@ def brute(qs, docs, dim, k):
 
 
 @pytest.mark.parametrize("seed, k", [(1, 5), (2, 1), (3, 90)])
-def test_nearest_texts_equal_brute_force(spark, monkeypatch, seed, k):
-    monkeypatch.setattr(vectors, "BLOCK", 8)
-    monkeypatch.setattr(runs, "SLICE", 400)
+def test_nearest_texts_equal_brute_force(spark, seed, k):
     rng = random.Random(seed)
     words = ["churn", "plan", "usage", "client", "offre", "été", "rétention", "appel", "mail", "suivi", "!!!"]
     docs = [(f"c{i:03d}", " ".join(rng.choices(words, k=rng.randint(1, 12)))) for i in range(70)]
@@ -47,6 +45,25 @@ def test_nearest_texts_equal_brute_force(spark, monkeypatch, seed, k):
     assert {(r.q, r["rank"], r.id, f"{r.distance:.6f}") for r in got.collect()} == brute(qs, docs, 16, k)
 
 
+@pytest.mark.parametrize("block, k", [(1, 3), (7, 3), (64, 9)])
+def test_scan_in_slices_and_blocks_of_any_size(block, k):
+    rng = np.random.RandomState(block)
+    x = rng.poisson(0.7, (200, 12)).astype(float)
+    x[::17] = 0
+    x[50:60] = x[3]
+    norm = np.sqrt((x * x).sum(1, keepdims=True))
+    x = np.divide(x, norm, out=x, where=norm > 0)
+    q = np.concatenate([x[:6], x[17:18], np.eye(12)[:2]])
+    scan, keys = vectors.Scan(q, k, block), [f"k{i:03d}" for i in range(200)]
+    for a in range(0, 200, 23):
+        scan.add(x[a : a + 23], keys[a : a + 23], lambda i: None)
+    for j, v in enumerate(q):
+        d = sorted((round(float((v * v).sum() > 0) + float((y * y).sum() > 0) - 2 * float((v * y).sum()), 12) + 0.0, n) for y, n in zip(x, keys))
+        got = sorted((o.distance, o.key) for o, _ in scan.best[j])
+        assert [n for _, n in got] == [n for _, n in d[:k]] and np.allclose([a for a, _ in got], [a for a, _ in d[:k]])
+    assert scan.exact + scan.skipped <= scan.pairs
+
+
 def test_question_blocks_and_empty_sides(spark, monkeypatch):
     monkeypatch.setattr(vectors, "QUESTION_BYTES", 8 * 16 * 2)  # two questions a block
     qs = [(i, f"w{i} w{i + 1}") for i in range(5)]
