@@ -32,9 +32,23 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back: a lineage
     cut that every executor can read and that a lost executor does not take along."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def drop_shared(*tables: DataFrame) -> None:
+    """Remove tables of ``shared_table`` whose last reader is done; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_shared_path", None):
+            drop_path(t.sparkSession, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

@@ -1,19 +1,21 @@
 """Phrase collocation mining by dynamic itemset counting.
 
 1. Every whole text is cut once into words and pieces; a chunk of words becomes a row (its distinct
-   words and the number of each place's word) in one of ``SHARDS`` shards of a table in the
-   shared folder.
+   words, their hashes and the number of each place's word) in one of ``SHARDS`` shards of a
+   table in the shared folder.
 2. The shards are scanned in a cycle.  A step counts, in one shard, the phrases of all lengths that
    are active, so lengths are interleaved: words are active from the start, and a longer phrase
    becomes active at the step after both of its subphrases (without the last, without the first
    word) have reached the threshold by the counts so far.  From then on it is counted for exactly
    one full cycle, so every shard once.  The scan ends when nothing is open any more.
-3. Counts so far are a table, too: partial counts of a step are combined per task, summed with it,
-   and phrases that completed their cycle below the threshold leave it.  What reached the
-   threshold goes to the workers as a table of fixed size (a byte for each of ``SLOTS`` hashes:
-   the step from which it counts as reached), whatever the number of phrases.  Two phrases
-   in one slot only make a phrase active too early or for nothing: its first active step is a
-   function of the slots, the same for all its places, so its count is of one full cycle still.
+3. Counts so far are a table, too, of 64-bit hashes of phrases: partial counts of a step are combined
+   per task, summed with it, and hashes that completed their cycle below the threshold leave it.
+   Hashes that reached the threshold go to the workers as tables of fixed size (a byte for each of
+   ``SLOTS`` slots of hashes: the step from which it counts as reached), whatever their number.
+4. A closing scan counts the phrases themselves, word by word, for those whose hash reached the
+   threshold: two phrases of one hash or slot only make a phrase a candidate for nothing (a sum over
+   both is never below the count of either).  A candidate's first active step is a function of the
+   slots, the same for all its places, so it is counted for one full cycle.
 
 A phrase at or above the threshold has subphrases at or above it, which reach it within their own
 cycle, so no phrase is missed; its prefixes and suffixes, which the cuts need, are counted too.
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clientlens.llm.common import documents, shared_path, shared_table
+from clientlens.llm.common import documents, drop_shared, shared_path, shared_table
 from clientlens.functions.runs import LOWER, numbered, runs, text_slices
 from clientlens.llm.shingles import mix
 
@@ -44,7 +46,8 @@ LONGEST = 5
 TOP = 2000
 
 SHARDS = 2        # steps of a cycle
-SLOTS = 1 << 24   # bytes of the table of reached phrases (16 MB, whatever their number)
+SLOTS = 1 << 24   # bytes of a table of reached phrases (16 MB, whatever their number)
+CHUNK = 1 << 19   # bytes of text a chunk, or one longer text
 TOKENS = 1 << 20  # words counted at once in a worker
 SALTS = 16
 NEVER = 255
@@ -55,26 +58,27 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _WORD = ~(_BLANK | _BREAK)
 
-CHUNK_SCHEMA = "lang string, words array<string>, ids binary, n long, shard int"
-COUNT_SCHEMA = "lang string, phrase string, k int, hash long, since int, n long"
+CHUNK_SCHEMA = "lang string, words array<string>, hashes binary, ids binary, n long, shard int"
+COUNT_SCHEMA = "hash long, k int, since int, n long"
 
 
 # ------------------------------------------------------------ words and shards
 
 
-def _chunks(shards: int):
+def _chunks(shards: int, chunk: int):
     def run(batches):
         at = TaskContext.get().partitionId()
         for batch in batches:
             langs = batch.column(0)
             names = pc.unique(langs)
             code = pc.index_in(langs, names).to_numpy()
-            for a, b, data, starts in text_slices(batch.column(1)):
+            for a, b, data, starts in text_slices(batch.column(1), chunk):
                 data = LOWER[data]
                 first, end = runs(_WORD[data], starts[:-1])
                 if not len(first):
                     continue
                 ids, words = numbered(data, first, end)
+                hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
                 doc = np.searchsorted(starts, first, "right") - 1
                 breaks = np.cumsum(_BREAK[data])
                 # a place between two words of different pieces or texts is marked by -1
@@ -90,19 +94,21 @@ def _chunks(shards: int):
                     out[out >= 0] = local
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([names[int(c)].as_py()], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), words.take(pa.array(used))),
-                         pa.array([out.tobytes()], pa.binary()), pa.array([len(i)], pa.int64()), pa.array([at % shards], pa.int32())],
-                        names=["lang", "words", "ids", "n", "shard"])
+                         pa.array([hashes[used].tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary()), pa.array([len(i)], pa.int64()), pa.array([at % shards], pa.int32())],
+                        names=["lang", "words", "hashes", "ids", "n", "shard"])
                     at += 1
     return run
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """The words of all texts as a table of chunks, partitioned by shard."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     path = shared_path(spark, "phrases-shards")
-    rows.mapInArrow(_chunks(shards), CHUNK_SCHEMA).write.partitionBy("shard").parquet(path)
-    return spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    rows.mapInArrow(_chunks(shards, chunk), CHUNK_SCHEMA).write.partitionBy("shard").parquet(path)
+    out = spark.read.schema(CHUNK_SCHEMA).parquet(path)
+    out._shared_path = path
+    return out
 
 
 # -------------------------------------------------------------------- a step
@@ -112,93 +118,98 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
-def count_active(lang: str, ids: np.ndarray, words: pa.Array, reached: np.ndarray, step: int, cycle: int, longest: int):
-    """The active phrases of a stretch of words (-1 between pieces) at a step: batches of
-    (lang, phrase, k, hash, since, n)."""
-    names = words.to_numpy(zero_copy_only=False)
-    key = mix(pd.util.hash_array(names, categorize=False) ^ pd.util.hash_array(np.array([lang], object), categorize=False)[0])
-
-    def out(cols, k, hashes, since, n):
-        phrase = words.take(pa.array(cols[0]))
-        for c in cols[1:]:
-            phrase = pc.binary_join_element_wise(phrase, words.take(pa.array(c)), " ")
-        size = len(n)
-        return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))), phrase, pa.array(np.full(size, k, np.int32)),
-                                           pa.array(hashes.view(np.int64)), pa.array(since.astype(np.int32)), pa.array(n.astype(np.int64))],
-                                          names=["lang", "phrase", "k", "hash", "since", "n"])
-
-    at = np.flatnonzero(ids >= 0)
-    if step < cycle:
-        n = np.bincount(ids[at], minlength=len(words))
-        yield out([np.arange(len(words))], 1, key, np.zeros(len(words)), n)
-    hashes, since = key[ids[at]], np.zeros(len(at), np.int64)
-    for k in range(2, longest + 1):
-        # phrases of k-1 words at the places ``at``; keep those that count as reached
+def lang_key(lang: str) -> np.uint64:
+    return pd.util.hash_array(np.array([lang], object), categorize=False)[0]
+
+
+def grams(words: np.ndarray, lang: str, reached: np.ndarray, step: int, longest: int):
+    """Per length k: the places in a stretch of word hashes (0 between pieces) at which a phrase of k
+    words starts whose shorter parts all count as reached at ``step``, its hash, and the step
+    from which that holds."""
+    at = np.flatnonzero(words)
+    hashes, since = mix(words[at] ^ lang_key(lang)), np.zeros(len(at), np.int64)
+    for k in range(1, longest + 1):
+        yield k, at, hashes, since
         own = reached[slot_of(hashes, len(reached))].astype(np.int64)
         ok = own <= step
         at, hashes, since = at[ok], hashes[ok], np.maximum(since, own)[ok]
-        if len(at) < 2:
-            return
-        pair = np.flatnonzero(at[1:] == at[:-1] + 1)  # both subphrases are reached
-        last = ids[at[pair] + k - 1]
-        since = np.maximum(since[pair], since[pair + 1])
-        hashes = mix(hashes[pair] + key[last])
-        at = at[pair]
-        open_ = np.flatnonzero(since + cycle > step)
-        if len(open_):
-            here = at[open_]
-            table = pa.table({f"w{i}": ids[here + i] for i in range(k)})
-            table = table.append_column("hash", pa.array(hashes[open_].view(np.int64))).append_column("since", pa.array(since[open_]))
-            g = table.group_by([f"w{i}" for i in range(k)], use_threads=False).aggregate([("hash", "min"), ("since", "min"), ([], "count_all")])
-            yield out([g[f"w{i}"].to_numpy() for i in range(k)], k, g["hash_min"].to_numpy().copy(), g["since_min"].to_numpy(), g["count_all"].to_numpy())
-
-
-def _step(reached, step: int, cycle: int, longest: int):
+        pair = np.flatnonzero(at[1:] == at[:-1] + 1)  # the parts without the last and the first word
+        at, since = at[pair], np.maximum(since[pair], since[pair + 1])
+        next_ = words[np.minimum(at + k, len(words) - 1)]  # never a break: the second part ends there
+        hashes = mix(hashes[pair] + next_)
+
+
+def _stretches(batches, with_words: bool):
+    """Chunks of one language joined to about TOKENS places: (lang, word hashes, words, ids)."""
+    wait: dict[str, list] = {}
+    size: dict[str, int] = {}
+
+    def joined(lang):
+        parts = wait.pop(lang)
+        size.pop(lang)
+        return lang, np.concatenate([x for p in parts for x in (np.zeros(1, np.uint64), p[0])]), [(p[1], p[2]) for p in parts]
+
+    for batch in batches:
+        texts = batch.column("words") if with_words else [None] * batch.num_rows
+        for lang, hashes, ids, words in zip(batch.column("lang").to_pylist(), batch.column("hashes"), batch.column("ids"), texts):
+            ids = np.frombuffer(ids.as_buffer(), np.int32)
+            # a word's hash is never 0, which marks a break (id -1)
+            table = np.append(np.maximum(np.frombuffer(hashes.as_buffer(), np.uint64), np.uint64(1)), np.uint64(0))
+            wait.setdefault(lang, []).append((table[ids], ids, words.values if with_words else None))
+            size[lang] = size.get(lang, 0) + len(ids)
+            if size[lang] >= TOKENS:
+                yield joined(lang)
+    for lang in list(wait):
+        yield joined(lang)
+
+
+def _step(shared, step: int, cycle: int, longest: int):
     def run(batches):
-        table = np.frombuffer(reached.value, np.uint8)
-        wait: dict[str, list] = {}
-        size: dict[str, int] = {}
-
-        def flush(lang):
-            ids, words, base = [], [], 0
-            for i, w in wait.pop(lang):
-                ids += [np.array([-1], np.int32), np.where(i >= 0, i + base, -1)]
-                words.append(w)
-                base += len(w)
-            coded = pa.chunked_array(words).combine_chunks().dictionary_encode()
-            number = coded.indices.to_numpy()
-            ids = np.concatenate(ids)
-            size.pop(lang)
-            yield from count_active(lang, np.where(ids >= 0, number[ids], -1), coded.dictionary, table, step, cycle, longest)
-
-        for batch in batches:
-            for lang, words, ids in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("ids")):
-                ids = np.frombuffer(ids.as_buffer(), np.int32)
-                wait.setdefault(lang, []).append((ids, words.values))
-                size[lang] = size.get(lang, 0) + len(ids)
-                if size[lang] >= TOKENS:
-                    yield from flush(lang)
-        for lang in list(wait):
-            yield from flush(lang)
+        reached = np.frombuffer(shared.value, np.uint8)
+        for lang, words, _ in _stretches(batches, False):
+            for k, _, hashes, since in grams(words, lang, reached, step, longest):
+                open_ = np.flatnonzero(since + cycle > step)
+                if len(open_):
+                    key, first, n = np.unique(hashes[open_], return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(since[open_[first]].astype(np.int32)), pa.array(n.astype(np.int64))],
+                                                     names=["hash", "k", "since", "n"])
     return run
 
 
-def _rows_per_batch(spark: SparkSession, rows: int | None):
-    """Set (or restore) the rows of an Arrow batch: a chunk row holds a slice of texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    return int(before)
+def _closing(shared, longest: int):
+    """Arrow batches of chunks -> (lang, phrase, k, n) of the phrases whose hash reached the threshold."""
+    def run(batches):
+        found = np.frombuffer(shared.value, np.uint8)
+        for lang, hashed, parts in _stretches(batches, True):
+            # number the words of all chunks of the stretch together
+            coded = pa.chunked_array([w for _, w in parts]).combine_chunks().dictionary_encode()
+            words, number = coded.dictionary, coded.indices.to_numpy()
+            base, ids = 0, []
+            for i, w in parts:
+                ids += [np.array([-1], np.int64), np.where(i >= 0, number[np.maximum(i, 0) + base], -1)]
+                base += len(w)
+            ids = np.concatenate(ids)
+            for k, at, hashes, _ in grams(hashed, lang, found, 0, longest):
+                at = at[found[slot_of(hashes, len(found))] == 0]
+                if not len(at):
+                    break
+                g = pa.table({f"w{i}": ids[at + i] for i in range(k)}).group_by([f"w{i}" for i in range(k)], use_threads=False).aggregate([([], "count_all")])
+                phrase = words.take(g["w0"].combine_chunks())
+                for i in range(1, k):
+                    phrase = pc.binary_join_element_wise(phrase, words.take(g[f"w{i}"].combine_chunks()), " ")
+                size = len(phrase)
+                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))), phrase, pa.array(np.full(size, k, np.int32)), g["count_all"].combine_chunks()],
+                                                 names=["lang", "phrase", "k", "n"])
+    return run
 
 
-def _new_slots(counts: DataFrame, min_count: int, longest: int, slots: int) -> np.ndarray:
-    """Slots of the phrases that reached the threshold in this step: a bitmap in slices of 4 KB,
-    at most slots / 32768 rows whatever the number of phrases."""
+def _slots(hashes: DataFrame, slots: int) -> np.ndarray:
+    """Slots of a table's hashes: a bitmap in slices of 4 KB, at most slots / 32768 rows whatever the
+    number of phrases."""
     slot = F.col("hash").bitwiseAND(F.lit(slots - 1)) + 1
-    new = counts.where((F.col("n") >= min_count) & ~F.col("was_reached") & (F.col("k") < longest))
-    new = new.select(F.bitmap_bucket_number(slot).alias("slice"), F.bitmap_bit_position(slot).alias("bit"))
+    rows = hashes.select(F.bitmap_bucket_number(slot).alias("slice"), F.bitmap_bit_position(slot).alias("bit"))
     bits = np.zeros(max(slots // 8, 4096), np.uint8)
-    for r in new.groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+    for r in rows.groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
         a = (r["slice"] - 1) * 4096
         bits[a : a + 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
     return np.flatnonzero(np.unpackbits(bits, bitorder="little"))
@@ -208,30 +219,41 @@ def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT, longest: int =
     """(lang, phrase, k, n): every phrase of up to ``longest`` words with at least ``min_count``
     occurrences, exactly counted."""
     spark = chunks.sparkSession
-    reached = np.full(slots, NEVER, np.uint8)
-    so_far, step, last = None, 0, 0
-    while step < max(shards, last + shards):
-        if step >= NEVER - 1:
-            raise RuntimeError("too many steps")
-        table = spark.sparkContext.broadcast(reached.tobytes())
-        before = _rows_per_batch(spark, 16)
-        part = chunks.where(F.col("shard") == step % shards).select("lang", "words", "ids")
-        part = part.mapInArrow(_step(table, step, shards, longest), COUNT_SCHEMA).withColumn("was_reached", F.lit(False))
-        rows = part if so_far is None else part.unionByName(so_far)
-        counts = rows.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.max("hash").alias("hash"), F.max("since").alias("since"), F.sum("n").alias("n"),
-                                                    F.max("was_reached").alias("was_reached"))
-        # a phrase that has seen every shard and stayed below the threshold is done with
-        counts = counts.where((F.col("n") >= min_count) | (F.col("since") + shards > step + 1))
-        counts = shared_table(counts, f"phrases-counts-{step}")
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(before))
-        step += 1
-        new = _new_slots(counts, min_count, longest, slots)
-        new = new[reached[new] == NEVER]
-        if len(new):
-            reached[new], last = step, step
-        so_far = counts.withColumn("was_reached", F.col("n") >= min_count)
-        table.unpersist()
-    return so_far.where(F.col("n") >= min_count).select("lang", "phrase", "k", "n")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "32")  # a row is a chunk
+    try:
+        reached, found = np.full(slots, NEVER, np.uint8), np.full(slots, NEVER, np.uint8)
+        so_far, step, last = None, 0, 0
+        while step < max(shards, last + shards):
+            if step >= NEVER - 1:
+                raise RuntimeError("too many steps")
+            table = spark.sparkContext.broadcast(reached.tobytes())
+            part = chunks.where(F.col("shard") == step % shards).select("lang", "hashes", "ids")
+            rows = part.mapInArrow(_step(table, step, shards, longest), COUNT_SCHEMA)
+            rows = rows if so_far is None else rows.unionByName(so_far)
+            counts = rows.groupBy("hash").agg(F.min("k").alias("k"), F.max("since").alias("since"), F.sum("n").alias("n"))
+            # what has seen every shard and stayed below the threshold is done with
+            counts = shared_table(counts.where((F.col("n") >= min_count) | (F.col("since") + shards > step + 1)), f"phrases-counts-{step}")
+            step += 1
+            high = counts.where(F.col("n") >= min_count)
+            found[_slots(high, slots)] = 0
+            new = _slots(high.where(F.col("k") < longest), slots)
+            new = new[reached[new] == NEVER]
+            if len(new):
+                reached[new], last = step, step
+            old, so_far = so_far, counts.where((F.col("n") < min_count) & (F.col("since") + shards > step))
+            so_far._shared_path = counts._shared_path
+            if old is not None:
+                drop_shared(old)
+            table.unpersist()
+        drop_shared(so_far)
+        table = spark.sparkContext.broadcast(found.tobytes())
+        exact = chunks.select("lang", "words", "hashes", "ids").mapInArrow(_closing(table, longest), "lang string, phrase string, k int, n long")
+        exact = exact.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n")).where(F.col("n") >= min_count)
+        return shared_table(exact, "phrases-counts")
+    finally:
+        spark.conf.set(size, before)
 
 
 # -------------------------------------------------------------------- scores
@@ -249,9 +271,9 @@ def score(a: Column, n: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide(a * 1000, 19) * wide(n, 18), wide(left, 19) * wide(right, 18)).cast("long")
 
 
-def collocations(chunks: DataFrame, counts: DataFrame, top: int = TOP) -> DataFrame:
-    """The best ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score."""
-    total = chunks.groupBy("lang").agg(F.sum("n").alias("total"))
+def collocations(total: DataFrame, counts: DataFrame, top: int = TOP) -> DataFrame:
+    """The best ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score; ``total`` has
+    each language's number of words."""
     found = counts.where("k >= 2").select("lang", "phrase", "k", F.col("n").alias("a"))
     found = found.withColumn("w", F.split("phrase", " "))
     span = lambda first, size: F.array_join(F.slice("w", first, size), " ")
@@ -274,9 +296,12 @@ def collocations(chunks: DataFrame, counts: DataFrame, top: int = TOP) -> DataFr
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, slots: int = SLOTS,
-         lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    chunks = sharded(docs, shards, lang_col, text_col)
-    return collocations(chunks, phrase_counts(chunks, min_count, longest, shards, slots), top)
+         lang_col: str = "lang", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    chunks = sharded(docs, shards, lang_col, text_col, chunk)
+    total = shared_table(chunks.groupBy("lang").agg(F.sum("n").alias("total")), "phrases-total")
+    counts = phrase_counts(chunks, min_count, longest, shards, slots)
+    drop_shared(chunks)
+    return collocations(total, counts, top)
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:

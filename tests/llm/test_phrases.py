@@ -58,14 +58,11 @@ def found(df):
 
 
 @pytest.mark.parametrize("shards, slots", [(1, 1 << 20), (2, 1 << 15), (4, 64)])
-def test_equals_brute_force(spark, shards, slots, monkeypatch):
+def test_equals_brute_force(spark, shards, slots):
     """Few slots: nearly every phrase shares one, which must cost work only."""
-    from clientlens.functions import runs
-
-    monkeypatch.setattr(runs, "SLICE", 200)
     rows = texts(shards) + [(None, None), ("en", ""), ("de", " .,; "), ("fr", "one"), ("en", "long word " * 3_000)] + [("en", "copied words here again")] * 50
-    assert found(phrases.mine(table(spark, rows), min_count=20, shards=shards, slots=slots)) == brute(rows, 20)
-    assert found(phrases.mine(table(spark, rows), min_count=5, top=7, shards=shards, slots=slots)) == brute(rows, 5, 7)
+    assert found(phrases.mine(table(spark, rows), min_count=20, shards=shards, slots=slots, chunk=200)) == brute(rows, 20)
+    assert found(phrases.mine(table(spark, rows), min_count=5, top=7, shards=shards, slots=slots, chunk=200)) == brute(rows, 5, 7)
 
 
 def test_words_of_two_languages_in_a_slice_do_not_meet(spark):
