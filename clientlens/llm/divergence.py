@@ -150,7 +150,7 @@ def nodes(size: np.ndarray, place: np.ndarray, value: np.ndarray, weight: np.nda
     return np.concatenate(entry), np.concatenate(depth), np.concatenate(terms)
 
 
-def corrections(place: np.ndarray, value: np.ndarray, zero: np.ndarray, entry: np.ndarray, depth: np.ndarray, terms: np.ndarray):
+def corrections(place: np.ndarray, value: np.ndarray, zero: np.ndarray, entry: np.ndarray, depth: np.ndarray, terms: np.ndarray, pairs: int = PAIRS):
     """Per chunk of (node, ancestor) combinations: source places a, b and the sum of
     f(p, q) - f(p, zq) - f(zp, q) + f(zp, zq) with p of a and q of b, each combination computed once
     and both directions taken from it."""
@@ -160,7 +160,7 @@ def corrections(place: np.ndarray, value: np.ndarray, zero: np.ndarray, entry: n
     done = np.cumsum(depth)
     at = 0
     while at < len(entry):
-        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + PAIRS, "right")))
+        end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + pairs, "right")))
         n = depth[at:end]
         own, up = np.repeat(entry[at:end], n), _ragged(entry[at:end] - n, n)
         m = np.repeat(terms[at:end], n)

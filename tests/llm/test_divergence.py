@@ -5,6 +5,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from clientlens.functions import runs
 from clientlens.llm import divergence
@@ -54,12 +55,30 @@ def test_equals_brute_force(spark):
     assert found(divergence.audit(table(spark, rows), min_docs=30, top_terms=2)) == brute(rows, 30, 2)
 
 
-def test_hot_source_and_small_chunks(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "PAIRS", 7)
+def test_hot_source(spark):
     rows = [("en", "hot" if i % 3 else f"s{i % 7}", f"alpha beta{'abc'[i % 3]} gamma{'xyz'[i % 3]}") for i in range(90)]
     assert found(divergence.audit(table(spark, rows))) == brute(rows)
 
 
+@pytest.mark.parametrize("pairs", [1, 7, 1 << 20])
+def test_corrections_in_chunks_of_any_size(pairs):
+    size, place, value = np.array([3, 3, 1, 2]), np.array([1, 2, 4, 1, 2, 5, 3, 3, 4]), np.array([50, 60, 9, 50, 60, 8, 7, 7, 11])
+    zero = place + 1
+    got = Counter()
+    for a, b, add in divergence.corrections(place, value, zero, *divergence.nodes(size, place, value, np.array([2, 1, 1, 3])), pairs=pairs):
+        for x, y, v in zip(a.tolist(), b.tolist(), add.tolist()):
+            got[x, y] += v
+    f = lambda p, q: (p - q) ** 2 // q
+    want = Counter()
+    for off, n, m in ((0, 3, 2), (3, 3, 1), (6, 1, 1), (7, 2, 3)):
+        for i in range(off, off + n):
+            for j in range(off, off + n):
+                if i != j:
+                    p, q, zp, zq = (int(x) for x in (value[i], value[j], zero[i], zero[j]))
+                    want[int(place[i]), int(place[j])] += m * (f(p, q) - f(p, zq) - f(zp, q) + f(zp, zq))
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_shared_paths_are_one_node():
     # rows (1,5)(2,6), (1,5)(2,6)(3,1), (1,5)(2,7): the nodes are the distinct prefixes
     size, place = np.array([2, 3, 2]), np.array([1, 2, 1, 2, 3, 1, 2])
