@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.functions.parsing import strip
 from clientlens.schemas import DECISION_LOG, DECISION_TYPES, SCOPE_TYPES, require_columns
 from clientlens.session import materialize, stored
+from clientlens.sources.commits import AppendTable
 
 MAX_RATIONALE = 200
 
@@ -29,25 +30,30 @@ def journal_validate(rows: DataFrame) -> DataFrame:
     )
 
 
-def _decision_id() -> Column:
+def decision_id() -> Column:
     """A decision is all it says."""
     return F.sha2(F.to_json(F.struct(*[f.name for f in DECISION_LOG.fields])), 256)
 
 
+def journal_table(spark: SparkSession, path: str) -> AppendTable:
+    """The journal: a decision's day (the first ten characters of its time) is part of what it says."""
+    return AppendTable(spark, path, DECISION_LOG, decision_id(), F.substring("timestamp_iso", 1, 10))
+
+
 def journal_append(rows: DataFrame, path: str) -> DataFrame:
     """Append the valid rows that the journal doesn't have yet; return the valid rows.
-    Appending the same rows again leaves the journal as it is."""
-    spark = rows.sparkSession
-    v = journal_validate(rows).where(F.col("reason").isNull()).drop("reason")
-    known = read_journal(spark, path).select(_decision_id().alias("_id"))
-    fresh = v.withColumn("_id", _decision_id()).dropDuplicates(["_id"]).join(known, "_id", "left_anti").drop("_id")
-    materialize(fresh).write.mode("append").parquet(path)
+    Appending the same rows again, or by two writers at once, leaves the journal as it is;
+    only the days of the new rows are read."""
+    v = materialize(journal_validate(rows).where(F.col("reason").isNull()).drop("reason"))
+    journal_table(rows.sparkSession, path).append(v)
     return v
 
 
-def read_journal(spark, path: str) -> DataFrame:
-    """Journal with its declared schema; empty when it does not exist yet."""
-    return stored(spark, path, DECISION_LOG)
+def read_journal(spark: SparkSession, path: str) -> DataFrame:
+    """Journal (of ``journal_append`` or of the stream) with its declared schema; empty when it does not
+    exist yet."""
+    table = journal_table(spark, path)
+    return table.read() if table.log.exists() else stored(spark, path, DECISION_LOG)
 
 
 def journal_view(journal: DataFrame, scope_type: str | None = None, scope_value: str | None = None) -> DataFrame:

@@ -14,12 +14,13 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clientlens.operators.churn import temporal_split
 from clientlens.schemas import require_columns
-from clientlens.session import materialize, stored
+from clientlens.session import materialize
+from clientlens.sources.commits import AppendTable, Versions
 
 REV_NUM = ["nb_paiements", "actions_total", "sessions_total", "anciennete_jours"]
 REV_CAT = ["plan", "ville"]
@@ -221,18 +222,14 @@ def score_churn(model: PipelineModel, df: DataFrame, *keep: str) -> DataFrame:
                       F.col("prediction").cast("int").alias("prediction"))
 
 
-def feature_importance(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """M7: random-forest importances by encoded feature name."""
-    names = encoded_feature_names(model, df=df)
-    imp = model.stages[-1].featureImportances.toArray().tolist()
-    return df.sparkSession.createDataFrame(list(zip(names, map(float, imp))), "feature string, importance double")
+def feature_importance(weights: DataFrame) -> DataFrame:
+    """M7: random-forest importances by encoded feature name, from the saved weights."""
+    return weights.select("feature", F.col("weight").alias("importance"))
 
 
-def churn_coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """M8: signed logistic weights by encoded feature name."""
-    names = encoded_feature_names(model, df=df)
-    w = model.stages[-1].coefficients.toArray().tolist()
-    return df.sparkSession.createDataFrame(list(zip(names, map(float, w))), "feature string, weight double")
+def churn_coefficients(weights: DataFrame) -> DataFrame:
+    """M8: signed logistic weights by encoded feature name, from the saved weights."""
+    return weights.where("feature <> '(intercept)'")
 
 
 def feature_weights(weights: DataFrame, col: str = "weight", n: int = 15) -> DataFrame:
@@ -247,27 +244,59 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
     metrics.coalesce(1).write.mode("overwrite").json(path)  # one row
 
 
-def save_model(model: PipelineModel, base: str, name: str, current: bool = False) -> str:
-    """Write the model (and a 'current' copy when asked)."""
-    path = f"{base}/models/{name}"
-    model.write().overwrite().save(path)
-    if current:
-        model.write().overwrite().save(f"{base}/models/current")
-    return path
+class ModelStore:
+    """Models by name, each save a version of its own, and one current version of a name.
+    A job that scores pins a version for its whole run; saving never touches a folder that is read."""
+
+    def __init__(self, spark: SparkSession, base: str):
+        self.spark, self.base = spark, base.rstrip("/")
+
+    def _versions(self, name: str) -> Versions:
+        return Versions(self.spark, f"{self.base}/{name}")
+
+    def save(self, name: str, model: PipelineModel, data: DataFrame, current: bool = True) -> int | None:
+        """Save the model and its weights as a table; make it current when asked.  ``data`` gives the
+        encoded columns their names.  A save that is not made current is kept, unnumbered."""
+        store = self._versions(name)
+        folder = store.folder()
+        model.write().save(f"{folder}/model")
+        model_weights(model, data).write.parquet(f"{folder}/weights")
+        return store.switch(folder) if current else None
+
+    def has(self, name: str) -> bool:
+        return bool(self._versions(name).log.numbers())
+
+    def load(self, name: str, version: int | None = None) -> tuple[PipelineModel, int]:
+        """The current (or a named) version and its number; a missing one is an error."""
+        number, entry = self._versions(name).current(version)
+        return PipelineModel.load(f"{entry['folder']}/model"), number
+
+    def weights(self, name: str, version: int | None = None) -> DataFrame:
+        """(feature, weight) of a version, as saved with it."""
+        return self.spark.read.schema("feature string, weight double").parquet(f"{self._versions(name).current(version)[1]['folder']}/weights")
+
+
+def model_weights(model: PipelineModel, df: DataFrame) -> DataFrame:
+    """(feature, weight): importances of trees, else signed coefficients (with ``(intercept)``)."""
+    names, last = encoded_feature_names(model, df=df), model.stages[-1]
+    if hasattr(last, "featureImportances"):
+        rows = list(zip(names, map(float, last.featureImportances.toArray().tolist())))
+    else:
+        rows = [*zip(names, map(float, last.coefficients.toArray().tolist())), ("(intercept)", float(last.intercept))]
+    return df.sparkSession.createDataFrame(rows, "feature string, weight double")
 
 
 def load_model(path: str) -> PipelineModel:
-    """A missing artifact is an error."""
+    """S9 for a model folder of another origin: a missing artifact is an error."""
     return PipelineModel.load(path)
 
 
-def append_runs(spark, runs: DataFrame, path: str) -> DataFrame:
+def append_runs(spark: SparkSession, runs: DataFrame, path: str) -> DataFrame:
     """Add the runs (keyed by ``run_id``) that the history at ``path`` doesn't have yet; the
-    history.  Running again with the same runs leaves it as it is."""
-    known = stored(spark, path, runs.schema)
-    fresh = materialize(runs.join(known.select("run_id"), "run_id", "left_anti").select(*runs.columns))
-    fresh.write.mode("append").parquet(path)
-    return spark.read.schema(runs.schema).parquet(path)
+    history.  Running again with the same runs, or by two writers at once, leaves it as it is."""
+    table = AppendTable(spark, path, runs.schema, F.col("run_id"), F.col("model"))
+    table.append(runs)
+    return table.read()
 
 
 def latest_run(history: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from clientlens.operators import models as ml
 from clientlens.operators import policy as pol
 from clientlens.operators import retrieval as rt
 from clientlens.operators import vectors as vec
+from clientlens.operators.chunk_index import ChunkIndex
 from clientlens.schemas import PLANS
 from clientlens.session import materialize, work_dir
 from clientlens.sources.files import write_report, write_table
@@ -362,28 +363,36 @@ def q_clean_rejects(spark, sf_dir):
 
 # ------------------------------------------------------------------ models
 
-def _model_path(spark, sf_dir, kind) -> str:
-    """Where the model of these tables is saved."""
-    tag = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return f"{work_dir(spark)}/models-{tag}/{kind}"
+def _tag(sf_dir: str) -> str:
+    """Names what belongs to these tables."""
+    return hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+
+
+def model_store(spark, sf_dir) -> ml.ModelStore:
+    return ml.ModelStore(spark, f"{work_dir(spark)}/models-{_tag(sf_dir)}")
 
 
 def _train(spark, sf_dir, kind):
-    """The training job: fits on the tables as they are and saves the model."""
+    """The training job: fits on the tables as they are and saves the model as the current version."""
     t = _t(spark, sf_dir)
-    if kind == "churn":
-        res = ml.train_churn(build_churn_ready(t))
-    else:
-        res = ml.train_revenue(report.ml_ready(build_report(t)), kind)
-    res[0].write().overwrite().save(_model_path(spark, sf_dir, kind))
+    data = build_churn_ready(t) if kind == "churn" else report.ml_ready(build_report(t))
+    res = ml.train_churn(data) if kind == "churn" else ml.train_revenue(data, kind)
+    model_store(spark, sf_dir).save(kind, res[0], data)
     return res
 
 
+def _trained(spark, sf_dir, kind) -> ml.ModelStore:
+    """The store with a current model: scoring doesn't train where one was saved; the queries here
+    train one if there is none, so that none depends on which ran before it."""
+    store = model_store(spark, sf_dir)
+    if not store.has(kind):
+        _train(spark, sf_dir, kind)
+    return store
+
+
 def _saved(spark, sf_dir, kind):
-    """Scoring jobs read the saved model (a missing one is an error); the queries here train
-    first, so that none depends on which ran before it."""
-    _train(spark, sf_dir, kind)
-    return ml.load_model(_model_path(spark, sf_dir, kind))
+    """The current model, pinned: a version saved meanwhile doesn't change the job."""
+    return _trained(spark, sf_dir, kind).load(kind)[0]
 
 
 def fixed_revenue_predictions(t: Tables) -> DataFrame:
@@ -449,26 +458,24 @@ def q_train_churn(spark, sf_dir):
 
 @query("score_revenue")
 def q_score_revenue(spark, sf_dir):
-    model = _saved(spark, sf_dir, "rf")
-    return ml.score_revenue(model, report.ml_ready(build_report(_t(spark, sf_dir))))
+    model, version = _trained(spark, sf_dir, "rf").load("rf")
+    return ml.score_revenue(model, report.ml_ready(build_report(_t(spark, sf_dir)))).withColumn("model_version", F.lit(version))
 
 
 @query("score_churn")
 def q_score_churn(spark, sf_dir):
-    model = _saved(spark, sf_dir, "churn")
-    return ml.score_churn(model, build_churn_ready(_t(spark, sf_dir)))
+    model, version = _trained(spark, sf_dir, "churn").load("churn")
+    return ml.score_churn(model, build_churn_ready(_t(spark, sf_dir))).withColumn("model_version", F.lit(version))
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf_dir):
-    model = _saved(spark, sf_dir, "rf")
-    return ml.feature_importance(model, report.ml_ready(build_report(_t(spark, sf_dir))))
+    return ml.feature_importance(_trained(spark, sf_dir, "rf").weights("rf"))
 
 
 @query("churn_coefficients")
 def q_churn_coefficients(spark, sf_dir):
-    model = _saved(spark, sf_dir, "churn")
-    return ml.churn_coefficients(model, build_churn_ready(_t(spark, sf_dir)))
+    return ml.churn_coefficients(_trained(spark, sf_dir, "churn").weights("churn"))
 
 
 @query("feature_weights")
@@ -481,8 +488,7 @@ def metrics_runs(spark, sf_dir) -> DataFrame:
     run is its tables, model and results)."""
     rows = _train(spark, sf_dir, "linear")[2].unionByName(_train(spark, sf_dir, "rf")[2])
     key = F.sha2(F.to_json(F.struct(F.lit(sf_dir), *[c for c in rows.columns if c != "run_ts"])), 256)
-    tag = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return ml.append_runs(spark, rows.withColumn("run_id", key), f"{work_dir(spark)}/tables/metrics_history-{tag}")
+    return ml.append_runs(spark, rows.withColumn("run_id", key), f"{work_dir(spark)}/tables/metrics_history-{_tag(sf_dir)}")
 
 
 @query("metrics_history")
@@ -585,8 +591,7 @@ def q_journal_view(spark, sf_dir):
 
 @query("journal_append")
 def q_journal_append(spark, sf_dir):
-    tag = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    path = f"{work_dir(spark)}/tables/decision_log-{tag}"
+    path = f"{work_dir(spark)}/tables/decision_log-{_tag(sf_dir)}"
     jr.journal_append(_t(spark, sf_dir).decision_feed(), path)
     return jr.journal_view(jr.read_journal(spark, path))
 
@@ -641,10 +646,10 @@ def q_embed_chunks(spark, sf_dir):
 
 @query("chunk_index")
 def q_chunk_index(spark, sf_dir):
-    """Rebuild the chunk index (overwrite) and read it back."""
-    path = f"{work_dir(spark)}/tables/chunk_index"
-    q_embed_chunks(spark, sf_dir).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Bring the chunk index of these tables up to date and read it back."""
+    index = ChunkIndex(spark, f"{work_dir(spark)}/tables/chunk_index-{_tag(sf_dir)}")
+    index.build(rt.chunk_fixed(_t(spark, sf_dir).documents.select("doc_id", "text"), "doc_id"))
+    return index.read()
 
 
 @query("rag_hits")
@@ -716,8 +721,7 @@ def q_revenue_source(spark, sf_dir):
 
 
 def _export_path(spark, sf_dir, name) -> str:
-    tag = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
-    return f"{work_dir(spark)}/exports-{tag}/{name}"
+    return f"{work_dir(spark)}/exports-{_tag(sf_dir)}/{name}"
 
 
 @query("export_report")

@@ -1,8 +1,9 @@
 """Structured Streaming jobs.
 
-Both are stateless.  Each output has a query of its own that writes with Spark's Parquet
-sink: its log names the files of every committed batch, so a batch that is replayed
-after a failure does not land twice for readers of the table.  ``availableNow`` drains what
+Each output has a query of its own that writes with Spark's Parquet sink: its log names the files
+of every committed batch, so a batch that is replayed after a failure does not land twice for
+readers of the table.  Scoring is stateless; the journal keeps the ids of the decisions that
+arrived in the last ``REPEATS`` as keyed state (RocksDB, checkpointed).  ``availableNow`` drains what
 has arrived (a scheduler can run the same job with a processing-time trigger)."""
 
 from __future__ import annotations
@@ -45,9 +46,28 @@ def stream_score(spark: SparkSession, landing: str, out: str, checkpoint: str, m
                     _sink(rejects, f"{out}_rejects", f"{checkpoint}/rejects", available_now)])
 
 
+#: A decision that arrives again within this time of its first arrival lands once.
+REPEATS = "30 days"
+
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
 def stream_journal(spark: SparkSession, landing: str, journal_path: str, rejects_path: str, checkpoint: str,
-                   available_now: bool = True) -> Queries:
-    """ST2: the valid ones of arriving decisions; rejects (with reason) to their own sink."""
+                   available_now: bool = True, repeats: str = REPEATS) -> Queries:
+    """ST2: the valid ones of arriving decisions, each once; rejects (with reason) to their own sink.
+    State is kept by decision id and expires by the time of arrival, so no decision is too late,
+    whatever its own date; one that comes again after ``repeats`` lands again."""
     v = jr.journal_validate(spark.readStream.schema(DECISION_LOG).parquet(landing))
-    return Queries([_sink(v.where(F.col("reason").isNull()).drop("reason"), journal_path, f"{checkpoint}/journal", available_now),
-                    _sink(v.where(F.col("reason").isNotNull()), rejects_path, f"{checkpoint}/rejects", available_now)])
+    valid = v.where(F.col("reason").isNull()).drop("reason")
+    once = valid.withColumn("_id", jr.decision_id()).withColumn("_arrived", F.current_timestamp())
+    once = once.withWatermark("_arrived", repeats).dropDuplicatesWithinWatermark(["_id"]).drop("_id", "_arrived")
+    rejects = _sink(v.where(F.col("reason").isNotNull()), rejects_path, f"{checkpoint}/rejects", available_now)
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for k, x in ROCKSDB.items():
+        spark.conf.set(k, x)  # read when the query starts
+    try:
+        journal = _sink(once, journal_path, f"{checkpoint}/journal", available_now)
+    finally:
+        for k, x in before.items():
+            spark.conf.unset(k) if x is None else spark.conf.set(k, x)
+    return Queries([journal, rejects])
