@@ -29,14 +29,14 @@ without a phrase at the threshold has no rows; an empty table gives an empty res
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clientlens.llm.common import documents, drop_shared, shared_path, shared_table
+from clientlens.llm.common import arrow_rows, documents, drop_shared, shared_path, shared_table
 from clientlens.functions.runs import LOWER, numbered, runs, text_slices
 from clientlens.llm.shingles import mix
 
@@ -48,7 +48,8 @@ TOP = 2000
 SHARDS = 2        # steps of a cycle
 SLOTS = 1 << 24   # bytes of a table of reached phrases (16 MB, whatever their number)
 CHUNK = 1 << 19   # bytes of text a chunk, or one longer text
-TOKENS = 1 << 20  # words counted at once in a worker
+TOKENS = 1 << 19  # words counted at once in a worker
+TEXT_ROWS, CHUNK_ROWS = 1000, 8  # rows of an Arrow batch: texts, chunks
 SALTS = 16
 NEVER = 255
 
@@ -78,7 +79,7 @@ def _chunks(shards: int, chunk: int):
                 if not len(first):
                     continue
                 ids, words = numbered(data, first, end)
-                hashes = pd.util.hash_array(words.to_numpy(zero_copy_only=False), categorize=False)
+                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
                 doc = np.searchsorted(starts, first, "right") - 1
                 breaks = np.cumsum(_BREAK[data])
                 # a place between two words of different pieces or texts is marked by -1
@@ -105,7 +106,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, lang_col: str = "lang", text_
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text"))
     path = shared_path(spark, "phrases-shards")
-    rows.mapInArrow(_chunks(shards, chunk), CHUNK_SCHEMA).write.partitionBy("shard").parquet(path)
+    with arrow_rows(spark, TEXT_ROWS):
+        rows.mapInArrow(_chunks(shards, chunk), CHUNK_SCHEMA).write.partitionBy("shard").parquet(path)
     out = spark.read.schema(CHUNK_SCHEMA).parquet(path)
     out._shared_path = path
     return out
@@ -119,7 +121,7 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
 
 
 def lang_key(lang: str) -> np.uint64:
-    return pd.util.hash_array(np.array([lang], object), categorize=False)[0]
+    return np.uint64(xxhash.xxh3_64_intdigest(lang))
 
 
 def grams(words: np.ndarray, lang: str, reached: np.ndarray, step: int, longest: int):
@@ -219,10 +221,7 @@ def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT, longest: int =
     """(lang, phrase, k, n): every phrase of up to ``longest`` words with at least ``min_count``
     occurrences, exactly counted."""
     spark = chunks.sparkSession
-    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(size)
-    spark.conf.set(size, "32")  # a row is a chunk
-    try:
+    with arrow_rows(spark, CHUNK_ROWS):
         reached, found = np.full(slots, NEVER, np.uint8), np.full(slots, NEVER, np.uint8)
         so_far, step, last = None, 0, 0
         while step < max(shards, last + shards):
@@ -252,8 +251,6 @@ def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT, longest: int =
         exact = chunks.select("lang", "words", "hashes", "ids").mapInArrow(_closing(table, longest), "lang string, phrase string, k int, n long")
         exact = exact.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n")).where(F.col("n") >= min_count)
         return shared_table(exact, "phrases-counts")
-    finally:
-        spark.conf.set(size, before)
 
 
 # -------------------------------------------------------------------- scores
