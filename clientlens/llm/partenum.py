@@ -24,8 +24,12 @@ ones, are joined by prefix filter: of the shingles ordered by frequency, linked
 sets share one among their first n - ceil(0.8 n) + 1, and enough must be left behind the
 first one they share.  Pairs inside one component are skipped, all others are compared, so
 no link between components is lost.
-*Check.* Every candidate pair is decided on the whole shingle sets.  Before sets move, a pair
-falls if parity sketches prove it apart: each set has one bit per bucket of a hash, the
+*Shared signatures.* A set that can lose s signatures and still share one shares at least s + 1 with
+every linked set; those of them that lie in large buckets may be lost, all others are seen.  So a
+pair met in fewer buckets than s + 1 less the signatures lost, for either set, has no link; that
+drops pairs that share a passage only, before anything but their numbers moves.
+*Check.* Every candidate pair that is left is decided on the whole shingle sets.  Before sets move, a
+pair falls if parity sketches prove it apart: each set has one bit per bucket of a hash, the
 parity of its shingles there; where two bits differ the sets differ, so more differing bits
 than differences allowed rule a link out, and nothing else does.
 
@@ -56,6 +60,8 @@ from clientlens.llm.shingles import mix, shingle_sets
 
 NUM, DEN = 80, 100  # the similarity of a link
 CAP = 32            # rows of a bucket that yields all its pairs
+SALTS = 16          # tasks over which the rows of one bucket are dealt in joins
+BATCH_BYTES = 1 << 23  # bytes of an Arrow batch of texts or sets
 SHORT = 64          # sets under this size enumerate subsets of partitions
 #: Characters of the texts signed at once, or one longer text (a bound on memory; results do
 #: not depend on it), and rows sent on at once.
@@ -323,6 +329,12 @@ def _items(batches):
             yield _batch(_ITEM, node=np.repeat(batch.column(0).to_numpy(), size), n=np.repeat(size, size), item=np.concatenate(sets))
 
 
+def salted(rows: DataFrame, groups: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with ``groups`` (a row per ``key``), the rows of a key dealt by ``by`` over SALTS tasks."""
+    groups = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(groups, [key, "__salt"]).drop("__salt")
+
+
 def _names(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
     return df.select(*[F.col(x).alias(y) for x, y in pairs])
 
@@ -370,9 +382,10 @@ class _Join:
         return p.where("ca <> cb").select("a", "b")
 
     def mixed(self, rows: DataFrame, key: str) -> DataFrame:
-        """Rows (key, component...) of the buckets that hold more than one component."""
+        """Rows (key, node, component...) of the buckets that hold more than one component; a
+        bucket's rows are dealt over SALTS tasks."""
         ends = rows.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        return rows.join(ends.where("low <> high").select(key), key)
+        return salted(rows, ends.where("low <> high").select(key), key, "node")
 
     def rest(self, nodes: DataFrame) -> None:
         """Links between components among ``nodes`` (doc_id), by prefix filter."""
@@ -386,13 +399,13 @@ class _Join:
         # first each bucket against its first document, then what still lies apart
         rows = shared_table(self.mixed(self.labelled(prefix, "node", "component"), "item"), "jaccard-mixed")
         hub = rows.groupBy("item").agg(F.min("node").alias("a"), F.min_by("component", "node").alias("ca"), F.min_by("n", "node").alias("na"), F.min_by("at", "node").alias("ata"))
-        star = rows.join(hub, "item").where(f"component <> ca AND {_fits('n', 'at', 'na', 'ata')}")
+        star = salted(rows, hub, "item", "node").where(f"component <> ca AND {_fits('n', 'at', 'na', 'ata')}")
         self.add(self.verify(_names(star, ("a", "a"), ("node", "b")).distinct()))
         rows = shared_table(self.mixed(self.labelled(rows.select("item", "node", "n", "at"), "node", "component"), "item"), "jaccard-mixed")
         # a bucket's largest component is no left side: its own pairs are not formed
         share = rows.groupBy("item", "component").agg(F.count(F.lit(1)).alias("c"))
         main = share.groupBy("item").agg(F.max_by("component", "c").alias("main"))
-        left = rows.join(main, "item").where("component <> main")
+        left = salted(rows, main, "item", "node").where("component <> main")
         left = _names(left, ("item", "item"), ("node", "l"), ("n", "nl"), ("at", "atl"), ("component", "cl"))
         pairs = left.join(rows, "item").where(f"cl <> component AND {_fits('n', 'at', 'nl', 'atl')}")
         pairs = pairs.select(F.least("l", "node").alias("a"), F.greatest("l", "node").alias("b")).distinct()
@@ -415,13 +428,16 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 @contextmanager
 def _rows_per_batch(spark: SparkSession, rows: int = 1000, key: str = "spark.sql.execution.arrow.maxRecordsPerBatch"):
-    """Arrow batches of texts and sets stay small, whatever the session's setting."""
-    old = spark.conf.get(key, None)
-    spark.conf.set(key, rows)
+    """Arrow batches of texts and sets stay small in rows and bytes, whatever the session's setting."""
+    wanted = {key: rows, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, old) if old is not None else spark.conf.unset(key)
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 def _join(texts: DataFrame) -> DataFrame:
@@ -431,7 +447,7 @@ def _join(texts: DataFrame) -> DataFrame:
     # equal sets are linked by digest; only the first document of each goes on
     some = sized.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     first = some.groupBy("digest").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    copies = some.join(first, "digest").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
+    copies = salted(some, first, "digest", "doc_id").where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     ids = some.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     ids = shared_table(ids, "jaccard-repeated-ids")
     repeated = not ids.isEmpty()
@@ -440,10 +456,20 @@ def _join(texts: DataFrame) -> DataFrame:
     dropped = dropped.join(ids, "doc_id", "left_anti") if repeated else dropped
 
     signed = anti_by_key(texts, dropped, ["doc_id"]).mapInArrow(sign, _KIND_DDL)
-    dealt = signed.repartition("x").sortWithinPartitions("x", "a")
+    # only rows of signatures meet by signature; the others are dealt evenly
+    meet = F.when(F.col("kind").isin(ROW, LEAD), F.col("x")).otherwise(F.xxhash64("x", "a"))
+    dealt = signed.repartition(meet).sortWithinPartitions("x", "a")
     found = shared_table(dealt.mapInArrow(pair_up, _KIND_DDL), "jaccard-found")
     pairs = found.where(F.col("kind").isin(STAR, PAIR)).where("a <> x")
-    pairs = pairs.groupBy(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).agg(F.min("kind").alias("kind"))
+    pairs = pairs.groupBy(F.least("a", "x").alias("a"), F.greatest("a", "x").alias("b")).agg(F.min("kind").alias("kind"), F.count(F.lit(1)).alias("met"))
+    # per document the least number of buckets in which it meets a linked one
+    lost = found.where(F.col("kind") == HOT).groupBy("a").agg(F.count(F.lit(1)).alias("lost"))
+    spare = _names(found.where(F.col("kind") == SPARE), ("x", "node"), ("a", "spare")).groupBy("node").agg(F.min("spare").alias("spare"))
+    least = spare.join(_names(lost, ("a", "node"), ("lost", "lost")), "node", "left").select("node", (F.col("spare") - F.coalesce("lost", F.lit(0)) + 1).alias("least"))
+    least = shared_table(least.where("least > 1"), "jaccard-least")
+    for end in ("a", "b"):
+        pairs = pairs.join(_names(least, ("node", end), ("least", f"least_{end}")), end, "left")
+    pairs = pairs.where("met >= greatest(coalesce(least_a, 1), coalesce(least_b, 1))").select("a", "b", "kind")
     pairs = shared_table(pairs, "jaccard-candidates")
 
     step = _Join(texts, sized, repeated)
