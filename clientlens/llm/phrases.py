@@ -8,14 +8,18 @@
    becomes active at the step after both of its subphrases (without the last, without the first
    word) have reached the threshold by the counts so far.  From then on it is counted for exactly
    one full cycle, so every shard once.  The scan ends when nothing is open any more.
-3. Counts so far are a table, too, of 64-bit hashes of phrases: partial counts of a step are combined
-   per task, summed with it, and hashes that completed their cycle below the threshold leave it.
-   Hashes that reached the threshold go to the workers as tables of fixed size (a byte for each of
+3. A pair of words is active only once the bucket it hashes to (of ``BUCKETS`` saturating counters of
+   all pairs, summed over tasks) has reached the threshold, too, which rules out nearly all pairs
+   that are too rare while a bucket holds few of them.
+4. Counts so far are a table of 128-bit hashes of phrases: partial counts of a step are combined per
+   task, summed with it, and hashes that completed their cycle below the threshold leave it.
+   Hashes that reached the threshold go to the workers as a table of fixed size (a byte for each of
    ``SLOTS`` slots of hashes: the step from which it counts as reached), whatever their number.
-4. A closing scan counts the phrases themselves, word by word, for those whose hash reached the
-   threshold: two phrases of one hash or slot only make a phrase a candidate for nothing (a sum over
-   both is never below the count of either).  A candidate's first active step is a function of the
-   slots, the same for all its places, so it is counted for one full cycle.
+   Two phrases in one slot or bucket only make a phrase active too early or for nothing: its first
+   active step is a function of slots and buckets, the same for all its places, so it is counted
+   for one full cycle still.
+5. Every hash keeps the first chunk it was met in; from there the phrases that reached the threshold are
+   spelled out, one row each.
 
 A phrase at or above the threshold has subphrases at or above it, which reach it within their own
 cycle, so no phrase is missed; its prefixes and suffixes, which the cuts need, are counted too.
@@ -47,6 +51,7 @@ TOP = 2000
 
 SHARDS = 2        # steps of a cycle
 SLOTS = 1 << 24   # bytes of a table of reached phrases (16 MB, whatever their number)
+BUCKETS = 1 << 23  # counters of pairs (a byte each, whatever the number of pairs)
 CHUNK = 1 << 19   # bytes of text a chunk, or one longer text
 TOKENS = 1 << 19  # words counted at once in a worker
 TEXT_ROWS, CHUNK_ROWS = 1000, 8  # rows of an Arrow batch: texts, chunks
@@ -59,8 +64,9 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _WORD = ~(_BLANK | _BREAK)
 
-CHUNK_SCHEMA = "lang string, words array<string>, hashes binary, ids binary, n long, shard int"
-COUNT_SCHEMA = "hash long, k int, since int, n long"
+CHUNK_SCHEMA = "id long, lang string, words array<string>, hashes binary, ids binary, n long, shard int"
+COUNT_SCHEMA = "hash long, check long, k int, since int, at long, n long"
+SLICE = 1 << 16  # counters sent together
 
 
 # ------------------------------------------------------------ words and shards
@@ -68,7 +74,7 @@ COUNT_SCHEMA = "hash long, k int, since int, n long"
 
 def _chunks(shards: int, chunk: int):
     def run(batches):
-        at = TaskContext.get().partitionId()
+        at, name = TaskContext.get().partitionId(), TaskContext.get().partitionId() << 32
         for batch in batches:
             langs = batch.column(0)
             names = pc.unique(langs)
@@ -79,7 +85,7 @@ def _chunks(shards: int, chunk: int):
                 if not len(first):
                     continue
                 ids, words = numbered(data, first, end)
-                hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))
+                hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), np.uint64).reshape(-1, 2)
                 doc = np.searchsorted(starts, first, "right") - 1
                 breaks = np.cumsum(_BREAK[data])
                 # a place between two words of different pieces or texts is marked by -1
@@ -94,10 +100,10 @@ def _chunks(shards: int, chunk: int):
                     used, local = np.unique(out[out >= 0], return_inverse=True)
                     out[out >= 0] = local
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[int(c)].as_py()], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), words.take(pa.array(used))),
+                        [pa.array([name], pa.int64()), pa.array([names[int(c)].as_py()], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), words.take(pa.array(used))),
                          pa.array([hashes[used].tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary()), pa.array([len(i)], pa.int64()), pa.array([at % shards], pa.int32())],
-                        names=["lang", "words", "hashes", "ids", "n", "shard"])
-                    at += 1
+                        names=["id", "lang", "words", "hashes", "ids", "n", "shard"])
+                    at, name = at + 1, name + 1
     return run
 
 
@@ -120,45 +126,64 @@ def slot_of(hashes: np.ndarray, slots: int) -> np.ndarray:
     return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
-def lang_key(lang: str) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest(lang))
+def lang_key(lang: str) -> np.ndarray:
+    return np.frombuffer(xxhash.xxh3_128_digest(lang), np.uint64)
 
 
-def grams(words: np.ndarray, lang: str, reached: np.ndarray, step: int, longest: int):
-    """Per length k: the places in a stretch of word hashes (0 between pieces) at which a phrase of k
-    words starts whose shorter parts all count as reached at ``step``, its hash, and the step
-    from which that holds."""
-    at = np.flatnonzero(words)
+def grams(words: np.ndarray, lang: str, longest: int, admit=None):
+    """Per length k: the places in a stretch of word hashes (rows of two, 0 between pieces) at which a phrase
+    of k words starts, its hashes, and the step from which it is active.  ``admit`` (k, hashes,
+    since) -> (which of them have longer ones, since when); by default all, from the start."""
+    at = np.flatnonzero(words[:, 0])
     hashes, since = mix(words[at] ^ lang_key(lang)), np.zeros(len(at), np.int64)
     for k in range(1, longest + 1):
+        if k == 2 and admit:  # the pair's own bucket
+            ok, since = admit(0, hashes, since)
+            at, hashes, since = at[ok], hashes[ok], since[ok]
         yield k, at, hashes, since
-        own = reached[slot_of(hashes, len(reached))].astype(np.int64)
-        ok = own <= step
-        at, hashes, since = at[ok], hashes[ok], np.maximum(since, own)[ok]
+        if admit:
+            ok, since = admit(k, hashes, since)
+            at, hashes, since = at[ok], hashes[ok], since[ok]
         pair = np.flatnonzero(at[1:] == at[:-1] + 1)  # the parts without the last and the first word
         at, since = at[pair], np.maximum(since[pair], since[pair + 1])
-        next_ = words[np.minimum(at + k, len(words) - 1)]  # never a break: the second part ends there
-        hashes = mix(hashes[pair] + next_)
+        hashes = mix(hashes[pair] + words[at + k])  # the second part ends there
+
+
+def _admit(reached: np.ndarray, buckets: np.ndarray, step: int):
+    """Which phrases' longer ones are active at ``step``, by the tables of reached slots and buckets."""
+    def admit(k, hashes, since):
+        table = reached if k else buckets
+        own = table[slot_of(hashes[:, 0] if k else hashes[:, 1], len(table))].astype(np.int64)
+        ok = own <= step
+        return ok, np.maximum(since, np.where(ok, own, 0))
+    return admit
 
 
-def _stretches(batches, with_words: bool):
-    """Chunks of one language joined to about TOKENS places: (lang, word hashes, words, ids)."""
+def _chunk_words(hashes, ids) -> np.ndarray:
+    """The word hashes at the places of a chunk: rows of two, (0, 0) between pieces."""
+    table = np.frombuffer(hashes.as_buffer(), np.uint64).reshape(-1, 2)
+    table = np.concatenate([np.maximum(table, np.uint64(1)), np.zeros((1, 2), np.uint64)])
+    return table[np.frombuffer(ids.as_buffer(), np.int32)]
+
+
+def _stretches(batches):
+    """Chunks of one language joined to about TOKENS places: (lang, word hashes, place of each chunk's
+    first word, ids of the chunks)."""
     wait: dict[str, list] = {}
     size: dict[str, int] = {}
 
     def joined(lang):
         parts = wait.pop(lang)
         size.pop(lang)
-        return lang, np.concatenate([x for p in parts for x in (np.zeros(1, np.uint64), p[0])]), [(p[1], p[2]) for p in parts]
+        gap = np.zeros((1, 2), np.uint64)
+        starts = np.cumsum([0] + [len(p[0]) + 1 for p in parts[:-1]]) + 1
+        return lang, np.concatenate([x for p in parts for x in (gap, p[0])]), starts, np.array([p[1] for p in parts], np.int64)
 
     for batch in batches:
-        texts = batch.column("words") if with_words else [None] * batch.num_rows
-        for lang, hashes, ids, words in zip(batch.column("lang").to_pylist(), batch.column("hashes"), batch.column("ids"), texts):
-            ids = np.frombuffer(ids.as_buffer(), np.int32)
-            # a word's hash is never 0, which marks a break (id -1)
-            table = np.append(np.maximum(np.frombuffer(hashes.as_buffer(), np.uint64), np.uint64(1)), np.uint64(0))
-            wait.setdefault(lang, []).append((table[ids], ids, words.values if with_words else None))
-            size[lang] = size.get(lang, 0) + len(ids)
+        for i, lang, hashes, ids in zip(batch.column("id").to_pylist(), batch.column("lang").to_pylist(), batch.column("hashes"), batch.column("ids")):
+            own = _chunk_words(hashes, ids)
+            wait.setdefault(lang, []).append((own, i))
+            size[lang] = size.get(lang, 0) + len(own)
             if size[lang] >= TOKENS:
                 yield joined(lang)
     for lang in list(wait):
@@ -167,41 +192,85 @@ def _stretches(batches, with_words: bool):
 
 def _step(shared, step: int, cycle: int, longest: int):
     def run(batches):
-        reached = np.frombuffer(shared.value, np.uint8)
-        for lang, words, _ in _stretches(batches, False):
-            for k, _, hashes, since in grams(words, lang, reached, step, longest):
+        reached, buckets = (np.frombuffer(x, np.uint8) for x in shared.value)
+        for lang, words, starts, ids in _stretches(batches):
+            for k, at, hashes, since in grams(words, lang, longest, _admit(reached, buckets, step)):
                 open_ = np.flatnonzero(since + cycle > step)
                 if len(open_):
-                    key, first, n = np.unique(hashes[open_], return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), k, np.int32)), pa.array(since[open_[first]].astype(np.int32)), pa.array(n.astype(np.int64))],
-                                                     names=["hash", "k", "since", "n"])
+                    # equal hashes next to each other, the first place first
+                    order = open_[np.lexsort((at[open_], hashes[open_, 1], hashes[open_, 0]))]
+                    own = hashes[order]
+                    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
+                    first = order[new]
+                    chunk = ids[np.searchsorted(starts, at[first], "right") - 1]
+                    n = np.diff(np.append(new, len(order)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(hashes[first, 0].view(np.int64)), pa.array(hashes[first, 1].view(np.int64)), pa.array(np.full(len(n), k, np.int32)),
+                         pa.array(since[first].astype(np.int32)), pa.array(chunk), pa.array(n.astype(np.int64))], names=["hash", "check", "k", "since", "at", "n"])
+    return run
+
+
+def _pairs_of(buckets: int):
+    """Arrow batches of chunks -> (slice, counters): the task's pairs by bucket, saturating at NEVER."""
+    def run(batches):
+        total = np.zeros(buckets, np.uint8)
+        for lang, words, _, _ in _stretches(batches):
+            for k, _, hashes, _ in grams(words, lang, 2):
+                if k == 2 and len(hashes):
+                    own, n = np.unique(slot_of(hashes[:, 1], buckets), return_counts=True)
+                    total[own] = np.minimum(total[own].astype(np.int64) + n, NEVER)
+        size = min(SLICE, buckets)
+        for i in range(0, buckets, size):
+            if total[i : i + size].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // size], pa.int32()), pa.array([total[i : i + size].tobytes()], pa.binary())], names=["slice", "counters"])
     return run
 
 
-def _closing(shared, longest: int):
-    """Arrow batches of chunks -> (lang, phrase, k, n) of the phrases whose hash reached the threshold."""
+def _summed(batches):
+    """(slice, counters) sorted by slice -> one row per slice, saturating; one slice is held."""
+    at, total = None, None
+    for batch in batches:
+        for i, c in zip(batch.column(0).to_pylist(), batch.column(1)):
+            own = np.frombuffer(c.as_buffer(), np.uint8).astype(np.int64)
+            if i != at:
+                if at is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], names=["slice", "counters"])
+                at, total = i, own
+            else:
+                total = np.minimum(total + own, NEVER)
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([total.astype(np.uint8).tobytes()], pa.binary())], names=["slice", "counters"])
+
+
+def _pair_buckets(part: DataFrame, buckets: int) -> np.ndarray:
+    """Saturating counts of a shard's pairs by bucket; the driver gets a byte a bucket."""
+    schema = "slice int, counters binary"
+    rows = part.mapInArrow(_pairs_of(buckets), schema).repartition("slice").sortWithinPartitions("slice").mapInArrow(_summed, schema)
+    out, size = np.zeros(buckets, np.int64), min(SLICE, buckets)
+    for r in rows.toLocalIterator():
+        out[r["slice"] * size : (r["slice"] + 1) * size] += np.frombuffer(bytes(r["counters"]), np.uint8)
+    return out
+
+
+def _spelled(longest: int):
+    """Arrow batches (lang, words, hashes, ids, wanted hashes) of chunks -> (lang, hash, check, phrase)."""
     def run(batches):
-        found = np.frombuffer(shared.value, np.uint8)
-        for lang, hashed, parts in _stretches(batches, True):
-            # number the words of all chunks of the stretch together
-            coded = pa.chunked_array([w for _, w in parts]).combine_chunks().dictionary_encode()
-            words, number = coded.dictionary, coded.indices.to_numpy()
-            base, ids = 0, []
-            for i, w in parts:
-                ids += [np.array([-1], np.int64), np.where(i >= 0, number[np.maximum(i, 0) + base], -1)]
-                base += len(w)
-            ids = np.concatenate(ids)
-            for k, at, hashes, _ in grams(hashed, lang, found, 0, longest):
-                at = at[found[slot_of(hashes, len(found))] == 0]
-                if not len(at):
-                    break
-                g = pa.table({f"w{i}": ids[at + i] for i in range(k)}).group_by([f"w{i}" for i in range(k)], use_threads=False).aggregate([([], "count_all")])
-                phrase = words.take(g["w0"].combine_chunks())
-                for i in range(1, k):
-                    phrase = pc.binary_join_element_wise(phrase, words.take(g[f"w{i}"].combine_chunks()), " ")
-                size = len(phrase)
-                yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()).take(pa.array(np.zeros(size, np.int64))), phrase, pa.array(np.full(size, k, np.int32)), g["count_all"].combine_chunks()],
-                                                 names=["lang", "phrase", "k", "n"])
+        for batch in batches:
+            for lang, words, hashes, ids, wanted in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("hashes"), batch.column("ids"), batch.column("wanted")):
+                own, number = _chunk_words(hashes, ids), np.frombuffer(ids.as_buffer(), np.int32)
+                names, wanted = words.values, np.sort(wanted.values.to_numpy())
+                for k, at, found, _ in grams(own, lang, longest):
+                    key = found[:, 0].view(np.int64)
+                    place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
+                    hit = np.flatnonzero(wanted[place] == key)
+                    _, first = np.unique(found[hit], axis=0, return_index=True)
+                    hit = hit[first]
+                    if not len(hit):
+                        continue
+                    phrase = names.take(pa.array(number[at[hit]]))
+                    for i in range(1, k):
+                        phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(number[at[hit] + i])), " ")
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(key[hit]), pa.array(found[hit, 1].view(np.int64)), phrase], names=["lang", "hash", "check", "phrase"])
     return run
 
 
@@ -217,40 +286,56 @@ def _slots(hashes: DataFrame, slots: int) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bits, bitorder="little"))
 
 
-def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
+def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, shards: int = SHARDS, slots: int = SLOTS,
+                  buckets: int = BUCKETS) -> DataFrame:
     """(lang, phrase, k, n): every phrase of up to ``longest`` words with at least ``min_count``
-    occurrences, exactly counted."""
+    occurrences."""
+    if not 0 < min_count <= NEVER:
+        raise ValueError(f"min_count must be 1 to {NEVER}")
     spark = chunks.sparkSession
     with arrow_rows(spark, CHUNK_ROWS):
-        reached, found = np.full(slots, NEVER, np.uint8), np.full(slots, NEVER, np.uint8)
-        so_far, step, last = None, 0, 0
+        reached, pairs, seen = np.full(slots, NEVER, np.uint8), np.full(buckets, NEVER, np.uint8), np.zeros(buckets, np.int64)
+        high, so_far, step, last = [], None, 0, 0
         while step < max(shards, last + shards):
             if step >= NEVER - 1:
                 raise RuntimeError("too many steps")
-            table = spark.sparkContext.broadcast(reached.tobytes())
-            part = chunks.where(F.col("shard") == step % shards).select("lang", "hashes", "ids")
+            table = spark.sparkContext.broadcast((reached.tobytes(), pairs.tobytes()))
+            part = chunks.where(F.col("shard") == step % shards).select("id", "lang", "hashes", "ids")
             rows = part.mapInArrow(_step(table, step, shards, longest), COUNT_SCHEMA)
             rows = rows if so_far is None else rows.unionByName(so_far)
-            counts = rows.groupBy("hash").agg(F.min("k").alias("k"), F.max("since").alias("since"), F.sum("n").alias("n"))
+            counts = rows.groupBy("hash", "check").agg(F.min("k").alias("k"), F.max("since").alias("since"), F.min("at").alias("at"), F.sum("n").alias("n"))
             # what has seen every shard and stayed below the threshold is done with
-            counts = shared_table(counts.where((F.col("n") >= min_count) | (F.col("since") + shards > step + 1)), f"phrases-counts-{step}")
+            complete = F.col("since") + shards <= step + 1
+            counts = shared_table(counts.where((F.col("n") >= min_count) | ~complete).withColumn("complete", complete), f"phrases-counts-{step}")
+            if step < shards:
+                seen = np.minimum(seen + _pair_buckets(part, buckets), NEVER)
             step += 1
-            high = counts.where(F.col("n") >= min_count)
-            found[_slots(high, slots)] = 0
-            new = _slots(high.where(F.col("k") < longest), slots)
+            if step <= shards:
+                pairs[(seen >= min_count) & (pairs == NEVER)] = step
+            new = _slots(counts.where((F.col("n") >= min_count) & (F.col("k") < longest)), slots)
             new = new[reached[new] == NEVER]
-            if len(new):
-                reached[new], last = step, step
-            old, so_far = so_far, counts.where((F.col("n") < min_count) & (F.col("since") + shards > step))
+            reached[new] = step
+            # a pair waits for its bucket, too: those of the last step of the first cycle open a cycle
+            last = step if len(new) or step <= shards else last
+            done = shared_table(counts.where("complete").drop("complete"), f"phrases-high-{step}")
+            high.append(done)
+            old, so_far = so_far, counts.where("NOT complete").drop("complete")
             so_far._shared_path = counts._shared_path
             if old is not None:
                 drop_shared(old)
             table.unpersist()
-        drop_shared(so_far)
-        table = spark.sparkContext.broadcast(found.tobytes())
-        exact = chunks.select("lang", "words", "hashes", "ids").mapInArrow(_closing(table, longest), "lang string, phrase string, k int, n long")
-        exact = exact.groupBy("lang", "phrase").agg(F.max("k").alias("k"), F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        return shared_table(exact, "phrases-counts")
+        found = high[0]
+        for h in high[1:]:
+            found = found.unionByName(h)
+        found = shared_table(found.where(F.col("n") >= min_count).select("hash", "check", "k", "at", "n"), "phrases-found")
+        drop_shared(so_far, *high)
+        # a chunk is asked for no more phrases than it has
+        wanted = found.groupBy(F.col("at").alias("id")).agg(F.collect_set("hash").alias("wanted"))
+        names = chunks.select("id", "lang", "words", "hashes", "ids").join(wanted, "id").select("lang", "words", "hashes", "ids", "wanted")
+        names = names.mapInArrow(_spelled(longest), "lang string, hash long, check long, phrase string").dropDuplicates(["hash", "check"])
+        out = shared_table(names.join(found, ["hash", "check"]).select("lang", "phrase", "k", "n"), "phrases-counts")
+        drop_shared(found)
+        return out
 
 
 # -------------------------------------------------------------------- scores
@@ -293,10 +378,10 @@ def collocations(total: DataFrame, counts: DataFrame, top: int = TOP) -> DataFra
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS, slots: int = SLOTS,
-         lang_col: str = "lang", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+         buckets: int = BUCKETS, lang_col: str = "lang", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     chunks = sharded(docs, shards, lang_col, text_col, chunk)
     total = shared_table(chunks.groupBy("lang").agg(F.sum("n").alias("total")), "phrases-total")
-    counts = phrase_counts(chunks, min_count, longest, shards, slots)
+    counts = phrase_counts(chunks, min_count, longest, shards, slots, buckets)
     drop_shared(chunks)
     return collocations(total, counts, top)
 

@@ -57,12 +57,12 @@ def found(df):
     return sorted(tuple(r) for r in df.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect())
 
 
-@pytest.mark.parametrize("shards, slots", [(1, 1 << 20), (2, 1 << 15), (4, 64)])
-def test_equals_brute_force(spark, shards, slots):
-    """Few slots: nearly every phrase shares one, which must cost work only."""
+@pytest.mark.parametrize("shards, slots, buckets", [(1, 1 << 20, 1 << 20), (2, 1 << 15, 16), (4, 64, 1 << 17)])
+def test_equals_brute_force(spark, shards, slots, buckets):
+    """Few slots or buckets: nearly every phrase shares one, which must cost work only."""
     rows = texts(shards) + [(None, None), ("en", ""), ("de", " .,; "), ("fr", "one"), ("en", "long word " * 3_000)] + [("en", "copied words here again")] * 50
-    assert found(phrases.mine(table(spark, rows), min_count=20, shards=shards, slots=slots, chunk=200)) == brute(rows, 20)
-    assert found(phrases.mine(table(spark, rows), min_count=5, top=7, shards=shards, slots=slots, chunk=200)) == brute(rows, 5, 7)
+    assert found(phrases.mine(table(spark, rows), min_count=20, shards=shards, slots=slots, buckets=buckets, chunk=200)) == brute(rows, 20)
+    assert found(phrases.mine(table(spark, rows), min_count=5, top=7, shards=shards, slots=slots, buckets=buckets, chunk=200)) == brute(rows, 5, 7)
 
 
 def test_words_of_two_languages_in_a_slice_do_not_meet(spark):
