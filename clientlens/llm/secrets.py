@@ -1,7 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
-1. *Candidates* per document, in its row: spans of the base kinds (assign, access, hex) and
-   of wider token shapes.  Offsets come from the pieces between matches, so no Python runs.
+1. *Candidates* per document, in its row: matches of the base kinds (assign, access, hex) and
+   of wider token shapes, with the lengths of the pieces between them.  Matches become rows, and
+   running sums of those lengths their places; no Python runs.
 2. *Ownership*: candidate values are hashed; per hash the distinct repositories and owners
    that hold it are counted (distinct pairs first, combined per task, so a value copied into
    a third of all rows is a few rows).
@@ -18,7 +19,7 @@ end exclusive."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clientlens.llm.common import documents, shared_table
@@ -39,38 +40,50 @@ MAX_OWNERS = 2
 MAX_REPOS = 10
 #: Distinct characters that a live-looking value has at least.
 MIN_ALPHABET = 8
+SALTS = 16
 
 
-def _spans(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<start, kind, end, value>> of the pattern's leftmost matches."""
+def _pieces(text: Column, kind: str, pattern: str) -> Column:
+    """array<struct<rank, at, gap, size, match>>: the pattern's leftmost matches, each with the
+    code points between it and the one before."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    # the pieces between the matches give their places
-    sizes = F.zip_with(F.split(text, pattern, -1), found, lambda p, m: F.struct(
-        F.length(p).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), m.alias("value")))
-    empty = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
-    value = (lambda m: F.regexp_extract(m, pattern, 2)) if kind == "assign" else (lambda m: m)
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + x["size"]).alias("at"),
-        F.when(x["value"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(
-            (acc["at"] + x["gap"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"),
-            (acc["at"] + x["gap"] + x["size"]).alias("end"), value(x["value"]).alias("value")))).cast(empty).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(
-        sizes, F.struct(F.lit(0).alias("at"), F.array().cast(empty).alias("out")), step, lambda acc: acc["out"],
-    )).otherwise(F.array().cast(empty))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    each = F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size"), m.alias("match")))
+    each = F.transform(each, lambda x, i: F.struct(F.lit(KINDS.index(kind)).alias("rank"), i.alias("at"), x["gap"].alias("gap"), x["size"].alias("size"), x["match"].alias("match")))
+    return F.when(text.rlike(pattern), each).otherwise(F.array().cast("array<struct<rank:int,at:int,gap:int,size:int,match:string>>"))
+
+
+PATTERNS = (ASSIGN, ACCESS, HEX, WIDE)
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
                repo_col: str = "doc_id") -> DataFrame:
-    """doc_id, owner, repo, and ``found``: all candidate spans of the row."""
+    """doc_id, row (a number of the row), owner, repo, and ``pieces``: all matches of the row."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(owner_col).cast("string").alias("owner"),
                     F.col(repo_col).cast("string").alias("repo"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    assign = F.filter(_spans(F.col("t"), "assign", ASSIGN), lambda x: F.length(x["value"]) >= VALUE_MIN)
-    d = d.select("doc_id", "owner", "repo", assign.alias("a"), _spans(F.col("t"), "access", ACCESS).alias("k"),
-                 _spans(F.col("t"), "hex", HEX).alias("h"), _spans(F.col("t"), "wide", WIDE).alias("w"))
-    base = F.concat("a", "k", "h")
-    # a wide span inside a base span says nothing new
-    new = F.filter("w", lambda x: ~F.exists(base, lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return d.select("doc_id", "owner", "repo", F.sort_array(F.concat(base, new)).alias("found"))
+    pieces = F.concat(*[_pieces(F.col("t"), k, p) for k, p in zip(KINDS, PATTERNS)])
+    return d.select("doc_id", F.monotonically_increasing_id().alias("row"), "owner", "repo", pieces.alias("pieces"))
+
+
+def spans_of(found: DataFrame) -> DataFrame:
+    """A row per span: row, owner, repo, start, rank, kind, end, value.  Places are running sums over a
+    row's matches and overlaps one pass over its spans by place, so a text's work grows with its
+    matches (and their sorting), not with their square."""
+    x = found.select("row", "owner", "repo", F.explode("pieces").alias("x")).select("row", "owner", "repo", "x.*")
+    so_far = Window.partitionBy("row", "rank").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("int"))
+    value = F.when(F.col("rank") == KINDS.index("assign"), F.regexp_extract("match", ASSIGN, 2)).otherwise(F.col("match"))
+    x = x.select("row", "owner", "repo", (F.col("end") - F.col("size")).alias("start"), "rank", "end", value.alias("value"))
+    x = x.where((F.col("rank") != KINDS.index("assign")) | (F.length("value") >= VALUE_MIN))
+    # a wide span that meets a base span says nothing new: one that starts no later and ends after
+    # its start, or one that starts after it and before its end
+    base = F.col("rank") < len(BASE_KINDS)
+    ahead = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    behind = Window.partitionBy("row").orderBy(F.col("start").desc(), F.col("rank").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = x.withColumn("reach", F.max(F.when(base, F.col("end"))).over(ahead)).withColumn("next", F.min(F.when(base, F.col("start"))).over(behind))
+    meets = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("rank") + 1)
+    return x.where(base | ~meets).select("row", "owner", "repo", "start", "rank", kind.alias("kind"), "end", "value")
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -88,13 +101,13 @@ def is_example(n_owners: Column, n_repos: Column) -> Column:
 def scan(docs: DataFrame, **cols) -> tuple[DataFrame, DataFrame]:
     """(documents, values): per row doc_id and ``spans`` (start, kind, end, n_owners, n_repos,
     live); per value hash its owners, repositories and verdict."""
-    found = candidates(docs, **cols).withColumn("row", F.monotonically_increasing_id())
-    found = shared_table(found, "secret-candidates")
-    spans = found.select("row", "owner", "repo", F.explode("found").alias("s"))
-    spans = spans.select("row", "owner", "repo", F.sha2("s.value", 256).alias("value_hash"), "s.*")
-    freq = ownership(spans)
+    found = shared_table(candidates(docs, **cols), "secret-candidates")
+    spans = spans_of(found).withColumn("value_hash", F.sha2("value", 256))
+    spans = shared_table(spans, "secret-spans")
+    # one value may be a third of all spans: its rows are dealt over SALTS tasks
+    freq = ownership(spans).select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     random = F.size(F.array_distinct(F.split("value", ""))) >= MIN_ALPHABET
-    judged = spans.join(freq, "value_hash").withColumn("live", ~is_example(F.col("n_owners"), F.col("n_repos")) & random)
+    judged = spans.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(freq, ["value_hash", "salt"]).drop("salt").withColumn("live", ~is_example(F.col("n_owners"), F.col("n_repos")) & random)
     values = judged.groupBy("value_hash").agg(F.first("n_owners").alias("n_owners"), F.first("n_repos").alias("n_repos"),
                                               F.max("live").alias("live"), F.count(F.lit(1)).alias("n_spans"))
     kept = judged.where(F.col("kind").isin(*BASE_KINDS) | F.col("live"))

@@ -73,6 +73,29 @@ def test_many_repositories_of_one_owner_make_an_example(docs_of, spark, tmp_path
     assert out == {(0, 1)}
 
 
+def test_a_text_of_100_000_spans_takes_linear_time(docs_of):
+    import time
+
+    text = "token=abcdef é " * 50_000 + ("0a" * 12 + " ") * 25_000 + "".join(f"Zz9{i:07d}" * 4 + "/ " for i in range(25_000))
+    t0 = time.time()
+    got, _ = scan(docs_of([(1, text), (2, "secret=abcdefg")]))
+    assert time.time() - t0 < 90
+    assert [x for x, s in got[1] if s.kind != "wide"] == base(text) and len(got[1]) > 75_000 and len(got[2]) == 1
+
+
+def test_wide_spans_give_way_to_base_spans_on_either_side(docs_of):
+    long = "Ab1" * 12
+    texts = [f"token={long}", f"x={long} token=abcdef", f"{long}/token=zzzzzzzz9", f"a token=abcdef q{long} b", f"{'c0' * 14}XYZ1{'d' * 9}"]
+    got, _ = scan(docs_of(list(enumerate(texts))))
+    wide = [[x for x, s in got[i] if s.kind == "wide"] for i in range(len(texts))]
+    assert wide[0] == [] and wide[3] == [] and wide[4] == []
+    for i, t in enumerate(texts):
+        assert [x for x, s in got[i] if s.kind != "wide"] == base(t)
+        for x, s in got[i]:
+            if s.kind == "wide":
+                assert not any(b.start < s.end and s.start < b.end for _, b in got[i] if b.kind != "wide")
+
+
 def test_hard_and_no_rows(hard, empty):
     rows, _ = secrets.scan(hard)
     assert rows.count() == 12 and rows.where("spans IS NOT NULL").count() == 0
