@@ -17,12 +17,15 @@ on) or are the result of a call.
 Rows are never gathered by conversation, so a conversation of any length is many rows in
 many tasks.  Everything runs as DataFrame expressions.
 
-Defined results: one row per message; a null conversation is one conversation; null text is
+Defined results: one row per message; columns other than these are not read; a null conversation is one conversation; null text is
 content null; repeated rows are repeated calls or results; an empty table gives an empty
 result."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +33,9 @@ from clientlens.llm.common import documents, shared_table
 
 #: Tool schemas: argument -> (type, required); types as JSON names them.
 SCHEMAS = {"reply": {"prompt": ("string", True), "turn": ("integer", True), "hint": ("string", False)}}
-_TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "object": "OBJECT<", "array": "ARRAY<", "number": "DECIMAL("}
+_TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "boolean": ("BOOLEAN",), "object": ("OBJECT<",), "array": ("ARRAY<",),
+          "number": ("DECIMAL(", "BIGINT", "DOUBLE", "FLOAT")}
+COLUMNS = ("conv_id", "turn", "role", "content", "kind", "call_id", "tool", "arguments", "depends_on")
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
@@ -66,7 +71,7 @@ def _errors(schemas: dict) -> Column:
             missing = got == "VOID"
             if required:
                 checks.append(F.when(own & missing, F.lit(f"{arg}: missing")))
-            checks.append(F.when(own & ~missing & ~got.startswith(_TYPES[kind_name]), F.lit(f"{arg}: not {kind_name}")))
+            checks.append(F.when(own & ~missing & ~reduce(or_, [got.startswith(x) for x in _TYPES[kind_name]]), F.lit(f"{arg}: not {kind_name}")))
         extra = F.array_except(F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>")), F.array(*[F.lit(a) for a in args]))
         checks.append(F.when(own & (F.size(extra) > 0), F.concat(F.array_join(F.array_sort(extra), ","), F.lit(": not in the schema"))))
     return F.array_compact(F.array(*checks))
@@ -124,7 +129,7 @@ def link(messages: DataFrame, schemas: dict | None = None) -> DataFrame:
     status, level, step (place in topological order: by level, a call before its result),
     errors, valid and the canonical ``json``."""
     schemas = SCHEMAS if schemas is None else schemas
-    rows = messages.withColumn("scope", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    rows = messages.select(*COLUMNS).withColumn("scope", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     rows = shared_table(rows.withColumn("row", F.monotonically_increasing_id()), "chat-messages")
     tied = rows.where("kind <> 'plain' AND call_id IS NOT NULL")
     # the first call and the first result of an identifier; both sides combine per task

@@ -4,12 +4,13 @@
 a payload that a third of all records share is one row per task.  The response with the
 smallest id of a digest stays a response; others become revisits of it, and revisits that
 come with an input archive are joined to the response of their digest.  Payloads move only
-where their digest occurs twice (a fixed-size bitmap of such digests is broadcast).
+where their digest occurs twice and their row may be the first of it (fixed-size bitmaps of such
+digests and rows are broadcast); a revisit moves as a header.
 *Write.* Records get fresh headers and are written by Spark's own text sink with the record
 separator of the format (two line ends), gzipped, one task attempt at a time committed, so a
 lost executor leaves no half archive.  A file holds a bounded number of records.
-*Read.* Files are read whole (bounded as above) and cut by Content-Length, so payloads may
-hold any bytes, separators included.
+*Read.* Files come compressed, are inflated piece by piece and cut by Content-Length, so payloads
+may hold any bytes, separators included, and one record is held at a time.
 
 Defined results: a null payload is empty; a null id is written as ``none`` and sorts last; of
 rows that share id and payload the first by place in the input is the response; payloads
@@ -26,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.llm.common import documents, flag_by_bitmap, key_bitmap, shared_path, shared_table, with_locator
+from clientlens.llm.common import documents, flag_by_bitmap, key_bitmap, semi_by_key, shared_path, shared_table, with_locator
 
 VERSION, CRLF = "WARC/1.1", "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: RFC 4648 alphabet (fixed value).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 RECORDS_PER_FILE = 4096
+SALTS = 16                  # tasks over which the records of one digest are dealt
+READ, SEND = 1 << 20, 1 << 23  # bytes of a file inflated, and of payloads sent on, at once
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -62,12 +65,28 @@ def resolve(recs: DataFrame, least: int = 0) -> DataFrame:
     hit = flag_by_bitmap(recs, F.col("digest"), key_bitmap(group, F.col("digest")), "__hit")
     hit = hit.withColumn("__hit", F.col("__hit") & ((F.col("type") == "revisit") | (size >= least)))
     alone = hit.where(~F.col("__hit")).drop("__hit")
-    met = hit.where("__hit").drop("__hit").join(group.select("digest", "first"), "digest", "left")
+    # of the rows that may share a digest only those that may be a first one move with their payload
+    place = F.struct("digest", "place")
+    firsts = group.select("digest", F.col("first.place").alias("place"))
+    some = flag_by_bitmap(hit.where("__hit").drop("__hit"), place, key_bitmap(firsts, place), "__first")
+    first_ones = _met(some.where("__first").drop("__first"), group, order)
+    again = _met(some.where("NOT __first").drop("__first").withColumn("payload", F.lit(None).cast("binary")), group, order)
+    again = shared_table(again.withColumn("stray", F.col("type") == "response"), "warc-again")
+    # rows that the bitmap let through though their digest is alone: their payload is fetched
+    stray = semi_by_key(recs.withColumn("__place", F.struct("place")), again.where("stray").select(F.struct("place").alias("__place")), "__place").drop("__place")
+    cols = ["id", "uri", "payload", "type", "digest", "refers_to", "place"]
+    return alone.select(cols).unionByName(first_ones).unionByName(again.where("NOT stray").select(cols)).unionByName(stray.select(cols))
+
+
+def _met(rows: DataFrame, group: DataFrame, order: Column) -> DataFrame:
+    """``rows`` settled against the first response of their digest; the rows of a digest are dealt over
+    SALTS tasks."""
+    firsts = group.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    met = rows.withColumn("__salt", F.pmod(F.xxhash64("place"), F.lit(SALTS)).cast("int")).join(firsts, ["digest", "__salt"], "left")
     own = F.col("first").isNull() | ((F.col("type") == "response") & (F.col("first") == order))
-    met = met.select(
+    return met.select(
         "id", "uri", F.when(own, F.col("payload")).alias("payload"), F.when(own, F.col("type")).otherwise("revisit").alias("type"),
         "digest", F.when(own, F.col("refers_to")).otherwise(F.col("first.id")).alias("refers_to"), "place")
-    return alone.select(met.columns).unionByName(met)
 
 
 def _urn(x: Column) -> Column:
@@ -99,30 +118,50 @@ _RECORD = pa.schema([("id", pa.int64()), ("uri", pa.string()), ("payload", pa.bi
                      ("digest", pa.string()), ("refers_to", pa.int64())])
 
 
-def inflate(data: bytes) -> bytes:
-    """All members of a gzip file."""
-    out = []
-    while data:
-        member = zlib.decompressobj(31)
-        out += [member.decompress(data), member.flush()]
-        data = member.unused_data
-    return b"".join(out)
-
-
-def parse(data: bytes) -> Iterator[dict]:
-    """Records of an inflated archive, cut by Content-Length."""
-    at = 0
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The content of a gzip file of any number of members, in pieces."""
+    member, at = zlib.decompressobj(31), 0
     while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode("utf-8", "replace").split(CRLF)
+        piece = data[at : at + READ]
+        at += len(piece)
+        while piece:
+            yield member.decompress(piece)
+            piece = member.unused_data
+            if member.eof:
+                member = zlib.decompressobj(31)
+    yield member.flush()
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[dict]:
+    """Records of an archive that comes in pieces, cut by Content-Length; one is held at a time."""
+    pieces, data, done = iter(pieces), bytearray(), 0
+
+    def more() -> bool:
+        for piece in pieces:
+            if piece:
+                data.extend(piece)
+                return True
+        return False
+
+    while True:
+        seen = 0
+        while (stop := data.find(b"\r\n\r\n", max(0, seen - 3))) < 0:
+            seen = len(data)
+            if not more():
+                if data:
+                    raise ValueError(f"record at byte {done} is cut off")
+                return
+        lines = data[:stop].decode("utf-8", "replace").split(CRLF)
         if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+            raise ValueError(f"no record at byte {done}")
         head = {k.lower(): v for k, v in (x.split(": ", 1) for x in lines[1:])}
-        size = int(head["content-length"])
-        body = data[stop + 4 : stop + 4 + size]
-        if len(body) < size:
-            raise ValueError(f"record at byte {at} is cut off")
-        at = stop + 4 + size + 4
+        end = stop + 4 + int(head["content-length"])
+        while len(data) < end + 4:
+            if not more():
+                raise ValueError(f"record at byte {done} is cut off")
+        body = bytes(data[stop + 4 : end])
+        del data[: end + 4]
+        done += end + 4
 
         def number(name):
             text = head.get(name, "").rpartition(":")[2].rstrip(">")
@@ -135,9 +174,15 @@ def parse(data: bytes) -> Iterator[dict]:
 def _parse(batches):
     for batch in batches:
         for content in batch.column(0):
-            found = list(parse(inflate(content.as_py())))
-            for at in range(0, len(found), 1024):
-                yield pa.RecordBatch.from_pylist(found[at : at + 1024], schema=_RECORD)
+            wait, size = [], 0
+            for record in parse(inflated(content.as_py())):
+                wait.append(record)
+                size += len(record["payload"])
+                if size >= SEND or len(wait) == 1024:
+                    yield pa.RecordBatch.from_pylist(wait, schema=_RECORD)
+                    wait, size = [], 0
+            if wait:
+                yield pa.RecordBatch.from_pylist(wait, schema=_RECORD)
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
@@ -150,11 +195,11 @@ def full_sizes(recs: DataFrame) -> DataFrame:
     """Headers of records with ``payload_bytes`` of the full payload: a revisit's is that of the
     response it refers to (headers only are joined)."""
     heads = shared_table(recs.select("id", "type", "digest", "refers_to", F.length("payload").cast("long").alias("size")), "warc-heads")
-    sizes = heads.where("type = 'response'").select(F.col("id").alias("refers_to"), F.col("digest").alias("d"), F.col("size").alias("full"))
-    sizes = sizes.groupBy("refers_to", "d").agg(F.max("full").alias("full"))
-    again = heads.where("type = 'revisit'").withColumnRenamed("refers_to", "r")
-    again = again.join(sizes, (F.col("r") == F.col("refers_to")) & (F.col("digest") == F.col("d")), "left")
-    again = again.select("id", "type", "digest", F.col("r").alias("refers_to"), F.col("full").alias("payload_bytes"))
+    # equal digests mean equal payloads, so the digest alone finds the size, whatever the ids
+    sizes = heads.where("type = 'response'").groupBy("digest").agg(F.max("size").alias("full"))
+    sizes = sizes.select("digest", "full", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    again = heads.where("type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    again = again.join(sizes, ["digest", "salt"], "left").select("id", "type", "digest", "refers_to", F.col("full").alias("payload_bytes"))
     alone = heads.where("type <> 'revisit'").select("id", "type", "digest", "refers_to", F.col("size").alias("payload_bytes"))
     return alone.unionByName(again)
 

@@ -60,11 +60,28 @@ def test_files_are_bounded_and_plain_warc(spark, pages):
     files = spark.read.format("binaryFile").load(path + "/*.gz").select("content").collect()
     assert len(files) >= 4
     texts = [gzip.decompress(bytes(f.content)) for f in files]
-    assert sum(len(list(warc.parse(t))) for t in texts) == len(PAGES)
+    assert sum(len(list(warc.parse([t]))) for t in texts) == len(PAGES)
+    for f, t in zip(files, texts):  # in pieces of any size, of one member or several
+        whole = list(warc.parse([t]))
+        assert whole == list(warc.parse(t[i : i + 7] for i in range(0, len(t), 7))) == list(warc.parse(warc.inflated(bytes(f.content))))
+        assert whole * 2 == list(warc.parse(warc.inflated(bytes(f.content) * 2)))
     assert all(t.startswith(b"WARC/1.1\r\nWARC-Type: ") and t.endswith(b"\r\n\r\n") for t in texts)
     assert b"WARC-Target-URI: http://a/%20%20x\r\n" in b"".join(texts)
     with pytest.raises(ValueError):
-        list(warc.parse(texts[0][:-10]))
+        list(warc.parse([texts[0][:-10]]))
+
+
+def test_null_ids_and_bitmaps_that_let_all_rows_through(spark, monkeypatch):
+    rows = [(None, "u", "same"), (None, "u", "same"), (None, "u", "alone"), (7, "u", "seven"), (8, "u", "seven"), (9, "u", "nine")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    real = warc.key_bitmap
+    for crowded in (False, True):
+        if crowded:  # a bitmap whose every bit is set: all that it decides is decided by joins
+            monkeypatch.setattr(warc, "key_bitmap", lambda keys, key: real(spark.range(64).select(F.col("id").alias("k")), F.col("k"), 64))
+            monkeypatch.setattr(warc, "flag_by_bitmap", lambda df, key, bitmap, flag: df.withColumn(flag, F.lit(flag == "__hit")))
+        got = sorted((r.id or 0, r.type, r.refers_to or 0, r.payload_bytes) for r in warc.full_sizes(warc.read_archive(spark, written(spark, warc.resolve(warc.records(pages))))).collect())
+        assert sorted(x[3] for x in got) == [4, 4, 4, 5, 5, 5]
+        assert sorted(x[1] for x in got) == ["response"] * 4 + ["revisit"] * 2 and (8, "revisit", 7, 5) in got
 
 
 def test_no_pages(spark, pages):
@@ -120,6 +137,15 @@ def test_levels_of_long_chains_joins_and_cycles(spark):
     assert got == {**{("s", k): v for k, v in want.items()}, ("t", "c1"): 0}
 
 
+def test_numbers_and_columns_with_clashing_names(spark):
+    rows = [(1, i, "r", "t", "call", f"c{i}", "f", a, []) for i, a in enumerate(['{"x":3}', '{"x":1e10}', '{"x":2.5}', '{"x":"3"}', '{"x":true}'])]
+    m = spark.createDataFrame(rows, MESSAGES)
+    for c in ("level", "s", "lost", "row", "scope", "f", "need", "status", "errors", "call_row"):
+        m = m.withColumn(c, F.lit("mine"))
+    got = sorted((r.turn, r.valid) for r in chat.link(m, {"f": {"x": ("number", True)}}).collect())
+    assert got == [(0, True), (1, True), (2, True), (3, False), (4, False)]
+
+
 def test_turns_are_canonical_json(spark):
     turns = spark.createDataFrame([(1, 0, "user", 'é "x"\n😀'), (1, 1, "assistant", None), (1, 2, "user", ""), (None, 0, "system", "s"), (4, 1, "assistant", "a"), (4, 1, "assistant", "a")],
                                   "conv_id long, turn long, role string, text string")
