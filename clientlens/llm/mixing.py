@@ -141,30 +141,19 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix as documents in training order, with the columns they came with: a row per
-    occurrence; the one occurrence of a source that its target cuts keeps only the words
-    taken (joined by single spaces; n_chars, if there, follows)."""
+    occurrence.  Texts stay as they are: the one occurrence of a source that its target cuts is
+    taken whole if the target takes half of it or more, else not at all, whichever is nearer."""
     docs = docs if is_scan(docs) else shared_table(docs, "mix-input")
     cols = docs.columns
     meta = docs.metadataColumn("_metadata")
     place_of = (meta["file_path"].alias("__path"), meta["row_index"].alias("__row"))
     taken = plan(sized(docs, *place_of, id_col=id_col, text_col=text_col, source_col=source_col))
-    taken = taken.where("taken > 0").select("__path", "__row", F.col("size").alias("__size"), F.col("occurrences").alias("__occurrences"))
+    whole = F.filter("occurrences", lambda x: x["words"] * 2 >= F.col("size"))
+    taken = taken.select("__path", "__row", whole.alias("__occurrences")).where(F.size("__occurrences") > 0)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("__doc"), *place_of).join(taken, ["__path", "__row"])
-    rows = rows.select("__doc", "__size", F.explode("__occurrences").alias("__x"))
-    cut = F.col("__x.words") < F.col("__size")
-    text = F.when(cut, F.array_join(F.slice(words(F.col(f"__doc.`{text_col}`")), F.lit(1), F.col("__x.words").cast("int")), " ")).otherwise(F.col(f"__doc.`{text_col}`"))
-    out = rows.select("__doc", F.col("__x.position").alias("__position"), F.col("__x.epoch").alias("__epoch"), text.alias("__text"), cut.alias("__cut"))
-    out = in_order(out.withColumn("__id", F.col(f"__doc.`{id_col}`")), "__position", "__id", "__epoch")
-
-    def column(c):
-        if c == text_col:
-            return F.col("__text").alias(c)
-        own = F.col(f"__doc.`{c}`")
-        if c == "n_chars":
-            return F.when(F.col("__cut"), F.length("__text").cast(docs.schema[c].dataType)).otherwise(own).alias(c)
-        return own.alias(c)
-
-    return out.select(*[column(c) for c in cols])
+    rows = rows.select("__doc", F.explode("__occurrences").alias("__x"))
+    out = rows.select("__doc", F.col("__x.position").alias("__position"), F.col("__x.epoch").alias("__epoch"), F.col(f"__doc.`{id_col}`").alias("__id"))
+    return in_order(out, "__position", "__id", "__epoch").select(*[F.col(f"__doc.`{c}`").alias(c) for c in cols])
 
 
 SQL = r"""

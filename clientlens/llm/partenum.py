@@ -39,7 +39,7 @@ Defined results: null or blank text: n_shingles 0, linked with nothing, own comp
 tables give empty results.  In ``join`` rows that share a doc_id are one node, whose texts all
 count; rows with a null doc_id take part in nothing and have a null component.  In ``keep``
 every row is a node of its own, whatever its id: of a component the row with the smallest id
-stays, of repeated ids the first by locator, and of its rows with a null id the first."""
+stays (a null id last), of repeated ids the first by locator."""
 
 from __future__ import annotations
 
@@ -504,8 +504,8 @@ def _numbered(docs: DataFrame, cols: list[Column]) -> DataFrame:
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each component of rows (its smallest id) and one of its rows with a null id,
-    with the columns they came with."""
+    """One row of each component of rows (its smallest id, a null id last), with the columns they
+    came with."""
     docs = docs if is_scan(docs) else shared_table(docs, "jaccard-input")
     with _rows_per_batch(docs.sparkSession):
         found = _join(_numbered(docs, [F.col(text_col).alias("text")]).select(F.col("__node").alias("doc_id"), "text"))
@@ -514,7 +514,8 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     # joins by the row's own number: a component that a third of all rows share is no hot key
     ids = _numbered(docs, [F.col(id_col).alias("id")])
     rows = shared_table(copies.unionByName(roots).join(ids, "__node"), "jaccard-members")
-    stay = rows.groupBy("component_id", F.col("id").isNull().alias("none")).agg(F.min(F.struct("id", "__node")).alias("first"))
+    # rows without an id come last
+    stay = rows.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__node")).alias("first"))
     dropped = rows.join(stay.select("first.__node"), "__node", "left_anti").select("__node")
     dropped = shared_table(dropped, "jaccard-dropped")
     placed = _numbered(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")])

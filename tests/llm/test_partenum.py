@@ -121,7 +121,7 @@ def test_keep_has_one_document_of_each_group(docs_of, spark, tmp_path):
     docs_of(rows).withColumn("component_id", F.lit(0)).withColumn("__slice", F.lit(0)).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     kept = partenum.keep(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4", "None"]
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "4"]
 
 
 def test_keep_compares_rows_whatever_their_ids(docs_of, spark, tmp_path):
