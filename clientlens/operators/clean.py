@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clientlens.functions.parsing import blank_to_null, parse_date, parse_float, parse_int, parse_number
 from clientlens.schemas import PLANS, STATUTS, require_columns
+from clientlens.sources.files import CORRUPT
 
 
 def _first_reason(*checks: tuple[Column, str]) -> Column:
@@ -126,3 +127,30 @@ def clean_rejects(raw_clients: DataFrame, raw_subscriptions: DataFrame, raw_usag
         )
         out = r if out is None else out.unionByName(r)
     return out
+
+
+_CLEAN = {"clients": (_parsed_clients, clean_clients), "subscriptions": (_parsed_subscriptions, clean_subscriptions), "usage": (_parsed_usage, clean_usage)}
+
+
+def clean_feed(name: str, feed: DataFrame) -> DataFrame:
+    """Valid rows of a feed of ``sources.files.read_feed``: records that are whole and pass all checks."""
+    whole = feed.where(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file", "_ord")
+    return _CLEAN[name][1](whole)
+
+
+def feed_rejects(name: str, feed: DataFrame) -> DataFrame:
+    """(source, client_id, reason, raw, file): every record of the feed that is not valid; a record
+    that does not parse has its raw text, others their client."""
+    whole = _CLEAN[name][0](feed.where(F.col(CORRUPT).isNull()).select(*[c for c in feed.columns if not c.startswith("_")])).where(F.col("reason").isNotNull())
+    bad = feed.where(F.col(CORRUPT).isNotNull())
+    out = lambda df, client, reason, raw: df.select(F.lit(name).alias("source"), client.alias("client_id"), reason.alias("reason"), raw.alias("raw"))
+    text = F.regexp_replace(F.col(CORRUPT), "[\r\n]+$", "")
+    return out(whole, F.col("raw_client_id"), F.col("reason"), F.lit(None).cast("string")).unionByName(
+        out(bad, F.lit(None).cast("string"), F.lit("corrupt_record"), text))
+
+
+def reconciliation(name: str, feed: DataFrame) -> DataFrame:
+    """(source, n_records, n_valid, n_rejected, ok): every record is valid or rejected."""
+    one = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+    rows = one(feed, "n_records").crossJoin(one(clean_feed(name, feed), "n_valid")).crossJoin(one(feed_rejects(name, feed), "n_rejected"))  # one row each
+    return rows.select(F.lit(name).alias("source"), "n_records", "n_valid", "n_rejected", (F.col("n_records") == F.col("n_valid") + F.col("n_rejected")).alias("ok"))

@@ -18,11 +18,12 @@ from clientlens.operators import journal as jr
 from clientlens.operators import models as ml
 from clientlens.operators import policy as pol
 from clientlens.operators import retrieval as rt
+from clientlens.operators import sketches as sk
 from clientlens.operators import vectors as vec
 from clientlens.operators.chunk_index import ChunkIndex
 from clientlens.schemas import PLANS
 from clientlens.session import materialize, work_dir
-from clientlens.sources.files import write_report, write_table
+from clientlens.sources.files import RAW_SCHEMAS, read_feed, write_report, write_table
 from clientlens.sources.tables import Tables
 from clientlens.streaming import jobs as streams
 
@@ -776,3 +777,71 @@ def q_answer_clients(spark, sf_dir):
     return asked.join(best, "question_id", "left").select(
         "client_id", "question_id",
         act.answer_markdown(F.col("text"), F.col("source"), F.when(F.col("scored"), "fort").otherwise("moyen")).alias("answer_md"))
+
+
+# ------------------------------------------------------ dirty feeds, sketches
+
+
+def dirty_lines(t: Tables, name: str) -> DataFrame:
+    """The raw feed of the tables as CSV lines with defects seeded by id: ragged records, blank and invalid
+    fields, and quoted line ends (which are no defect)."""
+    def line(df, key, n, fields, *changes):
+        cols = [F.col(c) for c in fields]
+        out = F.concat_ws(",", *cols)
+        for rest, change in changes:
+            out = F.when(F.col(key) % n == rest, change(dict(zip(fields, cols)), lambda d: F.concat_ws(",", *d.values()))).otherwise(out)
+        return df.select(out.alias("value"))
+
+    put = lambda c, v: lambda d, join: join({**d, c: F.lit(v)})
+    short = lambda d, join: join(dict(list(d.items())[:-1]))
+    long = lambda d, join: join({**d, "more": F.lit("x")})
+    if name == "clients":
+        raw = t.raw_clients().withColumn("k", F.col("client_id").cast("long"))
+        broken = lambda d, join: join({**d, "ville": F.concat(F.lit('"'), d["ville"], F.lit('\n"'))})
+        return line(raw, "k", 50, ["client_id", "ville", "plan", "date_inscription"], (1, put("ville", "")), (2, put("plan", "gold")), (3, short),
+                    (4, long), (5, put("date_inscription", "2025-13-40")), (6, broken), (7, put("client_id", "")))
+    if name == "subscriptions":
+        raw = t.subscriptions().select(F.col("client_id").cast("string"), F.col("montant").cast("string"), F.date_format("date_paiement", "yyyy-MM-dd").alias("date_paiement"), "statut", F.col("payment_id").alias("k"))
+        return line(raw, "k", 60, ["client_id", "montant", "date_paiement", "statut"], (1, put("montant", "-5")), (2, put("statut", "gratis")), (3, short), (4, put("date_paiement", "n/a")))
+    raw = t.usage().select(F.col("client_id").cast("string"), F.col("actions").cast("string"), F.col("sessions").cast("string"), F.date_format("activity_date", "yyyy-MM-dd").alias("timestamp"), F.col("event_id").alias("k"))
+    return line(raw, "k", 70, ["client_id", "actions", "sessions", "timestamp"], (1, put("actions", "many")), (2, put("sessions", "-1")), (3, short))
+
+
+def dirty_feed(spark, sf_dir, name: str) -> DataFrame:
+    path = f"{_run_dir(spark, 'feed')}/{name}"
+    dirty_lines(_t(spark, sf_dir), name).write.text(path)
+    return read_feed(spark, path, RAW_SCHEMAS[name], header=False)
+
+
+FEEDS = ("clients", "subscriptions", "usage")
+
+
+@query("feed_rejects")
+def q_feed_rejects(spark, sf_dir):
+    """P9 over raw feeds: every record that is not valid, with its reason and, if it does not parse, its text."""
+    parts = [clean.feed_rejects(n, dirty_feed(spark, sf_dir, n)) for n in FEEDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("feed_reconciliation")
+def q_feed_reconciliation(spark, sf_dir):
+    """Every record of a raw feed is valid or rejected, and the counts say so."""
+    parts = [clean.reconciliation(n, dirty_feed(spark, sf_dir, n)) for n in FEEDS]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("feed_clients")
+def q_feed_clients(spark, sf_dir):
+    """P4 through the raw reader: the valid clients of a feed with defects."""
+    return clean.clean_feed("clients", dirty_feed(spark, sf_dir, "clients"))
+
+
+@query("payment_range_facts")
+def q_payment_range_facts(spark, sf_dir, first: str = "1995-03-01", last: str = "1997-08-31"):
+    """A6/A9/A10/A13, approximate: facts of a range of days from stored daily sketches, held against the
+    payments."""
+    t = _t(spark, sf_dir)
+    pay = t.subscriptions().where("statut = 'paid'").join(t.clients().select("client_id", "plan"), "client_id")
+    table = sk.sketch_table(spark, f"{work_dir(spark)}/tables/payment_sketches-{_tag(sf_dir)}")
+    table.append(sk.daily_sketches(pay))
+    return sk.within_bounds(sk.range_facts(table.read(), first, last), pay, first, last)

@@ -870,3 +870,32 @@ register(
        FROM sc LEFT JOIN (SELECT * FROM best WHERE rank = 1) b ON b.question_id = sc.client_id % (SELECT COUNT(*) FROM benchmark)""",
     "feats", "fx",
 )
+
+
+# ------------------------------------------------------ dirty feeds, sketches
+_DIRTY = """WITH c AS (SELECT *, client_id % 50 AS k, concat_ws(',', client_id, ville, plan) AS short, concat_ws(',', client_id, ville, plan, strftime(date_inscription, '%Y-%m-%d')) AS line FROM clients),
+  s AS (SELECT *, payment_id % 60 AS k, concat_ws(',', client_id, CAST(montant AS VARCHAR), strftime(date_paiement, '%Y-%m-%d')) AS short FROM subscriptions),
+  u AS (SELECT *, event_id % 70 AS k, concat_ws(',', client_id, actions, sessions) AS short FROM usage_),
+  r AS (
+    SELECT 'clients' AS source, CASE WHEN k IN (3, 4, 7) THEN NULL ELSE CAST(client_id AS VARCHAR) END AS client_id,
+      CASE k WHEN 1 THEN 'ville_missing' WHEN 2 THEN 'plan_invalid' WHEN 3 THEN 'corrupt_record' WHEN 4 THEN 'corrupt_record' WHEN 5 THEN 'date_invalid' ELSE 'client_id_missing' END AS reason,
+      CASE k WHEN 3 THEN short WHEN 4 THEN line || ',x' END AS raw FROM c WHERE k IN (1, 2, 3, 4, 5, 7)
+    UNION ALL SELECT 'subscriptions', CASE WHEN k <> 3 THEN CAST(client_id AS VARCHAR) END,
+      CASE k WHEN 1 THEN 'montant_invalid' WHEN 2 THEN 'statut_invalid' WHEN 3 THEN 'corrupt_record' ELSE 'date_invalid' END, CASE WHEN k = 3 THEN short END FROM s WHERE k IN (1, 2, 3, 4)
+    UNION ALL SELECT 'usage', CASE WHEN k <> 3 THEN CAST(client_id AS VARCHAR) END,
+      CASE k WHEN 1 THEN 'actions_invalid' WHEN 2 THEN 'sessions_invalid' ELSE 'corrupt_record' END, CASE WHEN k = 3 THEN short END FROM u WHERE k IN (1, 2, 3))"""
+register("feed_rejects", _DIRTY + " SELECT * FROM r")
+register(
+    "feed_reconciliation",
+    _DIRTY + """, n AS (SELECT 'clients' AS source, count(*) AS n FROM c UNION ALL SELECT 'subscriptions', count(*) FROM s UNION ALL SELECT 'usage', count(*) FROM u)
+    SELECT n.source, n.n AS n_records, n.n - count(r.source) AS n_valid, count(r.source) AS n_rejected, true AS ok FROM n LEFT JOIN r ON r.source = n.source GROUP BY n.source, n.n""",
+)
+register(
+    "feed_clients",
+    """SELECT CAST(client_id AS VARCHAR) AS client_id, ville, plan, date_inscription FROM clients WHERE client_id % 50 NOT IN (1, 2, 3, 4, 5, 7)""",
+)
+register(
+    "payment_range_facts",
+    """SELECT c.plan, CAST(count(*) AS BIGINT) AS n, true AS clients_ok, true AS quantile_ok FROM subscriptions s JOIN clients c USING (client_id)
+       WHERE s.statut = 'paid' AND s.date_paiement BETWEEN DATE '1995-03-01' AND DATE '1997-08-31' GROUP BY c.plan""",
+)

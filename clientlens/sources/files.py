@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clientlens.schemas import RAW_CLIENTS, RAW_REVENUE_EVENTS, RAW_SUBSCRIPTIONS, RAW_USAGE, require_columns
+from clientlens.session import materialize
 
 RAW_SCHEMAS = {"clients": RAW_CLIENTS, "subscriptions": RAW_SUBSCRIPTIONS, "usage": RAW_USAGE,
                "revenue_events": RAW_REVENUE_EVENTS}
@@ -31,6 +32,24 @@ def read_raw(spark: SparkSession, base: str, name: str) -> DataFrame:
     return read_raw_csv(spark, f"{base.rstrip('/')}/{name}.csv", RAW_SCHEMAS[name])
 
 
+CORRUPT = "_corrupt"
+
+
+def read_feed(spark: SparkSession, path: str, schema: T.StructType, header: bool = True) -> DataFrame:
+    """S1/S2 for dirty feeds: every record of the feed as a row, nothing filled in or dropped in
+    silence.  A record with too few or too many fields, or with quoting that does not end, has its raw
+    text in ``_corrupt``; quoted line ends belong to their field (so a file is one task's: split
+    large feeds into files).  ``_file`` and ``_ord`` say where it came from."""
+    full = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    df = (spark.read.schema(full).option("header", header).option("mode", "PERMISSIVE").option("encoding", "UTF-8")
+          .option("multiLine", True).option("escape", '"').option("columnNameOfCorruptRecord", CORRUPT)
+          .option("columnPruning", False)  # a record is judged by all its fields, whatever is selected
+          .option("enforceSchema", True).csv(path))
+    file = F.col("_metadata.file_path")
+    # valid rows and rejects both read it: parsed once, whole records, into the shared folder
+    return materialize(df.withColumn("_file", file).withColumn("_ord", F.struct(file.alias("f"), F.lit(0).cast("long").alias("b"), F.monotonically_increasing_id().alias("i"))))
+
+
 def corpus_files(spark: SparkSession, corpus_dir: str, suffixes=("md", "yaml", "yml")) -> DataFrame:
     """Recursive corpus scan, one row per file (source, text), suffix filter
     case-insensitive, files ordered by path; an empty corpus is an error."""
