@@ -391,11 +391,13 @@ class _Join:
         """Links between components among ``nodes`` (doc_id), by prefix filter."""
         items = shared_table(self.sets(nodes).mapInArrow(_items, "node long, n long, item long"), "jaccard-items")
         often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-        # rarest first, so that what many texts share comes last; a document ranks its own shingles
-        ranked = items.join(often, "item", "left").withColumn("df", F.coalesce("df", F.lit(1)))
-        ranked = ranked.withColumn("at", F.row_number().over(Window.partitionBy("node", "n").orderBy("df", "item")))
+        # rarest first, so that what many texts share comes last; a document ranks its own shingles.
+        # Those that no other text has come before all others and meet nobody: they are only counted
+        own = Window.partitionBy("node", "n")
+        ranked = items.join(often, "item").withColumn("at", F.row_number().over(own.orderBy("df", "item")))
+        ranked = ranked.withColumn("at", F.col("at") + F.col("n") - F.count(F.lit(1)).over(own))
         need = F.ceil(F.col("n") * NUM / DEN)
-        prefix = shared_table(ranked.where((F.col("at") <= F.col("n") - need + 1) & (F.col("df") > 1)).select("node", "n", "item", "at"), "jaccard-prefix")
+        prefix = shared_table(ranked.where(F.col("at") <= F.col("n") - need + 1).select("node", "n", "item", "at"), "jaccard-prefix")
         # first each bucket against its first document, then what still lies apart
         rows = shared_table(self.mixed(self.labelled(prefix, "node", "component"), "item"), "jaccard-mixed")
         hub = rows.groupBy("item").agg(F.min("node").alias("a"), F.min_by("component", "node").alias("ca"), F.min_by("n", "node").alias("na"), F.min_by("at", "node").alias("ata"))
