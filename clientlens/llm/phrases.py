@@ -11,15 +11,13 @@
 3. A pair of words is active only once the bucket it hashes to (of ``BUCKETS`` saturating counters of
    all pairs, summed over tasks) has reached the threshold, too, which rules out nearly all pairs
    that are too rare while a bucket holds few of them.
-4. Counts so far are a table of 128-bit hashes of phrases: partial counts of a step are combined per
-   task, summed with it, and hashes that completed their cycle below the threshold leave it.
-   Hashes that reached the threshold go to the workers as a table of fixed size (a byte for each of
-   ``SLOTS`` slots of hashes: the step from which it counts as reached), whatever their number.
-   Two phrases in one slot or bucket only make a phrase active too early or for nothing: its first
-   active step is a function of slots and buckets, the same for all its places, so it is counted
-   for one full cycle still.
-5. Every hash keeps the first chunk it was met in; from there the phrases that reached the threshold are
-   spelled out, one row each.
+4. Counts so far are a table of phrases: partial counts of a step are combined per task, summed with
+   it, and phrases that completed their cycle leave it, counted or dropped.  Phrases that reached the
+   threshold go to the workers as a table of fixed size (a byte for each of ``SLOTS`` slots of
+   hashes: the step from which it counts as reached), whatever their number.  Two phrases in one
+   slot or bucket only make a phrase active too early or for nothing: its first active step is a
+   function of slots and buckets, the same for all its places, so it is counted for one full cycle
+   still.
 
 A phrase at or above the threshold has subphrases at or above it, which reach it within their own
 cycle, so no phrase is missed; its prefixes and suffixes, which the cuts need, are counted too.
@@ -64,8 +62,8 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 _WORD = ~(_BLANK | _BREAK)
 
-CHUNK_SCHEMA = "id long, lang string, words array<string>, hashes binary, ids binary, n long, shard int"
-COUNT_SCHEMA = "hash long, check long, k int, since int, at long, n long"
+CHUNK_SCHEMA = "lang string, words array<string>, hashes binary, ids binary, n long, shard int"
+COUNT_SCHEMA = "lang string, phrase string, hash long, k int, since int, n long"
 SLICE = 1 << 16  # counters sent together
 
 
@@ -74,7 +72,7 @@ SLICE = 1 << 16  # counters sent together
 
 def _chunks(shards: int, chunk: int):
     def run(batches):
-        at, name = TaskContext.get().partitionId(), TaskContext.get().partitionId() << 32
+        at = TaskContext.get().partitionId()
         for batch in batches:
             langs = batch.column(0)
             names = pc.unique(langs)
@@ -100,10 +98,10 @@ def _chunks(shards: int, chunk: int):
                     used, local = np.unique(out[out >= 0], return_inverse=True)
                     out[out >= 0] = local
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([name], pa.int64()), pa.array([names[int(c)].as_py()], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), words.take(pa.array(used))),
+                        [pa.array([names[int(c)].as_py()], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(used)], pa.int32()), words.take(pa.array(used))),
                          pa.array([hashes[used].tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary()), pa.array([len(i)], pa.int64()), pa.array([at % shards], pa.int32())],
-                        names=["id", "lang", "words", "hashes", "ids", "n", "shard"])
-                    at, name = at + 1, name + 1
+                        names=["lang", "words", "hashes", "ids", "n", "shard"])
+                    at += 1
     return run
 
 
@@ -166,23 +164,27 @@ def _chunk_words(hashes, ids) -> np.ndarray:
     return table[np.frombuffer(ids.as_buffer(), np.int32)]
 
 
-def _stretches(batches):
-    """Chunks of one language joined to about TOKENS places: (lang, word hashes, place of each chunk's
-    first word, ids of the chunks)."""
+def _stretches(batches, spelled: bool = False):
+    """Chunks of one language joined to about TOKENS places: (lang, word hashes, and with ``spelled`` the
+    number of each place's word and the words)."""
     wait: dict[str, list] = {}
     size: dict[str, int] = {}
 
     def joined(lang):
         parts = wait.pop(lang)
         size.pop(lang)
-        gap = np.zeros((1, 2), np.uint64)
-        starts = np.cumsum([0] + [len(p[0]) + 1 for p in parts[:-1]]) + 1
-        return lang, np.concatenate([x for p in parts for x in (gap, p[0])]), starts, np.array([p[1] for p in parts], np.int64)
+        hashes = np.concatenate([x for p in parts for x in (np.zeros((1, 2), np.uint64), p[0])])
+        if not spelled:
+            return lang, hashes, None, None
+        base = np.cumsum([0] + [len(p[2]) for p in parts[:-1]])
+        numbers = np.concatenate([x for p, b in zip(parts, base) for x in (np.full(1, -1, np.int64), p[1] + b)])
+        return lang, hashes, numbers, pa.concat_arrays([p[2] for p in parts])
 
     for batch in batches:
-        for i, lang, hashes, ids in zip(batch.column("id").to_pylist(), batch.column("lang").to_pylist(), batch.column("hashes"), batch.column("ids")):
+        words = batch.column("words") if spelled else [None] * batch.num_rows
+        for lang, hashes, ids, w in zip(batch.column("lang").to_pylist(), batch.column("hashes"), batch.column("ids"), words):
             own = _chunk_words(hashes, ids)
-            wait.setdefault(lang, []).append((own, i))
+            wait.setdefault(lang, []).append((own, np.frombuffer(ids.as_buffer(), np.int32).astype(np.int64) if spelled else None, w.values if spelled else None))
             size[lang] = size.get(lang, 0) + len(own)
             if size[lang] >= TOKENS:
                 yield joined(lang)
@@ -193,20 +195,22 @@ def _stretches(batches):
 def _step(shared, step: int, cycle: int, longest: int):
     def run(batches):
         reached, buckets = (np.frombuffer(x, np.uint8) for x in shared.value)
-        for lang, words, starts, ids in _stretches(batches):
+        for lang, words, numbers, names in _stretches(batches, True):
             for k, at, hashes, since in grams(words, lang, longest, _admit(reached, buckets, step)):
                 open_ = np.flatnonzero(since + cycle > step)
-                if len(open_):
-                    # equal hashes next to each other, the first place first
-                    order = open_[np.lexsort((at[open_], hashes[open_, 1], hashes[open_, 0]))]
-                    own = hashes[order]
-                    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
-                    first = order[new]
-                    chunk = ids[np.searchsorted(starts, at[first], "right") - 1]
-                    n = np.diff(np.append(new, len(order)))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(hashes[first, 0].view(np.int64)), pa.array(hashes[first, 1].view(np.int64)), pa.array(np.full(len(n), k, np.int32)),
-                         pa.array(since[first].astype(np.int32)), pa.array(chunk), pa.array(n.astype(np.int64))], names=["hash", "check", "k", "since", "at", "n"])
+                if not len(open_):
+                    continue
+                # equal phrases next to each other
+                order = open_[np.lexsort((hashes[open_, 1], hashes[open_, 0]))]
+                own = hashes[order]
+                new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]).any(1)]))
+                first, n = order[new], np.diff(np.append(new, len(order)))
+                phrase = names.take(pa.array(numbers[at[first]]))
+                for i in range(1, k):
+                    phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(numbers[at[first] + i])), " ")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), phrase, pa.array(hashes[first, 0].view(np.int64)),
+                     pa.array(np.full(len(n), k, np.int32)), pa.array(since[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "hash", "k", "since", "n"])
     return run
 
 
@@ -252,28 +256,6 @@ def _pair_buckets(part: DataFrame, buckets: int) -> np.ndarray:
     return out
 
 
-def _spelled(longest: int):
-    """Arrow batches (lang, words, hashes, ids, wanted hashes) of chunks -> (lang, hash, check, phrase)."""
-    def run(batches):
-        for batch in batches:
-            for lang, words, hashes, ids, wanted in zip(batch.column("lang").to_pylist(), batch.column("words"), batch.column("hashes"), batch.column("ids"), batch.column("wanted")):
-                own, number = _chunk_words(hashes, ids), np.frombuffer(ids.as_buffer(), np.int32)
-                names, wanted = words.values, np.sort(wanted.values.to_numpy())
-                for k, at, found, _ in grams(own, lang, longest):
-                    key = found[:, 0].view(np.int64)
-                    place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
-                    hit = np.flatnonzero(wanted[place] == key)
-                    _, first = np.unique(found[hit], axis=0, return_index=True)
-                    hit = hit[first]
-                    if not len(hit):
-                        continue
-                    phrase = names.take(pa.array(number[at[hit]]))
-                    for i in range(1, k):
-                        phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(number[at[hit] + i])), " ")
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(hit), pa.string()), pa.array(key[hit]), pa.array(found[hit, 1].view(np.int64)), phrase], names=["lang", "hash", "check", "phrase"])
-    return run
-
-
 def _slots(hashes: DataFrame, slots: int) -> np.ndarray:
     """Slots of a table's hashes: a bitmap in slices of 4 KB, at most slots / 32768 rows whatever the
     number of phrases."""
@@ -300,15 +282,15 @@ def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT, longest: int =
             if step >= NEVER - 1:
                 raise RuntimeError("too many steps")
             table = spark.sparkContext.broadcast((reached.tobytes(), pairs.tobytes()))
-            part = chunks.where(F.col("shard") == step % shards).select("id", "lang", "hashes", "ids")
-            rows = part.mapInArrow(_step(table, step, shards, longest), COUNT_SCHEMA)
+            shard = chunks.where(F.col("shard") == step % shards)
+            rows = shard.select("lang", "words", "hashes", "ids").mapInArrow(_step(table, step, shards, longest), COUNT_SCHEMA)
             rows = rows if so_far is None else rows.unionByName(so_far)
-            counts = rows.groupBy("hash", "check").agg(F.min("k").alias("k"), F.max("since").alias("since"), F.min("at").alias("at"), F.sum("n").alias("n"))
+            counts = rows.groupBy("lang", "phrase").agg(F.max("hash").alias("hash"), F.max("k").alias("k"), F.max("since").alias("since"), F.sum("n").alias("n"))
             # what has seen every shard and stayed below the threshold is done with
             complete = F.col("since") + shards <= step + 1
             counts = shared_table(counts.where((F.col("n") >= min_count) | ~complete).withColumn("complete", complete), f"phrases-counts-{step}")
             if step < shards:
-                seen = np.minimum(seen + _pair_buckets(part, buckets), NEVER)
+                seen = np.minimum(seen + _pair_buckets(shard.select("lang", "hashes", "ids"), buckets), NEVER)
             step += 1
             if step <= shards:
                 pairs[(seen >= min_count) & (pairs == NEVER)] = step
@@ -317,8 +299,7 @@ def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT, longest: int =
             reached[new] = step
             # a pair waits for its bucket, too: those of the last step of the first cycle open a cycle
             last = step if len(new) or step <= shards else last
-            done = shared_table(counts.where("complete").drop("complete"), f"phrases-high-{step}")
-            high.append(done)
+            high.append(shared_table(counts.where("complete").select("lang", "phrase", "k", "n"), f"phrases-high-{step}"))
             old, so_far = so_far, counts.where("NOT complete").drop("complete")
             so_far._shared_path = counts._shared_path
             if old is not None:
@@ -327,14 +308,8 @@ def phrase_counts(chunks: DataFrame, min_count: int = MIN_COUNT, longest: int =
         found = high[0]
         for h in high[1:]:
             found = found.unionByName(h)
-        found = shared_table(found.where(F.col("n") >= min_count).select("hash", "check", "k", "at", "n"), "phrases-found")
+        out = shared_table(found.where(F.col("n") >= min_count), "phrases-counts")
         drop_shared(so_far, *high)
-        # a chunk is asked for no more phrases than it has
-        wanted = found.groupBy(F.col("at").alias("id")).agg(F.collect_set("hash").alias("wanted"))
-        names = chunks.select("id", "lang", "words", "hashes", "ids").join(wanted, "id").select("lang", "words", "hashes", "ids", "wanted")
-        names = names.mapInArrow(_spelled(longest), "lang string, hash long, check long, phrase string").dropDuplicates(["hash", "check"])
-        out = shared_table(names.join(found, ["hash", "check"]).select("lang", "phrase", "k", "n"), "phrases-counts")
-        drop_shared(found)
         return out
 
 
