@@ -40,11 +40,12 @@ READ, SEND = 1 << 20, 1 << 23  # bytes of a file inflated, and of payloads sent
 
 def sha1_base32(payload: Column) -> Column:
     """Upper-case base32 of the SHA-1: 40 hex digits are 8 groups of 20 bits, 4 letters each."""
-    digest = F.sha1(payload)
-    group = lambda i: F.conv(F.substr(digest, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
+    group = lambda d, i: F.conv(F.substr(d, F.lit(i * 5 + 1), F.lit(5)), 16, 10).cast("int")
     letter = lambda v, s: F.substr(F.lit(BASE32), F.shiftright(v, s).bitwiseAND(31) + 1, F.lit(1))
-    four = lambda i: F.concat(*[letter(group(i), s) for s in (15, 10, 5, 0)])
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    four = lambda v: F.concat(*[letter(v, s) for s in (15, 10, 5, 0)])
+    # a lambda's variable is computed once: the payload is hashed, and a group converted, once a record
+    groups = lambda d: F.array(*[group(d, i) for i in range(8)])
+    return F.array_join(F.flatten(F.transform(F.array(F.sha1(payload)), lambda d: F.transform(groups(d), four))), "")
 
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:

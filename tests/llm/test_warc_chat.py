@@ -155,3 +155,9 @@ def test_turns_are_canonical_json(spark):
         assert r.json == json.dumps(json.loads(r.json), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
     assert sorted(r.status for r in rows) == ["linked", "linked", "orphan", "plain", "repeated", "unanswered"]
     assert chat.link(chat.from_turns(turns.limit(0))).count() == 0
+
+
+def test_a_payload_is_hashed_once_in_its_digest(spark, pages):
+    own = pages.select(F.coalesce(F.col("html"), F.lit("")).alias("html"), warc.sha1_base32(F.coalesce(F.col("html").cast("binary"), F.lit(b""))).alias("d"))
+    assert own._jdf.queryExecution().optimizedPlan().toString().count("sha1(") == 1
+    assert all(r.d == base64.b32encode(hashlib.sha1(r.html.encode()).digest()).decode() for r in own.collect())
