@@ -30,6 +30,8 @@ without a phrase at the threshold has no rows; an empty table gives an empty res
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,7 +53,7 @@ SHARDS = 2        # steps of a cycle
 SLOTS = 1 << 24   # bytes of a table of reached phrases (16 MB, whatever their number)
 BUCKETS = 1 << 23  # counters of pairs (a byte each, whatever the number of pairs)
 CHUNK = 1 << 19   # bytes of text a chunk, or one longer text
-TOKENS = 1 << 19  # words counted at once in a worker
+TOKENS = 1 << 17  # words counted at once in a worker: its arrays stay at some tens of MB
 TEXT_ROWS, CHUNK_ROWS = 1000, 8  # rows of an Arrow batch: texts, chunks
 SALTS = 16
 NEVER = 255
@@ -65,6 +67,20 @@ _WORD = ~(_BLANK | _BREAK)
 CHUNK_SCHEMA = "lang string, words array<string>, hashes binary, ids binary, n long, shard int"
 COUNT_SCHEMA = "lang string, phrase string, hash long, k int, since int, n long"
 SLICE = 1 << 16  # counters sent together
+SENT = 1 << 13   # phrases sent together: what the JVM holds of a batch outside its heap stays small
+
+
+def _lean(run):
+    """``run``, giving the memory its arrays took back to the system when the task ends: workers wait for
+    their next task, and what they keep counts against the executor all that time."""
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+    return lean
 
 
 # ------------------------------------------------------------ words and shards
@@ -102,7 +118,7 @@ def _chunks(shards: int, chunk: int):
                          pa.array([hashes[used].tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary()), pa.array([len(i)], pa.int64()), pa.array([at % shards], pa.int32())],
                         names=["lang", "words", "hashes", "ids", "n", "shard"])
                     at += 1
-    return run
+    return _lean(run)
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, lang_col: str = "lang", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -208,10 +224,12 @@ def _step(shared, step: int, cycle: int, longest: int):
                 phrase = names.take(pa.array(numbers[at[first]]))
                 for i in range(1, k):
                     phrase = pc.binary_join_element_wise(phrase, names.take(pa.array(numbers[at[first] + i])), " ")
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(n), np.int64))), phrase, pa.array(hashes[first, 0].view(np.int64)),
                      pa.array(np.full(len(n), k, np.int32)), pa.array(since[first].astype(np.int32)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "hash", "k", "since", "n"])
-    return run
+                for i in range(0, len(n), SENT):
+                    yield out.slice(i, SENT)
+    return _lean(run)
 
 
 def _pairs_of(buckets: int):
@@ -227,7 +245,7 @@ def _pairs_of(buckets: int):
         for i in range(0, buckets, size):
             if total[i : i + size].any():
                 yield pa.RecordBatch.from_arrays([pa.array([i // size], pa.int32()), pa.array([total[i : i + size].tobytes()], pa.binary())], names=["slice", "counters"])
-    return run
+    return _lean(run)
 
 
 def _summed(batches):

@@ -81,3 +81,19 @@ def test_scores_are_exact_beyond_64_bits(spark):
 def test_empty_table(spark):
     assert phrases.mine(table(spark, [])).collect() == []
     assert phrases.mine(table(spark, [("en", None), (None, "")])).collect() == []
+
+
+def test_batches_sent_are_small_and_counts_whole():
+    import numpy as np
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(3 * phrases.SENT)]
+    hashes = np.arange(1, 2 * len(words) + 1, dtype=np.uint64).tobytes()
+    chunk = pa.RecordBatch.from_arrays([pa.array(["en"]), pa.array([words]), pa.array([hashes], pa.binary()), pa.array([np.arange(len(words), dtype=np.int32).tobytes()], pa.binary())],
+                                       names=["lang", "words", "hashes", "ids"])
+
+    class Shared:
+        value = (np.full(64, phrases.NEVER, np.uint8).tobytes(),) * 2
+
+    out = list(phrases._step(Shared, 0, 2, 5)(iter([chunk])))
+    assert max(b.num_rows for b in out) <= phrases.SENT and sorted(p for b in out for p in b.column("phrase").to_pylist()) == sorted(words)
