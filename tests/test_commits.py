@@ -179,3 +179,17 @@ def test_stream_journal_drops_repeats_over_runs(spark, tmp_path):
     assert stream == sorted(map(tuple, jr.read_journal(spark, f"{base}/batch").collect())) and len(stream) == 12
     assert spark.read.parquet(f"{base}/rejects").count() == 1
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider")
+
+
+def test_forest_keeps_the_nodes_of_its_rows(spark):
+    """The passes that grow the forest don't walk it again; the forest is the same one."""
+    data = C.report.ml_ready(C.build_report(C._t(spark, SF_SMALL)))
+    model, pred, _ = ml.train_revenue(data, "rf", max_depth=4)
+    forest = model.stages[-1]
+    assert forest.getOrDefault("cacheNodeIds") and forest.getNumTrees == 100
+    train = ml.materialize(ml.hash_split(data.withColumn("label", F.col(ml.REV_TARGET).cast("double")))).where("split = 'train'")
+    features = model.stages[:-1]
+    for stage in features:
+        train = stage.transform(train)
+    plain = ml.RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=4, seed=42, cacheNodeIds=False).fit(train)
+    assert plain.toDebugString.split("\n", 1)[1] == forest.toDebugString.split("\n", 1)[1]
