@@ -193,3 +193,16 @@ def test_forest_keeps_the_nodes_of_its_rows(spark):
         train = stage.transform(train)
     plain = ml.RandomForestRegressor(numTrees=100, featureSubsetStrategy="all", maxDepth=4, seed=42, cacheNodeIds=False).fit(train)
     assert plain.toDebugString.split("\n", 1)[1] == forest.toDebugString.split("\n", 1)[1]
+
+
+def test_an_append_writes_about_a_file_a_day(spark, tmp_path):
+    rows = spark.createDataFrame([(f"2025-01-{1 + i % 25:02d}T00:00:00", "client", str(i), "Surveiller", f"because {i}", "me") for i in range(1000)], DECISION_LOG)
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        jr.journal_append(rows, str(tmp_path / "j"))
+    finally:
+        spark.conf.set(key, before)
+    assert len(list((tmp_path / "j").rglob("*.parquet"))) <= 25 + 8
+    assert jr.read_journal(spark, str(tmp_path / "j")).count() == 1000
