@@ -125,6 +125,9 @@ def keyword_retrieve(queries: DataFrame, query_key: str, chunks: DataFrame, chun
     # only tokens some query contains can score; a row's tokens are counted in its own task, and
     # its matches lie next to each other, so the aggregation is done before rows move
     ct = row_tokens(chunks, chunk_keys, chunk_text)
+    # a chunk's scoring tokens are brought together, not its (query, chunk) pairs, which are many more:
+    # pairs are made, summed and cut to the best k of a task where they arise
+    ct = ct.join(qt.select("token").distinct(), "token", "left_semi").repartition(*chunk_keys)
     m = ct.join(qt, "token").groupBy(query_key, *chunk_keys).agg(
         F.count(F.lit(1)).alias("n_match"), F.sum(F.least(F.col("tf"), F.lit(3))).alias("bonus_units")
     )

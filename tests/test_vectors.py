@@ -159,3 +159,17 @@ def test_row_tokens_equal_the_expression(spark):
     docs = C._t(spark, SF).documents.select("doc_id", "text")
     want = docs.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").count()
     assert sorted(map(tuple, retrieval.token_frequencies(docs, ["doc_id"]).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_texts_of_hits_chunk_only_documents_that_hold_one(spark):
+    docs = spark.createDataFrame([(i, f"p{i}\n\n" + "q" * 899) for i in range(40)] + [(3, "again"), (None, "none")], "doc_id long, text string")
+    t = C.Tables(spark, SF, {"documents": docs})
+    seen, chunked = [], retrieval.chunk_paragraphs
+    hits = spark.createDataFrame([(1, 3, 0), (1, 5, 1), (2, 3, 0), (2, 77, 0)], "item_id int, doc_id long, chunk int")
+    C.rt.chunk_paragraphs = lambda d, *a: seen.append(d.count()) or chunked(d, *a)
+    try:
+        got = sorted((r.item_id, r.doc_id, r.chunk, r.text) for r in C.with_chunk_texts(t, hits).collect())
+    finally:
+        C.rt.chunk_paragraphs = chunked
+    assert seen == [3]
+    assert got == sorted((i, d, c, x) for i, d, c in ((1, 3, 0), (1, 5, 1), (2, 3, 0)) for x in (["q" * 899] if c else [f"p{d}", *(["again"] if d == 3 else [])]))
