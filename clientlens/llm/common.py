@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clientlens.session import materialize, ship, work_dir
+from clientlens.session import arrow_rows, materialize, ship, work_dir  # noqa: F401
 
 #: Fixed values of the contracts: the white space between words.
 WS = r"[\x20\x09-\x0D]+"
@@ -56,18 +55,6 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/llm/{label}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int):
-    """Arrow batches of at most ``rows`` rows for the jobs run inside: for rows that are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     return materialize(df)
 

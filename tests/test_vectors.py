@@ -173,3 +173,18 @@ def test_texts_of_hits_chunk_only_documents_that_hold_one(spark):
         C.rt.chunk_paragraphs = chunked
     assert seen == [3]
     assert got == sorted((i, d, c, x) for i, d, c in ((1, 3, 0), (1, 5, 1), (2, 3, 0)) for x in (["q" * 899] if c else [f"p{d}", *(["again"] if d == 3 else [])]))
+
+
+def test_pivot_index_compares_blocks(spark, monkeypatch):
+    """Pairs of a query and a vector are no rows of a plan; block borders change nothing."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 7)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 3)
+    emb = clustered(spark, 200, 3).unionByName(clustered(spark, 200, 3).withColumn("vec_id", F.col("vec_id") + 500))
+    qs = emb.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qvec"))
+    sizes, nearest = [], vectors._nearest
+    monkeypatch.setattr(vectors, "_nearest", lambda *a: sizes.append(a[1]) or nearest(*a))
+    got = vectors.PivotIndex.build(emb, "vec_id", pivots=4).topk(qs, "q", k=5)
+    assert sizes == [5, 5] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    want = retrieval.vector_topk(qs, "q", emb, "vec_id", k=5)
+    rows = lambda d: sorted((r.q, r["rank"], r.vec_id, r.distance) for r in d.collect())
+    assert rows(got) == rows(want)
