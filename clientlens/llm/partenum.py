@@ -329,6 +329,11 @@ def _items(batches):
             yield _batch(_ITEM, node=np.repeat(batch.column(0).to_numpy(), size), n=np.repeat(size, size), item=np.concatenate(sets))
 
 
+def _text_items(batches):
+    """(doc_id, text) -> a row per shingle."""
+    return _items(_with_sets(batches))
+
+
 def salted(rows: DataFrame, groups: DataFrame, key: str, by: str) -> DataFrame:
     """``rows`` joined with ``groups`` (a row per ``key``), the rows of a key dealt by ``by`` over SALTS tasks."""
     groups = groups.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
@@ -353,6 +358,14 @@ class _Join:
         out = semi_by_key(self.texts, nodes, "doc_id").mapInArrow(_with_sets, "node long, items binary")
         return out.distinct() if self.repeated else out
 
+    def items(self, nodes: DataFrame) -> DataFrame:
+        """(node, n, item): a row per shingle of ``nodes`` (doc_id).  A task turns texts into shingles in
+        one Python worker; a second one after it in the stage would hold its memory beside the first."""
+        ddl = "node long, n long, item long"
+        if self.repeated:  # equal sets of an id count once; the shuffle between parts the workers
+            return self.sets(nodes).mapInArrow(_items, ddl)
+        return semi_by_key(self.texts, nodes, "doc_id").mapInArrow(_text_items, ddl)
+
     def add(self, links: DataFrame) -> None:
         links = links.select("a", "b")
         self.links = links if self.links is None else self.links.unionByName(links)
@@ -389,7 +402,7 @@ class _Join:
 
     def rest(self, nodes: DataFrame) -> None:
         """Links between components among ``nodes`` (doc_id), by prefix filter."""
-        items = shared_table(self.sets(nodes).mapInArrow(_items, "node long, n long, item long"), "jaccard-items")
+        items = shared_table(self.items(nodes), "jaccard-items")
         often = items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
         # rarest first, so that what many texts share comes last; a document ranks its own shingles.
         # Those that no other text has come before all others and meet nobody: they are only counted

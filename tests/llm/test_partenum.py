@@ -86,6 +86,26 @@ def test_large_buckets_and_the_exact_rest(docs_of, monkeypatch):
     check(docs_of(rows), rows)
 
 
+def test_the_exact_rest_has_one_python_step_a_stage(docs_of, spark, monkeypatch):
+    """Texts become shingles in one Python step: two of them in a stage hold two workers a task."""
+    steps, write = {}, partenum.shared_table
+
+    def seen(df, label):
+        steps[label] = df._jdf.queryExecution().executedPlan().toString().split("Exchange")[0].count("MapInArrow")
+        return write(df, label)
+
+    r, base = random.Random(5), words(30, 1)
+    rows = [(i, edited(base, r.choice([0.0, 0.02, 0.05, 0.1]), r)) for i in range(20)] + [(20, "one two"), (21, None)]
+    texts = write(docs_of(rows).select("doc_id", "text"), "test-texts")
+    monkeypatch.setattr(partenum, "shared_table", seen)
+    step = partenum._Join(texts, write(texts.mapInArrow(partenum._sized, partenum._SIZED_DDL), "test-sized"), False)
+    step.add(spark.createDataFrame([], "a long, b long"))
+    step.rest(texts.select("doc_id"))
+    got = step.labelled(texts.select(F.col("doc_id").alias("node")), "node", "component").collect()
+    assert {x.node: x.component for x in got} == brute(rows)
+    assert steps["jaccard-items"] == 1
+
+
 def test_signatures_find_every_linked_pair():
     """Completeness by hand: linked sets share a signature or one of them is deficient."""
     r = np.random.default_rng(3)
