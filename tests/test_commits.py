@@ -195,6 +195,64 @@ def test_forest_keeps_the_nodes_of_its_rows(spark):
     assert plain.toDebugString.split("\n", 1)[1] == forest.toDebugString.split("\n", 1)[1]
 
 
+def _forest_rows(spark, n=400, parts=1):
+    """Encoded rows with repeats, ties, a constant and a rare category."""
+    rows = spark.range(0, n, 1, parts).select(
+        (F.col("id") * 7 % 13).cast("long").alias("nb_paiements"), (F.col("id") * 31 % 97).cast("long").alias("actions_total"),
+        F.lit(3).cast("long").alias("sessions_total"), (F.col("id") * 17 % 40).cast("long").alias("anciennete_jours"),
+        F.element_at(F.array(*map(F.lit, ("free", "basic", "pro"))), (F.col("id") % 3 + 1).cast("int")).alias("plan"),
+        F.when(F.col("id") < 2, "rare").otherwise(F.concat(F.lit("v"), F.col("id") * 11 % 5)).alias("ville"),
+        (F.col("id") * F.col("id") * 137 % 5003 / 100 + F.col("id") % 3).alias("label"), F.col("id").alias("client_id"))
+    return ml.Pipeline(stages=ml.preprocess_stages(ml.REV_NUM, ml.REV_CAT, scale=True)).fit(rows).transform(rows)
+
+
+def _saved_nodes(spark, model, path):
+    model.write().save(path)
+    return sorted(map(str, spark.read.parquet(f"{path}/data").collect()))
+
+
+@pytest.mark.parametrize("depth", [1, 3, 30])
+def test_a_forest_grown_tree_by_tree_is_mllibs(spark, tmp_path, monkeypatch, depth):
+    """Same nodes to the last bit (sums, gains, impurities, splits, pruned leaves), without MLlib's passes."""
+    rows = _forest_rows(spark)
+    make = lambda: ml.RandomForestRegressor(numTrees=7, featureSubsetStrategy="all", maxDepth=depth, seed=42, cacheNodeIds=True)
+    plain = make().fit(rows)
+    monkeypatch.setattr(ml.RandomForestRegressor, "fit", lambda *a: pytest.fail("MLlib's passes ran"))
+    monkeypatch.setattr(ml.forest, "CELLS", 64)  # a few nodes at a time
+    own = ml.forest.fit(make(), rows)
+    assert _saved_nodes(spark, own, f"{tmp_path}/own") == _saved_nodes(spark, plain, f"{tmp_path}/plain")
+    assert own.toDebugString.split("\n", 1)[1] == plain.toDebugString.split("\n", 1)[1] and own.getNumTrees == 7
+    assert own.getOrDefault("maxDepth") == depth and own.getOrDefault("cacheNodeIds") and own.numFeatures == plain.numFeatures
+
+
+def test_a_forest_of_several_partitions_predicts_as_mllibs(spark):
+    rows = _forest_rows(spark, 300, 5)
+    est = ml.RandomForestRegressor(numTrees=5, featureSubsetStrategy="all", maxDepth=5, seed=7)
+    score = lambda m: [round(r.prediction, 6) for r in m.transform(rows).orderBy("client_id").select("prediction").collect()]
+    assert score(ml.forest.fit(est, rows)) == score(est.fit(rows))
+
+
+def test_a_forest_that_no_task_could_grow_runs_mllibs_passes(spark, monkeypatch):
+    rows = _forest_rows(spark, 60)
+    est = ml.RandomForestRegressor(numTrees=3, featureSubsetStrategy="all", maxDepth=3, seed=7)
+    monkeypatch.setattr(ml.forest, "ROWS", 59)
+    model = ml.forest.fit(est, rows)
+    assert not hasattr(model, "saved_at") and model.toDebugString.split("\n", 1)[1] == est.fit(rows).toDebugString.split("\n", 1)[1]
+
+
+def test_a_forest_is_saved_from_its_nodes(spark, tmp_path, monkeypatch):
+    """MLlib's writer lists all nodes in one task; the saved pipeline is the same one."""
+    data = C.report.ml_ready(C.build_report(C._t(spark, SF_SMALL)))
+    model, _, _ = ml.train_revenue(data, "rf", max_depth=6)
+    monkeypatch.setattr(type(model.stages[-1]), "write", lambda *a: pytest.fail("the nodes were listed in one task"))
+    store = ml.ModelStore(spark, str(tmp_path))
+    assert store.save("rf", model, data) == 1
+    again = store.load("rf")[0]
+    assert again.stages[-1].toDebugString == model.stages[-1].toDebugString and [s.uid for s in again.stages] == [s.uid for s in model.stages]
+    rows = lambda m: sorted(map(tuple, ml.score_revenue(m, data).collect()))
+    assert rows(again) == rows(model) and abs(sum(r.weight for r in store.weights("rf").collect()) - 1) < 1e-9
+
+
 def test_an_append_writes_about_a_file_a_day(spark, tmp_path):
     rows = spark.createDataFrame([(f"2025-01-{1 + i % 25:02d}T00:00:00", "client", str(i), "Surveiller", f"because {i}", "me") for i in range(1000)], DECISION_LOG)
     key = "spark.sql.adaptive.coalescePartitions.enabled"
