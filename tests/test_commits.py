@@ -232,6 +232,20 @@ def test_a_forest_of_several_partitions_predicts_as_mllibs(spark):
     assert score(ml.forest.fit(est, rows)) == score(est.fit(rows))
 
 
+def test_a_forest_scores_as_mllib_does(spark, tmp_path, monkeypatch):
+    """Without sending MLlib's forest to the executors; also a category and values not seen in training, and no rows."""
+    data = C.report.ml_ready(C.build_report(C._t(spark, SF_SMALL)))
+    model, _, _ = ml.train_revenue(data, "rf")
+    odd = data.union(data.limit(5).withColumn("plan", F.lit("other")).withColumn("actions_total", F.lit(-9).cast("long")).select(data.columns))
+    expected = sorted((r.client_id, r.prediction) for r in model.transform(odd).collect())
+    ml.ModelStore(spark, str(tmp_path)).save("rf", model, data)
+    again = ml.ModelStore(spark, str(tmp_path)).load("rf")[0]
+    monkeypatch.setattr(type(model.stages[-1]), "transform", lambda *a: pytest.fail("MLlib's forest was sent"))
+    for m in (model, again):
+        assert sorted((r.client_id, r.pred_ca_total) for r in ml.score_revenue(m, odd).collect()) == expected
+        assert not ml.score_revenue(m, odd.where("client_id < 0")).collect()
+
+
 def test_a_forest_that_no_task_could_grow_runs_mllibs_passes(spark, monkeypatch):
     rows = _forest_rows(spark, 60)
     est = ml.RandomForestRegressor(numTrees=3, featureSubsetStrategy="all", maxDepth=3, seed=7)
